@@ -1,29 +1,27 @@
-"""Explicit schemas; nothing is inferred."""
+"""Explicit schemas as DDL; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-RAW_FILES = T.StructType.fromDDL(
+RAW_FILES = (
     "path STRING, filename STRING, length BIGINT, modificationTime TIMESTAMP, content BINARY"
 )
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "filename STRING, file_type STRING, page_count INT, has_tables BOOLEAN, has_images BOOLEAN, "
     "title STRING, author STRING, table_count INT, image_count INT"
 )
-DETECTION = T.StructType.fromDDL(
+DETECTION = (
     "category STRING, text STRING, start INT, end INT, confidence DOUBLE, source STRING"
 )
-EXTRACTIONS = T.StructType.fromDDL(
+EXTRACTIONS = (
     "document_id STRING, extraction_class STRING, extraction_text STRING"
 )
-EMBEDDING_CACHE = T.StructType.fromDDL(
+EMBEDDING_CACHE = (
     "text_key STRING, embedding ARRAY<FLOAT>, inserted_seq BIGINT, inserted_at TIMESTAMP"
 )
-VECTORS = T.StructType.fromDDL(
+VECTORS = (
     "namespace STRING, id STRING, document_id STRING, values ARRAY<FLOAT>, metadata VARIANT"
 )
-DOC_CATALOG = T.StructType.fromDDL(
+DOC_CATALOG = (
     "document_id STRING, filename STRING, file_type STRING, file_size BIGINT, page_count INT, "
     "word_count INT, chunk_count INT, has_pii BOOLEAN, pii_categories_found ARRAY<STRING>, "
     "created_at TIMESTAMP, processed_at TIMESTAMP, status STRING, error_message STRING, "
