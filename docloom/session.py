@@ -45,3 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is on."""
+    handle = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    handle, fs = hadoop_path(spark, path)
+    return fs.exists(handle)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    handle, fs = hadoop_path(spark, path)
+    fs.delete(handle, True)

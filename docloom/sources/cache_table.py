@@ -11,20 +11,15 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import embedding as ops
 from docloom.schemas import EMBEDDING_CACHE
+from docloom.session import delete_path, path_exists
 
 
 class CacheTable:
     def __init__(self, spark: SparkSession, path: str, settings: Settings = DEFAULTS):
         self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return root.getFileSystem(conf).exists(root)
-
     def read(self) -> DataFrame:
-        if not self._exists():
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], EMBEDDING_CACHE)
         return ops.cache_entries(self.spark.read.schema(EMBEDDING_CACHE).parquet(self.path))
 
@@ -60,8 +55,5 @@ class CacheTable:
     def clear(self) -> int:
         """Remove all entries and return how many there were."""
         count = self.read().count()
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        root.getFileSystem(conf).delete(root, True)
+        delete_path(self.spark, self.path)
         return count

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import vectors as ops
 from docloom.schemas import VECTORS
+from docloom.session import delete_path, path_exists, shared_folder
 
 PART = ["namespace", "bucket"]
 
@@ -27,17 +28,12 @@ class VectorTable:
         of the largest namespace stays within a few hundred megabytes."""
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
         self.buckets, self.settings = buckets, settings
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        shared_folder(spark)
 
     def _stored(self) -> DataFrame:
         """Records with their bucket; an empty frame where nothing was written yet."""
         schema = f"{VECTORS}, bucket INT"
-        jvm, fs = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.path)):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
@@ -109,12 +105,11 @@ class VectorTable:
         return self.delete(condition={"document_id": {"$eq": document_id}}, namespace=namespace)
 
     def _drop(self, namespace: str, bucket: int | None) -> None:
-        jvm, fs = self._fs()
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         path = f"{self.path}/namespace={escape(namespace)}"
         if bucket is not None:
             path += f"/bucket={bucket}"
-        fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        delete_path(self.spark, path)
 
     def stats(self) -> DataFrame:
         return ops.index_stats(self.read())
