@@ -59,8 +59,9 @@ RULES = [
     (
         "address",
         "",
-        r"\b\d{1,5}\s+\w+(?:\s+\w+)*\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct)\b",
-        "",
+        r"\b\d{1,5}\s+[\pL\pN_]+(?:\s+[\pL\pN_]+)*\s+"
+        "(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct)",
+        r"(?:[^\pL\pN_]|$)",
     ),
 ]
 
@@ -70,8 +71,9 @@ def rule_spans(relation: str, key: str, text: str, rank: int) -> str:
     category, lead, value, tail = RULES[rank]
     whole, head = f"(?i){lead}{value}{tail}", f"(?i)^{lead}"
     found, at = "h", "o + len(g)"
+    if lead or tail:
+        found = f"regexp_extract(h, '{head}({value}){tail}', 1)"
     if lead:
-        found = f"regexp_extract(h, '{head}({value})', 1)"
         at = f"o + len(g) + len(regexp_extract(h, '{head}', 0))"
     return f"""
       select {key}, '{category}' as category, {rank} as rank, {found} as text,
@@ -119,7 +121,7 @@ def redacted(text: str, categories=None) -> str:
         if categories is not None and category not in categories:
             continue
         tag = f"[REDACTED_{category.upper()}]"
-        if lead:
+        if lead or tail:
             out = f"regexp_replace({out}, '(?i)({lead}){value}({tail})', '\\1{tag}\\2', 'g')"
         else:
             out = f"regexp_replace({out}, '(?i){value}', '{tag}', 'g')"
@@ -356,9 +358,21 @@ ORACLE = {
       select c_custkey, category, text, start, "end" from ({spans(NOTES, 'c_custkey')})""",
     "customer_redacted": f"""
       with n as {NOTES},
+      reached as (
+        select *, max("end") over (partition by c_custkey order by start, "end" desc
+                                   rows between unbounded preceding and 1 preceding) as reach
+        from ({spans('n', 'c_custkey')})),
+      grouped as (
+        select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (
+                    partition by c_custkey order by start, "end" desc rows unbounded preceding) as g
+        from reached),
+      merged as (
+        select c_custkey, g, min(start) as start, max("end") as "end",
+               arg_min(category, {{'s': start, 'e': -"end"}}) as category
+        from grouped group by c_custkey, g),
       s as (select *, coalesce(lag("end") over (partition by c_custkey order by start), 0) as open,
                    row_number() over (partition by c_custkey order by start desc) as back
-            from ({spans('n', 'c_custkey')}))
+            from merged)
       select c_custkey,
              string_agg(substr(n.text, open + 1, start - open) || '[REDACTED_' || upper(category) || ']'
                         || case when back = 1 then substr(n.text, "end" + 1) else '' end, '' order by start) as redacted,

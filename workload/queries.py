@@ -64,7 +64,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def created_at(doc_id: str = "doc_id") -> Column:
-    return F.timestamp_seconds(F.lit(1704067200) + F.col(doc_id) * 60)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return start + F.make_dt_interval(mins=F.col(doc_id).cast("int"))
 
 
 def stamp(ts: Column) -> Column:
@@ -741,7 +742,7 @@ def status_events(events: DataFrame) -> DataFrame:
         F.element_at(table_, F.col("event_type")).alias("status"),
         F.col("props").alias("error"),
         F.floor("value").cast("int").alias("progress"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
     )
 
@@ -793,7 +794,7 @@ def stream_chunks(spark, folder):
 
 
 def stream_index(spark, folder):
-    """The whole ingest as a stream, each batch run twice: redact, chunk, embed, upsert."""
+    """The whole ingest as a stream: redact, chunk, embed, upsert."""
     base = ingest.KnowledgeBase(spark, work_path(spark, "kb"), SMALL_EMBEDDER, buckets=4)
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -804,8 +805,7 @@ def stream_index(spark, folder):
             created_at().alias("modificationTime"),
             F.encode(F.replace("text", F.lit("\n"), F.lit("\n\n")), "UTF-8").alias("content"),
         )
-        for _ in range(2):
-            base.ingest_files(raw, number)
+        base.ingest_files(raw, number)
 
     source = stream.table_stream(spark, folder, "documents")
     stream.run_available(source, handle, work_path(spark, "checkpoint"))
