@@ -21,11 +21,13 @@ class Rule:
     """``lead`` is matched but not reported; ``value`` is the reported span.
 
     ``within`` narrows a match to its own leading part and drops it where that
-    part is missing.
+    part is missing. ``gates`` are cheap tests, all of which a text with a hit
+    passes; most texts stop there.
     """
 
     category: str
     value: str
+    gates: tuple[str, ...]
     lead: str = ""
     tail: str = ""
     within: str | None = None
@@ -41,52 +43,52 @@ _KEY = r"[a-zA-Z0-9_-]{20,}"
 _QUOTE = r"['\"]?"
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct"
 
+_PASS = (r"(?iu)p(?:ass|wd)",)
+_KEYS = (r"(?iu)k(?:ey|en|-)",)
+_DIGITS = (r"\p{Nd}{4}",)
+
 # What counts as personal data, in category and pattern order.
 RULES = (
-    Rule("password", _SECRET, lead=f"password{_SET_TO}", tail=_QUOTE),
-    Rule("password", _SECRET, lead=f"pwd{_SET_TO}", tail=_QUOTE),
-    Rule("password", _SECRET, lead=f"pass{_SET_TO}", tail=_QUOTE),
-    Rule("api_key", _KEY, lead=f"api[_-]?key{_SET_TO}", tail=_QUOTE),
-    Rule("api_key", _KEY, lead=f"secret[_-]?key{_SET_TO}", tail=_QUOTE),
-    Rule("api_key", _KEY, lead=f"access[_-]?token{_SET_TO}", tail=_QUOTE),
-    Rule("api_key", r"sk-[a-zA-Z0-9]{32,}"),
-    Rule("api_key", r"pk-[a-zA-Z0-9]{32,}"),
-    Rule("api_key", r"AIza[a-zA-Z0-9_-]{35}"),
+    Rule("password", _SECRET, _PASS, lead=f"password{_SET_TO}", tail=_QUOTE),
+    Rule("password", _SECRET, _PASS, lead=f"pwd{_SET_TO}", tail=_QUOTE),
+    Rule("password", _SECRET, _PASS, lead=f"pass{_SET_TO}", tail=_QUOTE),
+    Rule("api_key", _KEY, _KEYS, lead=f"api[_-]?key{_SET_TO}", tail=_QUOTE),
+    Rule("api_key", _KEY, _KEYS, lead=f"secret[_-]?key{_SET_TO}", tail=_QUOTE),
+    Rule("api_key", _KEY, _KEYS, lead=f"access[_-]?token{_SET_TO}", tail=_QUOTE),
+    Rule("api_key", r"sk-[a-zA-Z0-9]{32,}", _KEYS),
+    Rule("api_key", r"pk-[a-zA-Z0-9]{32,}", _KEYS),
+    Rule("api_key", r"AIza[a-zA-Z0-9_-]{35}", (r"(?iu)aiza",)),
     Rule(
         "credit_card",
         rf"{BEFORE}(?:4[0-9]{{12}}(?:[0-9]{{3}})?|5[1-5][0-9]{{14}}|3[47][0-9]{{13}}"
         rf"|6(?:011|5[0-9]{{2}})[0-9]{{12}}){AFTER}",
+        (r"[0-9]{13}",),
     ),
-    Rule("ssn", rf"{BEFORE}\d{{3}}[-{SPACE_SET}]?\d{{2}}[-{SPACE_SET}]?\d{{4}}{AFTER}"),
-    Rule("email", rf"{EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{EDGE}"),
+    Rule("ssn", rf"{BEFORE}\d{{3}}[-{SPACE_SET}]?\d{{2}}[-{SPACE_SET}]?\d{{4}}{AFTER}", _DIGITS),
+    Rule("email", rf"{EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{EDGE}", ("@",)),
     Rule(
         "phone",
         rf"{EDGE}(?:\+?1[-.{SPACE_SET}]?)?\(?[2-9]\d{{2}}\)?[-.{SPACE_SET}]?\d{{3}}"
         rf"[-.{SPACE_SET}]?\d{{4}}{AFTER}",
+        _DIGITS,
+    ),
+    Rule(
+        "phone",
+        rf"{BEFORE}\d{{3}}[-.{SPACE_SET}]\d{{3}}[-.{SPACE_SET}]\d{{4}}{AFTER}",
+        _DIGITS,
     ),
-    Rule("phone", rf"{BEFORE}\d{{3}}[-.{SPACE_SET}]\d{{3}}[-.{SPACE_SET}]\d{{4}}{AFTER}"),
     # A house number and words up to a street word. The match takes the whole run of
     # words in one possessive step and is then cut after its last street word: one
     # pass over the text, where backtracking from every number would be quadratic.
     Rule(
         "address",
         rf"{BEFORE}\d{{1,5}}{SPACE}+[{WORD_SET}][{WORD_SET}{SPACE_SET}]*+",
+        (rf"{FLAGS}\d{SPACE}", rf"{FLAGS}{SPACE}(?:{_STREETS}){AFTER}"),
         within=rf"{FLAGS}^\d{{1,5}}{SPACE}+[{WORD_SET}][{WORD_SET}{SPACE_SET}]*"
         rf"{SPACE}(?:{_STREETS}){AFTER}",
     ),
 )
 
-# Cheap tests, all of which a text with a hit passes; most texts stop here.
-GATES = {
-    "password": (r"(?iu)pass|pwd",),
-    "api_key": (r"(?iu)key|token|[sp]k-|aiza",),
-    "credit_card": (r"[0-9]{13}",),
-    "ssn": (r"\p{Nd}{4}",),
-    "email": (r"@",),
-    "phone": (r"\p{Nd}{4}",),
-    "address": (rf"{FLAGS}\d{SPACE}", rf"{FLAGS}{SPACE}(?:{_STREETS}){AFTER}"),
-}
-
 # Labels an external extractor may use, and their category.
 EXTRACTION_CLASSES = {
     "password": "password",

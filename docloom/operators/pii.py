@@ -6,7 +6,7 @@ narrow stage. Positions count code points from 0; ``end`` is exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -18,7 +18,6 @@ from docloom.functions.arrays import let, running
 from docloom.functions.pii_rules import (
     EXTRACTION_CLASSES,
     FLAGS,
-    GATES,
     MODEL_CONFIDENCE,
     MODEL_SOURCE,
     REGEX_CONFIDENCE,
@@ -47,75 +46,90 @@ def _chosen(categories: Sequence[str] | None) -> list[str]:
     return chosen
 
 
-def _hit(start, end, source_rank, category_rank, pattern_rank, category, text, confidence, source):
-    return F.struct(
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        F.lit(source_rank).alias("source_rank"),
-        F.lit(category_rank).alias("category_rank"),
-        F.lit(pattern_rank).alias("pattern_rank"),
-        F.lit(category).alias("category"),
-        text.alias("text"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(source).alias("source"),
-    )
+def _pattern(parts: Callable[[Rule], str]) -> Column:
+    """One string per rule, as an array literal looked up by rule number."""
+    return F.lit([parts(r) for r in RULES])
 
 
-def _rule_hits(text: Column, rule: Rule, category_rank: int, pattern_rank: int) -> Column:
-    """All matches of one rule.
+def _rule_hits(text: Column, number: Column, category_ranks: list[int]) -> Column:
+    """All matches of the rule with this number.
 
     The text between matches comes from splitting at the same pattern, so a running
     sum of segment lengths gives each match its offset.
     """
-    regex = F.lit(rule.regex)
+    def of(parts: Callable[[Rule], str]) -> Column:
+        return F.get(_pattern(parts), number)
+
+    def extract(value: Column, regex: Column, group: int) -> Column:
+        return F.call_function("regexp_extract", value, regex, F.lit(group))
 
     def spans(parts: Column) -> Column:
         steps = F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["found"]))
-        pairs = F.arrays_zip(parts.alias("part"), running(steps, F.lit(0), lambda a, b: a + b).alias("at"))
+        starts = running(steps, F.lit(0), lambda a, b: a + b)
 
         def one(p: Column) -> Column:
-            found, at = p["part"]["found"], p["at"] + F.length(p["part"]["gap"])
-            if rule.lead:
-                at = at + F.length(F.regexp_extract(found, f"{FLAGS}^{rule.lead}", 0))
-                found = F.regexp_extract(found, f"{FLAGS}^{rule.lead}({rule.value})", 1)
-            if rule.within:
-                found = F.regexp_extract(found, rule.within, 0)
-            return _hit(
-                at,
-                at + F.length(found),
-                1,
-                category_rank,
-                pattern_rank,
-                rule.category,
-                found,
-                REGEX_CONFIDENCE,
-                REGEX_SOURCE,
+            whole, at = p["part"]["found"], p["at"] + F.length(p["part"]["gap"])
+            lead = of(lambda r: f"{FLAGS}^{r.lead}" if r.lead else "")
+            within = of(lambda r: r.within or "")
+            value = of(lambda r: f"{FLAGS}^{r.lead}({r.value})" if r.lead else "")
+            found = (
+                F.when(lead != "", extract(whole, value, 1))
+                .when(within != "", extract(whole, within, 0))
+                .otherwise(whole)
             )
+            skipped = F.when(lead != "", F.length(extract(whole, lead, 0))).otherwise(0)
+            return F.struct((at + skipped).alias("start"), found.alias("text"))
+
+        pairs = F.arrays_zip(parts.alias("part"), starts.alias("at"))
+        kept = F.filter(F.transform(pairs, one), lambda h: h["text"] != "")
+        return F.transform(
+            kept,
+            lambda h: F.struct(
+                h["start"].cast("int").alias("start"),
+                (h["start"] + F.length(h["text"])).cast("int").alias("end"),
+                F.lit(1).alias("source_rank"),
+                F.get(F.lit(category_ranks), number).alias("category_rank"),
+                number.alias("pattern_rank"),
+                of(lambda r: r.category).alias("category"),
+                h["text"].alias("text"),
+                F.lit(REGEX_CONFIDENCE).alias("confidence"),
+                F.lit(REGEX_SOURCE).alias("source"),
+            ),
+        )
 
-        hits = F.transform(pairs, one)
-        return F.filter(hits, lambda h: h["text"] != "") if rule.within else hits
+    regex = of(lambda r: r.regex)
 
     def zipped(found: Column) -> Column:
         # split() keeps a trailing piece that belongs to no match.
-        gaps = F.slice(F.split(text, rule.regex, -1), F.lit(1), F.size(found))
+        gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(found))
         return let(F.arrays_zip(gaps.alias("gap"), found.alias("found")), spans)
 
-    empty = F.array().cast(HIT_TYPE)
     return let(
-        F.regexp_extract_all(text, regex, 0),
-        lambda found: F.when(F.size(found) > 0, zipped(found)).otherwise(empty),
+        F.regexp_extract_all(text, regex, F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, zipped(found)).otherwise(
+            F.array().cast(HIT_TYPE)
+        ),
     )
 
 
 def _regex_hits(text: Column, chosen: list[str]) -> Column:
-    empty = F.array().cast(HIT_TYPE)
-    found = []
-    for category_rank, category in enumerate(chosen):
-        rules = [(i, r) for i, r in enumerate(RULES) if r.category == category]
-        hits = F.concat(*[_rule_hits(text, r, category_rank, i) for i, r in rules])
-        gate = reduce(and_, [text.rlike(g) for g in GATES[category]])
-        found.append(F.when(gate, hits).otherwise(empty))
-    return F.concat(*found)
+    """Hits of all rules of the chosen categories.
+
+    Gates pick the rules worth running on this text; the rules are data, so the plan
+    holds the matching expression once however many patterns there are.
+    """
+    by_gates: dict[tuple[str, ...], list[int]] = {}
+    for number, rule in enumerate(RULES):
+        if rule.category in chosen:
+            by_gates.setdefault(rule.gates, []).append(number)
+    active = [
+        F.when(reduce(and_, [text.rlike(g) for g in gates]), F.lit(numbers)).otherwise(
+            F.array().cast("array<int>")
+        )
+        for gates, numbers in by_gates.items()
+    ]
+    ranks = [chosen.index(r.category) if r.category in chosen else -1 for r in RULES]
+    return F.flatten(F.transform(F.concat(*active), lambda n: _rule_hits(text, n, ranks)))
 
 
 def _first_per_position(hits: Column) -> Column:
