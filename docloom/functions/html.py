@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import let
+
 # Elements whose content is not text of the page.
 DROPPED = ("script", "style", "nav", "head", "template", "noscript")
 # Elements that end a paragraph.
@@ -44,9 +46,12 @@ def _numeric_entities(text: Column) -> Column:
         rest = F.regexp_replace(part, r"(?i)^(?:x[0-9a-f]{1,6}|[0-9]{1,7});", "")
         return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
 
-    pieces = F.split(text, "&#", -1)
-    decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(decoded, "")).otherwise(text)
+    def decode(t: Column) -> Column:
+        pieces = F.split(t, "&#", -1)
+        decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
+        return F.when(F.contains(t, F.lit("&#")), F.array_join(decoded, "")).otherwise(t)
+
+    return let(text, decode)
 
 
 def html_to_text(html: Column) -> Column:
@@ -66,7 +71,7 @@ def html_to_text(html: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, r" *\n *", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^[ \n]+|(?<![ \n])[ \n]+\z", "")
+    return F.trim(text, F.lit(" \n"))
 
 
 def html_title(html: Column) -> Column:

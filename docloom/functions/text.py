@@ -30,8 +30,14 @@ FILE_TYPES = {
 
 
 def strip(text: Column) -> Column:
-    """Remove white space at both ends. The lookbehind keeps long inner runs linear."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    """Remove white space at both ends.
+
+    Only texts whose first or last character is white space meet the expression, which
+    tests a character before it looks behind it, so long inner runs stay linear.
+    """
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    trimmed = F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+\z", "")
+    return F.when(ends.rlike(rf"(?U){SPACE}"), trimmed).otherwise(text)
 
 
 def word_count(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import vectors as ops
 from docloom.schemas import VECTORS
-from docloom.session import delete_path, path_exists, shared_folder
+from docloom.session import delete_path, path_exists, shared_folder, work_path
 
 PART = ["namespace", "bucket"]
 
@@ -53,20 +53,36 @@ class VectorTable:
         )
 
     def upsert(self, incoming: DataFrame, namespace: str | None = None) -> int:
-        """Insert or replace by (namespace, id). Returns the number of records taken."""
+        """Insert or replace by (namespace, id). Returns the number of records taken.
+
+        Incoming records are first written to the shared folder: they are used several
+        times, and the passes that need only keys read only keys.
+        """
         records = ops.normalize_records(incoming, namespace, self.settings)
         good, _ = ops.contract(records, self.dimension)
-        # Used three times below; kept in the shared folder, not on an executor.
-        good = good.checkpoint()
-        count = good.count()
-        if count == 0:
-            return 0
-        fresh = ops.last_per_key(good).withColumn("bucket", self._bucket())
-        touched = fresh.select(*PART).distinct()
-        stored = self._stored().join(touched, PART, "left_semi")
-        merged = stored.join(fresh.select(*PART, "id"), [*PART, "id"], "left_anti")
-        self._write(merged.unionByName(fresh))
-        return count
+        stage = work_path(self.spark, "upsert")
+        good.withColumn("bucket", self._bucket()).write.parquet(stage)
+        staged = self.spark.read.schema(good.withColumn("bucket", self._bucket()).schema).parquet(stage)
+        keys = staged.groupBy(*PART, "id").agg(F.count(F.lit(1)).alias("n"))
+        total = keys.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        if total["rows"]:
+            unique = total["most"] == 1
+            fresh = staged.drop("ordinal") if unique else self._last(staged)
+            self._write(self._untouched(staged).unionByName(fresh))
+        delete_path(self.spark, stage)
+        return total["rows"] or 0
+
+    def _last(self, staged: DataFrame) -> DataFrame:
+        return ops.last_per_key(staged).withColumn("bucket", self._bucket())
+
+    def _untouched(self, staged: DataFrame) -> DataFrame:
+        """Stored records that share a partition with incoming ones but are not replaced."""
+        stored = self._stored()
+        if stored.isEmpty():
+            return stored
+        keys = staged.select(*PART, "id").distinct()
+        same_partitions = stored.join(keys.select(*PART).distinct(), PART, "left_semi")
+        return same_partitions.join(keys, [*PART, "id"], "left_anti")
 
     def fetch(self, ids: DataFrame, namespace: str | None = None) -> DataFrame:
         keys = ids.select("id").withColumn("bucket", self._bucket())

@@ -275,11 +275,14 @@ def section_nodes(spark, folder):
 
 
 def _nonzero(df: DataFrame, key: str) -> DataFrame:
-    long = df.select(key, F.posexplode("embedding").alias("bucket", "value"))
-    return long.where(F.col("value") != 0).select(
-        key, F.col("bucket").cast("long").alias("bucket"),
-        F.round(F.col("value").cast("double"), 6).alias("value"),
+    entries = F.transform(
+        "embedding",
+        lambda x, i: F.struct(
+            i.cast("long").alias("bucket"), F.round(x.cast("double"), 6).alias("value")
+        ),
     )
+    kept = F.filter(entries, lambda e: e["value"] != 0)
+    return df.select(key, F.explode(kept).alias("e")).select(key, "e.bucket", "e.value")
 
 
 def embedded(spark, folder):
@@ -547,7 +550,7 @@ def text_index(spark: SparkSession, folder: str) -> VectorTable:
     """Documents, chunked and embedded, as a stored vector table."""
     made = chunking.chunk_documents(documents(spark, folder))
     ready = embedding.with_embedding(made, "content", EMBEDDER)
-    store = VectorTable(spark, work_path(spark, "index"), TEXT_DIM, buckets=4)
+    store = VectorTable(spark, work_path(spark, "index"), TEXT_DIM, buckets=8)
     store.upsert(vec.vector_records(ready))
     return store
 
@@ -795,7 +798,7 @@ def stream_chunks(spark, folder):
 
 def stream_index(spark, folder):
     """The whole ingest as a stream: redact, chunk, embed, upsert."""
-    base = ingest.KnowledgeBase(spark, work_path(spark, "kb"), SMALL_EMBEDDER, buckets=4)
+    base = ingest.KnowledgeBase(spark, work_path(spark, "kb"), SMALL_EMBEDDER, buckets=8)
 
     def handle(batch: DataFrame, number: int) -> None:
         raw = spread(batch).select(
