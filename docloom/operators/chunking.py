@@ -19,29 +19,33 @@ def chunk_texts(content: Column, size: int | None = None, overlap: int | None =
     """
     size = size or settings.chunk_size
     overlap = overlap or settings.chunk_overlap
+    gap = "\n\n"
     paragraphs = F.filter(
-        F.transform(F.split(tx.strip(content), "\n\n", -1), tx.strip), lambda p: p != ""
+        F.transform(F.split(tx.strip(content), gap, -1), tx.strip), lambda p: p != ""
     )
-    state = "struct<open:string,closed:array<string>>"
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("closed"))
 
+    # The open chunk is kept without its last gap: its parts are stripped, so it needs
+    # no stripping again. The gap still counts, for the size and for the overlap.
     def add(acc: Column, para: Column) -> Column:
         opened = acc["open"]
-        full = (opened != "") & (F.length(opened) + F.length(para) + 2 > size)
-        carried = tx.strip(F.right(opened, F.lit(overlap)))
-        carried = F.when(carried != "", F.concat(carried, F.lit("\n\n"))).otherwise("")
-        return F.struct(
-            F.concat(F.when(full, carried).otherwise(opened), para, F.lit("\n\n")).alias("open"),
-            F.when(full, F.array_append(acc["closed"], tx.strip(opened)))
-            .otherwise(acc["closed"])
-            .alias("closed"),
+        full = (opened != "") & (F.length(opened) + F.length(para) + 4 > size)
+        carried = tx.strip(F.right(opened, F.lit(max(overlap - 2, 0))))
+        closing = F.struct(
+            F.when(carried != "", F.concat(carried, F.lit(gap), para)).otherwise(para).alias("open"),
+            F.array_append(acc["closed"], opened).alias("closed"),
         )
+        growing = F.struct(
+            F.when(opened != "", F.concat(opened, F.lit(gap), para)).otherwise(para).alias("open"),
+            acc["closed"].alias("closed"),
+        )
+        return F.when(full, closing).otherwise(growing)
 
     def finish(acc: Column) -> Column:
-        last = tx.strip(acc["open"])
-        return F.when(last != "", F.array_append(acc["closed"], last)).otherwise(acc["closed"])
+        last = F.array_append(acc["closed"], acc["open"])
+        return F.when(acc["open"] != "", last).otherwise(acc["closed"])
 
-    return F.aggregate(paragraphs, start.cast(state), add, finish)
+    return F.aggregate(paragraphs, start, add, finish)
 
 
 def chunk_documents(

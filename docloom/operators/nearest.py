@@ -17,7 +17,8 @@ from docloom.operators.skew import top_n
 # Scores are compared after rounding, so equal vectors tie whatever the order of
 # the sums, and ties go to the smaller id.
 SCORE_DIGITS = 9
-QUERY_COLUMNS = ("query_id", "query_vector", "namespace", "top_k", "similarity_threshold")
+# Hits of about 100 bytes each that may be sent to every task of a following join.
+BROADCAST_HITS = 100_000
 
 
 class QueryBlock:
@@ -159,13 +160,23 @@ def nearest(
     records = vectors.where(F.size("values") == dimension).select("namespace", "id", "values")
     limit = max(1, settings.broadcast_query_bytes // (8 * dimension))
     batch = queries.limit(limit + 1).toArrow()
-    if batch.num_rows <= limit:
+    small = batch.num_rows <= limit
+    if small:
         candidates = _every_task(spark, records, batch, _hit_schema(queries))
     else:
         candidates = _block_pairs(records, queries, _hit_schema(queries), settings)
-    order = [F.desc("score"), F.asc("id")]
-    ranked = top_n(candidates, ["query_id"], order, F.col("top_k"), ["id"], settings=settings)
-    return ranked.select("query_id", "namespace", "id", "score", "rank")
+    ranked = top_n(
+        candidates,
+        ["query_id"],
+        [F.desc("score"), F.asc("id")],
+        F.col("top_k"),
+        ["id"],
+        at_most=settings.max_top_k,
+        settings=settings,
+    ).select("query_id", "namespace", "id", "score", "rank")
+    # A small batch has a known number of hits: joins may broadcast them.
+    wanted = sum(batch.column("top_k").to_pylist()) if small else None
+    return ranked.hint("broadcast") if small and wanted <= BROADCAST_HITS else ranked
 
 
 def _every_task(spark: SparkSession, records: DataFrame, batch, schema: T.StructType) -> DataFrame:

@@ -60,22 +60,28 @@ def top_n(
     n: int | Column,
     spread_by: Sequence[str],
     rank: str = "rank",
+    at_most: int | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """First ``n`` rows per key, ranked from 1.
 
     Ranked twice: first inside salted slices of the key, so that no task sorts a
-    whole hot key, then over the at most n × salts survivors.
+    whole hot key, then over the at most n × salts survivors. Where ``n`` is a column,
+    ``at_most`` gives its largest value: a constant limit lets Spark drop rows before
+    they are shuffled.
     """
     limit = F.lit(n) if isinstance(n, int) else n
+    kept = F.col(rank) <= limit
+    if at_most is not None:
+        kept = kept & (F.col(rank) <= at_most)
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(settings.top_n_salts))
     sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_slice", spread)
         .withColumn(rank, F.row_number().over(sliced))
-        .where(F.col(rank) <= limit)
+        .where(kept)
         .withColumn(rank, F.row_number().over(whole))
-        .where(F.col(rank) <= limit)
+        .where(kept)
         .drop("_slice")
     )

@@ -12,6 +12,7 @@ from docloom.config import DEFAULTS, Settings
 from docloom.operators.embedding import Embedder, embed
 from docloom.operators.nearest import nearest
 from docloom.operators.vectors import in_namespace, record_filter
+from docloom.sources.vector_table import VectorTable
 
 TOKENS = "[a-z0-9]+"
 SNIPPET_CHARS = 200
@@ -22,7 +23,9 @@ def embed_queries(queries: DataFrame, embedder: Embedder, settings: Settings = D
     return queries.withColumn("query_vector", embed(F.col("query"), embedder, settings))
 
 
-def shape_hits(ranked: DataFrame, vectors: DataFrame, include_metadata: bool = True) -> DataFrame:
+def shape_hits(
+    ranked: DataFrame, vectors: DataFrame | VectorTable, include_metadata: bool = True
+) -> DataFrame:
     """Result fields of the few winners, read from their records afterwards.
 
     The scan that scores reads ids and values only; metadata is joined for the winners.
@@ -41,7 +44,10 @@ def shape_hits(ranked: DataFrame, vectors: DataFrame, include_metadata: bool = T
             F.lit(None).cast("string").alias("section_title"),
         )
     meta = F.col("metadata")
-    joined = ranked.join(vectors.select(*key, "metadata"), key, "inner")
+    if isinstance(vectors, VectorTable):
+        joined = vectors.lookup(ranked, "metadata")
+    else:
+        joined = ranked.join(vectors.select(*key, "metadata"), key)
     return joined.select(
         "query_id",
         "rank",
@@ -58,7 +64,7 @@ def shape_hits(ranked: DataFrame, vectors: DataFrame, include_metadata: bool = T
 
 
 def search(
-    vectors: DataFrame,
+    vectors: DataFrame | VectorTable,
     query_vector: list[float],
     top_k: int | None = None,
     namespace: str | None = None,
@@ -67,19 +73,23 @@ def search(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """One query vector against one namespace."""
-    scope = in_namespace(vectors, namespace, settings)
-    scope = scope.where(record_filter(condition, vectors))
-    query = vectors.sparkSession.createDataFrame(
+    records = _records(vectors)
+    scope = in_namespace(records, namespace, settings).where(record_filter(condition, records))
+    query = records.sparkSession.createDataFrame(
         [(0, [float(x) for x in query_vector], namespace, top_k)],
         "query_id INT, query_vector ARRAY<DOUBLE>, namespace STRING, top_k INT",
     )
     ranked = nearest(scope, query, len(query_vector), settings)
-    return shape_hits(ranked, scope, include_metadata).drop("query_id")
+    return shape_hits(ranked, vectors, include_metadata).drop("query_id")
+
+
+def _records(vectors: DataFrame | VectorTable) -> DataFrame:
+    return vectors.read() if isinstance(vectors, VectorTable) else vectors
 
 
 def semantic_search(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorTable,
     embedder: Embedder,
     condition: Mapping[str, Any] | None = None,
     include_metadata: bool = True,
@@ -88,9 +98,10 @@ def semantic_search(
     """Hits per query: text ``query`` with optional namespace, top_k and threshold."""
     if "similarity_threshold" not in queries.columns:
         queries = queries.withColumn("similarity_threshold", F.lit(settings.similarity_threshold))
-    scope = vectors.where(record_filter(condition, vectors)) if condition else vectors
+    records = _records(vectors)
+    scope = records.where(record_filter(condition, records)) if condition else records
     ranked = nearest(scope, embed_queries(queries, embedder, settings), embedder.dimension, settings)
-    return shape_hits(ranked, scope, include_metadata)
+    return shape_hits(ranked, vectors, include_metadata)
 
 
 def totals(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -89,6 +89,15 @@ class VectorTable:
         stored = ops.in_namespace(self._stored(), namespace, self.settings)
         return stored.join(keys, ["bucket", "id"], "left_semi").drop("bucket")
 
+    def lookup(self, hits: DataFrame, *columns: str) -> DataFrame:
+        """Search hits with ``columns`` of their records.
+
+        The bucket follows from the id, so only partitions that hold a hit are read.
+        """
+        keyed = hits.withColumn("bucket", self._bucket())
+        stored = self._stored().select(*PART, "id", *columns)
+        return keyed.join(stored, [*PART, "id"]).drop("bucket")
+
     def delete(self, ids: DataFrame | None = None, condition: Mapping[str, Any] | None = None,
                namespace: str | None = None, delete_all: bool = False) -> bool:
         """Delete inside one namespace; without arguments nothing changes."""

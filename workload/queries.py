@@ -562,7 +562,7 @@ def text_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = text_index(spark, folder).read()
+    vectors = text_index(spark, folder)
     return srch.semantic_search(text_queries(spark, folder), vectors, EMBEDDER, settings=SEARCH)
 
 
@@ -581,7 +581,7 @@ def semantic_search(spark, folder):
 
 def search_totals(spark, folder):
     strict = replace(DEFAULTS, similarity_threshold=0.75)
-    vectors = text_index(spark, folder).read()
+    vectors = text_index(spark, folder)
     queries = text_queries(spark, folder)
     hits = srch.semantic_search(queries, vectors, EMBEDDER, include_metadata=False, settings=strict)
     return srch.totals(queries, hits)
