@@ -20,9 +20,11 @@ class Field:
 
 def column_field(column: Column) -> Field:
     """A promoted column: predicates on it reach the scan."""
-    return Field(
-        column.isNotNull(), lambda value: column, lambda values: column.isin(list(values))
-    )
+    def any_of(values) -> Column:
+        values = list(values)
+        return column == values[0] if len(values) == 1 else column.isin(values)
+
+    return Field(column.isNotNull(), lambda value: column, any_of)
 
 
 def variant_field(metadata: Column, name: str) -> Field:
@@ -59,7 +61,8 @@ def _condition(field: Field, operator: str, operand: Any) -> Column:
     if operator in ("$eq", "$in"):
         return field.any_of([operand] if operator == "$eq" else operand)
     if operator in ("$ne", "$nin"):
-        return field.present & ~field.any_of([operand] if operator == "$ne" else operand)
+        matched = field.any_of([operand] if operator == "$ne" else operand)
+        return field.present & ~F.coalesce(matched, F.lit(False))
     left, right = field.typed(operand), F.lit(operand)
     compare = {
         "$gt": left > right,
@@ -77,9 +80,10 @@ def metadata_filter(
     metadata: Column | None = None,
     promoted: Mapping[str, Column] | None = None,
 ) -> Column:
-    """``{"field": {"$eq": 1}, "$or": [...]}`` as a Column that is never null.
+    """``{"field": {"$eq": 1}, "$or": [...]}`` as a Column for ``where``.
 
-    A bare value means ``$eq``; several entries must all hold; a missing field matches
+    It may be null where it does not hold: a plain comparison can be pushed into the
+    scan, one wrapped against nulls cannot. A bare value means ``$eq``; several entries must all hold; a missing field matches
     only ``{"$exists": false}``. Fields in ``promoted`` are read from their own column,
     the rest from the VARIANT ``metadata``.
     """
@@ -101,4 +105,4 @@ def metadata_filter(
             raise ValueError(f"no column for filter field {name!r}")
         spec = spec if isinstance(spec, Mapping) else {"$eq": spec}
         parts += [_condition(field, op, operand) for op, operand in spec.items()]
-    return F.coalesce(reduce(and_, parts, F.lit(True)), F.lit(False))
+    return reduce(and_, parts, F.lit(True))

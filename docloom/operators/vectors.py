@@ -134,7 +134,8 @@ def delete(vectors: DataFrame, ids: DataFrame | None = None,
         keys = ids.select("id", F.lit(namespace or settings.namespace).alias("namespace"))
         return vectors.join(keys, KEY, "left_anti")
     if condition:
-        return vectors.where(~(ours & record_filter(condition, vectors)))
+        matched = F.coalesce(record_filter(condition, vectors), F.lit(False))
+        return vectors.where(~(ours & matched))
     return vectors
 
 
