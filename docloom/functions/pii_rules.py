@@ -106,5 +106,6 @@ EXTRACTION_CLASSES = {
     "address": "address",
 }
 
+# How a detection names its origin, and how sure it is.
 REGEX_SOURCE, REGEX_CONFIDENCE = "regex", 0.8
 MODEL_SOURCE, MODEL_CONFIDENCE = "langextract", 0.9

@@ -161,7 +161,8 @@ def expired_uploads(files: DataFrame, ttl_seconds: int, now: Column | None = Non
     return files.where(F.col("modificationTime") < now - ttl)
 
 
-def stats_snapshot(vectors: DataFrame, at: Column | None = None) -> DataFrame:
+def stats_snapshot(vectors: DataFrame, at: Column | None = None,
+                   dimension: int | None = None) -> DataFrame:
     """Index statistics with their time, to be appended to a history table."""
     at = F.current_timestamp() if at is None else at
-    return index_stats(vectors).withColumn("measured_at", at)
+    return index_stats(vectors, dimension).withColumn("measured_at", at)

@@ -114,8 +114,11 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.join(cache.select("text_key"), "text_key", "left_anti")
 
 
-def cache_hits(texts: DataFrame, cache: DataFrame) -> DataFrame:
-    return texts.join(cache.select("text_key"), "text_key", "left_semi")
+def mark_cached(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """Hits and misses in one pass, told apart by the column ``cached``."""
+    known = cache.select("text_key").distinct().withColumn("_known", F.lit(True))
+    joined = texts.join(known, "text_key", "left")
+    return joined.withColumn("cached", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def encode_misses(texts: DataFrame, cache: DataFrame, embedder: Embedder, seq: int,

@@ -145,8 +145,15 @@ def delete_by_document(vectors: DataFrame, document_id: str, namespace: str | No
     return delete(vectors, condition=condition, namespace=namespace, settings=settings)
 
 
-def index_stats(vectors: DataFrame) -> DataFrame:
-    """Vector count and dimension per namespace; the row without a namespace is the total."""
-    return vectors.rollup("namespace").agg(
-        F.count(F.lit(1)).alias("vector_count"), F.max(F.size("values")).alias("dimension")
+def index_stats(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
+    """Vector count and dimension per namespace; the row without a namespace is the total.
+
+    Where the dimension is known no vector is read: the count needs partition columns only.
+    """
+    width = F.max(F.size("values")) if dimension is None else F.lit(dimension)
+    spaces = vectors.groupBy("namespace").agg(
+        F.count(F.lit(1)).alias("vector_count"), width.alias("dimension")
+    )
+    return spaces.rollup("namespace").agg(
+        F.sum("vector_count").alias("vector_count"), F.max("dimension").alias("dimension")
     )

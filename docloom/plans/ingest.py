@@ -89,7 +89,10 @@ class KnowledgeBase:
         return rows.join(until, dead, "left_anti")
 
     def catalog(self) -> DataFrame:
-        return cat.latest(cat.catalog_rows(self._live("prepared"), "batch"))
+        """One row per document, from its last batch; copies inside it are the same document."""
+        rows = cat.catalog_rows(self._live("prepared"), "batch")
+        order = F.struct("batch", "created_at")
+        return cat.latest(rows.withColumn("version", order).drop("batch"), "version")
 
     def chunks(self) -> DataFrame:
         """One row per chunk id; a document ingested again has the same chunks."""
@@ -112,9 +115,13 @@ class KnowledgeBase:
     def ingest(self, documents: DataFrame, batch: int, namespace: str | None = None) -> int:
         """Run one batch of extracted documents. Returns the number of vectors written."""
         shared_folder(self.spark)
-        unique = documents.dropDuplicates(["document_id"])
-        prepared = self._replace_batch(prepare(unique, settings=self.settings), "prepared", batch)
-        chunks = self._replace_batch(chunk_rows(prepared), "chunks", batch).drop("batch")
+        prepared = self._replace_batch(prepare(documents, settings=self.settings), "prepared", batch)
+        # Whole documents are only shuffled where the batch really holds copies.
+        copies = prepared.groupBy("document_id").count().agg(F.max("count").alias("n")).first()
+        source = prepared.select("document_id", "metadata", "chunks")
+        if (copies["n"] or 0) > 1:
+            source = source.dropDuplicates(["document_id"])
+        chunks = self._replace_batch(chunk_rows(source), "chunks", batch).drop("batch")
         embedded = self.cache.embed_texts(chunks, "content", self.embedder, batch, ["chunk_id"])
         return self.vectors.upsert(vector_records(embedded, namespace, self.settings))
 

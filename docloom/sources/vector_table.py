@@ -137,4 +137,4 @@ class VectorTable:
         delete_path(self.spark, path)
 
     def stats(self) -> DataFrame:
-        return ops.index_stats(self.read())
+        return ops.index_stats(self.read(), self.dimension)

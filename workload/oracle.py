@@ -99,11 +99,11 @@ def all_spans(relation: str, key: str, text: str = "text", categories=None) -> s
     return " union all ".join(rule_spans(relation, key, text, i) for i in chosen)
 
 
-def spans(relation: str, key: str, text: str = "text") -> str:
+def spans(relation: str, key: str, text: str = "text", categories=None) -> str:
     return f"""
       select * exclude (n) from (
         select *, row_number() over (partition by {key}, start, "end" order by rank) as n
-        from ({all_spans(relation, key, text)})
+        from ({all_spans(relation, key, text, categories)})
       ) where n = 1"""
 
 
@@ -114,18 +114,31 @@ def found_categories(relation: str, key: str, text: str = "text", categories=Non
       group by {key}"""
 
 
-def redacted(text: str, categories=None) -> str:
-    """Nested replacement; the same as splicing where spans of different rules are apart."""
-    out = text
-    for category, lead, value, tail in RULES:
-        if categories is not None and category not in categories:
-            continue
-        tag = f"[REDACTED_{category.upper()}]"
-        if lead or tail:
-            out = f"regexp_replace({out}, '(?i)({lead}){value}({tail})', '\\1{tag}\\2', 'g')"
-        else:
-            out = f"regexp_replace({out}, '(?i){value}', '{tag}', 'g')"
-    return out
+def redacted(relation: str, key: str, text: str = "text", categories=None) -> str:
+    """``key, redacted``: overlapping spans merged, one tag per merged span."""
+    by_start = f'partition by {key} order by start, "end" desc'
+    return f"""
+      with reached as (
+        select *, max("end") over ({by_start} rows between unbounded preceding and 1 preceding) as reach
+        from ({spans(relation, key, text, categories)})),
+      grouped as (
+        select *, sum(case when reach is null or start >= reach then 1 else 0 end)
+                    over ({by_start} rows unbounded preceding) as g
+        from reached),
+      merged as (
+        select {key}, g, min(start) as start, max("end") as "end",
+               arg_min(category, {{'s': start, 'e': -"end"}}) as category
+        from grouped group by {key}, g),
+      opened as (
+        select *, coalesce(lag("end") over (partition by {key} order by start), 0) as open,
+               row_number() over (partition by {key} order by start desc) as back
+        from merged),
+      pieces as (
+        select {key}, string_agg(
+                 substr(r.{text}, open + 1, start - open) || '[REDACTED_' || upper(category) || ']'
+                 || case when back = 1 then substr(r.{text}, "end" + 1) else '' end, '' order by start) as done
+        from opened join {relation} r using ({key}) group by {key})
+      select {key}, coalesce(done, r.{text}) as redacted from {relation} r left join pieces using ({key})"""
 
 
 def chunk_sql(relation: str, size: int = 1000, overlap: int = 200) -> str:
@@ -315,7 +328,7 @@ STATES = f"""
 NOTES = f"(select c_custkey, {CUSTOMER_NOTE} as text from customer)"
 STREAM_DOCS = f"""
   (select substr(sha256(content || 'd' || document_id || '.txt'), 1, 16) as document_id,
-          'd' || document_id || '.txt' as filename, {redacted('content')} as content
+          'd' || document_id || '.txt' as filename, content
    from {DOCS})"""
 EXTRACTED = """
   (select document_id, lower(x.c) as class, x.t as text from (
@@ -357,36 +370,17 @@ ORACLE = {
     "customer_pii": f"""
       select c_custkey, category, text, start, "end" from ({spans(NOTES, 'c_custkey')})""",
     "customer_redacted": f"""
-      with n as {NOTES},
-      reached as (
-        select *, max("end") over (partition by c_custkey order by start, "end" desc
-                                   rows between unbounded preceding and 1 preceding) as reach
-        from ({spans('n', 'c_custkey')})),
-      grouped as (
-        select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (
-                    partition by c_custkey order by start, "end" desc rows unbounded preceding) as g
-        from reached),
-      merged as (
-        select c_custkey, g, min(start) as start, max("end") as "end",
-               arg_min(category, {{'s': start, 'e': -"end"}}) as category
-        from grouped group by c_custkey, g),
-      s as (select *, coalesce(lag("end") over (partition by c_custkey order by start), 0) as open,
-                   row_number() over (partition by c_custkey order by start desc) as back
-            from merged)
-      select c_custkey,
-             string_agg(substr(n.text, open + 1, start - open) || '[REDACTED_' || upper(category) || ']'
-                        || case when back = 1 then substr(n.text, "end" + 1) else '' end, '' order by start) as redacted,
-             any_value(categories_found) as categories_found
-      from s join n using (c_custkey) join ({found_categories('n', 'c_custkey')}) using (c_custkey)
-      group by c_custkey""",
+      with n as materialized {NOTES}
+      select c_custkey, redacted, categories_found
+      from ({redacted('n', 'c_custkey')}) join ({found_categories('n', 'c_custkey')}) using (c_custkey)""",
     "pii_summary": f"""
       select doc_id, categories_found is not null as has_pii, coalesce(categories_found, '') as categories_found
       from documents left join ({found_categories('documents', 'doc_id')}) using (doc_id)""",
-    "pii_redacted": f"select doc_id, {redacted('text')} as redacted from documents",
+    "pii_redacted": redacted("documents", "doc_id"),
     "pii_request": f"""
+      with c as materialized (select *, conv_id || '/' || turn as k from conversations where len(text) >= 1)
       select conv_id, turn, redacted <> text as has_pii, redacted
-      from (select *, {redacted('text', ('password', 'api_key', 'credit_card'))} as redacted
-            from conversations where len(text) >= 1)""",
+      from ({redacted('c', 'k', 'text', ('password', 'api_key', 'credit_card'))}) join c using (k)""",
     "pii_extractions": f"""
       with model as (
         select document_id, start, start + cast(len(text) as integer) as "end", text,
@@ -555,8 +549,9 @@ ORACLE = {
       group by kind""",
     "catalog": f"""
       with u as materialized (select *, {UPLOAD_ID} as upload_id from {UPLOADS}),
-      good as materialized (select upload_id as document_id, content as original, {redacted('content')} as content
-                            from u where error_message is null),
+      readable as materialized (select upload_id as document_id, content as original from u where error_message is null),
+      good as materialized (select document_id, original, redacted as content
+                            from ({redacted('readable', 'document_id', 'original')}) join readable using (document_id)),
       made as (select document_id, count(*) as n from ({chunk_sql('good')}) group by 1),
       found as ({found_categories('good', 'document_id', 'original')})
       select upload_id as document_id, filename, file_type, cast(strlen(text) as bigint) as file_size,
@@ -596,7 +591,9 @@ ORACLE = {
       from {UPLOADS} where {CREATED} < timestamp '2024-01-01 11:00:00'""",
     "stream_chunks": CHUNKS,
     "stream_index": f"""
-      with src as materialized (select distinct * from {STREAM_DOCS})
+      with raw as materialized (select distinct * from {STREAM_DOCS}),
+      src as materialized (select document_id, filename, redacted as content
+                           from ({redacted('raw', 'document_id', 'content')}) join raw using (document_id))
       select c.chunk_id as id, document_id, 'default' as namespace, src.filename, c.content,
              cast(null as varchar) as missing
       from ({chunk_sql('src')}) c join src using (document_id)""",

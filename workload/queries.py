@@ -299,9 +299,7 @@ def cache_split(spark, folder):
     """Which distinct texts a cache of the good documents would serve."""
     cache = embedding.distinct_texts(_good_texts(spark, folder), "text")
     texts = embedding.distinct_texts(documents(spark, folder), "text")
-    hits = embedding.cache_hits(texts, cache).withColumn("cached", F.lit(True))
-    misses = embedding.cache_misses(texts, cache).withColumn("cached", F.lit(False))
-    return hits.unionByName(misses).select("text_key", "copies", "cached")
+    return embedding.mark_cached(texts, cache).select("text_key", "copies", "cached")
 
 
 def cache_embed(spark, folder):
@@ -526,7 +524,7 @@ def index_stats(spark, folder):
 
 def stats_history(spark, folder):
     at = F.lit("2024-01-01 00:05:00").cast("timestamp")
-    return cat.stats_snapshot(vector_frame(spark, folder), at).select(
+    return cat.stats_snapshot(vector_frame(spark, folder), at, VEC_DIM).select(
         "namespace", "vector_count", stamp(F.col("measured_at")).alias("measured_at")
     )
 
