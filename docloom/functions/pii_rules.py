@@ -36,6 +36,14 @@ class Rule:
     def regex(self) -> str:
         return f"{FLAGS}{self.lead}{self.value}{self.tail}"
 
+    @property
+    def gap_regex(self) -> str:
+        """The text since the previous match, as group 1, and a match.
+
+        Anchored where the last match ended, so the tail of a text is tried once.
+        """
+        return f"(?s){FLAGS}\\G(.*?){self.lead}{self.value}{self.tail}"
+
 
 _SET_TO = rf"{SPACE}*[:=]{SPACE}*['\"]?"
 _SECRET = rf"[^{SPACE_SET}'\"]+"
@@ -89,6 +97,10 @@ RULES = (
     ),
 )
 
+# Any lead, and the value that follows it, at the start of a match.
+LEADS = f"{FLAGS}^(?:" + "|".join(r.lead for r in RULES if r.lead) + ")"
+LED_VALUE = f"{FLAGS}^{_SECRET}"
+
 # Labels an external extractor may use, and their category.
 EXTRACTION_CLASSES = {
     "password": "password",

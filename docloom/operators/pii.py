@@ -6,7 +6,7 @@ narrow stage. Positions count code points from 0; ``end`` is exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,13 +17,13 @@ from docloom.config import DEFAULTS, PII_CATEGORIES, Settings
 from docloom.functions.arrays import let, running
 from docloom.functions.pii_rules import (
     EXTRACTION_CLASSES,
-    FLAGS,
+    LEADS,
+    LED_VALUE,
     MODEL_CONFIDENCE,
     MODEL_SOURCE,
     REGEX_CONFIDENCE,
     REGEX_SOURCE,
     RULES,
-    Rule,
 )
 from docloom.operators.skew import join_to_unique
 
@@ -46,39 +46,43 @@ def _chosen(categories: Sequence[str] | None) -> list[str]:
     return chosen
 
 
-def _pattern(parts: Callable[[Rule], str]) -> Column:
-    """One string per rule, as an array literal looked up by rule number."""
-    return F.lit([parts(r) for r in RULES])
+def _matches(text: Column, number: int) -> Column:
+    return F.struct(
+        F.lit(number).alias("rule"),
+        F.regexp_extract_all(text, F.lit(RULES[number].regex), F.lit(0)).alias("found"),
+    )
 
 
-def _rule_hits(text: Column, number: Column, category_ranks: list[int]) -> Column:
-    """All matches of the rule with this number.
+def _gaps(text: Column, number: Column, chosen: list[int]) -> Column:
+    """Text before each match of the rule. Patterns are constants, so each is compiled
+    once per task and not once per row."""
+    gaps = F.lit(None).cast("array<string>")
+    for i in chosen:
+        found = F.regexp_extract_all(text, F.lit(RULES[i].gap_regex), F.lit(1))
+        gaps = F.when(number == i, found).otherwise(gaps)
+    return gaps
 
-    The text between matches comes from splitting at the same pattern, so a running
-    sum of segment lengths gives each match its offset.
-    """
-    def of(parts: Callable[[Rule], str]) -> Column:
-        return F.get(_pattern(parts), number)
 
-    def extract(value: Column, regex: Column, group: int) -> Column:
-        return F.call_function("regexp_extract", value, regex, F.lit(group))
+def _spans(text: Column, matched: Column, chosen: list[int], ranks: list[int]) -> Column:
+    """Hits of one rule: a running sum over gaps and matches gives the offsets."""
+    number = matched["rule"]
+    led = [i for i, r in enumerate(RULES) if r.lead]
+    narrowed = {i: r.within for i, r in enumerate(RULES) if r.within}
 
-    def spans(parts: Column) -> Column:
+    def with_offsets(parts: Column) -> Column:
         steps = F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["found"]))
         starts = running(steps, F.lit(0), lambda a, b: a + b)
 
         def one(p: Column) -> Column:
             whole, at = p["part"]["found"], p["at"] + F.length(p["part"]["gap"])
-            lead = of(lambda r: f"{FLAGS}^{r.lead}" if r.lead else "")
-            within = of(lambda r: r.within or "")
-            value = of(lambda r: f"{FLAGS}^{r.lead}({r.value})" if r.lead else "")
-            found = (
-                F.when(lead != "", extract(whole, value, 1))
-                .when(within != "", extract(whole, within, 0))
-                .otherwise(whole)
-            )
-            skipped = F.when(lead != "", F.length(extract(whole, lead, 0))).otherwise(0)
-            return F.struct((at + skipped).alias("start"), found.alias("text"))
+            skip = F.when(
+                number.isin(led), F.length(F.regexp_extract(whole, LEADS, 0))
+            ).otherwise(0)
+            rest = F.substring(whole, skip + 1, F.length(whole))
+            found = F.when(number.isin(led), F.regexp_extract(rest, LED_VALUE, 0))
+            for i, within in narrowed.items():
+                found = found.when(number == i, F.regexp_extract(whole, within, 0))
+            return F.struct((at + skip).alias("start"), found.otherwise(whole).alias("text"))
 
         pairs = F.arrays_zip(parts.alias("part"), starts.alias("at"))
         kept = F.filter(F.transform(pairs, one), lambda h: h["text"] != "")
@@ -88,48 +92,41 @@ def _rule_hits(text: Column, number: Column, category_ranks: list[int]) -> Colum
                 h["start"].cast("int").alias("start"),
                 (h["start"] + F.length(h["text"])).cast("int").alias("end"),
                 F.lit(1).alias("source_rank"),
-                F.get(F.lit(category_ranks), number).alias("category_rank"),
+                F.get(F.lit(ranks), number).alias("category_rank"),
                 number.alias("pattern_rank"),
-                of(lambda r: r.category).alias("category"),
+                F.get(F.lit([r.category for r in RULES]), number).alias("category"),
                 h["text"].alias("text"),
                 F.lit(REGEX_CONFIDENCE).alias("confidence"),
                 F.lit(REGEX_SOURCE).alias("source"),
             ),
         )
 
-    regex = of(lambda r: r.regex)
-
-    def zipped(found: Column) -> Column:
-        # split() keeps a trailing piece that belongs to no match.
-        gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(found))
-        return let(F.arrays_zip(gaps.alias("gap"), found.alias("found")), spans)
-
-    return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, zipped(found)).otherwise(
-            F.array().cast(HIT_TYPE)
-        ),
-    )
+    gaps = _gaps(text, number, chosen)
+    return let(F.arrays_zip(gaps.alias("gap"), matched["found"].alias("found")), with_offsets)
 
 
 def _regex_hits(text: Column, chosen: list[str]) -> Column:
     """Hits of all rules of the chosen categories.
 
-    Gates pick the rules worth running on this text; the rules are data, so the plan
-    holds the matching expression once however many patterns there are.
+    Gates pick the rules worth running on this text; offsets are worked out only for
+    rules that matched.
     """
     by_gates: dict[tuple[str, ...], list[int]] = {}
     for number, rule in enumerate(RULES):
         if rule.category in chosen:
             by_gates.setdefault(rule.gates, []).append(number)
-    active = [
-        F.when(reduce(and_, [text.rlike(g) for g in gates]), F.lit(numbers)).otherwise(
-            F.array().cast("array<int>")
-        )
+    matched_type = "array<struct<rule:int,found:array<string>>>"
+    matched = [
+        F.when(
+            reduce(and_, [text.rlike(g) for g in gates]),
+            F.array(*[_matches(text, n) for n in numbers]),
+        ).otherwise(F.array().cast(matched_type))
         for gates, numbers in by_gates.items()
     ]
     ranks = [chosen.index(r.category) if r.category in chosen else -1 for r in RULES]
-    return F.flatten(F.transform(F.concat(*active), lambda n: _rule_hits(text, n, ranks)))
+    wanted = [n for numbers in by_gates.values() for n in numbers]
+    some = F.filter(F.concat(*matched), lambda m: F.size(m["found"]) > 0)
+    return F.flatten(F.transform(some, lambda m: _spans(text, m, wanted, ranks)))
 
 
 def _first_per_position(hits: Column) -> Column:

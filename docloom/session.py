@@ -16,6 +16,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call sites of single column operations are not recorded: building the longer
+    # expressions takes a fraction of the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
