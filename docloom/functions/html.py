@@ -9,6 +9,8 @@ from docloom.functions.arrays import let
 
 # Elements whose content is not text of the page.
 DROPPED = ("script", "style", "nav", "head", "template", "noscript")
+# Of these, the ones that run to the end of the page if never closed.
+OPEN_ENDED = ("script", "style", "template", "noscript")
 # Elements that end a paragraph.
 BLOCKS = (
     "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
@@ -56,9 +58,10 @@ def _numeric_entities(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Drop invisible parts, turn headings into # lines and blocks into paragraphs."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    text = F.regexp_replace(html, r"(?s)<!--(?:.*?-->|.*\z)", "")
     for tag in DROPPED:
-        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
+        end = rf"(?:.*?</{tag}\s*>|.*\z)" if tag in OPEN_ENDED else rf".*?</{tag}\s*>"
+        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>{end}", "")
     text = F.regexp_replace(text, r"\s+", " ")
     for level in range(1, 7):
         text = F.regexp_replace(text, rf"(?i)<h{level}(?:\s[^>]*)?>", "\n\n" + "#" * level + " ")
@@ -71,7 +74,7 @@ def html_to_text(html: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, r" *\n *", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.trim(text, F.lit(" \n"))
+    return F.regexp_replace(text, r"^[ \n]+|[ \n](?<![ \n]{2})[ \n]*+\z", "")
 
 
 def html_title(html: Column) -> Column:

@@ -15,8 +15,8 @@ from docloom.operators.skew import join_to_unique
 
 
 class Embedder(Protocol):
-    """Plug-in encoder. ``load`` runs once per Python worker and returns a function
-    from a list of texts to a float matrix with one row per text."""
+    """Plug-in encoder. ``load`` runs once per task and returns a function from a list
+    of texts to a float matrix with one row per text. Rows need no unit length."""
 
     dimension: int
 
@@ -27,8 +27,8 @@ class HashedTokenEmbedder:
     """Deterministic default encoder: signed token counts in hashed buckets.
 
     Tokens are runs of a-z and 0-9 in the lower-cased text. The first four hex digits
-    of a token's MD5 choose the bucket, the parity of the fifth the sign. Vectors are
-    scaled to unit length. It is a feature hash, not a trained language model.
+    of a token's MD5 choose the bucket, the parity of the fifth the sign. It is a
+    feature hash, not a trained language model.
     """
 
     def __init__(self, dimension: int = DEFAULTS.embedding_dimension):
@@ -55,18 +55,19 @@ class HashedTokenEmbedder:
         def encode(texts: Sequence[str]):
             counts = np.zeros((len(texts), 2 * dimension))
             for row, text in enumerate(texts):
-                codes = [slots.get(t) or slot(t) for t in words.findall(text)]
+                codes = [slots.get(t) or slot(t) for t in words.findall(text.lower())]
                 if codes:
                     counts[row] = np.bincount(codes, minlength=2 * dimension)
-            signed = counts[:, :dimension] - counts[:, dimension:]
-            lengths = np.sqrt((signed * signed).sum(axis=1, keepdims=True))
-            return signed / np.where(lengths == 0, 1, lengths)
+            return counts[:, :dimension] - counts[:, dimension:]
 
         return encode
 
 
 def embed(text: Column, embedder: Embedder, settings: Settings = DEFAULTS) -> Column:
-    """ARRAY<FLOAT> of unit length per text. Narrow: Arrow batches in, lists out."""
+    """ARRAY<FLOAT> of unit length per text; a zero vector stays zero.
+
+    Narrow: Arrow batches in, lists out.
+    """
     step = settings.encode_batch
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -75,17 +76,16 @@ def embed(text: Column, embedder: Embedder, settings: Settings = DEFAULTS) -> Co
         encode = embedder.load()
         for texts in batches:
             values = texts.to_pylist()
-            rows = [
-                np.asarray(encode(values[i : i + step]), dtype=np.float32)
-                for i in range(0, len(values), step)
-            ]
-            flat = np.concatenate(rows).ravel() if rows else np.empty(0, np.float32)
-            width = len(flat) // len(values) if values else 0
-            offsets = np.arange(len(values) + 1, dtype=np.int32) * width
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            rows = np.empty((len(values), embedder.dimension), dtype=np.float32)
+            for i in range(0, len(values), step):
+                part = np.asarray(encode(values[i : i + step]), dtype=np.float64)
+                length = np.sqrt((part * part).sum(axis=1, keepdims=True))
+                rows[i : i + step] = part / np.where(length == 0, 1, length)
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * embedder.dimension
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
     encode_udf = F.arrow_udf(run, "array<float>")
-    return encode_udf(F.coalesce(F.lower(text), F.lit("")))
+    return encode_udf(F.coalesce(text, F.lit("")))
 
 
 def with_embedding(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding",

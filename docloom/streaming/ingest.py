@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
+from docloom.sources.files import admit
 
 
-def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files of an upload folder, with their name."""
+def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000,
+                settings: Settings = DEFAULTS) -> DataFrame:
+    """New admissible files of an upload folder, with their name.
+
+    Size and type are checked in the stream itself, ahead of any handler; the rejects
+    of a folder are listed by ``scan_files``.
+    """
     schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
     stream = (
         spark.readStream.format("binaryFile")
@@ -20,7 +27,11 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return stream.withColumn("filename", tx.base_name(F.col("path")))
+    named = stream.where(F.col("length") <= settings.max_upload_bytes).withColumn(
+        "filename", tx.base_name(F.col("path"))
+    )
+    admitted = admit(named, settings).where(F.col("reject_reason").isNull())
+    return admitted.drop("reject_reason", "file_type")
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1000) -> DataFrame:

@@ -76,6 +76,16 @@ def test_html_to_text(spark):
     assert one(spark, hx.tag_count(F.col("h"), "p"), h=page) == 1
 
 
+def test_unclosed_parts(spark):
+    def text(page):
+        return one(spark, hx.html_to_text(F.col("h")), h=page)
+
+    assert text("<p>a</p><script>x<p>b") == "a" and text("a<!-- b") == "a"
+    assert text("<nav>a<p>b") == "a\n\nb"
+    many = "<p>x</p>" + "<!-- <script>" * 20_000
+    assert text(many) == "x"
+
+
 def test_cosine_and_normalize(spark):
     df = spark.createDataFrame(
         [([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-2.0, 0.0])],

@@ -211,9 +211,11 @@ def html_sql(expr: str) -> str:
     def swap(e: str, pattern: str, by: str) -> str:
         return f"regexp_replace({e}, '{pattern}', {by}, 'g')"
 
-    out = swap(expr, "(?s)<!--.*?-->", "''")
+    out = swap(expr, r"(?s)<!--(?:.*?-->|.*\z)", "''")
     for tag in ("script", "style", "nav", "head", "template", "noscript"):
-        out = swap(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "''")
+        end = rf".*?</{tag}\s*>"
+        end = end if tag in ("nav", "head") else rf"(?:{end}|.*\z)"
+        out = swap(out, rf"(?is)<{tag}(?:\s[^>]*)?>{end}", "''")
     out = swap(out, r"\s+", "' '")
     for level in range(1, 7):
         out = swap(out, rf"(?i)<h{level}(?:\s[^>]*)?>", f"{NL} || {NL} || '{'#' * level} '")

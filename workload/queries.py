@@ -166,6 +166,11 @@ CUSTOMER_NOTE = """concat(
   lpad(cast(c_custkey as string), 15, '1'), ' pwd = ', md5(c_mktsegment), ' end')"""
 
 
+def customer_notes(spark: SparkSession, folder: str) -> DataFrame:
+    customers = spread(table(spark, folder, "customer"))
+    return customers.select("c_custkey", F.expr(CUSTOMER_NOTE).alias("text"))
+
+
 def pii_spans(spark, folder):
     docs = spread(table(spark, folder, "documents"))
     return pii.detections(docs, "doc_id").select(
@@ -174,14 +179,14 @@ def pii_spans(spark, folder):
 
 
 def customer_pii(spark, folder):
-    notes = table(spark, folder, "customer").select("c_custkey", F.expr(CUSTOMER_NOTE).alias("text"))
+    notes = customer_notes(spark, folder)
     return pii.detections(notes, "c_custkey").select(
         "c_custkey", "category", "text", "start", "end"
     )
 
 
 def customer_redacted(spark, folder):
-    notes = table(spark, folder, "customer").select("c_custkey", F.expr(CUSTOMER_NOTE).alias("text"))
+    notes = customer_notes(spark, folder)
     return pii.with_pii(notes).select(
         "c_custkey",
         F.col("pii.redacted_content").alias("redacted"),
