@@ -13,7 +13,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.config import DEFAULTS, PII_CATEGORIES, Settings
+from docloom.config import (
+    DEFAULTS,
+    PII_CATEGORIES,
+    REDACTION_REQUEST_CATEGORIES,
+    Settings,
+)
 from docloom.functions.arrays import let, running
 from docloom.functions.pii_rules import (
     EXTRACTION_CLASSES,
@@ -238,6 +243,7 @@ def pii_report(
     text: Column,
     categories: Sequence[str] | None = None,
     model_hits: Column | None = None,
+    row_categories: Column | None = None,
     redact: bool = True,
     overlap: str = "union",
     include_text: bool = False,
@@ -245,7 +251,8 @@ def pii_report(
 ) -> Column:
     """STRUCT<has_pii, categories_found, detections, redacted_content> for one text.
 
-    ``model_hits`` is an array in ``HIT_TYPE`` layout from an external extractor. The
+    ``model_hits`` is an array in ``HIT_TYPE`` layout from an external extractor.
+    ``row_categories`` narrows the categories per row, null or empty meaning all. The
     matched text is personal data itself, so detections carry it only on request.
     """
     if overlap not in ("union", "splice"):
@@ -280,6 +287,8 @@ def pii_report(
     hits = _regex_hits(text, _chosen(categories))
     if model_hits is not None:
         hits = F.concat(F.coalesce(model_hits, F.array().cast(HIT_TYPE)), hits)
+    if row_categories is not None:
+        hits = _narrowed(hits, row_categories)
     return let(
         hits,
         lambda h: let(
@@ -288,6 +297,26 @@ def pii_report(
     )
 
 
+def _narrowed(hits: Column, allowed: Column) -> Column:
+    """Hits of the row's own categories, ranked in the row's order."""
+    ranked = F.transform(
+        hits,
+        lambda h: h.withField(
+            "category_rank", F.array_position(allowed, h["category"]).cast("int")
+        ),
+    )
+    own = F.filter(ranked, lambda h: h["category_rank"] > 0)
+    return F.when(F.coalesce(F.size(allowed), F.lit(0)) <= 0, hits).otherwise(own)
+
+
+def redaction_request(df: DataFrame, content: str = "content",
+                      categories: Sequence[str] = REDACTION_REQUEST_CATEGORIES,
+                      redact: bool = True, **options) -> DataFrame:
+    """Requests for redaction: three categories unless others are named; with ``redact``
+    off the report only detects."""
+    return with_pii(df, content, categories=categories, redact=redact, **options)
+
+
 def with_pii(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Add the report as column ``pii``."""
     return df.withColumn("pii", pii_report(F.col(text), **options))

@@ -66,6 +66,7 @@ class KnowledgeBase:
     root: str
     embedder: Embedder
     buckets: int = 16
+    nodes: bool = False
     settings: Settings = DEFAULTS
 
     @property
@@ -115,7 +116,9 @@ class KnowledgeBase:
     def ingest(self, documents: DataFrame, batch: int, namespace: str | None = None) -> int:
         """Run one batch of extracted documents. Returns the number of vectors written."""
         shared_folder(self.spark)
-        prepared = self._replace_batch(prepare(documents, settings=self.settings), "prepared", batch)
+        prepared = self._replace_batch(
+            prepare(documents, nodes=self.nodes, settings=self.settings), "prepared", batch
+        )
         # Whole documents are only shuffled where the batch really holds copies.
         copies = prepared.groupBy("document_id").count().agg(F.max("count").alias("n")).first()
         source = prepared.select("document_id", "metadata", "chunks")

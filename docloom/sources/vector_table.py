@@ -44,8 +44,11 @@ class VectorTable:
         return self._stored().drop("bucket")
 
     def _write(self, records: DataFrame) -> None:
+        """One file per partition, sorted by id: ids begin with their document's id, so
+        filters on either skip row groups and pages by their statistics."""
         (
             records.repartition(*PART)
+            .sortWithinPartitions(*PART, "id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PART)

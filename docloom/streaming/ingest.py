@@ -78,9 +78,21 @@ def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def suppress_duplicates(uploads: DataFrame, delay: str, at: str = "created_at") -> DataFrame:
-    """First upload of each document within the delay; state is dropped after it."""
-    return uploads.withWatermark(at, delay).dropDuplicatesWithinWatermark(["document_id"])
+def suppress_duplicates(uploads: DataFrame, delay: str, at: str = "created_at",
+                        salts: int = 16) -> DataFrame:
+    """First upload of each document within the delay; state is dropped after it.
+
+    Done twice: first per document and salt, so that a document uploaded over and over
+    is thinned out on many tasks, then per document.
+    """
+    salt = F.pmod(F.xxhash64(at), F.lit(salts))
+    return (
+        uploads.withWatermark(at, delay)
+        .withColumn("_salt", salt)
+        .dropDuplicatesWithinWatermark(["document_id", "_salt"])
+        .drop("_salt")
+        .dropDuplicatesWithinWatermark(["document_id"])
+    )
 
 
 def live_status_counts(events: DataFrame, period: str = "5 minutes",

@@ -57,7 +57,7 @@ def test_size_limit_is_pushed_into_the_file_source(spark, uploads):
 
 
 def test_knowledge_base_streams_replays_and_deletes(spark, uploads):
-    base = KnowledgeBase(spark, work_path(spark, "kb"), HashedTokenEmbedder(32), 2)
+    base = KnowledgeBase(spark, work_path(spark, "kb"), HashedTokenEmbedder(32), 2, nodes=True)
     written = []
 
     def handle(batch, number):
@@ -72,6 +72,8 @@ def test_knowledge_base_streams_replays_and_deletes(spark, uploads):
     assert len(catalog) == 4 and base.chunks().count() == 2 and base.vectors.read().count() == 2
     a = catalog["a.md"]
     assert a["has_pii"] and a["pii_categories_found"] == ["email"] and a["chunk_count"] == 1
+    assert a["has_tree_index"] and a["tree_node_count"] == 1
+    assert not catalog["c.txt"]["has_tree_index"]
     assert catalog["c.txt"]["status"] == "failed" and catalog["c.txt"]["chunk_count"] == 0
     # No vector or chunk holds the address.
     text = base.chunks().where(F.col("document_id") == a["document_id"]).first()["content"]

@@ -82,6 +82,22 @@ def test_options(spark):
         pii.pii_report(F.col("text"), overlap="other")
 
 
+def test_categories_per_row_and_request(spark):
+    text = "pwd=a1 id 286-55-5136 mail x@y.org"
+    df = spark.createDataFrame(
+        [(0, text, ["email"]), (1, text, []), (2, text, None), (3, text, ["ssn", "password"])],
+        "i INT, text STRING, wanted ARRAY<STRING>",
+    )
+    rows = pii.with_pii(df, row_categories=F.col("wanted")).orderBy("i").collect()
+    assert [r["pii"]["categories_found"] for r in rows] == [
+        ["email"], ["email", "password", "ssn"], ["email", "password", "ssn"], ["password", "ssn"]
+    ]
+    assert [d["category"] for d in rows[3]["pii"]["detections"]] == ["ssn", "password"]
+    asked = pii.redaction_request(df, "text").first()["pii"]
+    assert asked["redacted_content"] == "pwd=[REDACTED_PASSWORD] id 286-55-5136 mail x@y.org"
+    assert pii.redaction_request(df, "text", redact=False).first()["pii"]["redacted_content"] is None
+
+
 WORDS = (
     "12 7 99999 100000 Main Elm Street St Ave Ct. road, pass pwd: password= 'x \"y api_key: "
     "secret-key= access_token: sk- pk- AIza k3yk3yk3yk3yk3yk3yk3 4111111111111111 378282246310005 "

@@ -208,11 +208,9 @@ def pii_redacted(spark, folder):
 
 def pii_request(spark, folder):
     """The redaction request with its three default categories, over conversations."""
-    from docloom.config import REDACTION_REQUEST_CATEGORIES
-
     turns = table(spark, folder, "conversations").withColumnRenamed("text", "content")
     checked = val.validate_redaction(turns).where("valid")
-    return pii.with_pii(checked, "content", categories=REDACTION_REQUEST_CATEGORIES).select(
+    return pii.redaction_request(checked).select(
         "conv_id", "turn", "pii.has_pii", F.col("pii.redacted_content").alias("redacted")
     )
 
