@@ -126,7 +126,8 @@ class KnowledgeBase:
             source = source.dropDuplicates(["document_id"])
         chunks = self._replace_batch(chunk_rows(source), "chunks", batch).drop("batch")
         embedded = self.cache.embed_texts(chunks, "content", self.embedder, batch, ["chunk_id"])
-        return self.vectors.upsert(vector_records(embedded, namespace, self.settings))
+        records = vector_records(embedded, namespace, self.settings)
+        return self.vectors.upsert(records, unique=True)
 
     def delete_documents(self, ids: DataFrame, batch: int, namespace: str | None = None) -> DataFrame:
         """Delete documents from catalog, chunks and vectors; report per requested id.

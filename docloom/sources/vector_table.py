@@ -46,8 +46,10 @@ class VectorTable:
     def _write(self, records: DataFrame) -> None:
         """One file per partition, sorted by id: ids begin with their document's id, so
         filters on either skip row groups and pages by their statistics."""
+        # One task per bucket; hashing the pair instead would give some tasks several.
+        slot = F.pmod(F.xxhash64("namespace") + F.col("bucket"), F.lit(self.buckets)).cast("int")
         (
-            records.repartition(*PART)
+            records.repartitionById(self.buckets, slot)
             .sortWithinPartitions(*PART, "id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -55,17 +57,23 @@ class VectorTable:
             .parquet(self.path)
         )
 
-    def upsert(self, incoming: DataFrame, namespace: str | None = None) -> int:
+    def upsert(self, incoming: DataFrame, namespace: str | None = None,
+               unique: bool = False) -> int:
         """Insert or replace by (namespace, id). Returns the number of records taken.
 
         Incoming records are first written to the shared folder: they are used several
-        times, and the passes that need only keys read only keys.
+        times, and the passes that need only keys read only keys. A first load whose
+        ids are known to be ``unique`` needs no such pass and is written once.
         """
         records = ops.normalize_records(incoming, namespace, self.settings)
         good, _ = ops.contract(records, self.dimension)
+        good = good.withColumn("bucket", self._bucket())
+        if unique and not path_exists(self.spark, self.path):
+            self._write(good.drop("ordinal"))
+            return self._stored().count()
         stage = work_path(self.spark, "upsert")
-        good.withColumn("bucket", self._bucket()).write.parquet(stage)
-        staged = self.spark.read.schema(good.withColumn("bucket", self._bucket()).schema).parquet(stage)
+        good.write.parquet(stage)
+        staged = self.spark.read.schema(good.schema).parquet(stage)
         keys = staged.groupBy(*PART, "id").agg(F.count(F.lit(1)).alias("n"))
         total = keys.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
         if total["rows"]:

@@ -458,7 +458,7 @@ def approximate_recall(spark, folder):
 
 def _stored_vectors(spark: SparkSession, folder: str) -> VectorTable:
     store = VectorTable(spark, work_path(spark, "vectors"), VEC_DIM, buckets=4)
-    store.upsert(vector_frame(spark, folder).drop("label"))
+    store.upsert(vector_frame(spark, folder).drop("label"), unique=True)
     return store
 
 
@@ -552,7 +552,7 @@ def text_index(spark: SparkSession, folder: str) -> VectorTable:
     made = chunking.chunk_documents(documents(spark, folder))
     ready = embedding.with_embedding(made, "content", EMBEDDER)
     store = VectorTable(spark, work_path(spark, "index"), TEXT_DIM, buckets=8)
-    store.upsert(vec.vector_records(ready))
+    store.upsert(vec.vector_records(ready), unique=True)
     return store
 
 
