@@ -19,6 +19,8 @@ from docloom.schemas import VECTORS
 from docloom.session import delete_path, path_exists, shared_folder, work_path
 
 PART = ["namespace", "bucket"]
+# Longest list of partition names that is broadcast.
+BROADCAST_PARTITIONS = 100_000
 
 
 class VectorTable:
@@ -92,7 +94,11 @@ class VectorTable:
         if stored.isEmpty():
             return stored
         keys = staged.select(*PART, "id").distinct()
-        same_partitions = stored.join(keys.select(*PART).distinct(), PART, "left_semi")
+        touched = keys.select(*PART).distinct()
+        # Sent to every task, the list prunes the stored partitions before they are read.
+        if touched.count() <= BROADCAST_PARTITIONS:
+            touched = F.broadcast(touched)
+        same_partitions = stored.join(touched, PART, "left_semi")
         return same_partitions.join(keys, [*PART, "id"], "left_anti")
 
     def fetch(self, ids: DataFrame, namespace: str | None = None) -> DataFrame:
@@ -127,7 +133,8 @@ class VectorTable:
             return True
         gone = gone.select("namespace", "bucket", "id").checkpoint()
         touched = gone.select("bucket").distinct()
-        scope = ops.in_namespace(stored, space).join(touched, "bucket", "left_semi")
+        # At most one row per bucket.
+        scope = ops.in_namespace(stored, space).join(F.broadcast(touched), "bucket", "left_semi")
         left = scope.join(gone.select("bucket", "id"), ["bucket", "id"], "left_anti")
         # A bucket with nothing left is not rewritten and must be removed. The list is
         # bounded by the number of buckets.

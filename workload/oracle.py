@@ -230,7 +230,7 @@ def html_sql(expr: str) -> str:
 
 
 MEANS = """
-  select label as query_id, pos, round(avg(x::double), 6) as x
+  select label::bigint as query_id, pos, round(avg(x::double), 6) as x
   from (select label, unnest(range(1, len(embedding) + 1)) as pos, unnest(embedding) as x from embeddings)
   group by label, pos"""
 MEAN_VECTORS = f"select query_id, list(x order by pos) as qv from ({MEANS}) group by query_id"
