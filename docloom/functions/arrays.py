@@ -19,6 +19,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def cut_blocks(values: Column) -> Column:
+    """The array as an array of consecutive blocks."""
+    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    )
+
+
+def fold_closing(
+    values: Column, opened: Column, closed_type: str, add: Callable[[Column, Column], Column]
+) -> Column:
+    """STRUCT<open, closed> of a fold that now and then closes an item.
+
+    ``add`` maps STRUCT<open, closed> and a value to the next one. Spark copies the
+    state at every step, all closed items included, so they are gathered per block.
+    """
+
+    def over(blocks: Column) -> Column:
+        def step(acc: Column, block: Column) -> Column:
+            start = F.struct(
+                acc["open"].alias("open"),
+                F.array().cast(f"array<{closed_type}>").alias("closed"),
+            )
+            return let(
+                F.aggregate(block, start, add),
+                lambda r: F.struct(
+                    r["open"].alias("open"),
+                    F.array_append(acc["done"], r["closed"]).alias("done"),
+                ),
+            )
+
+        begin = F.struct(
+            opened.alias("open"), F.array().cast(f"array<array<{closed_type}>>").alias("done")
+        )
+        return F.aggregate(
+            blocks,
+            begin,
+            step,
+            lambda acc: F.struct(
+                acc["open"].alias("open"), F.flatten(acc["done"]).alias("closed")
+            ),
+        )
+
+    return let(let(values, cut_blocks), over)
+
+
 def running(values: Column, start: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Exclusive running fold: element i combines ``start`` and elements before i.
 
@@ -40,11 +86,4 @@ def running(values: Column, start: Column, combine: Callable[[Column, Column], C
         pairs = F.arrays_zip(blocks.alias("items"), scan(totals, start).alias("first"))
         return F.flatten(F.transform(pairs, lambda p: scan(p["items"], p["first"])))
 
-    def over_values(vals: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(vals) / BLOCK).cast("int") - 1, F.lit(0))
-        blocks = F.transform(
-            F.sequence(F.lit(0), last), lambda b: F.slice(vals, b * BLOCK + 1, F.lit(BLOCK))
-        )
-        return let(blocks, over_blocks)
-
-    return let(values, over_values)
+    return let(let(values, cut_blocks), over_blocks)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
+from docloom.functions.arrays import fold_closing, let
 
 
 def chunk_texts(content: Column, size: int | None = None, overlap: int | None = None,
@@ -23,8 +24,6 @@ def chunk_texts(content: Column, size: int | None = None, overlap: int | None =
     paragraphs = F.filter(
         F.transform(F.split(tx.strip(content), gap, -1), tx.strip), lambda p: p != ""
     )
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("closed"))
-
     # The open chunk is kept without its last gap: its parts are stripped, so it needs
     # no stripping again. The gap still counts, for the size and for the overlap.
     def add(acc: Column, para: Column) -> Column:
@@ -45,7 +44,7 @@ def chunk_texts(content: Column, size: int | None = None, overlap: int | None =
         last = F.array_append(acc["closed"], acc["open"])
         return F.when(acc["open"] != "", last).otherwise(acc["closed"])
 
-    return F.aggregate(paragraphs, start, add, finish)
+    return let(fold_closing(paragraphs, F.lit(""), "string", add), finish)
 
 
 def chunk_documents(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
-from docloom.functions.arrays import let, running
+from docloom.functions.arrays import fold_closing, let, running
 
 NODE = "struct<first:int,last:int,title:string,start_page:int,end_page:int,token_count:int>"
 HEADING = r"(?s)^#{1,6}[ \t]+(\S.*)\z"
@@ -55,9 +55,7 @@ def section_nodes(content: Column, settings: Settings = DEFAULTS) -> Column:
 
     def fold(paras: Column) -> Column:
         numbered = F.transform(paras, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        start = F.struct(
-            F.lit(None).cast(NODE).alias("open"), F.array().cast(f"array<{NODE}>").alias("closed")
-        )
+        nothing = F.lit(None).cast(NODE)
 
         def add(acc: Column, item: Column) -> Column:
             node, p, i = acc["open"], item["p"], item["i"]
@@ -102,7 +100,8 @@ def section_nodes(content: Column, settings: Settings = DEFAULTS) -> Column:
                 ),
             )
 
-        return let(F.aggregate(numbered, start, add, finish), with_text)
+        closed = let(fold_closing(numbered, nothing, NODE, add), finish)
+        return let(closed, with_text)
 
     return let(_paragraphs(content), fold)
 

@@ -83,3 +83,16 @@ def test_section_nodes(spark):
     assert rows[1]["content"] == "# First\n\none two three"
     whole = sections.document_nodes(df).collect()
     assert [r["title"] for r in whole] == [None, "First", "Second"]
+
+
+def test_folds_across_blocks(spark):
+    """More paragraphs than one fold block holds."""
+    rng = random.Random(4)
+    text = "\n\n".join("w" * rng.randint(1, 9) + f" {i}" for i in range(1500))
+    df = spark.createDataFrame([("d", text)], "document_id STRING, content STRING")
+    got = df.select(chunking.chunk_texts(F.col("content"), 60, 20).alias("c")).first()["c"]
+    assert got == packed(text, 60, 20) and len(got) > 256
+    small = Settings(node_max_tokens=7)
+    rows = sections.document_nodes(df, settings=small).orderBy("node_index").collect()
+    assert [r["token_count"] for r in rows] == [6] * 500
+    assert "\n\n".join(r["content"] for r in rows) == text
