@@ -5,8 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check import TABLES, rows_of
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from workload.oracle import ORACLE as SQL
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
