@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import quality
+from docloom.llm import language, quality
 from docloom.llm.base import id_remainder, table
 
 
+def op3_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by output codes; a fifth of the ids is held out."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(id_remainder(5) != 0).select("text", "lang"))
+    held_out = (id_remainder(5) == 0).alias("held_out")
+    found = language.identify(docs.select("doc_id", held_out, "text"), model)
+    return found.drop("text")
+
+
 def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by the rule ensemble; a third of the ids is held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -22,6 +31,7 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_output_code_language": op3_output_code_language,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
 }
 SQL: dict[str, str] = {}
