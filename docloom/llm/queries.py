@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, quality
+from docloom.llm import language, pieces, quality
 from docloom.llm.base import id_remainder, table
 
 
@@ -18,6 +19,20 @@ def op3_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text")
 
 
+def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to pieces with byte spans and decoded again; digests of both."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    tiled = F.coalesce(F.element_at("ends", -1), F.lit(0)) == F.coalesce(F.octet_length("text"), F.lit(0))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        tiled.alias("spans_reach_end"),
+    )
+
+
 def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by the rule ensemble; a third of the ids is held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -32,6 +47,7 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_output_code_language": op3_output_code_language,
+    "op6_piece_offsets": op6_piece_offsets,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
 }
 SQL: dict[str, str] = {}
