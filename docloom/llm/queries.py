@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, pieces, quality
+from docloom.llm import language, pieces, quality, token_files
 from docloom.llm.base import id_remainder, table
+from docloom.session import work_path
 
 
 def op3_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +20,14 @@ def op3_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text")
 
 
+def op4_rans_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written and read back; 2 ends a document."""
+    path = work_path(spark, "token-files")
+    docs = table(spark, folder, "documents")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_files.read(spark, path, with_ids=False)
+
+
 def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded to pieces with byte spans and decoded again; digests of both."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -47,6 +56,7 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_output_code_language": op3_output_code_language,
+    "op4_rans_token_files": op4_rans_token_files,
     "op6_piece_offsets": op6_piece_offsets,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
 }
