@@ -126,7 +126,8 @@ def fit(
         .where(id_remainder(modulus) != held_out)
         .select("doc_id", F.col("quality").cast("double").alias("_label"))
     )
-    rows = with_statistics(docs.select("doc_id", "text").join(marked, "doc_id"))
+    # Only statistics are joined: texts never enter a shuffle.
+    rows = with_statistics(docs.select("doc_id", "text")).drop("text").join(marked, "doc_id")
     learned = stored(rows.select("_label", "_stats"), "quality-statistics")
     counts = {r["_label"]: r["count"] for r in learned.groupBy("_label").count().collect()}
     yes, total = counts.get(1.0, 0), sum(counts.values())
