@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, pieces, quality, token_files
+from docloom.llm import language, pieces, quality, token_files, url_query
 from docloom.llm.base import id_remainder, table
 from docloom.session import work_path
 
@@ -59,5 +59,6 @@ QUERIES = {
     "op4_rans_token_files": op4_rans_token_files,
     "op6_piece_offsets": op6_piece_offsets,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
+    "op10_temporal_url_lists": url_query.op10_temporal_url_lists,
 }
-SQL: dict[str, str] = {}
+SQL = {"op10_temporal_url_lists": url_query.SQL}
