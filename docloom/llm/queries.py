@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, pieces, quality, token_files, url_query
+from docloom.llm import language, near_copies, pieces, quality, token_files, url_query
 from docloom.llm.base import id_remainder, table
 from docloom.session import work_path
 
@@ -28,6 +28,11 @@ def op4_rans_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op5_setsketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents at a Jaccard similarity of 0.85."""
+    return near_copies.near_copies(table(spark, folder, "documents"), percent=85)
+
+
 def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded to pieces with byte spans and decoded again; digests of both."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -57,6 +62,7 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_output_code_language": op3_output_code_language,
     "op4_rans_token_files": op4_rans_token_files,
+    "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_piece_offsets": op6_piece_offsets,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
     "op10_temporal_url_lists": url_query.op10_temporal_url_lists,
