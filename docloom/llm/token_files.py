@@ -21,6 +21,7 @@ Null ids come first; equal ids stay side by side in no defined order.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -50,12 +51,16 @@ _SEGMENTS = (
 # --- tokenising -------------------------------------------------------------------------
 
 
-class WordTokenizer:
+# The pattern of the tokenizers' own pre-tokeniser, for text of ASCII characters only.
+_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+
+
+class WordTokenizer(dict):
     """Ids of whole texts from a tokenizer that drops blanks and lowers case.
 
-    A run of Latin letters skips the library's normaliser and pattern, which leave it one
-    lower-case word: it goes straight to the library's merge model. Everything else is
-    encoded by the whole library.
+    The dictionary maps units of text to packed ids. ASCII units and runs of Latin letters
+    skip the library's normaliser and pattern, which would leave them lower-case words:
+    these go straight to the library's merge model. All else is encoded by the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,61 +68,46 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
         # Printable bytes stand for themselves, the others are numbered from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _encoded(self, units: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, np.uint32).tobytes()
-            for e in self.library.encode_batch_fast(units, add_special_tokens=False)
-        ]
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def word(self, word: str) -> bytes:
+        found = self.known_words.get(word)
         if found is None:
-            small = word.lower()
-            shown = small if small.isascii() else "".join(map(self.letters.get, small.encode()))
+            shown = word if word.isalpha() and word.isascii() else "".join(map(self.letters.get, word.encode()))
             ids = [t.id for t in self.merges.tokenize(shown)]
-            found = self.words[word] = np.array(ids, np.uint32).tobytes()
+            found = self.known_words[word] = np.array(ids, np.uint32).tobytes()
         return found
 
     @staticmethod
-    def _latin(word: str) -> bool:
-        if word.isascii():
-            return word.isalpha()
+    def latin(word: str) -> bool:
         plain = word.isalpha() and max(word) < "ƀ" and "İ" not in word
         return plain and unicodedata.is_normalized("NFC", word)
 
-    def _learn(self, units: set[str]) -> None:
-        """Fill the cache for units it lacks."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-            self.words.clear()
-        other = []
-        for unit in units.difference(self.cache):
-            core = unit.rstrip(".,")
-            if core and self._latin(core):
-                tail = unit[len(core) :]
-                end = self.cache.get(tail)
-                if end is None and tail:
-                    end = self.cache[tail] = self._encoded([tail])[0]
-                self.cache[unit] = self._word(core) + (end or b"")
-            else:
-                other.append(unit)
-        for unit, ids in zip(other, self._encoded(other)):
-            self.cache[unit] = ids
+    def __missing__(self, unit: str) -> bytes:
+        core = unit.rstrip(".,")
+        if unit.isascii() and "<|" not in unit:
+            found = b"".join(map(self.word, _ASCII_WORDS.findall(unit.lower())))
+        elif core and self.latin(core):
+            tail = unit[len(core) :]
+            found = self.word(core.lower()) + (self.word(tail) if tail else b"")
+        else:
+            ids = self.library.encode(unit, add_special_tokens=False).ids
+            found = np.array(ids, np.uint32).tobytes()
+        self[unit] = found
+        return found
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if len(self) > CACHE_UNITS:
+            self.clear()
+            self.known_words.clear()
         if text.isascii() and "<|" not in text:
             text = text.lower()
-        units = text.replace("\n", " ").split(" ")
-        self._learn(set(units))
-        return b"".join(map(self.cache.__getitem__, units))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
