@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, near_copies, pieces, quality, token_files, url_query
+from docloom.llm import (
+    decontamination,
+    language,
+    near_copies,
+    pieces,
+    quality,
+    token_files,
+    url_query,
+)
 from docloom.llm.base import id_remainder, table
 from docloom.session import work_path
 
@@ -47,6 +55,11 @@ def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document, with edits and original byte span."""
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by the rule ensemble; a third of the ids is held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -64,6 +77,7 @@ QUERIES = {
     "op4_rans_token_files": op4_rans_token_files,
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_piece_offsets": op6_piece_offsets,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
     "op10_temporal_url_lists": url_query.op10_temporal_url_lists,
 }
