@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(now.select("b", "b").distinct())
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join of wide rows with a list of distinct ids.
 
     A list of up to ``BROADCAST_IDS`` goes to every task, so that the wide rows stay where

@@ -12,6 +12,7 @@ from docloom.llm import (
     near_copies,
     pieces,
     quality,
+    repeats,
     token_files,
     url_query,
 )
@@ -72,6 +73,18 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document covered by a 400-byte string that starts elsewhere too."""
+    found = repeats.removed(table(spark, folder, "documents"), length=400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op3_output_code_language": op3_output_code_language,
     "op4_rans_token_files": op4_rans_token_files,
@@ -79,6 +92,7 @@ QUERIES = {
     "op6_piece_offsets": op6_piece_offsets,
     "op7_qgram_decontamination": op7_qgram_decontamination,
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
+    "op9_lyndon_suffix_dedup": op9_lyndon_suffix_dedup,
     "op10_temporal_url_lists": url_query.op10_temporal_url_lists,
 }
 SQL = {"op10_temporal_url_lists": url_query.SQL}
