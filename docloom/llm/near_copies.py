@@ -96,7 +96,7 @@ def shingle_table(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
     return docs.select("id", "text").mapInArrow(task, "id long, shingles binary")
 
 
-def in_block_pairs(members: DataFrame, sizes: DataFrame, by: str, block: int) -> DataFrame:
+def in_block_pairs(members: DataFrame, sizes: DataFrame, by: str | list[str], block: int) -> DataFrame:
     """Every member once for each pair of blocks it belongs to: (by, i, j, own, ...).
 
     Members of a group fall into blocks by a hash of their id; groups (i, j), i <= j, hold

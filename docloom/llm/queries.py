@@ -10,6 +10,7 @@ from docloom.llm import (
     decontamination,
     language,
     near_copies,
+    near_vectors,
     pieces,
     quality,
     repeats,
@@ -20,6 +21,11 @@ from docloom.llm.base import id_remainder, table
 from docloom.session import work_path
 
 
+def op2_cross_polytope_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of one label at a cosine of 0.93."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
 def op3_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document by output codes; a fifth of the ids is held out."""
     docs = table(spark, folder, "documents")
@@ -86,6 +92,7 @@ def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_cross_polytope_dedup": op2_cross_polytope_dedup,
     "op3_output_code_language": op3_output_code_language,
     "op4_rans_token_files": op4_rans_token_files,
     "op5_setsketch_dedup": op5_setsketch_dedup,
