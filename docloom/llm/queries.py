@@ -14,6 +14,7 @@ from docloom.llm import (
     pieces,
     quality,
     repeats,
+    suffix_tree_lm,
     token_files,
     url_query,
 )
@@ -21,6 +22,12 @@ from docloom.llm.base import id_remainder, table
 from docloom.session import work_path
 
 
+def op1_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text; a tenth of the ids is held out from learning."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_tree_lm.score(docs.withColumn("held_out", id_remainder(10) == 0), "held_out")
+
+
 def op2_cross_polytope_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors of one label at a cosine of 0.93."""
     return near_vectors.near_vectors(table(spark, folder, "embeddings"), least=0.93)
@@ -92,6 +99,7 @@ def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_cross_polytope_dedup": op2_cross_polytope_dedup,
     "op3_output_code_language": op3_output_code_language,
     "op4_rans_token_files": op4_rans_token_files,
