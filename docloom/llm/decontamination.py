@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, lowered, pieces, stored
+from docloom.llm.base import as_bytes, pieces, stored
 from docloom.llm.components import only
 
 Q = 8
@@ -38,32 +38,41 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = 32
 for _c in (*range(48, 58), *range(97, 123)):
     _PLAIN[_c] = _c
+_PLAIN[65:91] = _PLAIN[97:123]
+# Small texts at a time keep the arrays in the processor's cache.
+SCAN_BYTES = 1 << 17
 
 
 def plain_form(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Plain bytes of all rows, their offsets, and each byte's place in ``data``.
+    """Plain bytes of all rows, their offsets, and which bytes of ``data`` they are.
 
     Capital letters of ASCII and of the first Latin supplement become small.
     """
-    small = _PLAIN[lowered(data)]
-    lead = np.zeros(len(data), bool)
-    lead[1:] = data[:-1] == 0xC3
-    small[lead & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
+    small = _PLAIN[data]
+    lead = data[:-1] == 0xC3
+    after = data[1:]
+    lead &= (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
+    small[1:] += lead.view(np.uint8) * np.uint8(0x20)
     blank = small == 32
-    again = np.zeros(len(data), bool)
-    again[1:] = blank[1:] & blank[:-1]
-    again[bounds[:-1][bounds[:-1] < len(data)]] = False
-    at = np.flatnonzero(~again)
-    return small[at], np.searchsorted(at, bounds), at
+    keep = np.ones(len(data), bool)
+    np.logical_and(blank[1:], blank[:-1], out=keep[1:])
+    np.logical_not(keep[1:], out=keep[1:])
+    keep[bounds[:-1][bounds[:-1] < len(data)]] = True
+    places = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(keep, out=places[1:], dtype=np.int32)
+    return small[keep], places[bounds].astype(np.int64), keep
 
 
 def codes(plain: np.ndarray) -> np.ndarray:
     """Every run of eight bytes as one number."""
     if len(plain) < Q:
         return np.empty(0, np.uint64)
-    two = plain[:-1].astype(np.uint64) | plain[1:].astype(np.uint64) << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    return four[:-4] | four[4:] << np.uint64(32)
+    out = np.empty(len(plain) - Q + 1, np.uint64)
+    raw = plain.tobytes()
+    for shift in range(min(Q, len(out))):
+        every = np.frombuffer(raw, "<u8", (len(raw) - shift) // Q, shift)
+        out[shift::Q] = every[: len(out[shift::Q])]
+    return out
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
@@ -114,16 +123,23 @@ class ItemIndex:
         diagonal = at - edges[row] - self.place[entry] + self.sizes[item]
         band = diagonal // self.step[item]
         lower = (diagonal - band * self.step[item] < self.budget[item]) & (band > 0)
-        keys = np.concatenate(
-            [np.stack([row, item, band]), np.stack([row[lower], item[lower], band[lower] - 1])], axis=1
+        place = self.place[entry]
+        row, item, band, at, place = (
+            np.concatenate([both, both[lower] - less])
+            for both, less in ((row, 0), (item, 0), (band, 1), (at, 0), (place, 0))
         )
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if keys.shape[1] else np.empty(0, bool)
-        starts = np.flatnonzero(new)
-        count = np.diff(np.concatenate([starts, [keys.shape[1]]]))
-        keys = keys[:, starts]
-        return keys[:, count >= self.least[keys[1]]].T
+        # Row and item are small next to 2^63; so is a band, which is below a text's length.
+        key = (row * len(self.items) + item) * (int(band.max(initial=0)) + 1) + band
+        _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        enough = count >= self.least[item[first]]
+        # A q-gram of the item, or of the text, counts once however often it recurs.
+        for positions in (place, at):
+            some = np.flatnonzero(enough[group])
+            pairs = np.unique(group[some] * (int(positions.max(initial=0)) + 1) + positions[some])
+            own = np.bincount(pairs // (int(positions.max(initial=0)) + 1), minlength=len(first))
+            enough &= own >= self.least[item[first]]
+        first = first[enough]
+        return np.stack([row[first], item[first], band[first]], axis=1)
 
     def matches(self, plain: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, start, end) of the best passage of each (row, item)."""
@@ -198,10 +214,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
             for batch in batches:
                 data, bounds = as_bytes(batch.column("text"))
                 ids, out = batch.column("doc_id"), []
-                for first, last in pieces(bounds):
+                for first, last in pieces(bounds, SCAN_BYTES):
                     cut = bounds[first : last + 1]
-                    plain, edges, at = plain_form(data[cut[0] : cut[-1]], cut - cut[0])
-                    for row, item, edits, start, end in index.matches(plain, edges):
+                    plain, edges, keep = plain_form(data[cut[0] : cut[-1]], cut - cut[0])
+                    hits = index.matches(plain, edges)
+                    at = np.flatnonzero(keep) if hits else None
+                    for row, item, edits, start, end in hits:
                         base = cut[row] - cut[0]
                         out.append(
                             (
