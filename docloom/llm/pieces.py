@@ -127,8 +127,10 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE_UNITS:
             cache.clear()
+        # A lone blank at the end of a text is left without characters to encode.
         for unit in set(units).difference(cache):
-            cache[unit] = np.array(self.library.encode(unit), np.int32).tobytes()
+            ids = self.library.encode(unit) if unit else [self.library.piece_to_id(MARK)]
+            cache[unit] = np.array(ids, np.int32).tobytes()
         return np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,16 +140,15 @@ class Encoder:
             ends = np.cumsum(self.lengths[ids]) - (1 if self.prefix else 0)
             if len(ids) == 0 or ends[-1] == len(raw):
                 return np.concatenate([[0], ends[:-1]])[: len(ids)], ends
-        return self._aligned(text, raw)
+        return self._aligned(ids, raw)
 
-    def _aligned(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _aligned(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Spans by walking the pieces' surfaces over the normalised text and its origins."""
         normal, origin = self.map.normalise(raw)
-        proto = self.library.encode(text, out_type="immutable_proto")
         at, starts, ends = 0, [], []
-        for piece in proto.pieces:
-            blanks = piece.piece.replace(MARK, " ").encode()
-            if self.library.is_byte(piece.id):
+        for piece in ids.tolist():
+            blanks = self.library.id_to_piece(piece).replace(MARK, " ").encode()
+            if self.library.is_byte(piece):
                 blanks = normal[at : at + 1]
             elif at == 0 and self.prefix and blanks[:1] == b" " and not normal.startswith(blanks):
                 blanks = blanks[1:]
