@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.base import as_bytes, lowered, mixed, pieces, span_hashes, stored, words
+from docloom.session import work_path
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 2_000_000
 LEAST = 16
 GAIN = 4.0
@@ -75,7 +76,7 @@ def pack(docs: DataFrame, held_out: str) -> DataFrame:
                 row = {
                     "chunk": number, "doc_ids": batch.column("doc_id").slice(first, last - first).to_pylist(),
                     "held": held[first:last].tolist(), "sizes": sizes.tolist(), "words": known.tobytes(),
-                    "codes": press.compress(codes.astype("<i4").tobytes()),
+                    "codes": press.compress(_planes(codes)),
                     "n_train": int(sizes[~held[first:last]].sum()),
                 }
                 number += 1
@@ -93,6 +94,11 @@ _ARROW = pa.schema(
 )
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """The codes' lower bytes end to end, then the next ones: they pack better apart."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 class Answers:
     """Sorted keys and their numbers; a key that is not there has 0."""
 
@@ -111,23 +117,19 @@ class Answers:
 class Chunk:
     """One chunk's tokens with what is known of them: counts are 0 where not asked for."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame) -> None:
-        self.row = row
+    def __init__(self, row: pd.Series, answers: pd.DataFrame, buckets: int) -> None:
+        self.row, self.buckets = row, buckets
         sizes = np.asarray(row["sizes"], np.int64)
         self.sizes, self.known_words = sizes, np.frombuffer(row["words"], np.uint64)
         raw = zstandard.ZstdDecompressor().decompress(row["codes"], max_output_size=max(4 * int(sizes.sum()), 1))
-        self.codes = np.frombuffer(raw, "<i4")
+        self.codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
         self.tokens = self.known_words[self.codes]
         self.train = np.repeat(~np.asarray(row["held"], bool), sizes)
         place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.second, self.third = place >= 1, place >= 2
-        by = {order: group for order, group in answers.groupby("about")}
-        self.answers = {
-            o: Answers(by[o]["keys"].tolist(), by[o]["numbers"].tolist()) if o in by else Answers([], [])
-            for o in (1, 2, 3)
-        }
+        self.said = {order: group.sort_values("bucket") for order, group in answers.groupby("about")}
         # Numbers are negative at the one chunk that speaks for a key.
-        counts = np.abs(self.answers[1].of(self.known_words))
+        counts = np.abs(self._heard(1, self.known_words))
         self.count = counts[self.codes]
         self.before = np.zeros(len(self.tokens), np.int64)
         self.before[1:] = self.count[:-1]
@@ -136,7 +138,8 @@ class Chunk:
         self.pair[1:] = mixed(self.tokens[:-1] * _PAIR[0] + self.tokens[1:] * _PAIR[1])
         self.asks_pair = self.second & (self.before >= LEAST) & (self.count >= 2)
         self.pair_count = np.zeros(len(self.tokens), np.int64)
-        self.pair_count[self.asks_pair] = self.answers[2].of(self.pair[self.asks_pair])
+        self.pair_keys, codes = np.unique(self.pair[self.asks_pair], return_inverse=True)
+        self.pair_count[self.asks_pair] = self._heard(2, self.pair_keys)[codes]
         self.pair_owned, self.pair_count = self.pair_count < 0, np.abs(self.pair_count)
         self.context = np.zeros(len(self.tokens), np.uint64)
         self.context[1:] = self.pair[:-1]
@@ -146,21 +149,38 @@ class Chunk:
         self.triple = mixed(self.context * _PAIR[0] + self.tokens * _PAIR[1])
         self.asks_triple = (self.context_count >= LEAST) & (self.pair_count >= 2)
         self.triple_count = np.zeros(len(self.tokens), np.int64)
-        self.triple_count[self.asks_triple] = self.answers[3].of(self.triple[self.asks_triple])
+        self.triple_keys, codes = np.unique(self.triple[self.asks_triple], return_inverse=True)
+        self.triple_count[self.asks_triple] = self._heard(3, self.triple_keys)[codes]
         self.triple_owned, self.triple_count = self.triple_count < 0, np.abs(self.triple_count)
         self.single = np.zeros(len(self.tokens), np.uint64)
         self.single[1:] = mixed(self.tokens[:-1] + np.uint64(1))
 
+    def by_bucket(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the keys by bucket, and the buckets in that order."""
+        bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def _heard(self, order: int, keys: np.ndarray) -> np.ndarray:
+        """What the buckets said of the keys, in the order in which they were asked."""
+        out = np.zeros(len(keys), np.int64)
+        if order in self.said:
+            unpack = zstandard.ZstdDecompressor()
+            raw = b"".join(unpack.decompress(n) for n in self.said[order]["numbers"])
+            out[self.by_bucket(keys)[0]] = np.frombuffer(raw, "<i4")
+        return out
+
     def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of one order and how often each stands in training rows."""
         if order == 1:
             return self.known_words, np.bincount(self.codes[self.train], minlength=len(self.known_words))
         at = self.asks_pair if order == 2 else self.asks_triple
-        keys, codes = np.unique((self.pair if order == 2 else self.triple)[at], return_inverse=True)
+        keys = self.pair_keys if order == 2 else self.triple_keys
+        codes = np.searchsorted(keys, (self.pair if order == 2 else self.triple)[at])
         return keys, np.bincount(codes, weights=self.train[at], minlength=len(keys)).astype(np.int64)
 
 
-_NONE = pd.DataFrame({"about": [], "keys": [], "numbers": []})
+_NONE = pd.DataFrame({"bucket": [], "about": [], "numbers": []})
 
 
 def _cogrouped(chunks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
@@ -171,52 +191,51 @@ def _cogrouped(chunks: DataFrame, answers: DataFrame, work, schema: str) -> Data
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(task, schema)
 
 
-def _asked(chunk: Chunk, order: int, buckets: int) -> pd.DataFrame:
+def _asked(chunk: Chunk, order: int) -> pd.DataFrame:
     keys, counts = chunk.questions(order)
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order_ = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order_], counts[order_].astype("<u4"), bucket[order_]
+    sort, bucket = chunk.by_bucket(keys)
+    keys, counts = keys[sort], counts[sort].astype("<u4")
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, int)
     ends = np.concatenate([edges[1:], [len(keys)]]).astype(int)
+    press = zstandard.ZstdCompressor(level=1)
     return pd.DataFrame(
         {
             "bucket": bucket[edges],
             "chunk": np.full(len(edges), int(chunk.row["chunk"])),
             "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
-            "counts": [counts[a:b].tobytes() for a, b in zip(edges, ends)],
+            "counts": [press.compress(counts[a:b].tobytes()) for a, b in zip(edges, ends)],
         }
     )
 
 
 def _answered(asked: DataFrame, order: int) -> DataFrame:
-    """(chunk, about, keys, numbers): totals over all chunks, from 2 on (words: from 1 on).
+    """(chunk, bucket, about, numbers): totals over all chunks, in the order of the keys.
 
-    One chunk of those that ask for a key gets the number negative: it speaks for the key.
-    Chunk -1 gets the number of distinct keys.
+    Totals below 2 (words: below 1) are 0. One chunk of those that ask for a key gets the
+    number negative: it speaks for the key. Chunk -1 gets the number of distinct keys.
     """
     least = 1 if order == 1 else 2
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
+        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         sizes = [len(k) // 8 for k in group["keys"]]
         keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(group["counts"]), "<u4")
+        counts = np.frombuffer(b"".join(unpack.decompress(c) for c in group["counts"]), "<u4")
         distinct, first, codes = np.unique(keys, return_index=True, return_inverse=True)
         totals = np.bincount(codes, weights=counts, minlength=len(distinct)).astype(np.int64)
-        numbers = totals[codes]
-        wanted = numbers >= least
+        totals[totals < least] = 0
+        # Larger counts than fit are as good as the largest that does.
+        numbers = np.minimum(totals[codes], (1 << 31) - 1)
         numbers[first] *= -1
-        out, at = [], 0
+        bucket, out, at = int(group["bucket"].iloc[0]), [], 0
         for chunk, size in zip(group["chunk"].tolist(), sizes):
-            own = wanted[at : at + size]
-            if own.any():
-                out.append((chunk, order, keys[at : at + size][own].tobytes(), numbers[at : at + size][own].tobytes()))
+            out.append((chunk, bucket, order, press.compress(numbers[at : at + size].astype("<i4").tobytes())))
             at += size
-        out.append((-1, order, b"", np.array([int((totals >= least).sum())]).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "about", "keys", "numbers"])
+        out.append((-1, bucket, order, np.array([int((totals > 0).sum())]).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "about", "numbers"])
 
-    schema = "chunk long, about int, keys binary, numbers binary"
-    return asked.groupBy("bucket").applyInPandas(task, schema)
+    return asked.groupBy("bucket").applyInPandas(task, "chunk long, bucket long, about int, numbers binary")
 
 
 class Root:
@@ -295,12 +314,23 @@ def _scored(chunk: Chunk, retained: Answers, root: Root) -> pd.DataFrame:
     )
 
 
+def _kept_apart(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table bucketed by chunk: joins leave it where it is."""
+    spark = chunks.sparkSession
+    path = work_path(spark, "lm-chunks")
+    name = f"lm_chunks_{path.rsplit('-', 1)[1]}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = chunks.write.format("parquet").option("compression", "none").option("path", path)
+    writer.bucketBy(parts, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, held_out: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The tree is learned from the rows whose boolean column ``held_out`` is false.
     """
-    chunks = stored(pack(docs, held_out), "lm-chunks", compression="none")
+    chunks = _kept_apart(pack(docs, held_out))
     sizes = chunks.agg(F.sum("n_train"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     tokens = sizes[0] or 0
     buckets = max(64, (sizes[1] or 0) // BUCKET_KEYS)
@@ -309,7 +339,7 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     def first_questions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
-                yield _asked(Chunk(row, _NONE), 1, buckets)
+                yield _asked(Chunk(row, _NONE, buckets), 1)
 
     answers = stored(_answered(chunks.mapInPandas(first_questions, asked_schema), 1), "lm-answers", compression="none")
     distinct = sum(
@@ -323,7 +353,7 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
         def ask(row: pd.Series, right: pd.DataFrame, order: int = order) -> pd.DataFrame:
             if row is None:
                 return pd.DataFrame({"bucket": [], "chunk": [], "keys": [], "counts": []})
-            return _asked(Chunk(row, right), order, buckets)
+            return _asked(Chunk(row, right, buckets), order)
 
         found = _answered(_cogrouped(chunks, known, ask, asked_schema), order)
         known = known.unionByName(stored(found, "lm-answers", compression="none").where("chunk >= 0"))
@@ -332,7 +362,7 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
         columns = ["chunk", "context", "n", "mass", "events", "gain"]
         if row is None:
             return pd.DataFrame({c: [] for c in columns})
-        chunk = Chunk(row, right)
+        chunk = Chunk(row, right, buckets)
         found = _evidence(chunk, root).assign(chunk=None)
         mine = pd.DataFrame({"context": _contexts(chunk)}).assign(chunk=int(row["chunk"]))
         return pd.concat([found, mine], ignore_index=True)[columns]
@@ -348,13 +378,9 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     wanted = evidence.where("chunk is not null").select("chunk", "context").join(retained, "context")
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "chunk": [group["chunk"].iloc[0]], "about": [0],
-                "keys": [group["context"].to_numpy(np.int64).tobytes()],
-                "numbers": [group["left"].to_numpy(np.float64).tobytes()],
-            }
-        )
+        own = group.sort_values("context")
+        numbers = own["context"].to_numpy(np.int64).tobytes() + own["left"].to_numpy(np.float64).tobytes()
+        return pd.DataFrame({"chunk": [own["chunk"].iloc[0]], "bucket": [0], "about": [0], "numbers": [numbers]})
 
     states = wanted.groupBy("chunk").applyInPandas(packed, known.schema)
     out_columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -362,9 +388,10 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     def judge(row: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
         if row is None:
             return pd.DataFrame({c: [] for c in out_columns})
-        own = right[right["about"] == 0]
-        retained = Answers(own["keys"].tolist(), own["numbers"].tolist(), np.float64)
-        return _scored(Chunk(row, right), retained, root)
+        own = right[right["about"] == 0]["numbers"].tolist()
+        half = len(own[0]) // 2 if own else 0
+        retained = Answers([o[:half] for o in own], [o[half:] for o in own], np.float64)
+        return _scored(Chunk(row, right, buckets), retained, root)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = _cogrouped(chunks, known.unionByName(states), judge, schema)
