@@ -45,6 +45,7 @@ class Rule:
         return f"(?s){FLAGS}\\G(.*?){self.lead}{self.value}{self.tail}"
 
 
+# The parts of the rules below; they are the contract.
 _SET_TO = rf"{SPACE}*[:=]{SPACE}*['\"]?"
 _SECRET = rf"[^{SPACE_SET}'\"]+"
 _KEY = r"[a-zA-Z0-9_-]{20,}"

@@ -134,13 +134,25 @@ def prepare_queries(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFr
         "query_id",
         "query_vector",
         F.coalesce(ns.cast("string"), F.lit(settings.namespace)).alias("namespace"),
-        F.least(
-            F.coalesce(k.cast("int"), F.lit(settings.top_k)), F.lit(settings.max_top_k)
-        ).alias("top_k"),
+        F.coalesce(k.cast("int"), F.lit(settings.top_k)).alias("top_k"),
         F.coalesce(floor.cast("double"), F.lit(-2.0)).alias("similarity_threshold"),
     )
 
 
+def query_rejects(
+    queries: DataFrame, dimension: int, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """The queries that ``nearest`` cannot answer: ``query_id, namespace, top_k, reason``."""
+    size = F.coalesce(F.size("query_vector"), F.lit(-1))
+    reason = F.when(size != dimension, "vector size").when(F.col("top_k") < 1, "top_k")
+    return (
+        prepare_queries(queries, settings)
+        .withColumn("reason", reason)
+        .where(F.col("reason").isNotNull())
+        .select("query_id", "namespace", "top_k", "reason")
+    )
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -152,10 +164,12 @@ def nearest(
     ``queries`` is a stored or checkpointed table with ``query_id, query_vector`` and
     optional ``namespace, top_k, similarity_threshold``. Its size decides the path: a
     batch under the byte limit goes to every task, a larger one is cut into blocks that
-    meet vector blocks through an equi-join on the block pair.
+    meet vector blocks through an equi-join on the block pair. Every query gets as many
+    hits as it asks for; ``query_rejects`` lists those that cannot be answered.
     """
     spark = vectors.sparkSession
-    queries = prepare_queries(queries, settings).where(F.size("query_vector") == dimension)
+    answerable = (F.size("query_vector") == dimension) & (F.col("top_k") >= 1)
+    queries = prepare_queries(queries, settings).where(answerable)
     # The threshold is applied to the score before the rank.
     records = vectors.where(F.size("values") == dimension).select("namespace", "id", "values")
     limit = max(1, settings.broadcast_query_bytes // (8 * dimension))
@@ -171,7 +185,7 @@ def nearest(
         [F.desc("score"), F.asc("id")],
         F.col("top_k"),
         ["id"],
-        at_most=settings.max_top_k,
+        at_most=max(batch.column("top_k").to_pylist(), default=1) if small else None,
         settings=settings,
     ).select("query_id", "namespace", "id", "score", "rank")
     # A small batch has a known number of hits: joins may broadcast them.

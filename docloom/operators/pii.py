@@ -347,7 +347,8 @@ def locate_extractions(
     """Place extracted strings at their first occurrence in the document.
 
     Repeats are removed before the join. Strings not in the text and categories not
-    asked for are dropped. One row per (document, start, end).
+    asked for are dropped. One row per (document, start, end); ``categories`` has all
+    categories that were found there.
     """
     chosen = _chosen(categories)
     wanted = (
@@ -370,8 +371,13 @@ def locate_extractions(
         found.where(F.col("start") >= 0)
         .withColumn("end", F.col("start") + F.length("text"))
         .groupBy(key, "start", "end")
-        .agg(F.min(F.struct(rank.alias("category_rank"), "category", "text")).alias("best"))
-        .select(key, "best.category", "best.text", "start", "end", "best.category_rank")
+        .agg(
+            F.min(F.struct(rank.alias("category_rank"), "category", "text")).alias("best"),
+            F.collect_set("category").alias("categories"),
+        )
+        .select(
+            key, "best.category", "best.text", "start", "end", "best.category_rank", "categories"
+        )
         .withColumn("confidence", F.lit(MODEL_CONFIDENCE))
         .withColumn("source", F.lit(MODEL_SOURCE))
     )
@@ -389,7 +395,8 @@ def with_pii_and_extractions(
     """The report over regex and model hits together, as column ``pii``.
 
     Model hits are unique per position before they are gathered, so the array of a
-    document is bounded by its own text.
+    document is bounded by its own text. ``categories_found`` has the categories of all
+    located hits, also of those that share a position.
     """
     located = locate_extractions(documents, extractions, categories, key, text, settings)
     hit = F.struct(
@@ -403,7 +410,10 @@ def with_pii_and_extractions(
         "confidence",
         "source",
     )
-    gathered = located.groupBy(key).agg(F.collect_list(hit).alias("_model_hits"))
+    gathered = located.groupBy(key).agg(
+        F.collect_list(hit).alias("_model_hits"),
+        F.array_distinct(F.flatten(F.collect_set("categories"))).alias("_model_categories"),
+    )
     joined = documents.join(gathered, key, "left")
     report = pii_report(
         F.col(text),
@@ -412,4 +422,8 @@ def with_pii_and_extractions(
         settings=settings,
         **options,
     )
-    return joined.withColumn("pii", report).drop("_model_hits")
+    if settings.pii_enabled:
+        more = F.coalesce("_model_categories", F.array().cast("array<string>"))
+        every = F.array_sort(F.array_union(report["categories_found"], more))
+        report = report.withField("categories_found", every)
+    return joined.withColumn("pii", report).drop("_model_hits", "_model_categories")

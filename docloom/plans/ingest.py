@@ -133,12 +133,16 @@ class KnowledgeBase:
         """Delete documents from catalog, chunks and vectors; report per requested id.
 
         Catalog and chunks note the deletion with its batch number, so a later upload of
-        the same document counts again. Vectors are removed.
+        the same document counts again. Vectors are removed, from every namespace that has
+        any unless one is named.
         """
         report = cat.deletion_report(ids, self.catalog()).checkpoint()
         keys = ids.select("document_id").distinct()
         stored = self.vectors.read()
-        gone = stored.join(keys, "document_id", "left_semi").select("id")
-        self.vectors.delete(ids=gone, namespace=namespace)
+        gone = stored.join(keys, "document_id", "left_semi").select("namespace", "id").checkpoint()
+        # One row per namespace that holds a requested document.
+        spaces = [r[0] for r in gone.select("namespace").distinct().collect()]
+        for space in spaces if namespace is None else [namespace]:
+            self.vectors.delete(ids=gone.where(F.col("namespace") == space), namespace=space)
         self._replace_batch(keys, "deleted", batch)
         return report

@@ -96,8 +96,10 @@ def semantic_search(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Hits per query: text ``query`` with optional namespace, top_k and threshold."""
-    if "similarity_threshold" not in queries.columns:
-        queries = queries.withColumn("similarity_threshold", F.lit(settings.similarity_threshold))
+    floor = F.lit(settings.similarity_threshold)
+    if "similarity_threshold" in queries.columns:
+        floor = F.coalesce(F.col("similarity_threshold").cast("double"), floor)
+    queries = queries.withColumn("similarity_threshold", floor)
     records = _records(vectors)
     scope = records.where(record_filter(condition, records)) if condition else records
     ranked = nearest(scope, embed_queries(queries, embedder, settings), embedder.dimension, settings)

@@ -34,11 +34,14 @@ def build_session(master: str | None = None, app: str = "docloom", **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is set (tests, local runs) a temporary folder is used.
+    Where none is set a temporary folder is used, in local mode only: on a cluster every
+    machine would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="docloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -244,3 +244,19 @@ def test_contract(spark):
     assert sorted(r["reject_reason"] for r in bad.collect()) == [
         "missing id", "missing values", "not a number", "wrong dimension"
     ]
+
+
+def test_every_hit_asked_for_and_rejects(spark):
+    from docloom.operators.nearest import nearest, query_rejects
+
+    records = spark.createDataFrame(
+        [("default", f"v{i:03d}", [1.0, i / 100]) for i in range(80)], "namespace STRING, id STRING, values ARRAY<FLOAT>"
+    )
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0], 70), (2, [1.0], 3), (3, [1.0, 0.0], 0), (4, None, 2), (5, [1.0, 0.0], None)],
+        "query_id INT, query_vector ARRAY<DOUBLE>, top_k INT",
+    )
+    hits = {r["query_id"]: r["count"] for r in nearest(records, queries, 2).groupBy("query_id").count().collect()}
+    assert hits == {1: 70, 5: 5}
+    rejects = {r["query_id"]: r["reason"] for r in query_rejects(queries, 2).collect()}
+    assert rejects == {2: "vector size", 3: "top_k", 4: "vector size"}

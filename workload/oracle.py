@@ -31,7 +31,7 @@ FILENAME = (
 )
 FILE_TYPE = "(case lang when 'en' then 'md' when 'fr' then 'html' when 'de' then 'txt' else 'image' end)"
 
-# Personal data: (category, lead, value, tail) in RE2 syntax.
+# What counts as personal data, as (category, lead, value, tail) in RE2 syntax.
 SET_TO = r"""\s*[:=]\s*[''"]?"""
 SECRET = r"""[^\s''"]+"""
 KEY = "[a-zA-Z0-9_-]{20,}"
