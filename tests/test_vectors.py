@@ -187,7 +187,7 @@ def test_top_k_is_a_prefix_of_the_next(spark):
         [r["chunk_id"] for r in srch.search(v, rows[0][2], k, "a", include_metadata=False).orderBy("rank").collect()]
         for k in (3, 4, 60)
     ]
-    assert found[1][:3] == found[0] and found[2][:4] == found[1] and len(found[2]) == 50
+    assert found[1][:3] == found[0] and found[2][:4] == found[1] and len(found[2]) == 60
 
 
 def test_search_result_fields(spark):
