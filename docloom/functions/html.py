@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,21 +18,8 @@ BLOCKS = (
     "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
     "header|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
-# Named entities; &amp; must come last.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&amp;", "&"),
-)
+# The named characters of HTML 4, and &apos;. A hard blank counts as a blank.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def _numeric_entities(text: Column) -> Column:
@@ -56,6 +45,24 @@ def _numeric_entities(text: Column) -> Column:
     return let(text, decode)
 
 
+def _named_entities(text: Column) -> Column:
+    """Decode &name; the same way; what a name decodes to is not decoded again."""
+    pattern = r"^([A-Za-z][A-Za-z0-9]{1,31});"
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def piece(part: Column) -> Column:
+        char = F.try_element_at(known, F.regexp_extract(part, pattern, 1))
+        rest = F.regexp_replace(part, pattern, "")
+        return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    def decode(t: Column) -> Column:
+        pieces = F.split(t, "&", -1)
+        decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(decoded, "")).otherwise(t)
+
+    return let(text, decode)
+
+
 def html_to_text(html: Column) -> Column:
     """Drop invisible parts, turn headings into # lines and blocks into paragraphs."""
     text = F.regexp_replace(html, r"(?s)<!--(?:.*?-->|.*\z)", "")
@@ -69,9 +76,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    text = _numeric_entities(text)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = _named_entities(_numeric_entities(text))
     text = F.regexp_replace(text, r" *\n *", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n](?<![ \n]{2})[ \n]*+\z", "")
@@ -79,8 +84,7 @@ def html_to_text(html: Column) -> Column:
 
 def html_title(html: Column) -> Column:
     title = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>\s*(.*?)\s*</title\s*>", 1)
-    for name, char in ENTITIES:
-        title = F.replace(title, F.lit(name), F.lit(char))
+    title = _named_entities(_numeric_entities(title))
     return F.when(title != "", title)
 
 

@@ -99,3 +99,13 @@ def test_cosine_and_normalize(spark):
     assert [round(r["c"], 9) for r in rows] == [0.96, 0.0, -1.0]
     assert [round(r["self"], 9) for r in rows] == [1.0, 0.0, 1.0]
     assert [round(x, 6) for x in rows[0]["n"]] == [0.6, 0.8] and rows[1]["n"] == [0.0, 0.0]
+
+
+def test_named_and_numeric_entities(spark):
+    from docloom.functions.html import html_title, html_to_text
+
+    page = "<title>Tom&#39;s Caf&eacute;</title><p>Caf&eacute; &rsquo;x&rsquo; &amp;eacute; &nope; a&b &Auml;</p>"
+    df = spark.createDataFrame([(page,)], "html STRING")
+    row = df.select(html_to_text(F.col("html")).alias("text"), html_title(F.col("html")).alias("title")).first()
+    assert row["title"] == "Tom's Café"
+    assert "Café ’x’ &eacute; &nope; a&b Ä" in row["text"]
