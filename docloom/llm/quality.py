@@ -161,5 +161,11 @@ def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: RuleEnsemble, least: float = 0.5) -> DataFrame:
-    """The documents that reach the least score, with their own columns."""
-    return score(docs, model).where(F.col("_score") >= least).drop("_score")
+    """The documents that reach the least score, with their own columns.
+
+    Spark does not move a condition below a projection that numbers rows: without the number
+    it would put the statistics' expressions into the condition once per rule that reads them.
+    """
+    numbered = with_statistics(docs).withColumn("_row", F.monotonically_increasing_id())
+    good = (model.score() >= least) & (F.col("_row") >= 0)
+    return numbered.where(good).drop("_stats", "_row")
