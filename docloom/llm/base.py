@@ -101,6 +101,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of every run of ``width`` bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[data] * _UP.upto(len(data)), out=sums[1:])
+    spans = (sums[width:] - sums[:-width]) * _DOWN.upto(len(data) + 1)[: len(sums) - width]
+    return mixed(spans + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, pieces, span_hashes, stored
+from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored
 from docloom.llm.components import only
 from docloom.llm.near_copies import in_block_pairs
 from docloom.llm.suffixes import suffix_array
@@ -39,6 +39,8 @@ LENGTH = 400
 ANCHOR = 32
 BLOCK = 1024
 _PLACE_BITS = 28
+# Small texts at a time keep the arrays in the processor's cache.
+SCAN_BYTES = 1 << 16
 KEYS = ["_id", "_text_hash"]
 
 
@@ -59,14 +61,17 @@ def neighbourhoods(data: np.ndarray, bounds: np.ndarray, length: int) -> list[np
     total = len(data)
     if total < length:
         return none
-    at = np.arange(total - ANCHOR + 1)
-    hashes = span_hashes(data, at, at + ANCHOR)
+    hashes = rolling_hashes(data, ANCHOR)
     place = np.uint64((1 << _PLACE_BITS) - 1)
-    leaders = (_least(hashes & ~place | at.astype(np.uint64), length - ANCHOR + 1) & place).astype(np.int64)
-    starts = np.arange(len(leaders))
-    row = np.searchsorted(bounds, starts, "right") - 1
-    inside = starts + length <= bounds[row + 1]
-    starts, row, leaders = starts[inside], row[inside], leaders[inside]
+    ordered = hashes & ~place
+    ordered |= np.arange(len(hashes), dtype=np.uint64)
+    leaders = (_least(ordered, length - ANCHOR + 1) & place).astype(np.int64)
+    sizes = np.diff(bounds)
+    inside = np.zeros(len(leaders), bool)
+    for row in np.flatnonzero(sizes >= length).tolist():
+        inside[bounds[row] : bounds[row + 1] - length + 1] = True
+    starts = np.flatnonzero(inside)
+    row, leaders = np.repeat(np.arange(len(sizes)), sizes)[starts], leaders[starts]
     if not len(starts):
         return none
     new = np.flatnonzero(np.concatenate([[True], (leaders[1:] != leaders[:-1]) | (row[1:] != row[:-1])]))
@@ -90,7 +95,7 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, bounds = as_bytes(batch.column("text"))
             ids = [batch.column(k) for k in KEYS]
-            for first, last in pieces(bounds):
+            for first, last in pieces(bounds, SCAN_BYTES):
                 cut = bounds[first : last + 1]
                 row, start, runs, offset, anchor, whole = neighbourhoods(data[cut[0] : cut[-1]], cut - cut[0], length)
                 at = pa.array(row + first)
