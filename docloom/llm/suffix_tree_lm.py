@@ -99,21 +99,6 @@ def _planes(codes: np.ndarray) -> bytes:
     return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-class Answers:
-    """Sorted keys and their numbers; a key that is not there has 0."""
-
-    def __init__(self, keys: list[bytes], values: list[bytes], kind: type = np.int64) -> None:
-        found = np.frombuffer(b"".join(keys), np.uint64)
-        order = np.argsort(found, kind="stable")
-        self.keys, self.values = found[order], np.frombuffer(b"".join(values), kind)[order]
-
-    def of(self, asked: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(asked), self.values.dtype)
-        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return np.where(self.keys[at] == asked, self.values[at], 0)
-
-
 class Chunk:
     """One chunk's tokens with what is known of them: counts are 0 where not asked for."""
 
@@ -129,7 +114,7 @@ class Chunk:
         self.second, self.third = place >= 1, place >= 2
         self.said = {order: group.sort_values("bucket") for order, group in answers.groupby("about")}
         # Numbers are negative at the one chunk that speaks for a key.
-        counts = np.abs(self._heard(1, self.known_words))
+        counts = np.abs(self.heard(1, self.known_words))
         self.count = counts[self.codes]
         self.before = np.zeros(len(self.tokens), np.int64)
         self.before[1:] = self.count[:-1]
@@ -139,7 +124,7 @@ class Chunk:
         self.asks_pair = self.second & (self.before >= LEAST) & (self.count >= 2)
         self.pair_count = np.zeros(len(self.tokens), np.int64)
         self.pair_keys, codes = np.unique(self.pair[self.asks_pair], return_inverse=True)
-        self.pair_count[self.asks_pair] = self._heard(2, self.pair_keys)[codes]
+        self.pair_count[self.asks_pair] = self.heard(2, self.pair_keys)[codes]
         self.pair_owned, self.pair_count = self.pair_count < 0, np.abs(self.pair_count)
         self.context = np.zeros(len(self.tokens), np.uint64)
         self.context[1:] = self.pair[:-1]
@@ -150,7 +135,7 @@ class Chunk:
         self.asks_triple = (self.context_count >= LEAST) & (self.pair_count >= 2)
         self.triple_count = np.zeros(len(self.tokens), np.int64)
         self.triple_keys, codes = np.unique(self.triple[self.asks_triple], return_inverse=True)
-        self.triple_count[self.asks_triple] = self._heard(3, self.triple_keys)[codes]
+        self.triple_count[self.asks_triple] = self.heard(3, self.triple_keys)[codes]
         self.triple_owned, self.triple_count = self.triple_count < 0, np.abs(self.triple_count)
         self.single = np.zeros(len(self.tokens), np.uint64)
         self.single[1:] = mixed(self.tokens[:-1] + np.uint64(1))
@@ -161,13 +146,13 @@ class Chunk:
         order = np.argsort(bucket, kind="stable")
         return order, bucket[order]
 
-    def _heard(self, order: int, keys: np.ndarray) -> np.ndarray:
+    def heard(self, order: int, keys: np.ndarray, kind: str = "<i4") -> np.ndarray:
         """What the buckets said of the keys, in the order in which they were asked."""
-        out = np.zeros(len(keys), np.int64)
+        out = np.zeros(len(keys), np.int64 if kind == "<i4" else np.float64)
         if order in self.said:
             unpack = zstandard.ZstdDecompressor()
             raw = b"".join(unpack.decompress(n) for n in self.said[order]["numbers"])
-            out[self.by_bucket(keys)[0]] = np.frombuffer(raw, "<i4")
+            out[self.by_bucket(keys)[0]] = np.frombuffer(raw, kind)
         return out
 
     def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,18 +267,79 @@ def _contexts(chunk: Chunk) -> np.ndarray:
     """All contexts of the chunk that may be retained."""
     one = chunk.single[chunk.second & (chunk.before >= LEAST)]
     two = chunk.context[chunk.context_count >= LEAST]
-    return np.unique(np.concatenate([one, two])).view(np.int64)
+    return np.unique(np.concatenate([one, two]))
+
+
+def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
+    """All contexts of a chunk by bucket, with what it can say of their divergence."""
+    keys = _contexts(chunk)
+    said = _evidence(chunk, root)
+    at = np.searchsorted(keys, said["context"].to_numpy(np.int64).view(np.uint64))
+    sort, bucket = chunk.by_bucket(keys)
+    fields = []
+    for name, kind in _SAID:
+        values = np.zeros(len(keys), np.float64)
+        (np.maximum if name == "n" else np.add).at(values, at, said[name].to_numpy(np.float64))
+        fields.append(values[sort].astype(kind))
+    keys = keys[sort]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, int)
+    ends = np.concatenate([edges[1:], [len(keys)]]).astype(int)
+    press = zstandard.ZstdCompressor(level=1)
+    return pd.DataFrame(
+        {
+            "bucket": bucket[edges],
+            "chunk": np.full(len(edges), int(chunk.row["chunk"])),
+            "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
+            "counts": [press.compress(b"".join(f[a:b].tobytes() for f in fields)) for a, b in zip(edges, ends)],
+        }
+    )
+
 
+# What a chunk says of a context: its occurrences, and sums over followers.
+_SAID = (("n", "<i4"), ("events", "<i4"), ("mass", "<f4"), ("gain", "<f4"))
 
-def _scored(chunk: Chunk, retained: Answers, root: Root) -> pd.DataFrame:
+
+def _judged(testimony: DataFrame) -> DataFrame:
+    """(chunk, bucket, about, numbers): per context the mass its discounts leave if it is
+    retained, else 0, in the order of the keys."""
+
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        sizes = [len(k) // 8 for k in group["keys"]]
+        keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        raws = [unpack.decompress(c) for c in group["counts"]]
+        whole = {
+            name: np.concatenate([np.frombuffer(r, kind, m, 4 * m * i) for r, m in zip(raws, sizes)]).astype(np.float64)
+            for i, (name, kind) in enumerate(_SAID)
+        }
+        distinct, codes = np.unique(keys, return_inverse=True)
+        n = np.zeros(len(distinct))
+        np.maximum.at(n, codes, whole["n"])
+        events, mass, gain = (np.bincount(codes, whole[f], len(distinct)) for f in ("events", "mass", "gain"))
+        left = np.where(n >= LEAST, 1 - mass / np.maximum(n, 1), 0.0)
+        gain += (n - events) * np.log(np.maximum(left, 1e-300))
+        left = np.where((left > 0) & (gain >= GAIN), left, 0.0).astype("<f4")[codes]
+        bucket, out, at = int(group["bucket"].iloc[0]), [], 0
+        for chunk, size in zip(group["chunk"].tolist(), sizes):
+            out.append((chunk, bucket, 0, press.compress(left[at : at + size].tobytes())))
+            at += size
+        return pd.DataFrame(out, columns=["chunk", "bucket", "about", "numbers"])
+
+    return testimony.groupBy("bucket").applyInPandas(task, "chunk long, bucket long, about int, numbers binary")
+
+
+def _scored(chunk: Chunk, root: Root) -> pd.DataFrame:
     share = root.of(chunk.count)
     likely = share.copy()
+    contexts = _contexts(chunk)
+    retained = chunk.heard(0, contexts, "<f4")
     for at, count, total, context in (
         (chunk.second & (chunk.before >= LEAST), chunk.pair_count, chunk.before, chunk.single),
         (chunk.context_count >= LEAST, chunk.triple_count, chunk.context_count, chunk.context),
     ):
         at = np.flatnonzero(at)
-        left = retained.of(context[at])
+        left = retained[np.searchsorted(contexts, context[at])]
         at, left = at[left > 0], left[left > 0]
         seen = np.where(count[at] >= 2, count[at] - DISCOUNT, 0.0) / total[at]
         likely[at] = seen + left * likely[at]
@@ -359,39 +405,17 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
         known = known.unionByName(stored(found, "lm-answers", compression="none").where("chunk >= 0"))
 
     def testify(row: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["chunk", "context", "n", "mass", "events", "gain"]
         if row is None:
-            return pd.DataFrame({c: [] for c in columns})
-        chunk = Chunk(row, right, buckets)
-        found = _evidence(chunk, root).assign(chunk=None)
-        mine = pd.DataFrame({"context": _contexts(chunk)}).assign(chunk=int(row["chunk"]))
-        return pd.concat([found, mine], ignore_index=True)[columns]
-
-    evidence_schema = "chunk long, context long, n long, mass double, events double, gain double"
-    evidence = stored(_cogrouped(chunks, known, testify, evidence_schema), "lm-evidence")
-    tested = evidence.where("chunk is null").groupBy("context").agg(
-        F.max("n").alias("n"), F.sum("mass").alias("mass"), F.sum("events").alias("events"), F.sum("gain").alias("gain")
-    )
-    left = 1 - F.col("mass") / F.col("n")
-    gain = F.col("gain") + (F.col("n") - F.col("events")) * F.log(left)
-    retained = tested.where((F.col("n") >= LEAST) & (left > 0) & (gain >= GAIN)).select("context", left.alias("left"))
-    wanted = evidence.where("chunk is not null").select("chunk", "context").join(retained, "context")
-
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("context")
-        numbers = own["context"].to_numpy(np.int64).tobytes() + own["left"].to_numpy(np.float64).tobytes()
-        return pd.DataFrame({"chunk": [own["chunk"].iloc[0]], "bucket": [0], "about": [0], "numbers": [numbers]})
+            return pd.DataFrame({"bucket": [], "chunk": [], "keys": [], "counts": []})
+        return _testimony(Chunk(row, right, buckets), root)
 
-    states = wanted.groupBy("chunk").applyInPandas(packed, known.schema)
+    states = stored(_judged(_cogrouped(chunks, known, testify, asked_schema)), "lm-states", compression="none")
     out_columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def judge(row: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
         if row is None:
             return pd.DataFrame({c: [] for c in out_columns})
-        own = right[right["about"] == 0]["numbers"].tolist()
-        half = len(own[0]) // 2 if own else 0
-        retained = Answers([o[:half] for o in own], [o[half:] for o in own], np.float64)
-        return _scored(Chunk(row, right, buckets), retained, root)
+        return _scored(Chunk(row, right, buckets), root)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = _cogrouped(chunks, known.unionByName(states), judge, schema)
