@@ -14,7 +14,9 @@ A pair at the threshold shares a band but for less than one in ten million pairs
 of 4.5 standard deviations below the threshold lets its estimate pass.
 
 Null ids, and texts without a word, are linked with nothing. Repeated rows of one id have
-the same result. Sets are compared as 64-bit shingle hashes.
+the same result; different texts of one id are told apart by their fingerprints, and each
+has its own. ``drop_copies`` leaves one row of every component, of repeated rows too. Sets
+are compared as 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ BLOCK = 512
 
 
 def sketch(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, mark, registers); mark is null for an empty set."""
+    """(doc_id, text_hash, n_shingles, mark, registers); mark is null for an empty set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,15 +50,17 @@ def sketch(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, last - first),
+                        batch.column("text_hash").slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([sk.fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([r.tobytes() for r in registers], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "mark", "registers"],
+                    names=["doc_id", "text_hash", "n_shingles", "mark", "registers"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, n_shingles long, mark binary, registers binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, n_shingles long, mark binary, registers binary"
+    return rows.mapInArrow(task, schema)
 
 
 def band_keys(sketched: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def band_keys(sketched: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
-    """(id, shingles): the sorted distinct hashes of each document, packed."""
+    """(lead, mark, shingles): fingerprint and sorted distinct hashes of each document, packed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +91,14 @@ def shingle_table(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
                 sets = sk.shingle_sets(data[edges[0] : edges[-1]], edges - edges[0], width)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(first, last - first),
+                        batch.column("lead").slice(first, last - first),
+                        pa.array([sk.fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "shingles"],
+                    names=["lead", "mark", "shingles"],
                 )
 
-    return docs.select("id", "text").mapInArrow(task, "id long, shingles binary")
+    return docs.select("lead", "text").mapInArrow(task, "lead long, mark binary, shingles binary")
 
 
 def in_block_pairs(members: DataFrame, sizes: DataFrame, by: str | list[str], block: int) -> DataFrame:
@@ -167,23 +172,27 @@ def linked(group: pd.DataFrame, percent: int, cut: float) -> list[tuple[int, int
     return links
 
 
-def near_copies(docs: DataFrame, percent: int = 85, width: int = sk.WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, set_group) for every row of ``docs``.
+
+    Sets are numbered, so that an id with different texts does not connect them; set_group is
+    the least number in the component, null for rows that are linked with nothing.
+    """
     sketched = stored(sketch(docs, width), "sketches")
     some = sketched.where(F.col("mark").isNotNull() & F.col("doc_id").isNotNull())
     distinct = some.groupBy("mark").agg(
-        F.min("doc_id").alias("id"), F.any_value("registers").alias("registers")
+        F.min("doc_id").alias("lead"), F.any_value("registers").alias("registers")
     )
-    distinct = stored(distinct, "distinct-sets")
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
     keys = stored(band_keys(distinct), "band-keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("id").alias("n"))
-    pairs = keys.join(shared.where("n > 1").drop("n"), "key").where(F.col("id") != F.col("lead"))
-    clusters = components(pairs.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("id").alias("n"))
+    pairs = keys.join(shared.where("n > 1").drop("n"), "key").where(F.col("id") != F.col("least"))
+    clusters = components(pairs.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     clusters = stored(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    ids = clusters.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = shingle_table(only(texts, ids, "left_semi", "id").dropDuplicates(["id"]), width)
-    members = clusters.join(distinct.select("id", "registers"), "id").join(sets, "id")
+    members = clusters.join(distinct, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("lead"), "text")
+    sets = shingle_table(only(texts, members.select("lead").distinct(), "left_semi", "lead"), width)
+    members = members.join(sets.dropDuplicates(["lead", "mark"]), ["lead", "mark"]).drop("lead", "mark")
     sizes = clusters.groupBy("cluster").agg(F.count("id").alias("n_members"))
     cut = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / sk.REGISTERS) ** 0.5
 
@@ -192,21 +201,47 @@ def near_copies(docs: DataFrame, percent: int = 85, width: int = sk.WIDTH) -> Da
 
     grouped = in_block_pairs(members, sizes, "cluster", BLOCK).groupBy("cluster", "i", "j")
     links = grouped.applyInPandas(task, "a long, b long")
-    found = components(links).withColumnRenamed("component", "component_id")
-    whole = distinct.select("mark", "id").join(found, "id", "left")
-    whole = whole.select("mark", F.coalesce("component_id", "id").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "mark").join(whole, "mark", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    found = components(links).withColumnRenamed("component", "set_group")
+    whole = distinct.select("mark", "lead", "id").join(found, "id", "left")
+    whole = whole.select("mark", "lead", F.coalesce("set_group", "id").alias("set_group"))
+    names = whole.groupBy("set_group").agg(F.min("lead").alias("component_id"))
+    whole = whole.drop("lead").join(names, "set_group")
+    out = sketched.drop("registers").join(whole, "mark", "left")
+    has_id = F.col("doc_id").isNotNull()
     return out.select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(has_id, F.col("set_group")).alias("set_group"),
+    )
+
+
+def near_copies(docs: DataFrame, percent: int = 85, width: int = sk.WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    return _grouped(docs, percent, width).select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
 def drop_copies(docs: DataFrame, percent: int = 85, width: int = sk.WIDTH) -> DataFrame:
-    """``docs`` without the documents that another document of their component stands for."""
-    found = near_copies(docs, percent, width)
-    gone = stored(found.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return only(docs, gone, "left_anti")
+    """``docs`` with one row of every component: of its least id, and there of the least hash.
+
+    Rows without an id or a word stay, all of them.
+    """
+    keys = ["_id", "_text_hash"]
+    found = _grouped(docs, percent, width).where("set_group is not null")
+    kinds = found.groupBy("set_group", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"))
+    kinds = stored(kinds.agg(F.count("n_shingles").alias("times")), "copies")
+    least = kinds.groupBy("set_group").agg(F.min(F.struct(*keys)).alias("one"))
+    judged = kinds.join(least, "set_group").withColumn("stands", F.struct(*keys) == F.col("one"))
+    judged = stored(judged.where("not stands or times > 1").select(*keys, "stands"), "copies")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_hash": F.xxhash64("text")})
+    left = only(keyed, judged.where("not stands").select(*keys), "left_anti", keys)
+    several = judged.where("stands").select(*keys)
+    once = only(left, several, "left_anti", keys)
+    twice = only(left, several, "left_semi", keys).dropDuplicates(keys)
+    return once.unionByName(twice).select(*docs.columns)

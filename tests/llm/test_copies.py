@@ -77,6 +77,44 @@ def test_near_copies_equal_brute_force(docs_of, monkeypatch):
     assert near_copies.near_copies(docs_of([])).count() == 0
 
 
+def test_drop_copies_leaves_one_row_of_each_component(docs_of):
+    one, two, three = (sentence(k, 200) for k in (1, 2, 3))
+    near = changed(one, [7])
+    rows = [(1, one), (1, one), (2, one), (3, two), (3, two.upper()), (4, three), (4, two), (5, near), (1, near)]
+    rows += [(None, one), (None, one), (6, ""), (6, ""), (7, None)]
+    left = near_copies.drop_copies(docs_of(rows), percent=80).collect()
+    ids = Counter(r.doc_id for r in left)
+    assert ids == {1: 1, 3: 1, 4: 1, None: 2, 6: 2, 7: 1}
+    assert {r.text for r in left if r.doc_id == 4} == {three}
+
+
+def repeated_bytes(texts, length):
+    """Which bytes a string of ``length`` bytes covers that starts elsewhere too."""
+    raws = [(t or "").encode() for t in texts]
+    starts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for raw in raws:
+        gone = [False] * len(raw)
+        for i in range(len(raw) - length + 1):
+            if starts[raw[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(gone)
+    return out
+
+
+def test_pipeline_stages_keep_repeated_rows(spark, docs_of, folder):
+    texts = [sentence(k, 120) for k in range(6)]
+    shared = sentence(50, 90)
+    texts[4], texts[5] = texts[4] + " " + shared, shared + " " + texts[5]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0]), (4, texts[4])]
+    once = corpus_pipeline.drop_near_copies(spark, docs_of(rows), folder)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, once, folder).collect())
+    want = []
+    for k, (text, gone) in enumerate(zip(texts, repeated_bytes(texts, 400))):
+        want.append((k, "".join(c for c, g in zip(text, gone) if not g)))
+    assert got == want and want[0][1] == texts[0] and len(want[4][1]) < len(texts[4])
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
