@@ -16,7 +16,7 @@ starts anywhere else, in the same document or another.
 
 A document is one row and its text is handled whole. A null text is empty; texts shorter
 than ``length`` keep everything. Rows are told apart by id and text, so repeated rows are
-copies of each other. Bytes are compared by 64-bit hashes. What is left of a text may end
+copies of each other; rows with a null id are judged and cut like all others. Bytes are compared by 64-bit hashes. What is left of a text may end
 within a character; ``remove`` cuts at characters instead and says so.
 """
 
@@ -41,7 +41,8 @@ BLOCK = 1024
 _PLACE_BITS = 28
 # Small texts at a time keep the arrays in the processor's cache.
 SCAN_BYTES = 1 << 16
-KEYS = ["_id", "_text_hash"]
+# A null id is 0 with a flag: keys are never null, so that they join.
+KEYS = ["_id", "_no_id", "_text_hash"]
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +86,10 @@ def neighbourhoods(data: np.ndarray, bounds: np.ndarray, length: int) -> list[np
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_hash": F.xxhash64(text)})
+    own = F.col("doc_id").cast("long")
+    return docs.withColumns(
+        {"_id": F.coalesce(own, F.lit(0).cast("long")), "_no_id": own.isNull(), "_text_hash": F.xxhash64(text)}
+    )
 
 
 def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
@@ -108,7 +112,7 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
                     names=["anchor", "whole", *KEYS, "start", "runs", "offset"],
                 )
 
-    schema = "anchor long, whole long, _id long, _text_hash long, start int, runs int, offset int"
+    schema = "anchor long, whole long, _id long, _no_id boolean, _text_hash long, start int, runs int, offset int"
     return keyed.select(*KEYS, "text").mapInArrow(task, schema)
 
 
@@ -196,7 +200,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
-    """(_id, _text_hash, spans): the repeated byte ranges of rows that have any, not united."""
+    """(KEYS, spans): the repeated byte ranges of rows that have any, not united."""
     anchors = stored(anchor_table(keyed, length), "anchors")
     kinds = anchors.groupBy("anchor", "whole").agg(
         F.count("runs").alias("times"), F.min(F.struct(*KEYS, "start", "runs", "offset")).alias("one")
@@ -281,7 +285,8 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept binary"
-    return _with_spans(docs.select("doc_id", "text"), length).select("_id", "text", "spans").mapInArrow(task, schema)
+    rows = _with_spans(docs.select("doc_id", "text"), length)
+    return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(task, schema)
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -159,6 +159,27 @@ def test_repeats_equal_brute_force(docs_of, monkeypatch):
     assert repeats.removed(docs_of([]), length).count() == 0
 
 
+def test_repeats_of_null_ids_equal_brute_force(docs_of, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 4)
+    length, rng = 60, random.Random(11)
+    shared = [sentence(k, 40) for k in range(3)]
+    rows = [(None, None), (None, ""), (0, shared[0]), (None, shared[0]), (None, shared[1]), (None, shared[1])]
+    for k in range(40):
+        low = rng.randrange(60)
+        part = shared[k % 3][low : low + rng.randrange(40, 150)]
+        rows.append((None if k % 3 == 0 or k % 4 == 0 else k, sentence(100 + k, 15) + part + sentence(200 + k, 10)))
+    want = []
+    for (own, text), gone in zip(rows, repeated_bytes([t for _, t in rows], length)):
+        want.append((own is None, own, sum(gone), bytes(b for b, g in zip((text or "").encode(), gone) if not g)))
+    got = [(r.doc_id is None, r.doc_id, r.n_removed, bytes(r.kept)) for r in repeats.removed(docs_of(rows), length).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any(w[0] and w[2] for w in want)
+    left = repeats.remove(docs_of(rows), length).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(
+        (own, None if text is None else w[3].decode()) for (own, text), w in zip(rows, want)
+    )
+
+
 def test_leaks(spark, docs_of):
     items = [(1, sentence(1, 40)), (2, sentence(2, 30)), (3, "tiny"), (4, None), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
