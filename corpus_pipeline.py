@@ -14,6 +14,7 @@ from docloom.llm import decontamination, near_copies, pieces, quality, repeats
 from docloom.llm.base import stored, table
 
 PIECES = "piece_bpe_32k.model"
+PASSAGE_WORDS = 51
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that stand elsewhere too are cut out of the texts."""
-    return repeats.remove(docs)
+    """Passages of over 50 words, or of 400 bytes and more, that stand elsewhere too are cut
+    out of the texts."""
+    return repeats.remove(docs, n_words=PASSAGE_WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

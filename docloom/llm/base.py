@@ -93,18 +93,22 @@ class _Powers:
 _UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
 
 
+def _coded(data: np.ndarray) -> np.ndarray:
+    return _BYTE_CODES[data] if data.dtype == np.uint8 else mixed(data)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
+    """64-bit hashes of data[start:end], equal for equal bytes, or 64-bit values, wherever they stand."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _UP.upto(len(data)), out=sums[1:])
+    np.cumsum(_coded(data) * _UP.upto(len(data)), out=sums[1:])
     spans = (sums[ends] - sums[starts]) * _DOWN.upto(len(data) + 1)[starts]
     return mixed(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """``span_hashes`` of every run of ``width`` bytes."""
+    """``span_hashes`` of every run of ``width`` bytes or 64-bit values."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _UP.upto(len(data)), out=sums[1:])
+    np.cumsum(_coded(data) * _UP.upto(len(data)), out=sums[1:])
     spans = (sums[width:] - sums[:-width]) * _DOWN.upto(len(data) + 1)[: len(sums) - width]
     return mixed(spans + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
 

@@ -16,13 +16,18 @@ starts anywhere else, in the same document or another.
 
 A document is one row and its text is handled whole. A null text is empty; texts shorter
 than ``length`` keep everything. Rows are told apart by id and text, so repeated rows are
-copies of each other; rows with a null id are judged and cut like all others. Bytes are compared by 64-bit hashes. What is left of a text may end
+copies of each other; rows with a null id are judged and cut like all others. Bytes are compared by 64-bit hashes.
+
+The same job runs over words: ``length`` is then a number of words, a text is the array of
+its words' 64-bit hashes, and runs found are mapped to the bytes from the first word's start
+to the last one's end, whatever white space is between. ``remove`` can cut both kinds. What is left of a text may end
 within a character; ``remove`` cuts at characters instead and says so.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored
+from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored, words
 from docloom.llm.components import only
 from docloom.llm.near_copies import in_block_pairs
 from docloom.llm.suffixes import suffix_array
 
 LENGTH = 400
-ANCHOR = 32
 BLOCK = 1024
 _PLACE_BITS = 28
 # Small texts at a time keep the arrays in the processor's cache.
@@ -45,6 +49,28 @@ SCAN_BYTES = 1 << 16
 KEYS = ["_id", "_no_id", "_text_hash"]
 
 
+class Unit(NamedTuple):
+    """What windows are made of: its number type, and the units of an anchor."""
+
+    kind: type
+    anchor: int
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all rows, and the n + 1 offsets."""
+        if self.kind is np.uint8:
+            return data, bounds
+        starts, ends, counts = words(data, bounds)
+        return span_hashes(data, starts, ends), np.concatenate([[0], np.cumsum(counts)])
+
+
+BYTES = Unit(np.uint8, 32)
+WORDS = Unit(np.uint64, 6)
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of ``width`` values."""
     reach = 1
@@ -55,18 +81,18 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def neighbourhoods(data: np.ndarray, bounds: np.ndarray, length: int) -> list[np.ndarray]:
+def neighbourhoods(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) -> list[np.ndarray]:
     """Of all rows: row, first window, windows, offset of the anchor in the first window,
     anchor hash, hash of the whole string."""
     none = [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
     total = len(data)
     if total < length:
         return none
-    hashes = rolling_hashes(data, ANCHOR)
+    hashes = rolling_hashes(data, anchor)
     place = np.uint64((1 << _PLACE_BITS) - 1)
     ordered = hashes & ~place
     ordered |= np.arange(len(hashes), dtype=np.uint64)
-    leaders = (_least(ordered, length - ANCHOR + 1) & place).astype(np.int64)
+    leaders = (_least(ordered, length - anchor + 1) & place).astype(np.int64)
     sizes = np.diff(bounds)
     inside = np.zeros(len(leaders), bool)
     for row in np.flatnonzero(sizes >= length).tolist():
@@ -92,7 +118,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
+def anchor_table(keyed: DataFrame, length: int, unit: Unit) -> DataFrame:
     """One row per neighbourhood: anchor, whole, row keys, first window, windows, offset."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +127,8 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
             ids = [batch.column(k) for k in KEYS]
             for first, last in pieces(bounds, SCAN_BYTES):
                 cut = bounds[first : last + 1]
-                row, start, runs, offset, anchor, whole = neighbourhoods(data[cut[0] : cut[-1]], cut - cut[0], length)
+                own, edges = unit.of(data[cut[0] : cut[-1]], cut - cut[0])
+                row, start, runs, offset, anchor, whole = neighbourhoods(own, edges, length, unit.anchor)
                 at = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -116,16 +143,17 @@ def anchor_table(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select(*KEYS, "text").mapInArrow(task, schema)
 
 
-def cut_strings(wanted: DataFrame, length: int) -> DataFrame:
-    """The neighbourhoods' bytes: (anchor, whole, offset, string)."""
+def cut_strings(wanted: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """The neighbourhoods' units as bytes: (anchor, whole, offset, string)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, asked in zip(batch.column("text"), batch.column("asked")):
-                raw = (text.as_py() or "").encode()
+                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                own, _ = unit.of(raw, np.array([0, len(raw)]))
                 for a in asked.as_py():
-                    string = raw[a["start"] : a["start"] + a["runs"] + length - 1]
+                    string = own[a["start"] : a["start"] + a["runs"] + length - 1].tobytes()
                     out.append((a["anchor"], a["whole"], a["offset"], string))
                 if len(out) > 2000:
                     yield made(out)
@@ -158,27 +186,27 @@ def _longest_shared(strings: list[bytes]) -> np.ndarray:
     return best
 
 
-def repeated_windows(strings: list[bytes], offsets: list[int], length: int) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], offsets: list[int], length: int, unit: Unit) -> list[np.ndarray]:
     """For neighbourhoods of one anchor, all different: a flag per window, repeated or not."""
-    flags = [np.zeros(len(s) - length + 1, bool) for s in strings]
-    left = _longest_shared([s[:o][::-1] for s, o in zip(strings, offsets)])
-    right = _longest_shared([s[o:] for s, o in zip(strings, offsets)])
+    wide = unit.width
+    flags = [np.zeros(len(s) // wide - length + 1, bool) for s in strings]
+    left = _longest_shared([s[: o * wide][::-1] for s, o in zip(strings, offsets)]) // wide
+    right = _longest_shared([s[o * wide :] for s, o in zip(strings, offsets)]) // wide
     cuts: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
     for i, (s, o) in enumerate(zip(strings, offsets)):
         first, last = o - int(left[i]), o + int(right[i])
         if last - first >= length:
-            cuts.setdefault((s[first:last], o - first), []).append((i, first))
-    texts = [(s, owners) for (s, _), owners in cuts.items()]
+            cuts.setdefault((s[first * wide : last * wide], o - first), []).append((i, first))
+    texts = [(np.frombuffer(s, unit.kind), owners) for (s, _), owners in cuts.items()]
     found = [np.full(len(s) - length + 1, len(owners) > 1) for s, owners in texts]
     if len(texts) > 1:
-        joined: list[int] = []
-        base = []
-        for s, _ in texts:
-            base.append(len(joined))
-            joined.extend(s)
-            joined.append(256)
-        order = np.array(suffix_array(joined))
-        raw = np.frombuffer(b"".join(s + b"\0" for s, _ in texts), np.uint8)
+        base = np.cumsum([0] + [len(s) + 1 for s, _ in texts])
+        raw = np.zeros(base[-1], unit.kind)
+        for at, (s, _) in zip(base, texts):
+            raw[at : at + len(s)] = s
+        known, joined = np.unique(raw, return_inverse=True)
+        joined[base[1:] - 1] = len(known)
+        order = np.array(suffix_array(joined.tolist()))
         room = np.concatenate([np.arange(len(s), -1, -1) for s, _ in texts])
         order = order[room[order] >= length]
         windows = span_hashes(raw, order, order + length)
@@ -199,9 +227,9 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
-    """(KEYS, spans): the repeated byte ranges of rows that have any, not united."""
-    anchors = stored(anchor_table(keyed, length), "anchors")
+def repeated_spans(keyed: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
+    """(KEYS, spans): the repeated ranges of rows that have any, in units, not united."""
+    anchors = stored(anchor_table(keyed, length, unit), "anchors")
     kinds = anchors.groupBy("anchor", "whole").agg(
         F.count("runs").alias("times"), F.min(F.struct(*KEYS, "start", "runs", "offset")).alias("one")
     )
@@ -213,12 +241,12 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     )
     asked = stored(asked.groupBy(*KEYS).agg(F.collect_list("asked").alias("asked")), "asked")
     near = only(keyed.select(*KEYS, "text"), asked.select(*KEYS), "left_semi", KEYS)
-    strings = cut_strings(near.dropDuplicates(KEYS).join(asked, KEYS), length)
+    strings = cut_strings(near.dropDuplicates(KEYS).join(asked, KEYS), length, unit)
     paired = in_block_pairs(strings, several, "anchor", BLOCK)
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        flags = repeated_windows(group["string"].tolist(), group["offset"].tolist(), length)
+        flags = repeated_windows(group["string"].tolist(), group["offset"].tolist(), length, unit)
         for whole, own in zip(group["id"].tolist(), flags):
             out += [(whole, a, b) for a, b in _runs(own)]
         found = pd.DataFrame(out, columns=["whole", "low", "high"], dtype="int64")
@@ -251,13 +279,29 @@ def united(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with keys and ``spans``; rows without repeats never leave their place."""
+def word_ranges(raw: bytes, spans: list[dict] | None) -> list[dict]:
+    """Ranges of words as ranges of bytes."""
+    if not spans:
+        return []
+    starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [{"low": int(starts[a]), "high": int(ends[b - 1])} for a, b in united(spans, len(starts))]
+
+
+def _with_spans(docs: DataFrame, length: int, n_words: int | None = None) -> DataFrame:
+    """``docs`` with keys, ``spans`` and ``word_spans``; rows without repeats never leave
+    their place."""
     keyed = _keyed(docs)
     spans = stored(repeated_spans(keyed, length), "repeats")
+    if n_words is None:
+        spans = spans.withColumn("word_spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    else:
+        longer = stored(repeated_spans(keyed, n_words, WORDS), "repeats")
+        spans = spans.join(longer.withColumnRenamed("spans", "word_spans"), KEYS, "full")
+        spans = stored(spans, "repeats")
     keys = spans.select(*KEYS)
     touched = only(keyed, keys, "left_semi", KEYS).join(spans, KEYS)
-    rest = only(keyed, keys, "left_anti", KEYS).withColumn("spans", F.lit(None).cast(touched.schema["spans"].dataType))
+    none = F.lit(None).cast(touched.schema["spans"].dataType)
+    rest = only(keyed, keys, "left_anti", KEYS).withColumns({"spans": none, "word_spans": none})
     return touched.unionByName(rest)
 
 
@@ -289,8 +333,9 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(task, schema)
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``.
+def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``: those of ``length`` bytes and
+    more, and with ``n_words`` also those of so many words and more.
 
     A character that is only partly covered stays. Columns and other values stay as they are,
     a null text too; ``n_chars``, where there is one, counts the new text.
@@ -300,13 +345,13 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
-                own = text.as_py()
-                if own is None or not spans.as_py():
+            for text, *spans in zip(*(batch.column(c) for c in ("text", "spans", "word_spans"))):
+                own, (spans, by_word) = text.as_py(), [s.as_py() for s in spans]
+                if own is None or not (spans or by_word):
                     texts.append(own)
                     continue
                 raw, parts, at = own.encode(), [], 0
-                for low, high in united(spans.as_py(), len(raw)):
+                for low, high in united([*(spans or ()), *word_ranges(raw, by_word)], len(raw)):
                     while low < high and raw[low] & 0xC0 == 0x80:
                         low += 1
                     while high > low and high < len(raw) and raw[high] & 0xC0 == 0x80:
@@ -317,7 +362,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    left = _with_spans(docs, length).select(*columns, "spans").mapInArrow(task, schema)
+    left = _with_spans(docs, length, n_words).select(*columns, "spans", "word_spans").mapInArrow(task, schema)
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return left.select(*columns)

@@ -180,6 +180,35 @@ def test_repeats_of_null_ids_equal_brute_force(docs_of, monkeypatch):
     )
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(spark, docs_of, folder, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 4)
+    rng = random.Random(12)
+    shared = [sentence(300 + k, 90).split() for k in range(3)]
+    planted = [f"é{k:04d}" for k in range(51)]
+    texts = [None, "", "x " * 60, "y " * 51, "z " * 52, " ".join(["lone", *planted])]
+    texts.append("\n".join(planted) + "\tend")
+    for k in range(40):
+        low = rng.randrange(30)
+        part = shared[k % 3][low : low + rng.randrange(40, 60)]
+        texts.append(" ".join([sentence(400 + k, 15), *part, sentence(500 + k, 10)]))
+    rows = [(None if k % 5 == 0 else k, t) for k, t in enumerate(texts)]
+    parts = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    starts = Counter(tuple(p[i : i + 51]) for p in parts for i in range(len(p) - 50))
+    want = []
+    for (own, text), p, by_byte in zip(rows, parts, repeated_bytes(texts, 400)):
+        raw, gone = (text or "").encode(), by_byte
+        spans = [m.span() for m in re.finditer(b"[^\x20\x09-\x0d]+", raw)]
+        for i in range(len(p) - 50):
+            if starts[tuple(p[i : i + 51])] > 1:
+                low, high = spans[i][0], spans[i + 50][1]
+                gone[low:high] = [True] * (high - low)
+        want.append((own, None if text is None else bytes(b for b, g in zip(raw, gone) if not g).decode()))
+    assert want[5][1] == "lone " and want[6][1] == "\tend" and want[3][1] == texts[3]
+    assert len(" ".join(planted).encode()) < 400
+    left = corpus_pipeline.cut_repeats(spark, docs_of(rows), folder)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+
+
 def test_leaks(spark, docs_of):
     items = [(1, sentence(1, 40)), (2, sentence(2, 30)), (3, "tiny"), (4, None), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
