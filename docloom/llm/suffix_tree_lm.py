@@ -99,6 +99,20 @@ def _planes(codes: np.ndarray) -> bytes:
     return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, sign last and bytes of one weight end to end: small ones stay small."""
+    numbers = numbers.astype(np.int64)
+    folded = ((numbers << 1) ^ (numbers >> 63)).astype("<u8")
+    planes = np.ascontiguousarray(folded.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    folded = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+    return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
+
+
 class Chunk:
     """One chunk's tokens with what is known of them: counts are 0 where not asked for."""
 
@@ -146,13 +160,12 @@ class Chunk:
         order = np.argsort(bucket, kind="stable")
         return order, bucket[order]
 
-    def heard(self, order: int, keys: np.ndarray, kind: str = "<i4") -> np.ndarray:
+    def heard(self, order: int, keys: np.ndarray, kind: type = np.int64) -> np.ndarray:
         """What the buckets said of the keys, in the order in which they were asked."""
-        out = np.zeros(len(keys), np.int64 if kind == "<i4" else np.float64)
-        if order in self.said:
-            unpack = zstandard.ZstdDecompressor()
-            raw = b"".join(unpack.decompress(n) for n in self.said[order]["numbers"])
-            out[self.by_bucket(keys)[0]] = np.frombuffer(raw, kind)
+        out = np.zeros(len(keys), kind)
+        if order in self.said and len(keys):
+            said = [_unpacked(n) for n in self.said[order]["numbers"]]
+            out[self.by_bucket(keys)[0]] = np.concatenate(said).view(kind)
         return out
 
     def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +192,15 @@ def _cogrouped(chunks: DataFrame, answers: DataFrame, work, schema: str) -> Data
 def _asked(chunk: Chunk, order: int) -> pd.DataFrame:
     keys, counts = chunk.questions(order)
     sort, bucket = chunk.by_bucket(keys)
-    keys, counts = keys[sort], counts[sort].astype("<u4")
+    keys, counts = keys[sort], counts[sort]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, int)
     ends = np.concatenate([edges[1:], [len(keys)]]).astype(int)
-    press = zstandard.ZstdCompressor(level=1)
     return pd.DataFrame(
         {
             "bucket": bucket[edges],
             "chunk": np.full(len(edges), int(chunk.row["chunk"])),
             "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
-            "counts": [press.compress(counts[a:b].tobytes()) for a, b in zip(edges, ends)],
+            "counts": [_packed(counts[a:b]) for a, b in zip(edges, ends)],
         }
     )
 
@@ -203,19 +215,18 @@ def _answered(asked: DataFrame, order: int) -> DataFrame:
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         sizes = [len(k) // 8 for k in group["keys"]]
         keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(unpack.decompress(c) for c in group["counts"]), "<u4")
+        counts = np.concatenate([_unpacked(c) for c in group["counts"]])
         distinct, first, codes = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.bincount(codes, weights=counts, minlength=len(distinct)).astype(np.int64)
+        totals = np.zeros(len(distinct), np.int64)
+        np.add.at(totals, codes, counts)
         totals[totals < least] = 0
-        # Larger counts than fit are as good as the largest that does.
-        numbers = np.minimum(totals[codes], (1 << 31) - 1)
+        numbers = totals[codes]
         numbers[first] *= -1
         bucket, out, at = int(group["bucket"].iloc[0]), [], 0
         for chunk, size in zip(group["chunk"].tolist(), sizes):
-            out.append((chunk, bucket, order, press.compress(numbers[at : at + size].astype("<i4").tobytes())))
+            out.append((chunk, bucket, order, _packed(numbers[at : at + size])))
             at += size
         out.append((-1, bucket, order, np.array([int((totals > 0).sum())]).tobytes()))
         return pd.DataFrame(out, columns=["chunk", "bucket", "about", "numbers"])
@@ -234,7 +245,10 @@ class Root:
 
 
 def _evidence(chunk: Chunk, root: Root) -> pd.DataFrame:
-    """(context, n, mass, events, gain): sums over the followers this chunk speaks for."""
+    """(context, n, kinds, events, gain): sums over the followers this chunk speaks for.
+
+    Every one of the ``kinds`` of followers gives up one discount; counts stay exact.
+    """
     share = root.of(chunk.count)
     parent = np.maximum(chunk.pair_count - DISCOUNT, 0) / np.maximum(chunk.before, 1) + share
     parts = []
@@ -249,13 +263,15 @@ def _evidence(chunk: Chunk, root: Root) -> pd.DataFrame:
         keys, codes = np.unique(context[at], return_inverse=True)
         first = np.zeros(len(keys), np.int64)
         first[codes] = whole
+        events = np.zeros(len(keys), np.int64)
+        np.add.at(events, codes, n)
         parts.append(
             pd.DataFrame(
                 {
                     "context": keys.view(np.int64),
                     "n": first,
-                    "mass": np.bincount(codes, weights=n - DISCOUNT, minlength=len(keys)),
-                    "events": np.bincount(codes, weights=n, minlength=len(keys)),
+                    "kinds": np.bincount(codes, minlength=len(keys)),
+                    "events": events,
                     "gain": np.bincount(codes, weights=gain, minlength=len(keys)),
                 }
             )
@@ -278,25 +294,25 @@ def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
     sort, bucket = chunk.by_bucket(keys)
     fields = []
     for name, kind in _SAID:
-        values = np.zeros(len(keys), np.float64)
-        (np.maximum if name == "n" else np.add).at(values, at, said[name].to_numpy(np.float64))
-        fields.append(values[sort].astype(kind))
+        values = np.zeros(len(keys), kind)
+        (np.maximum if name == "n" else np.add).at(values, at, said[name].to_numpy(kind))
+        fields.append(values[sort].view(np.int64))
     keys = keys[sort]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, int)
     ends = np.concatenate([edges[1:], [len(keys)]]).astype(int)
-    press = zstandard.ZstdCompressor(level=1)
     return pd.DataFrame(
         {
             "bucket": bucket[edges],
             "chunk": np.full(len(edges), int(chunk.row["chunk"])),
             "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
-            "counts": [press.compress(b"".join(f[a:b].tobytes() for f in fields)) for a, b in zip(edges, ends)],
+            "counts": [_packed(np.concatenate([f[a:b] for f in fields])) for a, b in zip(edges, ends)],
         }
     )
 
 
-# What a chunk says of a context: its occurrences, and sums over followers.
-_SAID = (("n", "<i4"), ("events", "<i4"), ("mass", "<f4"), ("gain", "<f4"))
+# What a chunk says of a context: its occurrences, and sums over followers. Floats travel as
+# the 64-bit numbers of their bits.
+_SAID = (("n", np.int64), ("events", np.int64), ("kinds", np.int64), ("gain", np.float64))
 
 
 def _judged(testimony: DataFrame) -> DataFrame:
@@ -305,24 +321,23 @@ def _judged(testimony: DataFrame) -> DataFrame:
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         sizes = [len(k) // 8 for k in group["keys"]]
         keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        raws = [unpack.decompress(c) for c in group["counts"]]
-        whole = {
-            name: np.concatenate([np.frombuffer(r, kind, m, 4 * m * i) for r, m in zip(raws, sizes)]).astype(np.float64)
-            for i, (name, kind) in enumerate(_SAID)
-        }
+        raws = [_unpacked(c).reshape(len(_SAID), -1) for c in group["counts"]]
+        whole = {name: np.concatenate([r[i] for r in raws]).view(kind) for i, (name, kind) in enumerate(_SAID)}
         distinct, codes = np.unique(keys, return_inverse=True)
-        n = np.zeros(len(distinct))
+        n, events, kinds = (np.zeros(len(distinct), np.int64) for _ in range(3))
         np.maximum.at(n, codes, whole["n"])
-        events, mass, gain = (np.bincount(codes, whole[f], len(distinct)) for f in ("events", "mass", "gain"))
-        left = np.where(n >= LEAST, 1 - mass / np.maximum(n, 1), 0.0)
+        np.add.at(events, codes, whole["events"])
+        np.add.at(kinds, codes, whole["kinds"])
+        gain = np.bincount(codes, whole["gain"], len(distinct))
+        # A small difference of large counts: exact before it is divided.
+        left = np.where(n >= LEAST, ((n - events) + DISCOUNT * kinds) / np.maximum(n, 1), 0.0)
         gain += (n - events) * np.log(np.maximum(left, 1e-300))
-        left = np.where((left > 0) & (gain >= GAIN), left, 0.0).astype("<f4")[codes]
+        left = np.where((left > 0) & (gain >= GAIN), left, 0.0)[codes].view(np.int64)
         bucket, out, at = int(group["bucket"].iloc[0]), [], 0
         for chunk, size in zip(group["chunk"].tolist(), sizes):
-            out.append((chunk, bucket, 0, press.compress(left[at : at + size].tobytes())))
+            out.append((chunk, bucket, 0, _packed(left[at : at + size])))
             at += size
         return pd.DataFrame(out, columns=["chunk", "bucket", "about", "numbers"])
 
@@ -333,7 +348,7 @@ def _scored(chunk: Chunk, root: Root) -> pd.DataFrame:
     share = root.of(chunk.count)
     likely = share.copy()
     contexts = _contexts(chunk)
-    retained = chunk.heard(0, contexts, "<f4")
+    retained = chunk.heard(0, contexts, np.float64)
     for at, count, total, context in (
         (chunk.second & (chunk.before >= LEAST), chunk.pair_count, chunk.before, chunk.single),
         (chunk.context_count >= LEAST, chunk.triple_count, chunk.context_count, chunk.context),

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,41 @@ def test_language_model(docs_of):
     assert suffix_tree_lm.score(docs.limit(0), "held_out").count() == 0
 
 
+def listener(answers):
+    """A chunk that only heard ``answers``."""
+    chunk = suffix_tree_lm.Chunk.__new__(suffix_tree_lm.Chunk)
+    chunk.row, chunk.buckets = {"chunk": 0}, 1
+    chunk.said = {order: rows for order, rows in answers.groupby("about")}
+    return chunk
+
+
+ASKED = "bucket long, chunk long, keys binary, counts binary"
+
+
+def test_language_model_counts_beyond_32_bits(spark, monkeypatch):
+    keys = np.array([3, 8], np.uint64)
+    frames = []
+    for number in (0, 1):
+        chunk = listener(pd.DataFrame({"about": []}))
+        chunk.row = {"chunk": number}
+        chunk.questions = lambda order: (keys, np.array([(1 << 31) + 1, 7]))
+        frames.append(suffix_tree_lm._asked(chunk, 1))
+    asked = spark.createDataFrame(pd.concat(frames), ASKED)
+    got = suffix_tree_lm._answered(asked, 1).where("chunk = 0").toPandas()
+    assert np.abs(listener(got).heard(1, keys)).tolist() == [(1 << 32) + 2, 14]
+
+
+@pytest.mark.parametrize("n", [20_000_000, (1 << 25) + 3, 5_000_000_000])
+def test_language_model_keeps_frequent_contexts_with_one_follower(spark, monkeypatch, n):
+    keys = np.array([5], np.uint64)
+    said = {"context": [5], "n": [n], "kinds": [1], "mass": [n - 0.75], "events": [n], "gain": [1000.0]}
+    monkeypatch.setattr(suffix_tree_lm, "_contexts", lambda chunk: keys)
+    monkeypatch.setattr(suffix_tree_lm, "_evidence", lambda chunk, root: pd.DataFrame(said))
+    testimony = suffix_tree_lm._testimony(listener(pd.DataFrame({"about": []})), None)
+    got = suffix_tree_lm._judged(spark.createDataFrame(testimony, ASKED)).toPandas()
+    assert listener(got).heard(0, keys, np.float64).tolist() == [0.75 / n]
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame(
         [
