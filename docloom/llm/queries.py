@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
+    byte_bpe,
+    centroids,
     decontamination,
     language,
     near_copies,
@@ -14,6 +16,8 @@ from docloom.llm import (
     pieces,
     quality,
     repeats,
+    resampling,
+    sql,
     suffix_tree_lm,
     token_files,
     url_query,
@@ -98,6 +102,29 @@ def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_position_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark; a twentieth is drawn."""
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_incremental_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors in 16 clusters after three rounds, with exact integer distances."""
+    return centroids.centroid_clusters(table(spark, folder, "embeddings")).drop("centroid")
+
+
+def op13_queue_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to byte-level BPE ids and decoded again; digests of both."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_cross_polytope_dedup": op2_cross_polytope_dedup,
@@ -109,5 +136,12 @@ QUERIES = {
     "op8_rule_ensemble_quality": op8_rule_ensemble_quality,
     "op9_lyndon_suffix_dedup": op9_lyndon_suffix_dedup,
     "op10_temporal_url_lists": url_query.op10_temporal_url_lists,
+    "op11_position_crc_resampling": op11_position_crc_resampling,
+    "op12_incremental_centroids": op12_incremental_centroids,
+    "op13_queue_byte_bpe": op13_queue_byte_bpe,
+}
+SQL = {
+    "op10_temporal_url_lists": url_query.SQL,
+    "op11_position_crc_resampling": sql.RESAMPLING,
+    "op12_incremental_centroids": sql.CENTROIDS,
 }
-SQL = {"op10_temporal_url_lists": url_query.SQL}
