@@ -23,6 +23,8 @@ class Settings:
     cache_ttl_seconds: int = 3600
     cache_max_entries: int = 10_000
     cache_evict_entries: int = 5_000
+    # Hex digits of the text key that name a partition of the stored cache: 16 or 256 parts.
+    cache_prefix_digits: int = 1
 
     chunk_size: int = 1000
     chunk_overlap: int = 200
@@ -30,6 +32,7 @@ class Settings:
     top_k: int = 5
     max_top_k: int = 50
     similarity_threshold: float = 0.7
+    snippet_chars: int = 200
     max_query_chars: int = 1000
     max_agent_query_chars: int = 2000
 
@@ -38,11 +41,15 @@ class Settings:
 
     pii_enabled: bool = True
 
-    # Physical limits. Query batches up to this many bytes are shipped to every
-    # task; larger ones take the shuffled block path.
+    # Physical limits. Queries are sent to every task in waves of this many bytes.
     broadcast_query_bytes: int = 32 * 1024 * 1024
-    query_block_rows: int = 4096
-    vector_block_rows: int = 65_536
+    # Hits of about 100 bytes each that may be sent to every task of a following join.
+    broadcast_hits: int = 100_000
+    # Ids that a fetch of winners pushes into the scan one by one.
+    pushed_ids: int = 5_000
+    # Keys of the changes since the last compaction are sent to every task up to this many
+    # bytes; more of them take the shuffle.
+    broadcast_key_bytes: int = 64 * 1024 * 1024
     # Keys treated as hot when a table with repeated keys is joined. The list is
     # bounded by this number, so it can be broadcast whatever the data size.
     max_hot_keys: int = 1000

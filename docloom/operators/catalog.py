@@ -15,7 +15,7 @@ CATALOG_COLUMNS = [
 ]
 
 
-def catalog_rows(prepared: DataFrame, *keep: str) -> DataFrame:
+def catalog_rows(prepared: DataFrame, *keep: str | Column) -> DataFrame:
     """Catalog rows straight from prepared documents, with the columns in ``keep`` added.
 
     Chunk count, personal-data flags and node count are taken where they are computed,
@@ -92,6 +92,25 @@ def page_of(catalog: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame
     )
 
 
+def page_after(catalog: DataFrame, after: tuple | None = None, page_size: int = 20) -> DataFrame:
+    """The page that follows the row ``after`` = (created_at, document_id), newest first.
+
+    A seek: rows up to the cursor are filtered out at the scan, so every page costs the
+    same, and rows that arrive in between shift nothing. ``after`` None gives the first page;
+    the cursor of the next one is the last row's pair. A null time comes after all others.
+    """
+    if page_size < 1:
+        raise ValueError("page_size starts at 1")
+    rows = catalog
+    if after is not None:
+        at, key = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        later = (F.col("created_at") < at) | F.col("created_at").isNull()
+        same, none = F.col("created_at") == at, F.col("created_at").isNull()
+        past = none if after[0] is None else same
+        rows = rows.where((past & (F.col("document_id") > key)) | (later if after[0] is not None else F.lit(False)))
+    return rows.orderBy(F.desc_nulls_last("created_at"), F.asc("document_id")).limit(page_size)
+
+
 def details(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return catalog.join(ids.select("document_id"), "document_id", "left_semi")
 

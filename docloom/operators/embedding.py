@@ -55,7 +55,8 @@ class HashedTokenEmbedder:
         def encode(texts: Sequence[str]):
             counts = np.zeros((len(texts), 2 * dimension))
             for row, text in enumerate(texts):
-                codes = [slots.get(t) or slot(t) for t in words.findall(text.lower())]
+                found = words.findall(text.lower())
+                codes = [s if (s := slots.get(t)) is not None else slot(t) for t in found]
                 if codes:
                     counts[row] = np.bincount(codes, minlength=2 * dimension)
             return counts[:, :dimension] - counts[:, dimension:]
@@ -125,7 +126,13 @@ def encode_misses(texts: DataFrame, cache: DataFrame, embedder: Embedder, seq: i
                   inserted_at: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """New cache rows for texts the cache does not hold; ``seq`` orders insertions."""
     misses = cache_misses(texts, cache) if settings.cache_enabled else texts
-    return misses.select(
+    return encode_texts(misses, embedder, seq, inserted_at, settings)
+
+
+def encode_texts(texts: DataFrame, embedder: Embedder, seq: int, inserted_at: Column,
+                 settings: Settings = DEFAULTS) -> DataFrame:
+    """Cache rows for texts known to be new."""
+    return texts.select(
         "text_key",
         embed(F.col("text"), embedder, settings).alias("embedding"),
         F.lit(seq).cast("long").alias("inserted_seq"),

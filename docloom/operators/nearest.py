@@ -1,24 +1,24 @@
 """Exact top-k cosine search.
 
-Scores of a vector block against all queries are one matrix product in NumPy; each
-task keeps only its k best per query, and those few rows are ranked by Spark. No
-(query, vector) pair is ever a row.
+Scores of a vector block against the queries of its namespace are one matrix product in
+NumPy; each task keeps only its k best per query, and those few rows are ranked by Spark. No
+(query, vector) pair is ever a row, and no vector is ever shuffled: queries go to the vectors,
+in waves of a bounded size. A batch of queries that fits into one wave is the common case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.config import DEFAULTS, Settings
 from docloom.operators.skew import top_n
+from docloom.session import work_path
 
 # Scores are compared after rounding, so equal vectors tie whatever the order of
 # the sums, and ties go to the smaller id.
 SCORE_DIGITS = 9
-# Hits of about 100 bytes each that may be sent to every task of a following join.
-BROADCAST_HITS = 100_000
 
 
 class QueryBlock:
@@ -28,49 +28,65 @@ class QueryBlock:
         import numpy as np
 
         self.ids = table.column("query_id").combine_chunks()
-        self.namespaces = np.asarray(table.column("namespace").to_pylist(), dtype=object)
+        spaces = table.column("namespace").combine_chunks().dictionary_encode()
+        self.spaces = spaces.dictionary
+        self.space_of = spaces.indices.to_numpy()
+        # The queries of each namespace, in order.
+        order = np.argsort(self.space_of, kind="stable")
+        edges = np.searchsorted(self.space_of[order], np.arange(len(self.spaces) + 1))
+        self.queries = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
         self.top_k = table.column("top_k").to_numpy().astype(int)
         self.floor = table.column("similarity_threshold").to_numpy().astype(float)
         self.matrix = _unit_rows(_matrix(table.column("query_vector").combine_chunks()))
         self.best = None
 
     def add(self, batch, step: int = 512) -> None:
-        """Score a batch of (namespace, id, values) and keep what can still win."""
+        """Score a batch of (namespace, id, values) and keep what can still win.
+
+        Every namespace's vectors meet that namespace's queries only.
+        """
         import numpy as np
         import pandas as pd
+        import pyarrow.compute as pc
 
         if batch.num_rows == 0 or len(self.top_k) == 0:
             return
-        vectors = _unit_rows(_matrix(batch.column("values")))
-        spaces = np.asarray(batch.column("namespace").to_pylist(), dtype=object)
-        one_space = len(set(spaces) | set(self.namespaces)) == 1
-        found = []
-        for lo in range(0, len(self.top_k), step):
-            part = slice(lo, lo + step)
-            scores = np.round(self.matrix[part] @ vectors.T, SCORE_DIGITS)
-            usable = scores >= self.floor[part, None]
-            if not one_space:
-                usable &= self.namespaces[part, None] == spaces[None, :]
-            scores[~usable] = -np.inf
-            k = int(self.top_k[part].max())
-            if scores.shape[1] > k:
-                cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                usable &= scores >= cut[:, None]
-            q, v = np.nonzero(usable)
-            found.append((q + lo, v, scores[q, v]))
+        space = pc.index_in(batch.column("namespace"), self.spaces)
+        space = pc.fill_null(space, -1).to_numpy()
+        values, found = batch.column("values"), []
+        for own in np.unique(space[space >= 0]):
+            rows = np.flatnonzero(space == own)
+            vectors = _unit_rows(_matrix(values.take(_index(rows))))
+            for lo in range(0, len(self.queries[own]), step):
+                asked = self.queries[own][lo : lo + step]
+                scores = np.round(self.matrix[asked] @ vectors.T, SCORE_DIGITS)
+                usable = scores >= self.floor[asked, None]
+                k = int(self.top_k[asked].max())
+                if scores.shape[1] > k:
+                    ranked = np.where(usable, scores, -np.inf)
+                    cut = np.partition(ranked, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    usable &= scores >= cut[:, None]
+                q, v = np.nonzero(usable)
+                found.append((asked[q], rows[v], scores[q, v]))
+        if not found:
+            return
         q, v, s = (np.concatenate(x) for x in zip(*found))
-        rows = pd.DataFrame(
+        new = pd.DataFrame(
             {"q": q, "id": batch.column("id").take(_index(v)).to_pylist(), "score": s}
         )
-        self.best = self._trim(rows if self.best is None else pd.concat([self.best, rows]))
+        self.best = self._trim(new if self.best is None else pd.concat([self.best, new]))
 
     def _trim(self, rows):
+        """The best rows of each query; a query with all it asks for raises its floor."""
+        import numpy as np
+
         rows = rows.sort_values(["q", "score", "id"], ascending=[True, False, True])
         q = rows["q"].to_numpy()
-        kept = rows[rows.groupby("q").cumcount().to_numpy() < self.top_k[q]]
-        for query, group in kept.groupby("q")["score"]:
-            if len(group) == self.top_k[query]:
-                self.floor[query] = max(self.floor[query], group.iloc[-1])
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rows[place < self.top_k[q]]
+        last = rows[place == self.top_k[q] - 1]
+        at = last["q"].to_numpy()
+        self.floor[at] = np.maximum(self.floor[at], last["score"].to_numpy())
         return kept
 
     def hits(self, schema):
@@ -82,7 +98,7 @@ class QueryBlock:
         q = self.best["q"].to_numpy()
         columns = [
             self.ids.take(_index(q)),
-            pa.array(self.namespaces[q].tolist(), pa.string()),
+            self.spaces.take(_index(self.space_of[q])),
             pa.array(self.best["id"].tolist(), pa.string()),
             pa.array(self.best["score"].to_numpy(), pa.float64()),
             pa.array(self.top_k[q], pa.int32()),
@@ -162,44 +178,42 @@ def nearest(
     """``query_id, namespace, id, score, rank`` of the k best records per query.
 
     ``queries`` is a stored or checkpointed table with ``query_id, query_vector`` and
-    optional ``namespace, top_k, similarity_threshold``. Its size decides the path: a
-    batch under the byte limit goes to every task, a larger one is cut into blocks that
-    meet vector blocks through an equi-join on the block pair. Every query gets as many
+    optional ``namespace, top_k, similarity_threshold``. Queries are sent to all tasks in
+    waves of at most ``broadcast_query_bytes``; vectors are scanned where they lie, once for
+    each wave. The candidates of all tasks are ranked in two levels. Every query gets as many
     hits as it asks for; ``query_rejects`` lists those that cannot be answered.
     """
-    spark = vectors.sparkSession
     answerable = (F.size("query_vector") == dimension) & (F.col("top_k") >= 1)
     queries = prepare_queries(queries, settings).where(answerable)
     # The threshold is applied to the score before the rank.
     records = vectors.where(F.size("values") == dimension).select("namespace", "id", "values")
+    schema = _hit_schema(queries)
     limit = max(1, settings.broadcast_query_bytes // (8 * dimension))
     batch = queries.limit(limit + 1).toArrow()
-    small = batch.num_rows <= limit
-    if small:
-        candidates = _every_task(spark, records, batch, _hit_schema(queries))
-    else:
-        candidates = _block_pairs(records, queries, _hit_schema(queries), settings)
-    ranked = top_n(
-        candidates,
-        ["query_id"],
-        [F.desc("score"), F.asc("id")],
-        F.col("top_k"),
-        ["id"],
-        at_most=max(batch.column("top_k").to_pylist(), default=1) if small else None,
-        settings=settings,
-    ).select("query_id", "namespace", "id", "score", "rank")
-    # A small batch has a known number of hits: joins may broadcast them.
-    wanted = sum(batch.column("top_k").to_pylist()) if small else None
-    return ranked.hint("broadcast") if small and wanted <= BROADCAST_HITS else ranked
-
-
-def _every_task(spark: SparkSession, records: DataFrame, batch, schema: T.StructType) -> DataFrame:
+    if batch.num_rows <= limit:
+        wanted = batch.column("top_k").to_pylist()
+        hits = _ranked(_wave(records, batch, schema), max(wanted, default=1), settings)
+        # A single wave has a known number of hits: joins may broadcast them.
+        return hits.hint("broadcast") if sum(wanted) <= settings.broadcast_hits else hits
+    return _ranked(_waves(records, queries, limit, schema), None, settings)
+
+
+def _ranked(candidates: DataFrame, at_most: int | None, settings: Settings) -> DataFrame:
+    order = [F.desc("score"), F.asc("id")]
+    best = top_n(
+        candidates, ["query_id"], order, F.col("top_k"), ["id"], at_most=at_most, settings=settings
+    )
+    return best.select("query_id", "namespace", "id", "score", "rank")
+
+
+def _wave(records: DataFrame, batch, schema: T.StructType) -> DataFrame:
+    """Each task's best hits for one wave of queries; a narrow step over the vectors."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = spark.sparkContext.broadcast(batch)
+    shared = records.sparkSession.sparkContext.broadcast(batch)
     out = to_arrow_schema(schema)
     # Namespaces nobody asks for are pruned before they are read.
-    spaces = sorted(set(batch.column("namespace").to_pylist()))
+    spaces = batch.column("namespace").unique().to_pylist()
 
     def run(batches):
         block = QueryBlock(shared.value)
@@ -207,38 +221,22 @@ def _every_task(spark: SparkSession, records: DataFrame, batch, schema: T.Struct
             block.add(part)
         yield block.hits(out)
 
-    return records.where(F.col("namespace").isin(spaces)).mapInArrow(run, schema)
-
-
-def _block_pairs(
-    records: DataFrame, queries: DataFrame, schema: T.StructType, settings: Settings
-) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    query_blocks = max(1, -(-queries.count() // settings.query_block_rows))
-    vector_blocks = max(1, -(-records.count() // settings.vector_block_rows))
-    out = to_arrow_schema(schema)
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def block_of(n: int, *columns: str):
-        return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    return records.where(F.col("namespace").isin(sorted(spaces))).mapInArrow(run, schema)
 
-    left = queries.withColumn("query_block", block_of(query_blocks, "query_id")).withColumn(
-        "vector_block", every(vector_blocks)
-    )
-    right = records.withColumn(
-        "vector_block", block_of(vector_blocks, "namespace", "id")
-    ).withColumn("query_block", every(query_blocks))
 
-    def run(left_table, right_table):
-        import pyarrow as pa
+def _waves(records: DataFrame, queries: DataFrame, limit: int, schema: T.StructType) -> DataFrame:
+    """Candidates of more queries than one wave holds.
 
-        block = QueryBlock(left_table)
-        for part in right_table.to_batches(max_chunksize=10_000):
-            block.add(part)
-        return pa.Table.from_batches([block.hits(out)])
-
-    cell = ["query_block", "vector_block"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, schema)
+    Queries are dealt evenly over waves and stored; each wave is read, sent and answered, and
+    its candidates are written, so a lost executor repeats tasks of one wave only.
+    """
+    spark = records.sparkSession
+    asked, found = work_path(spark, "queries"), work_path(spark, "candidates")
+    waves = -(-queries.count() // limit)
+    dealt = queries.repartition(waves).withColumn("wave", F.spark_partition_id())
+    dealt.write.partitionBy("wave").parquet(asked)
+    kept = spark.read.schema(dealt.schema).parquet(asked)
+    for wave in range(waves):
+        batch = kept.where(F.col("wave") == wave).drop("wave").toArrow()
+        _wave(records, batch, schema).write.mode("append").parquet(found)
+    return spark.read.schema(schema).parquet(found)

@@ -6,10 +6,11 @@ narrow stage. Positions count code points from 0; ``end`` is exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ from docloom.functions.pii_rules import (
     REGEX_SOURCE,
     RULES,
 )
-from docloom.operators.skew import join_to_unique
 
 HIT_TYPE = (
     "array<struct<start:int,end:int,source_rank:int,category_rank:int,pattern_rank:int,"
@@ -336,6 +336,95 @@ def map_extractions(extractions: DataFrame) -> DataFrame:
     return extractions.withColumn("category", category).where(F.col("category").isNotNull())
 
 
+def _first_places(text: Column, strings: Column) -> Column:
+    """Start of the first occurrence of each string, -1 where there is none.
+
+    One pass over the text: all strings of a row are found by one automaton.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        for texts, wanted in batches:
+            out = []
+            for value, own in zip(texts, wanted):
+                value, own = value.as_py(), own.as_py()
+                if not own:
+                    out.append(None if own is None else [])
+                    continue
+                found = {"": 0} if value is not None else {}
+                automaton = ahocorasick.Automaton()
+                for string in own:
+                    if string:
+                        automaton.add_word(string, string)
+                left = len(automaton)
+                if left and value:
+                    automaton.make_automaton()
+                    for end, string in automaton.iter(value):
+                        if string not in found:
+                            found[string] = end + 1 - len(string)
+                            left -= 1
+                            if not left:
+                                break
+                out.append([found.get(s, -1) for s in own])
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(text, strings)
+
+
+def _with_model_hits(
+    documents: DataFrame,
+    extractions: DataFrame,
+    categories: Sequence[str] | None,
+    key: str,
+    text: str,
+) -> DataFrame:
+    """``documents`` with ``_located``: the extracted strings found in each text, in order.
+
+    Strings are gathered per document first, so the text meets them in its own row and goes
+    through one join at most. A document's list is as long as its different extractions.
+    """
+    chosen = _chosen(categories)
+    rank = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("category")).cast("int")
+    wanted = (
+        map_extractions(extractions)
+        .where(F.col("category").isin(chosen) & F.col("extraction_text").isNotNull())
+        .groupBy(key)
+        .agg(
+            F.collect_set(
+                F.struct(rank.alias("category_rank"), "category", F.col("extraction_text").alias("text"))
+            ).alias("_wanted")
+        )
+    )
+    joined = documents.join(wanted, key, "left")
+    # Texts without extractions stay in the JVM.
+    asked = F.when(F.col("_wanted").isNotNull(), F.col(text))
+    placed = joined.withColumn("_places", _first_places(asked, F.col("_wanted.text")))
+    hits = F.zip_with(
+        "_wanted",
+        "_places",
+        lambda w, at: F.struct(
+            at.alias("start"),
+            (at + F.length(w["text"])).cast("int").alias("end"),
+            w["category_rank"].alias("category_rank"),
+            w["category"].alias("category"),
+            w["text"].alias("text"),
+        ),
+    )
+    located = F.array_sort(F.filter(hits, lambda h: h["start"] >= 0))
+    return placed.withColumn("_located", located).drop("_wanted", "_places")
+
+
+def _first_at_each_place(located: Column) -> Column:
+    """Sorted hits without those at the position of the one before."""
+    return F.filter(
+        located,
+        lambda h, i: (i == 0)
+        | (F.get(located, i - 1)["start"] != h["start"])
+        | (F.get(located, i - 1)["end"] != h["end"]),
+    )
+
+
 def locate_extractions(
     documents: DataFrame,
     extractions: DataFrame,
@@ -346,37 +435,27 @@ def locate_extractions(
 ) -> DataFrame:
     """Place extracted strings at their first occurrence in the document.
 
-    Repeats are removed before the join. Strings not in the text and categories not
-    asked for are dropped. One row per (document, start, end); ``categories`` has all
-    categories that were found there.
+    Strings not in the text and categories not asked for are dropped. One row per (document,
+    start, end); ``categories`` has all categories that were found there.
     """
-    chosen = _chosen(categories)
-    wanted = (
-        map_extractions(extractions)
-        .where(F.col("category").isin(chosen))
-        .select(key, "category", "extraction_text")
-        .distinct()
-    )
-    texts = documents.select(key, F.col(text).alias("_text"))
-    found = join_to_unique(
-        wanted, texts, key, spread_by=["category", "extraction_text"], settings=settings
-    ).select(
-        key,
-        "category",
-        F.col("extraction_text").alias("text"),
-        (F.instr(F.col("_text"), F.col("extraction_text")) - 1).alias("start"),
-    )
-    rank = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("category")).cast("int")
+    found = _with_model_hits(documents.select(key, text), extractions, categories, key, text)
+    located = F.col("_located")
     return (
-        found.where(F.col("start") >= 0)
-        .withColumn("end", F.col("start") + F.length("text"))
-        .groupBy(key, "start", "end")
-        .agg(
-            F.min(F.struct(rank.alias("category_rank"), "category", "text")).alias("best"),
-            F.collect_set("category").alias("categories"),
-        )
+        found.select(key, F.explode(_first_at_each_place(located)).alias("h"), located)
         .select(
-            key, "best.category", "best.text", "start", "end", "best.category_rank", "categories"
+            key,
+            "h.category",
+            "h.text",
+            "h.start",
+            "h.end",
+            "h.category_rank",
+            F.transform(
+                F.filter(
+                    "_located",
+                    lambda x: (x["start"] == F.col("h.start")) & (x["end"] == F.col("h.end")),
+                ),
+                lambda x: x["category"],
+            ).alias("categories"),
         )
         .withColumn("confidence", F.lit(MODEL_CONFIDENCE))
         .withColumn("source", F.lit(MODEL_SOURCE))
@@ -394,36 +473,34 @@ def with_pii_and_extractions(
 ) -> DataFrame:
     """The report over regex and model hits together, as column ``pii``.
 
-    Model hits are unique per position before they are gathered, so the array of a
-    document is bounded by its own text. ``categories_found`` has the categories of all
-    located hits, also of those that share a position.
+    Model hits are unique per position, so the array of a document is bounded by its own
+    text. ``categories_found`` has the categories of all located hits, also of those that
+    share a position. With the master switch off no extraction is looked at.
     """
-    located = locate_extractions(documents, extractions, categories, key, text, settings)
-    hit = F.struct(
-        F.col("start").cast("int").alias("start"),
-        F.col("end").cast("int").alias("end"),
-        F.lit(0).alias("source_rank"),
-        F.col("category_rank"),
-        F.lit(0).alias("pattern_rank"),
-        "category",
-        "text",
-        "confidence",
-        "source",
-    )
-    gathered = located.groupBy(key).agg(
-        F.collect_list(hit).alias("_model_hits"),
-        F.array_distinct(F.flatten(F.collect_set("categories"))).alias("_model_categories"),
+    if not settings.pii_enabled:
+        return documents.withColumn("pii", pii_report(F.col(text), categories, settings=settings, **options))
+    found = _with_model_hits(documents, extractions, categories, key, text)
+    model_hits = F.transform(
+        _first_at_each_place(F.col("_located")),
+        lambda h: F.struct(
+            h["start"].alias("start"),
+            h["end"].alias("end"),
+            F.lit(0).alias("source_rank"),
+            h["category_rank"].alias("category_rank"),
+            F.lit(0).alias("pattern_rank"),
+            h["category"].alias("category"),
+            h["text"].alias("text"),
+            F.lit(MODEL_CONFIDENCE).alias("confidence"),
+            F.lit(MODEL_SOURCE).alias("source"),
+        ),
     )
-    joined = documents.join(gathered, key, "left")
     report = pii_report(
         F.col(text),
         categories,
-        model_hits=F.col("_model_hits").cast(HIT_TYPE),
+        model_hits=model_hits.cast(HIT_TYPE),
         settings=settings,
         **options,
     )
-    if settings.pii_enabled:
-        more = F.coalesce("_model_categories", F.array().cast("array<string>"))
-        every = F.array_sort(F.array_union(report["categories_found"], more))
-        report = report.withField("categories_found", every)
-    return joined.withColumn("pii", report).drop("_model_hits", "_model_categories")
+    more = F.coalesce(F.col("_located.category"), F.array().cast("array<string>"))
+    every = F.array_sort(F.array_union(report["categories_found"], more))
+    return found.withColumn("pii", report.withField("categories_found", every)).drop("_located")

@@ -48,7 +48,7 @@ def normalize_records(df: DataFrame, namespace: str | None = None,
     from_metadata = F.try_variant_get(metadata, "$.document_id", "string")
     doc = F.col("document_id") if "document_id" in df.columns else from_metadata
     return df.select(
-        F.coalesce(ns, F.lit(namespace), F.lit(settings.namespace)).alias("namespace"),
+        F.coalesce(F.nullif(ns, F.lit("")), F.lit(namespace or settings.namespace)).alias("namespace"),
         "id",
         doc.alias("document_id"),
         "values",
@@ -57,15 +57,19 @@ def normalize_records(df: DataFrame, namespace: str | None = None,
     )
 
 
-def contract(df: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
-    """Split into records of the index dimension and rejects with a reason."""
-    reason = (
+def reject_reason(dimension: int) -> Column:
+    """What is wrong with a record of an index of this dimension; null for a good one."""
+    return (
         F.when(F.col("id").isNull() | (F.col("id") == ""), "missing id")
         .when(F.col("values").isNull(), "missing values")
         .when(F.size("values") != dimension, "wrong dimension")
         .when(F.exists("values", lambda x: x.isNull() | F.isnan(x)), "not a number")
     )
-    checked = df.withColumn("reject_reason", reason)
+
+
+def contract(df: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """Split into records of the index dimension and rejects with a reason."""
+    checked = df.withColumn("reject_reason", reject_reason(dimension))
     good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return good, checked.where(F.col("reject_reason").isNotNull())
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
@@ -15,9 +17,11 @@ from docloom.operators.embedding import Embedder
 from docloom.operators.pii import pii_report
 from docloom.operators.sections import section_nodes
 from docloom.operators.vectors import vector_records
+from docloom.schemas import STORED_CATALOG
 from docloom.session import path_exists, shared_folder
 from docloom.sources.cache_table import CacheTable
 from docloom.sources.files import extract
+from docloom.sources.ledger import Ledger
 from docloom.sources.vector_table import VectorTable
 
 
@@ -58,8 +62,10 @@ def chunk_rows(prepared: DataFrame) -> DataFrame:
 class KnowledgeBase:
     """The tables of one document collection, below one folder.
 
-    Catalog and chunks are partitioned by batch. Running a batch again replaces its own
-    partitions, and ids come from content, so a replay changes nothing.
+    A batch is named by ``run`` (the source it comes from) and its number there. The ledger
+    gives it its place in the order of all batches; every table keeps the batch's rows under
+    that number. A batch that breaks is run again and replaces its own rows only; one that is
+    closed in the ledger has no second effect.
     """
 
     spark: SparkSession
@@ -79,70 +85,102 @@ class KnowledgeBase:
     def cache(self) -> CacheTable:
         return CacheTable(self.spark, f"{self.root}/cache", self.settings)
 
-    def _live(self, name: str) -> DataFrame:
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, f"{self.root}/ledger")
+
+    def _stored(self, name: str, schema: str | None = None) -> DataFrame:
+        read = self.spark.read.schema(schema) if schema else self.spark.read
+        return read.parquet(f"{self.root}/{name}")
+
+    def _live(self, name: str, schema: str | None = None) -> DataFrame:
         """Stored rows without those of documents deleted in their batch or later."""
-        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        rows = self._stored(name, schema)
         if not path_exists(self.spark, f"{self.root}/deleted"):
             return rows
-        deleted = self.spark.read.parquet(f"{self.root}/deleted")
-        until = deleted.groupBy("document_id").agg(F.max("batch").alias("_until"))
-        dead = (rows["document_id"] == until["document_id"]) & (rows["batch"] <= until["_until"])
+        until = self._stored("deleted").groupBy("document_id").agg(F.max("seq").alias("_until"))
+        dead = (rows["document_id"] == until["document_id"]) & (rows["seq"] <= until["_until"])
         return rows.join(until, dead, "left_anti")
 
     def catalog(self) -> DataFrame:
-        """One row per document, from its last batch; copies inside it are the same document."""
-        rows = cat.catalog_rows(self._live("prepared"), "batch")
-        order = F.struct("batch", "created_at")
-        return cat.latest(rows.withColumn("version", order).drop("batch"), "version")
+        """One row per document, from its last batch; copies inside it are the same document.
+
+        Read from the narrow catalog table that ingest writes: no chunk or text is touched.
+        """
+        if not path_exists(self.spark, f"{self.root}/catalog"):
+            return self.spark.createDataFrame([], STORED_CATALOG)
+        rows = self._live("catalog", f"{STORED_CATALOG}, seq BIGINT")
+        order = F.struct("seq", "created_at")
+        return cat.latest(rows.withColumn("version", order).drop("seq"), "version")
 
     def chunks(self) -> DataFrame:
         """One row per chunk id; a document ingested again has the same chunks."""
-        return self._live("chunks").drop("batch").dropDuplicates(["chunk_id"])
+        return self._live("chunks").drop("seq").dropDuplicates(["chunk_id"])
 
-    def _replace_batch(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+    def _replace(self, df: DataFrame, name: str, seq: int) -> DataFrame:
         path = f"{self.root}/{name}"
         (
-            df.withColumn("batch", F.lit(batch).cast("long"))
+            df.withColumn("seq", F.lit(seq).cast("long"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy("seq")
             .parquet(path)
         )
-        return self.spark.read.parquet(path).where(F.col("batch") == batch)
+        schema = T.StructType([*df.schema.fields, T.StructField("seq", T.LongType())])
+        return self.spark.read.schema(schema).parquet(path).where(F.col("seq") == seq)
 
-    def ingest_files(self, raw: DataFrame, batch: int, namespace: str | None = None) -> int:
-        return self.ingest(extract(raw), batch, namespace)
+    def ingest_files(self, raw: DataFrame, batch: int, namespace: str | None = None,
+                     run: str = "default") -> int:
+        return self.ingest(extract(raw), batch, namespace, run)
 
-    def ingest(self, documents: DataFrame, batch: int, namespace: str | None = None) -> int:
+    def ingest(self, documents: DataFrame, batch: int, namespace: str | None = None,
+               run: str = "default") -> int:
         """Run one batch of extracted documents. Returns the number of vectors written."""
         shared_folder(self.spark)
-        prepared = self._replace_batch(
-            prepare(documents, nodes=self.nodes, settings=self.settings), "prepared", batch
+        entry = self.ledger.open(run, batch)
+        if entry.done:
+            return entry.effect
+        prepared = self._replace(
+            prepare(documents, nodes=self.nodes, settings=self.settings), "prepared", entry.seq
         )
+        space = F.lit(namespace or self.settings.namespace).alias("namespace")
+        counts = [F.col(f"metadata.{c}").alias(c) for c in ("table_count", "image_count")]
+        self._replace(cat.catalog_rows(prepared, space, *counts), "catalog", entry.seq)
         # Whole documents are only shuffled where the batch really holds copies.
         copies = prepared.groupBy("document_id").count().agg(F.max("count").alias("n")).first()
         source = prepared.select("document_id", "metadata", "chunks")
         if (copies["n"] or 0) > 1:
             source = source.dropDuplicates(["document_id"])
-        chunks = self._replace_batch(chunk_rows(source), "chunks", batch).drop("batch")
-        embedded = self.cache.embed_texts(chunks, "content", self.embedder, batch, ["chunk_id"])
+        chunks = self._replace(chunk_rows(source), "chunks", entry.seq).drop("seq")
+        embedded = self.cache.embed_texts(chunks, "content", self.embedder, entry.seq, ["chunk_id"])
         records = vector_records(embedded, namespace, self.settings)
-        return self.vectors.upsert(records, unique=True)
+        written = self.vectors.upsert(records, unique=True, seq=entry.seq)
+        self.ledger.close(run, batch, entry.seq, written)
+        return written
+
+    def handler(self, run: str, namespace: str | None = None) -> Callable[[DataFrame, int], int]:
+        """What a stream of files calls for each batch; ``run`` names the stream."""
+        return lambda raw, batch: self.ingest_files(raw, batch, namespace, run)
 
-    def delete_documents(self, ids: DataFrame, batch: int, namespace: str | None = None) -> DataFrame:
+    def delete_documents(self, ids: DataFrame, batch: int, namespace: str | None = None,
+                         run: str = "default") -> DataFrame:
         """Delete documents from catalog, chunks and vectors; report per requested id.
 
-        Catalog and chunks note the deletion with its batch number, so a later upload of
-        the same document counts again. Vectors are removed, from every namespace that has
-        any unless one is named.
+        Catalog and chunks note the deletion with its number, so a later upload of the same
+        document counts again. Vectors get deletion marks, in every namespace that has any
+        unless one is named. The report is stored; the same request again returns it.
         """
-        report = cat.deletion_report(ids, self.catalog()).checkpoint()
-        keys = ids.select("document_id").distinct()
-        stored = self.vectors.read()
-        gone = stored.join(keys, "document_id", "left_semi").select("namespace", "id").checkpoint()
-        # One row per namespace that holds a requested document.
-        spaces = [r[0] for r in gone.select("namespace").distinct().collect()]
-        for space in spaces if namespace is None else [namespace]:
-            self.vectors.delete(ids=gone.where(F.col("namespace") == space), namespace=space)
-        self._replace_batch(keys, "deleted", batch)
+        shared_folder(self.spark)
+        entry = self.ledger.open(run, batch)
+        if not entry.done:
+            self._replace(cat.deletion_report(ids, self.catalog()), "reports", entry.seq)
+        report = self._stored("reports").where(F.col("seq") == entry.seq).drop("seq")
+        if not entry.done:
+            keys = report.select("document_id")
+            gone = self.vectors.read().join(keys, "document_id", "left_semi")
+            if namespace is not None:
+                gone = gone.where(F.col("namespace") == namespace)
+            self.vectors.delete_keys(gone, entry.seq)
+            self._replace(keys, "deleted", entry.seq)
+            self.ledger.close(run, batch, entry.seq, report.count())
         return report

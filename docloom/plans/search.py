@@ -15,7 +15,6 @@ from docloom.operators.vectors import in_namespace, record_filter
 from docloom.sources.vector_table import VectorTable
 
 TOKENS = "[a-z0-9]+"
-SNIPPET_CHARS = 200
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder, settings: Settings = DEFAULTS) -> DataFrame:
@@ -135,7 +134,7 @@ def rerank(hits: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def sources(hits: DataFrame, catalog: DataFrame) -> DataFrame:
+def sources(hits: DataFrame, catalog: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Source references of the hits, with the document's name from the catalog."""
     names = catalog.select("document_id", F.col("filename").alias("document_name"))
     return hits.join(names, "document_id").select(
@@ -145,6 +144,6 @@ def sources(hits: DataFrame, catalog: DataFrame) -> DataFrame:
         "document_name",
         "page_number",
         "section_title",
-        F.substring("content", 1, SNIPPET_CHARS).alias("snippet"),
+        F.substring("content", 1, settings.snippet_chars).alias("snippet"),
         F.col("score").alias("relevance_score"),
     )

@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lists of ids up to this length reach the Parquet pages one by one, longer ones as a range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.ui.enabled": "false",
     # Call sites of single column operations are not recorded: building the longer
     # expressions takes a fraction of the time.
@@ -67,3 +69,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def delete_path(spark: SparkSession, path: str) -> None:
     handle, fs = hadoop_path(spark, path)
     fs.delete(handle, True)
+
+
+def numbers(spark: SparkSession, path: str) -> list[int]:
+    """The N of all folders ``name=N`` below ``path``; none where it does not exist."""
+    handle, fs = hadoop_path(spark, path)
+    if not fs.exists(handle):
+        return []
+    names = [f.getPath().getName().rpartition("=")[2] for f in fs.listStatus(handle) if f.isDirectory()]
+    return [int(n) for n in names if n.isdigit()]
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has finished writing the folder."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def complete_numbers(spark: SparkSession, path: str, name: str = "seq") -> set[int]:
+    """Those ``numbers`` whose folder ``name=N`` Spark has finished writing."""
+    return {n for n in numbers(spark, path) if complete(spark, f"{path}/{name}={n}")}

@@ -1,13 +1,23 @@
-"""The stored vector table: Parquet, partitioned by namespace and hash bucket.
+"""The stored vector table: append-only batches, read as a latest-wins view.
 
-Upsert and delete rewrite only the (namespace, bucket) partitions they touch, with
-dynamic partition overwrite: new files are complete before old ones are removed.
-Ids are hashed into buckets, so a namespace of any size is spread evenly.
+Below the table's folder:
+
+* ``changes/seq=N``: one write each, never touched again. ``kind=change`` holds records and
+  deletion marks, ``kind=reject`` records that break the contract, ``kind=drop`` names of
+  namespaces emptied as a whole.
+* ``base/seq=S``: a compaction, which stands for all changes up to S.
+
+A folder counts once Spark has put its ``_SUCCESS`` file there, so a write that breaks leaves
+nothing visible and is simply run again. Writing costs what the batch holds: no stored file is
+read or replaced. Reading drops the records whose key occurs in a later change; keys of the
+changes since the last compaction go to every task while they are few, by measured bytes.
+Records are partitioned by namespace and hash bucket of the id, so a namespace of any size is
+spread evenly and a lookup by id opens only its bucket. One writer at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +26,15 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import vectors as ops
 from docloom.schemas import VECTORS
-from docloom.session import delete_path, path_exists, shared_folder, work_path
+from docloom.session import complete_numbers, delete_path, numbers, path_exists, work_path
 
 PART = ["namespace", "bucket"]
-# Longest list of partition names that is broadcast.
-BROADCAST_PARTITIONS = 100_000
+RECORD = ["namespace", "id", "document_id", "values", "metadata"]
+_BASE = f"{VECTORS}, bucket INT"
+_MARKS = "deleted BOOLEAN, copies BIGINT, reject_reason STRING, kind STRING, bucket INT"
+_CHANGES = f"{VECTORS}, {_MARKS}, seq BIGINT"
+
+Scope = Callable[[DataFrame], DataFrame]
 
 
 class VectorTable:
@@ -30,129 +44,259 @@ class VectorTable:
         of the largest namespace stays within a few hundred megabytes."""
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
         self.buckets, self.settings = buckets, settings
-        shared_folder(spark)
 
-    def _stored(self) -> DataFrame:
-        """Records with their bucket; an empty frame where nothing was written yet."""
-        schema = f"{VECTORS}, bucket INT"
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+    # Folders
+
+    def _folder(self, kind: str, seq: int) -> str:
+        return f"{self.path}/{kind}/seq={seq}"
+
+    def _next(self) -> int:
+        used = [n for kind in ("base", "changes") for n in numbers(self.spark, f"{self.path}/{kind}")]
+        return max(used, default=0) + 1
+
+    def batches(self) -> tuple[int | None, list[int]]:
+        """The last complete compaction and the complete changes after it, in order."""
+        base = max(complete_numbers(self.spark, f"{self.path}/base"), default=None)
+        done = complete_numbers(self.spark, f"{self.path}/changes")
+        return base, [n for n in sorted(done) if base is None or n > base]
 
     def _bucket(self):
         return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
 
+    # Reading
+
+    def _change_rows(self, seqs: list[int]) -> DataFrame:
+        read = self.spark.read.schema(_CHANGES).option("basePath", f"{self.path}/changes")
+        return read.parquet(*[self._folder("changes", n) for n in seqs])
+
+    def _live(self, scope: Scope = lambda rows: rows) -> DataFrame:
+        """The live records with their bucket. ``scope`` narrows stored rows by namespace,
+        bucket or id ahead of the merge."""
+        base, seqs = self.batches()
+        kept = [*RECORD, "bucket"]
+        stored = []
+        if base is not None:
+            read = self.spark.read.schema(_BASE).parquet(self._folder("base", base))
+            marks = F.lit(base).cast("long").alias("seq"), F.lit(False).alias("deleted")
+            stored.append(scope(read).select(*kept, *marks))
+        if seqs:
+            changes = self._change_rows(seqs)
+            records = scope(changes.where("kind = 'change'")).select(*kept, "seq", "deleted")
+            stored.append(records)
+        if not stored:
+            return self.spark.createDataFrame([], _BASE).select(*kept)
+        rows = stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1])
+        dropped = [n for n in seqs if path_exists(self.spark, f"{self._folder('changes', n)}/kind=drop")]
+        if dropped:
+            drops = self._change_rows(dropped).where("kind = 'drop'")
+            last = drops.groupBy(F.col("namespace").alias("_space")).agg(F.max("seq").alias("_drop"))
+            emptied = (rows["namespace"] == last["_space"]) & (rows["seq"] < last["_drop"])
+            rows = rows.join(last, emptied, "left_anti")
+        if len(seqs) + (base is not None) > 1:
+            newer = records.groupBy(F.col("namespace").alias("_space"), F.col("id").alias("_id")).agg(
+                F.max("seq").alias("_last")
+            )
+            if self._key_bytes(records) <= self.settings.broadcast_key_bytes:
+                newer = F.broadcast(newer)
+            same = (rows["namespace"] == newer["_space"]) & (rows["id"] == newer["_id"])
+            rows = rows.join(newer, same & (newer["_last"] > rows["seq"]), "left_anti")
+        return rows.where(~F.col("deleted")).select(*kept)
+
+    @staticmethod
+    def _key_bytes(records: DataFrame) -> int:
+        """Bytes of the changed keys; reads the id column of the changes only."""
+        size = F.octet_length("id") + F.octet_length("namespace") + 24
+        return records.agg(F.sum(size).alias("n")).first()["n"] or 0
+
     def read(self) -> DataFrame:
-        return self._stored().drop("bucket")
+        return self._live().drop("bucket")
+
+    def rejects(self) -> DataFrame:
+        """Records that upserts refused, with the number of the write and the reason."""
+        seqs = sorted(complete_numbers(self.spark, f"{self.path}/changes"))
+        if not seqs:
+            return self.spark.createDataFrame([], _CHANGES).select("seq", *RECORD, "reject_reason")
+        refused = self._change_rows(seqs).where("kind = 'reject'")
+        return refused.select("seq", *RECORD, "reject_reason")
 
-    def _write(self, records: DataFrame) -> None:
-        """One file per partition, sorted by id: ids begin with their document's id, so
-        filters on either skip row groups and pages by their statistics."""
-        # One task per bucket; hashing the pair instead would give some tasks several.
-        slot = F.pmod(F.xxhash64("namespace") + F.col("bucket"), F.lit(self.buckets)).cast("int")
+    def _scope_of(self, keys: list) -> Scope:
+        """The rows whose namespace, bucket and id occur in ``keys``, as a filter that
+        reaches the partitions and the sorted pages."""
+        names = {c: sorted({k[c] for k in keys}) for c in (*PART, "id")}
+        return lambda rows: rows.where(
+            F.col("namespace").isin(names["namespace"])
+            & F.col("bucket").isin(names["bucket"])
+            & F.col("id").isin(names["id"])
+        )
+
+    def fetch(self, ids: DataFrame, namespace: str | None = None) -> DataFrame:
+        """Records with the given ids; up to ``pushed_ids`` of them go into the scan."""
+        space = F.lit(namespace or self.settings.namespace).alias("namespace")
+        keys = ids.where("id is not null").select(space, "id").distinct()
+        keys = keys.withColumn("bucket", self._bucket())
+        few = keys.limit(self.settings.pushed_ids + 1).collect()
+        if len(few) <= self.settings.pushed_ids:
+            return self._live(self._scope_of(few)).drop("bucket")
+        return self._live(lambda rows: rows.join(keys, [*PART, "id"], "left_semi")).drop("bucket")
+
+    def lookup(self, hits: DataFrame, *columns: str) -> DataFrame:
+        """Search hits with ``columns`` of their records.
+
+        Hits are stored first, so the search runs once. Up to ``pushed_ids`` ids go into the
+        scan as a filter: only the buckets and the pages of the sorted files that hold a hit
+        are read. More hits meet their buckets' records in a join.
+        """
+        stage = work_path(self.spark, "hits")
+        hits.withColumn("bucket", self._bucket()).write.parquet(stage)
+        keyed = self.spark.read.parquet(stage)
+        total = keyed.count()
+        if total <= self.settings.pushed_ids:
+            live = self._live(self._scope_of(keyed.select(*PART, "id").distinct().collect()))
+        else:
+            live = self._live()
+        stored = live.select(*PART, "id", *columns)
+        if total <= self.settings.broadcast_hits:
+            keyed = F.broadcast(keyed)
+        return keyed.join(stored, [*PART, "id"]).drop("bucket")
+
+    # Writing
+
+    def _write(self, rows: DataFrame, folder: str, *parts: str) -> None:
+        """Sorted by id: ids begin with their document's id, so filters on either skip row
+        groups and pages by their statistics. Large partitions are written by several tasks."""
         (
-            records.repartitionById(self.buckets, slot)
-            .sortWithinPartitions(*PART, "id")
+            rows.hint("rebalance", *PART)
+            .sortWithinPartitions(*parts, "id")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PART)
-            .parquet(self.path)
+            .partitionBy(*parts)
+            .parquet(folder)
         )
 
-    def upsert(self, incoming: DataFrame, namespace: str | None = None,
-               unique: bool = False) -> int:
+    def _append(self, rows: DataFrame, seq: int) -> None:
+        self._write(rows, self._folder("changes", seq), "kind", *PART)
+
+    def _taken(self, seq: int) -> bool:
+        return seq in complete_numbers(self.spark, f"{self.path}/changes")
+
+    def upsert(self, incoming: DataFrame, namespace: str | None = None, unique: bool = False,
+               seq: int | None = None) -> int:
         """Insert or replace by (namespace, id). Returns the number of records taken.
 
-        Incoming records are first written to the shared folder: they are used several
-        times, and the passes that need only keys read only keys. A first load whose
-        ids are known to be ``unique`` needs no such pass and is written once.
+        Records that break the contract are stored as rejects. Where ids are known to be
+        ``unique`` the records are written in one pass. Otherwise they are staged first, for
+        the last of several by ``ordinal`` has to be found. A ``seq`` that is complete already
+        has no second effect.
         """
+        seq = self._next() if seq is None else seq
+        if not self._taken(seq):
+            checked = self._checked(incoming, namespace)
+            if unique:
+                self._append(checked.drop("ordinal"), seq)
+            else:
+                self._append_last(checked, seq)
+        stored = self._change_rows([seq]).where("kind = 'change'")
+        return stored.agg(F.sum("copies").alias("n")).first()["n"] or 0
+
+    def _checked(self, incoming: DataFrame, namespace: str | None) -> DataFrame:
         records = ops.normalize_records(incoming, namespace, self.settings)
-        good, _ = ops.contract(records, self.dimension)
-        good = good.withColumn("bucket", self._bucket())
-        if unique and not path_exists(self.spark, self.path):
-            self._write(good.drop("ordinal"))
-            return self._stored().count()
+        reason = ops.reject_reason(self.dimension)
+        return (
+            records.withColumn("reject_reason", reason)
+            .withColumn("kind", F.when(reason.isNull(), "change").otherwise("reject"))
+            .withColumn("deleted", F.lit(False))
+            .withColumn("copies", F.lit(1).cast("long"))
+            .withColumn("bucket", self._bucket())
+        )
+
+    def _append_last(self, checked: DataFrame, seq: int) -> None:
         stage = work_path(self.spark, "upsert")
-        good.write.parquet(stage)
-        staged = self.spark.read.schema(good.schema).parquet(stage)
-        keys = staged.groupBy(*PART, "id").agg(F.count(F.lit(1)).alias("n"))
-        total = keys.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
-        if total["rows"]:
-            unique = total["most"] == 1
-            fresh = staged.drop("ordinal") if unique else self._last(staged)
-            self._write(self._untouched(staged).unionByName(fresh))
+        checked.write.parquet(stage)
+        staged = self.spark.read.schema(checked.schema).parquet(stage)
+        good = staged.where("kind = 'change'")
+        most = good.groupBy(*PART, "id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if most > 1:
+            order = F.col("ordinal") if "ordinal" in staged.columns else F.lit(0)
+            others = [c for c in staged.columns if c not in ("namespace", "id", "copies", "ordinal")]
+            # Combined in each task first, so a much repeated id stays small.
+            last = good.groupBy("namespace", "id").agg(
+                F.max_by(F.struct(*others), order).alias("r"), F.sum("copies").alias("copies")
+            )
+            refused = staged.where("kind = 'reject'").drop("ordinal")
+            staged = last.select("namespace", "id", "r.*", "copies").unionByName(refused)
+        self._append(staged.drop("ordinal"), seq)
         delete_path(self.spark, stage)
-        return total["rows"] or 0
-
-    def _last(self, staged: DataFrame) -> DataFrame:
-        return ops.last_per_key(staged).withColumn("bucket", self._bucket())
-
-    def _untouched(self, staged: DataFrame) -> DataFrame:
-        """Stored records that share a partition with incoming ones but are not replaced."""
-        stored = self._stored()
-        if stored.isEmpty():
-            return stored
-        keys = staged.select(*PART, "id").distinct()
-        touched = keys.select(*PART).distinct()
-        # Sent to every task, the list prunes the stored partitions before they are read.
-        if touched.count() <= BROADCAST_PARTITIONS:
-            touched = F.broadcast(touched)
-        same_partitions = stored.join(touched, PART, "left_semi")
-        return same_partitions.join(keys, [*PART, "id"], "left_anti")
 
-    def fetch(self, ids: DataFrame, namespace: str | None = None) -> DataFrame:
-        keys = ids.select("id").withColumn("bucket", self._bucket())
-        stored = ops.in_namespace(self._stored(), namespace, self.settings)
-        return stored.join(keys, ["bucket", "id"], "left_semi").drop("bucket")
+    def delete_keys(self, keys: DataFrame, seq: int | None = None) -> None:
+        """Mark the records named by ``namespace, id`` as deleted; unknown ones do no harm."""
+        seq = self._next() if seq is None else seq
+        if self._taken(seq):
+            return
+        marks = keys.select("namespace", "id").where("id is not null").distinct()
+        marks = marks.selectExpr(
+            "namespace", "id", "cast(null as string) as document_id",
+            "cast(null as array<float>) as values", "cast(null as variant) as metadata",
+            "true as deleted", "0L as copies", "cast(null as string) as reject_reason", "'change' as kind",
+        )
+        self._append(marks.withColumn("bucket", self._bucket()), seq)
 
-    def lookup(self, hits: DataFrame, *columns: str) -> DataFrame:
-        """Search hits with ``columns`` of their records.
+    def delete(self, ids: DataFrame | None = None, condition: Mapping[str, Any] | None = None,
+               namespace: str | None = None, delete_all: bool = False,
+               seq: int | None = None) -> bool:
+        """Delete inside one namespace; without arguments nothing changes.
 
-        The bucket follows from the id, so only partitions that hold a hit are read.
+        Deleting by ids writes a mark per id and reads nothing; a condition reads what it
+        needs of the namespace; ``delete_all`` writes one row.
         """
-        keyed = hits.withColumn("bucket", self._bucket())
-        stored = self._stored().select(*PART, "id", *columns)
-        return keyed.join(stored, [*PART, "id"]).drop("bucket")
-
-    def delete(self, ids: DataFrame | None = None, condition: Mapping[str, Any] | None = None,
-               namespace: str | None = None, delete_all: bool = False) -> bool:
-        """Delete inside one namespace; without arguments nothing changes."""
-        space = namespace or self.settings.namespace
-        stored = self._stored()
+        space = F.lit(namespace or self.settings.namespace).alias("namespace")
         if delete_all:
-            self._drop(space, None)
-            return True
-        if ids is not None:
-            keys = ids.select("id").distinct().withColumn("bucket", self._bucket())
-            # Old lists may name many unknown ids; only stored ones count as touched.
-            gone = ops.in_namespace(stored, space).join(keys, ["bucket", "id"], "left_semi")
+            self._drop(namespace or self.settings.namespace, seq)
+        elif ids is not None:
+            self.delete_keys(ids.select(space, F.col("id").cast("string").alias("id")), seq)
         elif condition:
-            gone = ops.in_namespace(stored, space).where(ops.record_filter(condition, stored))
-        else:
-            return True
-        gone = gone.select("namespace", "bucket", "id").checkpoint()
-        touched = gone.select("bucket").distinct()
-        # At most one row per bucket.
-        scope = ops.in_namespace(stored, space).join(F.broadcast(touched), "bucket", "left_semi")
-        left = scope.join(gone.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        # A bucket with nothing left is not rewritten and must be removed. The list is
-        # bounded by the number of buckets.
-        emptied = touched.join(left.select("bucket").distinct(), "bucket", "left_anti").collect()
-        self._write(left)
-        for row in emptied:
-            self._drop(space, row["bucket"])
+            def scope(rows: DataFrame) -> DataFrame:
+                return ops.in_namespace(rows, namespace, self.settings)
+
+            rows = self._live(scope)
+            found = rows.where(F.coalesce(ops.record_filter(condition, rows), F.lit(False)))
+            self.delete_keys(found, seq)
         return True
 
-    def delete_by_document(self, document_id: str, namespace: str | None = None) -> bool:
-        return self.delete(condition={"document_id": {"$eq": document_id}}, namespace=namespace)
+    def delete_by_document(self, document_id: str, namespace: str | None = None,
+                           seq: int | None = None) -> bool:
+        return self.delete(condition={"document_id": {"$eq": document_id}}, namespace=namespace, seq=seq)
+
+    def _drop(self, namespace: str, seq: int | None) -> None:
+        seq = self._next() if seq is None else seq
+        if not self._taken(seq):
+            row = (namespace, None, None, None, None, True, 0, None, "drop", 0)
+            self._append(self.spark.createDataFrame([row], f"{VECTORS}, {_MARKS}"), seq)
+
+    # Upkeep
+
+    def compact(self) -> int | None:
+        """Write the live records as a new base; returns its number, or the present one where
+        no change has come since. Readers keep the files they started with."""
+        base, seqs = self.batches()
+        if not seqs:
+            return base
+        self._write(self._live(), self._folder("base", seqs[-1]), *PART)
+        return seqs[-1]
 
-    def _drop(self, namespace: str, bucket: int | None) -> None:
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        path = f"{self.path}/namespace={escape(namespace)}"
-        if bucket is not None:
-            path += f"/bucket={bucket}"
-        delete_path(self.spark, path)
+    def vacuum(self) -> None:
+        """Remove what the last compaction stands for, and writes that broke. Rejects stay.
+        To be run when no reader uses the older files and no write is under way."""
+        base, _ = self.batches()
+        done = complete_numbers(self.spark, f"{self.path}/changes")
+        for seq in numbers(self.spark, f"{self.path}/changes"):
+            folder = self._folder("changes", seq)
+            if seq not in done:
+                delete_path(self.spark, folder)
+            elif base is not None and seq <= base:
+                delete_path(self.spark, f"{folder}/kind=change")
+                delete_path(self.spark, f"{folder}/kind=drop")
+        for seq in numbers(self.spark, f"{self.path}/base"):
+            if seq != base:
+                delete_path(self.spark, self._folder("base", seq))
 
     def stats(self) -> DataFrame:
         return ops.index_stats(self.read(), self.dimension)

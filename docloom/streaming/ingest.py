@@ -12,28 +12,41 @@ from docloom.functions import text as tx
 from docloom.sources.files import admit
 
 
-def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000,
-                settings: Settings = DEFAULTS) -> DataFrame:
-    """New admissible files of an upload folder, with their name.
+_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
-    Size and type are checked in the stream itself, ahead of any handler; the rejects
-    of a folder are listed by ``scan_files``.
-    """
-    schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+def _uploads(spark: SparkSession, folder: str, files_per_batch: int, settings: Settings) -> DataFrame:
     stream = (
         spark.readStream.format("binaryFile")
-        .schema(schema)
+        .schema(_FILES)
         .option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    named = stream.where(F.col("length") <= settings.max_upload_bytes).withColumn(
-        "filename", tx.base_name(F.col("path"))
-    )
+    return stream.withColumn("filename", tx.base_name(F.col("path")))
+
+
+def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000,
+                settings: Settings = DEFAULTS) -> DataFrame:
+    """New admissible files of an upload folder, with their name.
+
+    Size and type are checked in the stream itself, ahead of any handler, so a file that is
+    too large is never read. ``reject_stream`` over the same folder has all others.
+    """
+    uploads = _uploads(spark, folder, files_per_batch, settings)
+    named = uploads.where(F.col("length") <= settings.max_upload_bytes)
     admitted = admit(named, settings).where(F.col("reject_reason").isNull())
     return admitted.drop("reject_reason", "file_type")
 
 
+def reject_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000,
+                  settings: Settings = DEFAULTS) -> DataFrame:
+    """New files of an upload folder that are not admissible, with the reason. The files are
+    listed, not opened."""
+    uploads = _uploads(spark, folder, files_per_batch, settings).drop("content")
+    return admit(uploads, settings).where(F.col("reject_reason").isNotNull())
+
+
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files named ``table``.parquet in a folder, as a stream of rows."""
     name = f"{table}.parquet"
@@ -63,15 +76,19 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], object],
     query.awaitTermination()
 
 
-def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A handler that stores each batch in its own partition of ``path``."""
+def replace_batch(path: str, run: str = "default") -> Callable[[DataFrame, int], None]:
+    """A handler that stores each batch in its own partition of ``path``.
+
+    ``run`` names the stream: two streams into one table both count their batches from 0.
+    """
 
     def handle(df: DataFrame, batch: int) -> None:
         (
-            df.withColumn("batch", F.lit(batch).cast("long"))
+            df.withColumn("run", F.lit(run))
+            .withColumn("batch", F.lit(batch).cast("long"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy("run", "batch")
             .parquet(path)
         )
 

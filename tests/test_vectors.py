@@ -175,7 +175,7 @@ def test_nearest_matches_brute_force(spark, blocks):
     q = spark.createDataFrame(
         queries, "query_id INT, query_vector ARRAY<DOUBLE>, namespace STRING, top_k INT, similarity_threshold DOUBLE"
     )
-    settings = Settings(broadcast_query_bytes=0, query_block_rows=8, vector_block_rows=100) if blocks else Settings()
+    settings = Settings(broadcast_query_bytes=8 * DIM * 8) if blocks else Settings()
     got = nearest.nearest(v, q, DIM, settings).collect()
     assert sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in got) == brute(rows, queries)
 

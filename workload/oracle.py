@@ -339,6 +339,20 @@ EXTRACTED = """
        || list_transform(regexp_extract_all(text, '[0-9]{16}'), lambda t: {'c': 'credit_card', 't': t})
        || list_transform(regexp_extract_all(text, '[0-9a-f]{40}'), lambda t: {'c': 'api_key', 't': t})) as x
      from documents))"""
+# Strings of the stand-in extractor that lie in their document, with both of their labels.
+LABELLED = f"""
+  (select distinct document_id, e.text, cast(instr(d.text, e.text) - 1 as integer) as start, unnest([class, 'address']) as category
+   from {EXTRACTED} e join {DOCS} d using (document_id) where instr(d.text, e.text) > 0
+   union
+   select cast(doc_id as varchar), c, 0, 'address'
+   from (select doc_id, text, regexp_extract(text, '^[A-Z][a-z]+') as c from documents) where c <> '')"""
+STORED = f"""
+  u as materialized (select *, {UPLOAD_ID} as upload_id from {UPLOADS}),
+  readable as materialized (select upload_id as document_id, content as original from u where error_message is null),
+  good as materialized (select document_id, original, redacted as content
+                        from ({redacted('readable', 'document_id', 'original')}) join readable using (document_id)),
+  made as (select document_id, count(*) as n from ({chunk_sql('good')}) group by 1),
+  found as ({found_categories('good', 'document_id', 'original')})"""
 CATEGORY_RANK = "list_position(['password','api_key','credit_card','ssn','email','phone','address'], category)"
 
 ORACLE = {
@@ -366,6 +380,19 @@ ORACLE = {
                    regexp_matches(html, '(?i)<table[\\s>/]') as has_tables,
                    regexp_matches(html, '(?i)<img[\\s>/]') as has_images
             from pages)""",
+    "scanned_files": r"""
+      with f as (
+        select source, lang, cast(sum(strlen(text) + 1) as bigint) as bytes,
+               sum(len(regexp_extract_all(text, '\S+'))) as n
+        from documents group by 1, 2)
+      select source, lang, bytes, case when bytes > 200000 then 'file too large' end as reason,
+             cast((select sum(n) from f where bytes <= 200000) as bigint) as words_read
+      from f""",
+    "media_counts": """
+      select cast(doc_id as varchar) || case lang when 'en' then '.md' else '.txt' end as filename,
+             case lang when 'en' then nullif(doc_id % 2, 0) end as table_count,
+             case lang when 'en' then nullif(doc_id % 3, 0) end as image_count
+      from documents""",
     "pii_spans": f"""
       select doc_id, category, text, start, "end", 0.8::double as confidence, 'regex' as source
       from ({spans('documents', 'doc_id')})""",
@@ -397,6 +424,17 @@ ORACLE = {
       from ({spans('documents', 'doc_id')}) s
       where not exists (select 1 from model m where m.document_id = cast(s.doc_id as varchar)
                         and m.start = s.start and m."end" = s."end")""",
+    "pii_categories": f"""
+      with hits as (
+        select cast(doc_id as varchar) as document_id, category, start, "end" from ({all_spans('documents', 'doc_id')})
+        union all
+        select document_id, category, start, start + cast(len(text) as integer) from {LABELLED})
+      select document_id, coalesce(string_agg(distinct category, ',' order by category), '') as categories_found,
+             count(distinct {{'s': start, 'e': "end"}}) filter (start is not null) as detections
+      from (select document_id from {DOCS}) left join hits using (document_id) group by 1""",
+    "pii_switched_off": """
+      select doc_id, false as has_pii, 0::bigint as categories, 0::bigint as detections, true as unchanged
+      from documents""",
     "pii_flags": f"""
       select cast(doc_id as varchar) as document_id, categories_found is not null as has_pii,
              coalesce(categories_found, '') as pii_categories_found
@@ -440,6 +478,9 @@ ORACLE = {
       select text_key, inserted_seq from (
         select *, row_number() over (order by inserted_seq, text_key) as n, count(*) over () as total from c)
       where total <= 100 or n > 300""",
+    "cache_clear": """
+      select count(distinct md5(text)) as cleared, 0::bigint as found
+      from documents join labels using (doc_id) where quality = 1""",
     "cache_fresh": """
       select md5(text) as text_key, min(doc_id) as inserted_seq from documents group by 1
       having min(doc_id) * 60 > 9 * 3600 - 3600""",
@@ -480,6 +521,24 @@ ORACLE = {
       with near as ({topk_sql(APPROXIMATE)}), exact as ({topk_sql(EXACT)})
       select count(*) as exact_hits, count(n.id) as found_hits, round(count(n.id) / count(*), 6) as recall
       from exact e left join near n on e.query_id = n.query_id and e.id = n.id""",
+    "inverted_topk": topk_sql(EXACT),
+    "inverted_recall": "select count(*) * least(5, count(*)) as exact_hits, true as reached from embeddings",
+    "search_rejects": """
+      select distinct cast(label as bigint) as query_id, 'default' as namespace,
+             cast(case when label = 5 then 0 when label < 2 then 9 else 5 end as bigint) as top_k,
+             case when label in (3, 7) then 'vector size' else 'top_k' end as reason
+      from embeddings where label in (3, 5, 7)""",
+    "compacted": f"""
+      select namespace, id, document_id,
+             round((case when label = 0 then vals[1] * 2::float when label >= 3 then -vals[1] else vals[1] end)::double, 6) as first_value,
+             cast(label as bigint) as label
+      from {VECTORS}
+      where label = 0 or not (namespace = 'low' and id in (select cast(doc_id as varchar) from labels where quality = 0))
+        and label <> 8""",
+    "upsert_rejects": f"""
+      select namespace, id, case label when 3 then 'wrong dimension' else 'missing values' end as reject_reason,
+             (select count(*) from embeddings where label not in (3, 4)) as taken
+      from {VECTORS} where label in (3, 4)""",
     "upsert": f"""
       select namespace, id, document_id, round((case when label >= 3 then -vals[1] else vals[1] end)::double, 6) as first_value,
              cast(label as bigint) as label
@@ -569,6 +628,25 @@ ORACLE = {
       from (select *, row_number() over (order by created_at desc, document_id) as n, count(*) over () as total
             from {LISTING})
       where n > 30 and n <= 45""",
+    "stored_catalog": f"""
+      with {STORED}
+      select upload_id as document_id, filename, 'default' as namespace,
+             case when error_message is null then {words('content')} end as word_count,
+             coalesce(n, 0) as chunk_count, categories_found is not null as has_pii,
+             coalesce(categories_found, '') as pii_categories_found, {stamp(CREATED)} as created_at,
+             case when error_message is null then 'completed' else 'failed' end as status, error_message
+      from u left join made on made.document_id = upload_id left join found on found.document_id = upload_id""",
+    "catalog_cursor": f"""
+      select upload_id as document_id, {stamp(CREATED)} as created_at
+      from (select *, row_number() over (order by {CREATED} desc, upload_id) as n
+            from (select *, {UPLOAD_ID} as upload_id from {UPLOADS}))
+      where n > 30 and n <= 45""",
+    "stored_deletion": f"""
+      with {STORED},
+      gone as (select upload_id from u where error_message is not null or upload_id in (select document_id from found))
+      select upload_id as document_id, n as chunks, n as vectors, (select count(*) from gone) as deleted
+      from u left join made on made.document_id = upload_id
+      where upload_id not in (select upload_id from gone)""",
     "document_details": f"""
       select document_id, source from {LISTING}
       where document_id in (select cast(doc_id as varchar) from labels where toxic = 1)""",
@@ -599,6 +677,18 @@ ORACLE = {
       select c.chunk_id as id, document_id, 'default' as namespace, src.filename, c.content,
              cast(null as varchar) as missing
       from ({chunk_sql('src')}) c join src using (document_id)""",
+    "stream_replay": f"""
+      with raw as materialized (
+        select distinct * from (
+          select * from {STREAM_DOCS}
+          union all
+          select substr(sha256(content || filename), 1, 16), filename, content
+          from (select 'b' || cast(item_id as varchar) || '.txt' as filename, replace(text, {NL}, {NL} || {NL}) as content
+                from benchmark))),
+      src as materialized (select document_id, filename, redacted as content
+                           from ({redacted('raw', 'document_id', 'content')}) join raw using (document_id))
+      select c.chunk_id as id, src.filename, c.content, 2::bigint as batches
+      from ({chunk_sql('src')}) c join src using (document_id)""",
     "stream_unique": "select distinct substr(sha256(text), 1, 16) as document_id from documents",
     "stream_status": f"""
       select {stamp("time_bucket(interval '5 minutes', ts)")} as start, status, count(*) as events

@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULTS
 from docloom.functions import text as tx
 from docloom.functions import vectors as fv
-from docloom.operators import approximate, chunking, context, embedding, nearest, pii, sections
+from docloom.operators import (
+    approximate,
+    chunking,
+    context,
+    embedding,
+    inverted,
+    nearest,
+    pii,
+    sections,
+)
 from docloom.operators import catalog as cat
 from docloom.operators import validation as val
 from docloom.operators import vectors as vec
@@ -31,11 +40,15 @@ EMBEDDER = embedding.HashedTokenEmbedder(TEXT_DIM)
 SMALL_EMBEDDER = embedding.HashedTokenEmbedder(64)
 VEC_DIM = 64
 SEARCH = replace(DEFAULTS, similarity_threshold=0.3)
-# Blocks small enough that the test tables need several of them.
-BLOCKS = replace(DEFAULTS, broadcast_query_bytes=0, query_block_rows=128, vector_block_rows=256)
+# Waves small enough that the test tables need several of them: 400 queries of 64 doubles.
+BLOCKS = replace(DEFAULTS, broadcast_query_bytes=400 * 64 * 8)
 EVICT = replace(DEFAULTS, cache_max_entries=100, cache_evict_entries=300)
 UPLOAD = replace(DEFAULTS, max_upload_bytes=4000)
 NODES = replace(DEFAULTS, node_max_tokens=150)
+SCAN = replace(DEFAULTS, max_upload_bytes=200_000)
+PII_OFF = replace(DEFAULTS, pii_enabled=False)
+# The test vectors have no structure, so most lists have to be probed.
+LISTS, PROBES = 16, 12
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -152,6 +165,38 @@ def html_text(spark, folder):
     )
 
 
+def scanned_files(spark, folder):
+    """Texts written as files, one per source and language, then scanned and extracted."""
+    target = work_path(spark, "uploads")
+    docs = table(spark, folder, "documents").select("source", "lang", "text")
+    docs.repartition("source", "lang").write.partitionBy("source", "lang").text(target)
+    accepted, rejected = files.scan_files(spark, target, SCAN)
+    parts = [F.regexp_extract("path", f"{c}=([^/]+)", 1).alias(c) for c in ("source", "lang")]
+    words_of = files.extract(accepted).select("filename", "word_count", "file_size")
+    size = F.sum("length").cast("long").alias("bytes")
+    read = accepted.groupBy(*parts).agg(size).withColumn("reason", F.lit(None).cast("string"))
+    refused = rejected.groupBy(*parts, F.col("reject_reason").alias("reason")).agg(size)
+    total = words_of.agg(F.sum("word_count").cast("long").alias("n")).scalar()
+    return read.select("source", "lang", "bytes", "reason", total.alias("words_read")).unionByName(
+        refused.select("source", "lang", "bytes", "reason", total.alias("words_read"))
+    )
+
+
+def media_counts(spark, folder):
+    """Tables and images of Markdown files, some added to the texts."""
+    table_of = F.lit("\n\n| a | b |\n|---|---|\n| 1 | 2 |")
+    image = F.lit("\n\n![x](y.png)")
+    doc_id = F.col("doc_id").cast("int")
+    made = documents(spark, folder).select(
+        F.concat("document_id", F.when(F.col("lang") == "en", ".md").otherwise(".txt")).alias("filename"),
+        F.encode(F.concat("text", F.repeat(table_of, doc_id % 2), F.repeat(image, doc_id % 3)), "UTF-8").alias("content"),
+        F.octet_length("text").cast("long").alias("length"),
+        created_at().alias("modificationTime"),
+    )
+    counts = [F.col(f"metadata.{c}").cast("long").alias(c) for c in ("table_count", "image_count")]
+    return files.extract(made).select("filename", *counts)
+
+
 # Personal data
 
 # Account notes made from customer columns, with personal data of every category.
@@ -240,6 +285,30 @@ def pii_extractions(spark, folder):
     )
 
 
+def pii_categories(spark, folder):
+    """Categories of a document over both detectors; every string has two labels."""
+    docs = documents(spark, folder).select("document_id", "text")
+    found = _extractions(docs)
+    again = found.withColumn("extraction_class", F.lit("ADDRESS"))
+    merged = pii.with_pii_and_extractions(docs, found.unionByName(again))
+    return merged.select(
+        "document_id",
+        F.array_join("pii.categories_found", ",").alias("categories_found"),
+        F.size("pii.detections").cast("long").alias("detections"),
+    )
+
+
+def pii_switched_off(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.with_pii(docs, settings=PII_OFF).select(
+        "doc_id",
+        "pii.has_pii",
+        F.size("pii.categories_found").cast("long").alias("categories"),
+        F.size("pii.detections").cast("long").alias("detections"),
+        (F.col("pii.redacted_content") == F.col("text")).alias("unchanged"),
+    )
+
+
 # Chunks
 
 
@@ -318,6 +387,16 @@ def cache_embed(spark, folder):
     )
 
 
+def cache_clear(spark, folder):
+    """Entries that a cleared cache had held, and what a batch after it finds."""
+    cache = CacheTable(spark, work_path(spark, "cache"))
+    cache.embed_texts(_good_texts(spark, folder).select("doc_id", "text"), "text", SMALL_EMBEDDER, 1, ["doc_id"])
+    cleared = cache.clear()
+    docs = table(spark, folder, "documents")
+    left = cache.lookup(docs.select(tx.text_key(F.col("text")).alias("text_key")))
+    return left.agg(F.lit(cleared).cast("long").alias("cleared"), F.count(F.lit(1)).alias("found"))
+
+
 def _doc_cache(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select(tx.text_key(F.col("text")).alias("text_key"), "doc_id")
     return docs.groupBy("text_key").agg(F.min("doc_id").alias("inserted_seq"))
@@ -412,7 +491,7 @@ def topk_batch(spark, folder):
 
 
 def topk_blocks(spark, folder):
-    """Every vector as a query, through the block-pair path."""
+    """Every vector as a query, in several waves."""
     vectors = vector_frame(spark, folder).withColumn("namespace", F.lit("default"))
     queries = vectors.select(
         F.col("id").cast("long").alias("query_id"), F.col("values").alias("query_vector")
@@ -456,6 +535,45 @@ def approximate_recall(spark, folder):
     )
 
 
+def _lists(spark: SparkSession, folder: str):
+    vectors = vector_frame(spark, folder).withColumn("namespace", F.lit("default"))
+    quantizer = inverted.fit(vectors, VEC_DIM, LISTS)
+    return inverted.by_list(vectors.select("namespace", "id", "values"), quantizer), quantizer
+
+
+def inverted_topk(spark, folder):
+    """Inverted lists with every list probed: the exact hits, out of all lists."""
+    listed, quantizer = _lists(spark, folder)
+    return _ranked(inverted.nearest_probed(listed, label_means(spark, folder), quantizer, LISTS))
+
+
+def inverted_recall(spark, folder):
+    """Every vector as a query, probing three lists in four: are nine exact hits in ten found?"""
+    listed, quantizer = _lists(spark, folder)
+    vectors = vector_frame(spark, folder).withColumn("namespace", F.lit("default"))
+    queries = vectors.select(
+        F.col("id").cast("long").alias("query_id"), F.col("values").alias("query_vector")
+    )
+    exact = nearest.nearest(vectors, queries, VEC_DIM)
+    near = inverted.nearest_probed(listed, queries, quantizer, PROBES)
+    return approximate.recall(near, exact).select(
+        "exact_hits", (F.col("recall") >= 0.9).alias("reached")
+    )
+
+
+def search_rejects(spark, folder):
+    """Queries without a usable vector or count."""
+    q = F.col("query_id")
+    broken = label_means(spark, folder).select(
+        "query_id",
+        F.when(q == 3, F.slice("query_vector", 1, 9)).when(q != 7, F.col("query_vector")).alias("query_vector"),
+        F.when(q == 5, F.lit(0)).when(q < 2, F.lit(9)).alias("top_k"),
+    )
+    return nearest.query_rejects(broken, VEC_DIM).select(
+        "query_id", "namespace", F.col("top_k").cast("long").alias("top_k"), "reason"
+    )
+
+
 def _stored_vectors(spark: SparkSession, folder: str) -> VectorTable:
     store = VectorTable(spark, work_path(spark, "vectors"), VEC_DIM, buckets=4)
     store.upsert(vector_frame(spark, folder).drop("label"), unique=True)
@@ -488,6 +606,38 @@ def upsert(spark, folder):
     return _record_columns(store.read())
 
 
+def compacted(spark, folder):
+    """Three batches and two deletions, compacted, one more batch, compacted and vacuumed."""
+    store = VectorTable(spark, work_path(spark, "vectors"), VEC_DIM, buckets=4)
+    base = vector_frame(spark, folder)
+
+    def times(n: int) -> Column:
+        return F.transform("values", lambda x: x * F.lit(n).cast("float"))
+
+    store.upsert(base.where("label < 7").drop("label"), unique=True)
+    store.upsert(base.where("label >= 3").withColumn("values", times(-1)).drop("label"))
+    bad = table(spark, folder, "labels").where("quality = 0")
+    store.delete(ids=bad.select(F.col("doc_id").cast("string").alias("id")), namespace="low")
+    store.delete(condition={"label": 8}, namespace="high")
+    store.compact()
+    store.upsert(base.where("label = 0").withColumn("values", times(2)).drop("label"))
+    store.compact()
+    store.vacuum()
+    return _record_columns(store.read())
+
+
+def upsert_rejects(spark, folder):
+    """What an upsert refused, kept with its reason, and what it took."""
+    label = F.col("label")
+    mixed = vector_frame(spark, folder).withColumn(
+        "values",
+        F.when(label == 3, F.slice("values", 1, 32)).when(label != 4, F.col("values")),
+    )
+    store = VectorTable(spark, work_path(spark, "vectors"), VEC_DIM, buckets=4)
+    taken = store.upsert(mixed.drop("label"))
+    return store.rejects().select("namespace", "id", "reject_reason", F.lit(taken).cast("long").alias("taken"))
+
+
 def delete_ids(spark, folder):
     store = _stored_vectors(spark, folder)
     ids = table(spark, folder, "labels").where("quality = 0")
@@ -683,6 +833,61 @@ def catalog_page(spark, folder):
     )
 
 
+def _collection(spark: SparkSession, folder: str) -> ingest.KnowledgeBase:
+    """Uploaded files ingested in two batches."""
+    base = ingest.KnowledgeBase(spark, work_path(spark, "kb"), SMALL_EMBEDDER, buckets=4)
+    raw = upload_files(spark, folder)
+    for half in (0, 1):
+        base.ingest_files(raw.where(F.col("doc_id") % 2 == half).drop("doc_id", "path"), half, run="load")
+    return base
+
+
+def stored_catalog(spark, folder):
+    """The catalog that ingest stores; the second batch comes twice."""
+    base = _collection(spark, folder)
+    again = upload_files(spark, folder).where("doc_id % 2 = 1").drop("doc_id", "path")
+    base.ingest_files(again, 1, run="load")
+    return base.catalog().select(
+        "document_id",
+        "filename",
+        "namespace",
+        F.col("word_count").cast("long").alias("word_count"),
+        F.col("chunk_count").cast("long").alias("chunk_count"),
+        "has_pii",
+        F.array_join("pii_categories_found", ",").alias("pii_categories_found"),
+        stamp(F.col("created_at")).alias("created_at"),
+        "status",
+        "error_message",
+    )
+
+
+def catalog_cursor(spark, folder):
+    """The third page of the stored catalog, reached by the last rows of the first two."""
+    rows = _collection(spark, folder).catalog()
+    after = None
+    for _ in range(2):
+        last = cat.page_after(rows, after, 15).orderBy("created_at", F.desc("document_id")).first()
+        after = (last["created_at"], last["document_id"]) if last else after
+    return cat.page_after(rows, after, 15).select("document_id", stamp(F.col("created_at")).alias("created_at"))
+
+
+def stored_deletion(spark, folder):
+    """Catalog, chunk and vector counts of what is left after deleting stored documents."""
+    base = _collection(spark, folder)
+    gone = base.catalog().where("has_pii or status = 'failed'").select("document_id")
+    report = base.delete_documents(gone, 0, run="deletions")
+    chunks_left = base.chunks().groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    vectors_left = base.vectors.read().groupBy("document_id").agg(F.count(F.lit(1)).alias("vectors"))
+    deleted = report.where("deleted").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (
+        base.catalog()
+        .select("document_id")
+        .join(chunks_left, "document_id", "left")
+        .join(vectors_left, "document_id", "left")
+        .withColumn("deleted", deleted)
+    )
+
+
 def document_details(spark, folder):
     ids = table(spark, folder, "labels").where("toxic = 1").select(
         F.col("doc_id").cast("string").alias("document_id")
@@ -823,6 +1028,43 @@ def stream_index(spark, folder):
     )
 
 
+def _as_files(rows: DataFrame, name: Column, text: str) -> DataFrame:
+    return spread(rows).select(
+        F.concat(name, F.lit(".txt")).alias("filename"),
+        F.octet_length(text).cast("long").alias("length"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"),
+        F.encode(F.replace(text, F.lit("\n"), F.lit("\n\n")), "UTF-8").alias("content"),
+    )
+
+
+def stream_replay(spark, folder):
+    """Two streams into one collection, both counting from 0, every batch handled twice."""
+    base = ingest.KnowledgeBase(spark, work_path(spark, "kb"), SMALL_EMBEDDER, buckets=4)
+    names = {
+        "documents": F.concat(F.lit("d"), F.col("doc_id").cast("string")),
+        "benchmark": F.concat(F.lit("b"), F.col("item_id").cast("string")),
+    }
+
+    def replayed(run: str):
+        store = base.handler(run)
+
+        def handle(batch: DataFrame, number: int) -> None:
+            raw = _as_files(batch, names[run], "text")
+            if store(raw, number) != store(raw, number):
+                raise AssertionError("a replay reports what the batch did")
+
+        return handle
+
+    for run in names:
+        source = stream.table_stream(spark, folder, run)
+        stream.run_available(source, replayed(run), work_path(spark, "checkpoint"))
+    runs = base.ledger.entries().agg(F.countDistinct("run", "batch").alias("n")).scalar()
+    return base.vectors.read().join(base.catalog().select("document_id", "filename"), "document_id").select(
+        "id", "filename", F.try_variant_get("metadata", "$.content", "string").alias("content"),
+        runs.alias("batches"),
+    )
+
+
 def stream_unique(spark, folder):
     """Uploads with copies suppressed by content."""
     uploads = stream.table_stream(spark, folder, "documents").select(
@@ -849,19 +1091,20 @@ def stream_status(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_ids, upload_admission, extract_status, html_text,
+        document_ids, upload_admission, extract_status, html_text, scanned_files, media_counts,
         pii_spans, customer_pii, customer_redacted, pii_summary, pii_redacted, pii_request,
-        pii_extractions, pii_flags,
+        pii_extractions, pii_categories, pii_flags, pii_switched_off,
         chunks, chunk_counts, section_nodes,
-        embedded, cache_split, cache_embed, cache_evict, cache_fresh,
+        embedded, cache_split, cache_embed, cache_evict, cache_fresh, cache_clear,
         similarity, normalized, topk_single, topk_batch, topk_blocks, filtered_topk,
-        approximate_topk, approximate_recall,
-        upsert, delete_ids, delete_filter, delete_document, delete_all, fetch, index_stats,
-        stats_history, vector_contract,
+        approximate_topk, approximate_recall, inverted_topk, inverted_recall, search_rejects,
+        upsert, compacted, upsert_rejects, delete_ids, delete_filter, delete_document, delete_all,
+        fetch, index_stats, stats_history, vector_contract,
         semantic_search, search_totals, reranked, source_references, valid_queries,
         conversation_context, token_usage,
-        catalog, catalog_page, document_details, deletion_report, documents_left,
+        catalog, catalog_page, stored_catalog, catalog_cursor, stored_deletion,
+        document_details, deletion_report, documents_left,
         status_fold, status_counts, expired_uploads,
-        stream_chunks, stream_index, stream_unique, stream_status,
+        stream_chunks, stream_index, stream_replay, stream_unique, stream_status,
     )
 }
