@@ -46,7 +46,7 @@ class Settings:
     # Hits of about 100 bytes each that may be sent to every task of a following join.
     broadcast_hits: int = 100_000
     # Ids that a fetch of winners pushes into the scan one by one.
-    pushed_ids: int = 5_000
+    pushed_ids: int = 1_000
     # Keys of the changes since the last compaction are sent to every task up to this many
     # bytes; more of them take the shuffle.
     broadcast_key_bytes: int = 64 * 1024 * 1024

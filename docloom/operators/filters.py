@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 from typing import Any
@@ -106,3 +106,9 @@ def metadata_filter(
         spec = spec if isinstance(spec, Mapping) else {"$eq": spec}
         parts += [_condition(field, op, operand) for op, operand in spec.items()]
     return reduce(and_, parts, F.lit(True))
+
+
+def one_of(column: str, values: Sequence[str | None]) -> Column:
+    """Whether a string column has one of ``values``: a single expression, however many."""
+    quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values if v is not None]
+    return F.expr(f"`{column}` in ('" + "', '".join(quoted) + "')") if quoted else F.lit(False)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import embedding as ops
+from docloom.operators.filters import one_of
 from docloom.schemas import EMBEDDING_CACHE
 from docloom.session import delete_path, path_exists
 
@@ -65,7 +66,7 @@ class CacheTable:
             return self._stored().join(keyed, ["prefix", "text_key"], "left_semi").drop("prefix")
         digits = self.settings.cache_prefix_digits
         prefixes = sorted({k[:digits] for k in few if k})
-        own = F.col("prefix").isin(prefixes) & F.col("text_key").isin(few)
+        own = one_of("prefix", prefixes) & one_of("text_key", few)
         return self._stored().where(own).drop("prefix")
 
     def embed_texts(self, df: DataFrame, text: str, embedder: ops.Embedder, seq: int,

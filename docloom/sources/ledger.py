@@ -44,10 +44,10 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(folder).first() if complete(self.spark, folder) else None
 
     def _write(self, kind: str, run: str, batch: int, schema: str, *values) -> None:
-        row = self.spark.createDataFrame([(run, batch, *values)], schema.rpartition(",")[0])
-        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(
-            self._folder(kind, run, batch)
-        )
+        fields = map(str.split, schema.split(", "))
+        known = [F.lit(v).cast(of).alias(name) for (name, of), v in zip(fields, (run, batch, *values))]
+        row = self.spark.range(1).coalesce(1).select(*known, F.current_timestamp().alias("at"))
+        row.write.mode("overwrite").parquet(self._folder(kind, run, batch))
 
     def open(self, run: str, batch: int) -> Entry:
         closed = self._row("closed", run, batch)

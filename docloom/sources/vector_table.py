@@ -20,11 +20,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.operators import vectors as ops
+from docloom.operators.filters import one_of
 from docloom.schemas import VECTORS
 from docloom.session import complete_numbers, delete_path, numbers, path_exists, work_path
 
@@ -34,6 +35,12 @@ _BASE = f"{VECTORS}, bucket INT"
 _MARKS = "deleted BOOLEAN, copies BIGINT, reject_reason STRING, kind STRING, bucket INT"
 _CHANGES = f"{VECTORS}, {_MARKS}, seq BIGINT"
 
+
+def _nulls(*fields: str) -> list[Column]:
+    """Null columns from "name TYPE"."""
+    return [F.lit(None).cast(kind).alias(name) for name, kind in map(str.split, fields)]
+
+
 Scope = Callable[[DataFrame], DataFrame]
 
 
@@ -124,9 +131,9 @@ class VectorTable:
         reaches the partitions and the sorted pages."""
         names = {c: sorted({k[c] for k in keys}) for c in (*PART, "id")}
         return lambda rows: rows.where(
-            F.col("namespace").isin(names["namespace"])
+            one_of("namespace", names["namespace"])
             & F.col("bucket").isin(names["bucket"])
-            & F.col("id").isin(names["id"])
+            & one_of("id", names["id"])
         )
 
     def fetch(self, ids: DataFrame, namespace: str | None = None) -> DataFrame:
@@ -232,10 +239,10 @@ class VectorTable:
         if self._taken(seq):
             return
         marks = keys.select("namespace", "id").where("id is not null").distinct()
-        marks = marks.selectExpr(
-            "namespace", "id", "cast(null as string) as document_id",
-            "cast(null as array<float>) as values", "cast(null as variant) as metadata",
-            "true as deleted", "0L as copies", "cast(null as string) as reject_reason", "'change' as kind",
+        marks = marks.select(
+            "namespace", "id", *_nulls("document_id STRING", "values ARRAY<FLOAT>", "metadata VARIANT"),
+            F.lit(True).alias("deleted"), F.lit(0).cast("long").alias("copies"),
+            *_nulls("reject_reason STRING"), F.lit("change").alias("kind"),
         )
         self._append(marks.withColumn("bucket", self._bucket()), seq)
 
@@ -268,8 +275,13 @@ class VectorTable:
     def _drop(self, namespace: str, seq: int | None) -> None:
         seq = self._next() if seq is None else seq
         if not self._taken(seq):
-            row = (namespace, None, None, None, None, True, 0, None, "drop", 0)
-            self._append(self.spark.createDataFrame([row], f"{VECTORS}, {_MARKS}"), seq)
+            row = self.spark.range(1).select(
+                F.lit(namespace).alias("namespace"), *_nulls("id STRING", "document_id STRING"),
+                *_nulls("values ARRAY<FLOAT>", "metadata VARIANT"), F.lit(True).alias("deleted"),
+                F.lit(0).cast("long").alias("copies"), *_nulls("reject_reason STRING"),
+                F.lit("drop").alias("kind"), F.lit(0).alias("bucket"),
+            )
+            self._append(row, seq)
 
     # Upkeep
 
