@@ -22,11 +22,14 @@ BLOCKS = (
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decode &#n; and &#xh; by cutting at the marker and decoding each piece's head."""
+def _entities(text: Column) -> Column:
+    """Decode &#n;, &#xh; and &name; by cutting at the ampersands and decoding each piece's
+    head, once: what a reference stands for is not read as part of another."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    number, name = r"(?i)^#(x[0-9a-f]{1,6}|[0-9]{1,7});", r"^([A-Za-z][A-Za-z0-9]{1,31});"
 
-    def piece(part: Column) -> Column:
-        head = F.regexp_extract(part, r"(?i)^(x[0-9a-f]{1,6}|[0-9]{1,7});", 1)
+    def numeric(part: Column) -> Column:
+        head = F.regexp_extract(part, number, 1)
         point = F.when(
             F.lower(F.substring(head, 1, 1)) == "x",
             F.conv(F.substring(head, 2, 6), 16, 10),
@@ -34,26 +37,15 @@ def _numeric_entities(text: Column) -> Column:
         code = point.cast("int")
         valid = (head != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, r"(?i)^(?:x[0-9a-f]{1,6}|[0-9]{1,7});", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    def decode(t: Column) -> Column:
-        pieces = F.split(t, "&#", -1)
-        decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
-        return F.when(F.contains(t, F.lit("&#")), F.array_join(decoded, "")).otherwise(t)
+        return F.when(valid, F.concat(char, F.regexp_replace(part, number, "")))
 
-    return let(text, decode)
-
-
-def _named_entities(text: Column) -> Column:
-    """Decode &name; the same way; what a name decodes to is not decoded again."""
-    pattern = r"^([A-Za-z][A-Za-z0-9]{1,31});"
-    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    def named(part: Column) -> Column:
+        char = F.try_element_at(known, F.regexp_extract(part, name, 1))
+        return F.concat(char, F.regexp_replace(part, name, ""))
 
     def piece(part: Column) -> Column:
-        char = F.try_element_at(known, F.regexp_extract(part, pattern, 1))
-        rest = F.regexp_replace(part, pattern, "")
-        return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+        decoded = F.when(F.startswith(part, F.lit("#")), numeric(part)).otherwise(named(part))
+        return F.coalesce(decoded, F.concat(F.lit("&"), part))
 
     def decode(t: Column) -> Column:
         pieces = F.split(t, "&", -1)
@@ -76,7 +68,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    text = _named_entities(_numeric_entities(text))
+    text = _entities(text)
     text = F.regexp_replace(text, r" *\n *", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n](?<![ \n]{2})[ \n]*+\z", "")
@@ -84,7 +76,7 @@ def html_to_text(html: Column) -> Column:
 
 def html_title(html: Column) -> Column:
     title = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>\s*(.*?)\s*</title\s*>", 1)
-    title = _named_entities(_numeric_entities(title))
+    title = _entities(title)
     return F.when(title != "", title)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_, eq, ge, gt, le, lt, or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 class Field:
     """How one metadata field is read for comparison with a Python value."""
 
-    def __init__(self, present: Column, typed: Callable[[Any], Column], any_of: Callable):
-        self.present, self.typed, self.any_of = present, typed, any_of
+    def __init__(self, present: Column, compared: Callable[[Callable, Any], Column], any_of: Callable):
+        self.present, self.compared, self.any_of = present, compared, any_of
 
 
 def column_field(column: Column) -> Field:
@@ -24,7 +24,7 @@ def column_field(column: Column) -> Field:
         values = list(values)
         return column == values[0] if len(values) == 1 else column.isin(values)
 
-    return Field(column.isNotNull(), lambda value: column, any_of)
+    return Field(column.isNotNull(), lambda op, value: op(column, F.lit(value)), any_of)
 
 
 def variant_field(metadata: Column, name: str) -> Field:
@@ -34,25 +34,32 @@ def variant_field(metadata: Column, name: str) -> Field:
     raw = F.try_variant_get(metadata, path, "variant")
     kind = F.schema_of_variant(raw)
 
-    def typed(value: Any) -> Column:
+    def read(as_type: str) -> Column:
+        return F.try_variant_get(metadata, path, as_type)
+
+    def compared(op: Callable, value: Any) -> Column:
         if isinstance(value, bool):
-            return F.when(kind == "BOOLEAN", F.try_variant_get(metadata, path, "boolean"))
+            return F.when(kind == "BOOLEAN", op(read("boolean"), F.lit(value)))
         if isinstance(value, (int, float)):
             numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-            return F.when(numeric, F.try_variant_get(metadata, path, "double"))
-        return F.when(kind == "STRING", F.try_variant_get(metadata, path, "string"))
+            close = op(read("double"), F.lit(float(value)))
+            if value != value or abs(value) >= 1 << 63 or value != int(value):
+                return F.when(numeric, close)
+            # Doubles tell whole numbers apart up to 2^53 only.
+            exact = op(read("bigint"), F.lit(int(value)).cast("long"))
+            return F.when(kind == "BIGINT", exact).when(numeric, close)
+        return F.when(kind == "STRING", op(read("string"), F.lit(value)))
 
     def any_of(values) -> Column:
         values = list(values)
-        scalar = reduce(or_, [typed(v) == F.lit(v) for v in values], F.lit(False))
+        scalar = reduce(or_, [compared(eq, v) for v in values], F.lit(False))
         strings = [v for v in values if isinstance(v, str)]
         if not strings:
             return scalar
-        members = F.try_variant_get(metadata, path, "array<string>")
-        listed = F.arrays_overlap(members, F.array(*[F.lit(s) for s in strings]))
+        listed = F.arrays_overlap(read("array<string>"), F.array(*[F.lit(s) for s in strings]))
         return F.when(kind.startswith("ARRAY"), listed).otherwise(scalar)
 
-    return Field(raw.isNotNull(), typed, any_of)
+    return Field(raw.isNotNull(), compared, any_of)
 
 
 def _condition(field: Field, operator: str, operand: Any) -> Column:
@@ -63,16 +70,10 @@ def _condition(field: Field, operator: str, operand: Any) -> Column:
     if operator in ("$ne", "$nin"):
         matched = field.any_of([operand] if operator == "$ne" else operand)
         return field.present & ~F.coalesce(matched, F.lit(False))
-    left, right = field.typed(operand), F.lit(operand)
-    compare = {
-        "$gt": left > right,
-        "$gte": left >= right,
-        "$lt": left < right,
-        "$lte": left <= right,
-    }
+    compare = {"$gt": gt, "$gte": ge, "$lt": lt, "$lte": le}
     if operator not in compare:
         raise ValueError(f"unknown filter operator {operator!r}")
-    return compare[operator]
+    return field.compared(compare[operator], operand)
 
 
 def metadata_filter(

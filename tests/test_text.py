@@ -109,3 +109,13 @@ def test_named_and_numeric_entities(spark):
     row = df.select(html_to_text(F.col("html")).alias("text"), html_title(F.col("html")).alias("title")).first()
     assert row["title"] == "Tom's Café"
     assert "Café ’x’ &eacute; &nope; a&b Ä" in row["text"]
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "&#38;lt;": "&lt;", "&amp;lt;": "&lt;", "&#x26;#60;": "&#60;", "&amp;#60;": "&#60;", "a&#60;b&lt;c": "a<b<c",
+        "&#0; &#xD800; &#;": "&#0; &#xD800; &#;", "&nosuch; & &&amp;": "&nosuch; & &&", "&#233;&eacute;": "éé",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t STRING")
+    got = {r["t"]: r["x"] for r in df.select("t", hx.html_to_text(F.col("t")).alias("x")).collect()}
+    assert got == cases

@@ -51,6 +51,19 @@ def test_metadata_filter(spark, condition, matches):
     assert sorted(r["i"] for r in got) == matches
 
 
+def test_whole_numbers_are_compared_exactly(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(1, f'{{"n": {big}}}'), (2, f'{{"n": {big - 1}}}'), (3, '{"n": 2.0}')], "i INT, m STRING")
+    df = df.withColumn("metadata", F.parse_json("m"))
+
+    def found(condition):
+        return sorted(r["i"] for r in df.where(metadata_filter(condition, F.col("metadata"))).collect())
+
+    assert found({"n": big}) == [1] and found({"n": {"$in": [big - 1]}}) == [2] and found({"n": {"$ne": big}}) == [2, 3]
+    assert found({"n": {"$gt": big - 1}}) == [1] and found({"n": {"$lt": big}}) == [2, 3]
+    assert found({"n": 2}) == [3] and found({"n": {"$lt": float("inf")}}) == [1, 2, 3] and found({"n": {"$gt": 2**70}}) == []
+
+
 def test_bad_filters_are_refused(spark):
     for bad in ({"n": {"$near": 1}}, {"$not": []}):
         with pytest.raises(ValueError):
