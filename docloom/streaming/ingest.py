@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
+from docloom.session import path_exists
 from docloom.sources.files import admit
 
 
@@ -95,6 +96,50 @@ def replace_batch(path: str, run: str = "default") -> Callable[[DataFrame, int],
     return handle
 
 
+class LateSplit:
+    """Rows of a stream on time, and those behind the watermark kept beside them.
+
+    A batch's watermark is the latest event time of all batches before it, less ``delay``.
+    That time is all the state there is: one row per batch in the shared folder, so a batch
+    that comes again sees what it saw first and replaces its own rows. Nothing is dropped:
+    a late row is stored with the watermark it missed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, at: str = "ts",
+                 delay: str = "10 minutes", run: str = "default"):
+        self.spark, self.path, self.at, self.delay, self.run = spark, path, at, delay, run
+
+    def handle(self, df: DataFrame, batch: int) -> None:
+        seen, before = f"{self.path}/seen", F.lit(None).cast("timestamp")
+        if path_exists(self.spark, seen):
+            past = self.spark.read.parquet(seen).where((F.col("run") == self.run) & (F.col("batch") < batch))
+            before = F.lit(past.agg(F.max("latest").alias("t")).first()["t"]).cast("timestamp")
+        mark = before - F.expr(f"interval {self.delay}")
+        late = F.coalesce(F.col(self.at) < F.col("watermark"), F.lit(False))
+        marked = df.withColumn("watermark", mark).withColumn("late", late)
+        replace_batch(f"{self.path}/rows", self.run)(marked, batch)
+        latest = df.agg(F.max(self.at).cast("timestamp").alias("latest"))
+        replace_batch(seen, self.run)(latest, batch)
+
+    def on_time(self) -> DataFrame:
+        return self._rows().where(~F.col("late")).drop("late", "watermark")
+
+    def late(self) -> DataFrame:
+        return self._rows().where("late").drop("late")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows").drop("run", "batch")
+
+
+def status_counts_per_period(events: DataFrame, period: str = "5 minutes") -> DataFrame:
+    """Events per status and period of a stored table."""
+    return (
+        events.groupBy(F.window("ts", period), "status")
+        .agg(F.count(F.lit(1)).alias("events"))
+        .select("window.start", "window.end", "status", "events")
+    )
+
+
 def suppress_duplicates(uploads: DataFrame, delay: str, at: str = "created_at",
                         salts: int = 16) -> DataFrame:
     """First upload of each document within the delay; state is dropped after it.

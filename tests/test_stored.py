@@ -324,6 +324,25 @@ def test_two_streams_into_one_table(spark, tmp_path):
     assert spark.read.parquet(target).count() == 6
 
 
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    from datetime import datetime
+
+    def at(minute):
+        return datetime(2024, 1, 1, 1, minute)
+
+    split = stream.LateSplit(spark, work_path(spark, "split"), delay="10 minutes")
+    batches = [[("a", at(30)), ("b", at(1))], [("c", at(20)), ("d", at(19)), ("e", at(50))], [], [("f", at(39)), ("g", None)]]
+    for _ in range(2):
+        # The second round is a replay: every batch sees what it saw first.
+        for number, rows in enumerate(batches):
+            split.handle(spark.createDataFrame(rows, "status STRING, ts TIMESTAMP"), number)
+    assert sorted(r["status"] for r in split.on_time().collect()) == ["a", "b", "c", "e", "g"]
+    assert {r["status"]: r["watermark"] for r in split.late().collect()} == {"d": at(20), "f": at(40)}
+    other = stream.LateSplit(spark, split.path, delay="10 minutes", run="other")
+    other.handle(spark.createDataFrame([("h", at(0))], "status STRING, ts TIMESTAMP"), 5)
+    assert split.on_time().count() == 6
+
+
 # Cache
 
 

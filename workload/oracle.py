@@ -693,4 +693,17 @@ ORACLE = {
     "stream_status": f"""
       select {stamp("time_bucket(interval '5 minutes', ts)")} as start, status, count(*) as events
       from {STATUS} group by all""",
+    "stream_late": f"""
+      with span as (select epoch_us(min(ts)) as a, epoch_us(max(ts)) as b from events),
+      dealt as materialized (
+        select s.*, least(3, cast(floor((epoch_us(ts) - a) * 4 / (b - a + 1)) as bigint)
+                          + case when seq % 10 = 0 then 1 else 0 end) as batch
+        from {STATUS} s, span),
+      marks as (
+        select n as batch, (select max(ts) from dealt where batch < n) - interval '10 minutes' as mark
+        from range(4) r(n)),
+      flagged as (select d.*, coalesce(ts < mark, false) as late from dealt d join marks using (batch))
+      select {stamp("time_bucket(interval '5 minutes', ts)")} as start, status,
+             count(*) filter (not late) as events, count(*) filter (late) as late_events
+      from flagged group by 1, 2""",
 }

@@ -1088,6 +1088,31 @@ def stream_status(spark, folder):
     )
 
 
+def stream_late(spark, folder):
+    """Status counts over four batches, with the rows that came behind the watermark.
+
+    Batches are quarters of the event time; each tenth event comes one batch late.
+    """
+    events = status_events(table(spark, folder, "events"))
+    span = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    quarter = F.floor((F.unix_micros("ts") - span["a"]) * 4 / (span["b"] - span["a"] + 1))
+    delayed = F.least(F.lit(3), quarter + F.when(F.col("seq") % 10 == 0, 1).otherwise(0))
+    source, target = work_path(spark, "arrivals"), work_path(spark, "split")
+    split = stream.LateSplit(spark, target, delay="10 minutes")
+    checkpoint = work_path(spark, "checkpoint")
+    arrivals = spark.readStream.schema(events.schema)
+    for batch in range(4):
+        events.where(delayed == batch).write.mode("append").parquet(source)
+        stream.run_available(arrivals.parquet(source), split.handle, checkpoint)
+    on_time = stream.status_counts_per_period(split.on_time())
+    late = stream.status_counts_per_period(split.late()).withColumnRenamed("events", "late_events")
+    both = on_time.join(late, ["start", "end", "status"], "full")
+    return both.select(
+        stamp(F.col("start")).alias("start"), "status",
+        F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("late_events", F.lit(0)).alias("late_events"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1105,6 +1130,6 @@ QUERIES = {
         catalog, catalog_page, stored_catalog, catalog_cursor, stored_deletion,
         document_details, deletion_report, documents_left,
         status_fold, status_counts, expired_uploads,
-        stream_chunks, stream_index, stream_replay, stream_unique, stream_status,
+        stream_chunks, stream_index, stream_replay, stream_unique, stream_status, stream_late,
     )
 }
