@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.base import stored
 
-BROADCAST_IDS = 2_000_000
+# Keys as rows of a hash table: the columns and about 40 bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
 def only(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join of wide rows with a list of distinct ids.
 
-    A list of up to ``BROADCAST_IDS`` goes to every task, so that the wide rows stay where
-    they are; a longer one meets them in an ordinary shuffled join.
+    A list of up to ``BROADCAST_BYTES`` goes to every task, so that the wide rows stay where
+    they are; a longer one meets them in an ordinary shuffled join. Keys are of fixed width.
     """
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, how)
+    size = ids.count() * (8 * len(ids.columns) + 40)
+    return docs.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, key, how)

@@ -99,6 +99,7 @@ def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "text",
     )
 
 

@@ -9,14 +9,19 @@ starts anywhere else, in the same document or another.
    windows. Only one of each is looked at further, and only where an anchor's hash has
    different neighbourhoods.
 3. These are grouped by anchor, large groups as pairs of blocks of bounded size. Each
-   neighbourhood is cut to what its longest common left and right contexts allow, and the
-   suffixes of the group's different strings are sorted by Lyndon-prefix groups; neighbours
-   in the suffix array that agree for ``length`` bytes are repeated windows.
-4. The windows' bytes are united per document and removed.
+   neighbourhood is cut to what its longest common left and right contexts allow. A string
+   that lies whole in another one, at the same place about the anchor, is repeated there and
+   needs no sorting; the suffixes of the others are sorted by Lyndon-prefix groups, and
+   neighbours in the suffix array that agree for ``length`` bytes are repeated windows.
+4. The windows' bytes are united per document and removed. The few neighbourhoods with very
+   many occurrences, at most ``MOST_HOT`` by their share of all, are known to every task, so
+   no join sees them; all others meet their occurrences in a join of small keys.
 
 A document is one row and its text is handled whole. A null text is empty; texts shorter
 than ``length`` keep everything. Rows are told apart by id and text, so repeated rows are
 copies of each other; rows with a null id are judged and cut like all others. Bytes are compared by 64-bit hashes.
+Columns with the names in ``TAKEN`` are in the way: ``remove`` refuses them, ``removed`` reads
+id and text only.
 
 The same job runs over words: ``length`` is then a number of words, a text is the array of
 its words' 64-bit hashes, and runs found are mapped to the bytes from the first word's start
@@ -42,11 +47,16 @@ from docloom.llm.suffixes import suffix_array
 
 LENGTH = 400
 BLOCK = 1024
-_PLACE_BITS = 28
+# Neighbourhoods that occur more often than this, and in more than one of MOST_HOT rows.
+HOT = 1000
+MOST_HOT = 1000
+# More places than a text can have bytes.
+_PLACE_BITS = 32
 # Small texts at a time keep the arrays in the processor's cache.
 SCAN_BYTES = 1 << 16
 # A null id is 0 with a flag: keys are never null, so that they join.
 KEYS = ["_id", "_no_id", "_text_hash"]
+TAKEN = {*KEYS, "spans", "word_spans"}
 
 
 class Unit(NamedTuple):
@@ -197,31 +207,47 @@ def repeated_windows(strings: list[bytes], offsets: list[int], length: int, unit
         first, last = o - int(left[i]), o + int(right[i])
         if last - first >= length:
             cuts.setdefault((s[first * wide : last * wide], o - first), []).append((i, first))
-    texts = [(np.frombuffer(s, unit.kind), owners) for (s, _), owners in cuts.items()]
-    found = [np.full(len(s) - length + 1, len(owners) > 1) for s, owners in texts]
-    if len(texts) > 1:
-        base = np.cumsum([0] + [len(s) + 1 for s, _ in texts])
-        raw = np.zeros(base[-1], unit.kind)
-        for at, (s, _) in zip(base, texts):
-            raw[at : at + len(s)] = s
-        known, joined = np.unique(raw, return_inverse=True)
-        joined[base[1:] - 1] = len(known)
-        order = np.array(suffix_array(joined.tolist()))
-        room = np.concatenate([np.arange(len(s), -1, -1) for s, _ in texts])
-        order = order[room[order] >= length]
-        windows = span_hashes(raw, order, order + length)
-        same = windows[1:] == windows[:-1]
-        hit = np.zeros(len(raw), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        for k, (s, _) in enumerate(texts):
-            found[k] |= hit[base[k] : base[k] + len(s) - length + 1]
-    for k, (_, owners) in enumerate(texts):
-        for i, first in owners:
+    texts = sorted(cuts, key=lambda c: (-len(c[0]), c))
+    found = [np.full(len(s) // wide - length + 1, len(cuts[s, o]) > 1) for s, o in texts]
+    whole = []
+    for k, (s, o) in enumerate(texts):
+        for m in whole:
+            t, p = texts[m]
+            at = (p - o) * wide
+            if at >= 0 and t.startswith(s, at):
+                found[k][:] = True
+                found[m][p - o : p - o + len(found[k])] = True
+                break
+        else:
+            whole.append(k)
+    if len(whole) > 1:
+        for k, hit in zip(whole, _sorted_hits([np.frombuffer(texts[k][0], unit.kind) for k in whole], length)):
+            found[k] |= hit
+    for k, text in enumerate(texts):
+        for i, first in cuts[text]:
             flags[i][first : first + len(found[k])] |= found[k]
     return flags
 
 
+def _sorted_hits(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """A flag per window of each text: neighbours in the suffix array that agree in it."""
+    base = np.cumsum([0] + [len(s) + 1 for s in texts])
+    raw = np.zeros(base[-1], texts[0].dtype)
+    for at, s in zip(base, texts):
+        raw[at : at + len(s)] = s
+    known, joined = np.unique(raw, return_inverse=True)
+    joined[base[1:] - 1] = len(known)
+    order = np.array(suffix_array(joined.tolist()))
+    room = np.concatenate([np.arange(len(s), -1, -1) for s in texts])
+    order = order[room[order] >= length]
+    windows = span_hashes(raw, order, order + length)
+    same = windows[1:] == windows[:-1]
+    hit = np.zeros(len(raw), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return [hit[at : at + len(s) - length + 1] for at, s in zip(base, texts)]
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
@@ -243,29 +269,69 @@ def repeated_spans(keyed: DataFrame, length: int, unit: Unit = BYTES) -> DataFra
     near = only(keyed.select(*KEYS, "text"), asked.select(*KEYS), "left_semi", KEYS)
     strings = cut_strings(near.dropDuplicates(KEYS).join(asked, KEYS), length, unit)
     paired = in_block_pairs(strings, several, "anchor", BLOCK)
-
-    def task(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        flags = repeated_windows(group["string"].tolist(), group["offset"].tolist(), length, unit)
-        for whole, own in zip(group["id"].tolist(), flags):
-            out += [(whole, a, b) for a, b in _runs(own)]
-        found = pd.DataFrame(out, columns=["whole", "low", "high"], dtype="int64")
-        return found.assign(anchor=group["anchor"].iloc[0])
-
-    shared = paired.groupBy("anchor", "i", "j").applyInPandas(task, "whole long, low long, high long, anchor long")
+    by = ["anchor", "i", "j"]
+    # Sorted, the groups of a task follow each other: thousands of small ones go in one batch.
+    dealt = paired.select(*by, "id", "offset", "string").repartition(*by).sortWithinPartitions(*by)
+    shared = dealt.mapInArrow(
+        lambda batches: _group_runs(batches, length, unit), "anchor long, whole long, low long, high long"
+    )
     shared = shared.groupBy("anchor", "whole").agg(F.collect_set(F.struct("low", "high")).alias("runs_found"))
     full = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("one.runs").cast("long").alias("high")))
     known = kinds.join(shared, ["anchor", "whole"], "left").select(
-        "anchor", "whole", F.when(F.col("times") > 1, full).otherwise(F.col("runs_found")).alias("found")
+        "anchor", "whole", "times", F.when(F.col("times") > 1, full).otherwise(F.col("runs_found")).alias("found")
     )
-    hits = anchors.join(known.where("found is not null"), ["anchor", "whole"])
+    least = max(HOT, anchors.count() // MOST_HOT)
+    # Fewer than MOST_HOT keys can have so large a share.
+    hot = [r["whole"] for r in kinds.where(F.col("times") > least).select("whole").collect()]
+    often = F.col("whole").isin(hot) if hot else F.lit(False)
+    known = known.where(F.col("found").isNotNull() & ~often).drop("times")
+    seldom = anchors.where(~often).join(known, ["anchor", "whole"])
     spans = F.transform(
         "found",
         lambda f: F.struct(
             (F.col("start") + f["low"]).alias("low"), (F.col("start") + f["high"] + length - 1).alias("high")
         ),
     )
-    return hits.groupBy(*KEYS).agg(F.flatten(F.collect_list(spans)).alias("spans"))
+    whole = F.array(
+        F.struct(
+            F.col("start").cast("long").alias("low"),
+            (F.col("start") + F.col("runs").cast("long") + length - 1).alias("high"),
+        )
+    )
+    hits = seldom.select(*KEYS, spans.alias("spans")).unionByName(
+        anchors.where(often).select(*KEYS, whole.alias("spans"))
+    )
+    return hits.groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _group_runs(batches: Iterator[pa.RecordBatch], length: int, unit: Unit) -> Iterator[pa.RecordBatch]:
+    """(anchor, whole, low, high) of the repeated runs in sorted groups (anchor, i, j)."""
+    held, group, out = [], None, []
+
+    def close() -> None:
+        if len(held) > 1:
+            names, offsets, strings = zip(*held)
+            flags = repeated_windows(list(strings), list(offsets), length, unit)
+            for name, own in zip(names, flags):
+                out.extend((group[0], name, a, b) for a, b in _runs(own))
+        held.clear()
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(4)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "whole", "low", "high"])
+
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("anchor", "i", "j", "id", "offset", "string")))
+        for *key, name, offset, string in rows:
+            if key != group:
+                close()
+                group = key
+            held.append((name, offset, string))
+        if len(out) > 10_000:
+            yield made()
+    close()
+    yield made()
 
 
 def united(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -306,7 +372,8 @@ def _with_spans(docs: DataFrame, length: int, n_words: int | None = None) -> Dat
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): what is removed and the bytes that stay."""
+    """(doc_id, n_bytes, n_removed, spans, kept, text): what is removed, the bytes that stay,
+    and these as a text, with U+FFFD where a cut has left part of a character."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,12 +390,15 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [
                     batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
                     pa.array(runs, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),
-                    pa.array(kept, pa.binary()),
+                    pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "replace") for k in kept]),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"],
             )
 
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, kept binary"
+    schema = (
+        "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, "
+        "kept binary, text string"
+    )
     rows = _with_spans(docs.select("doc_id", "text"), length)
     return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(task, schema)
 
@@ -341,6 +411,8 @@ def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) ->
     a null text too; ``n_chars``, where there is one, counts the new text.
     """
     columns, schema = docs.columns, docs.schema
+    if clash := TAKEN & set(columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
