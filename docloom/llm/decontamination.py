@@ -6,20 +6,23 @@ e = floor(``rate`` * m) edits; a passage within e edits shares at least m + 1 -
 the item's q-grams, all on diagonals (text minus item position) at most e apart. Shared
 q-grams are counted in diagonal bands that overlap by e, so that one band holds all of a
 passage's diagonals; bands that reach the bound are verified by an alignment limited to the
-band. Where q * e leaves no q-gram, e is lowered to the largest number that leaves one.
+band. Where q * e leaves no q-gram, e is lowered to the largest number that leaves one. Items
+of fewer than q bytes have no q-gram and no edits: they are found where they stand word for
+word.
 
 The benchmark is the query set: it goes through the documents in blocks of ``BLOCK_BYTES``
-of text, each block's index small enough to send to every task. Documents are scanned in
-place, without a shuffle, whole.
+of text, each block's index small enough to send to every task. The driver holds one block at
+a time; the finds of several are written block by block. Documents are scanned in place,
+without a shuffle, whole.
 
-Null texts and texts or items shorter than q match nothing; an item of null id is left out.
-Repeated rows are each judged. A document's other columns stay in ``clean``.
+Null texts, and items without a letter or digit, match nothing; an item of null id is left
+out. Repeated rows are each judged; of several best passages of an item the first by its end
+counts. A document's other columns stay in ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.base import as_bytes, pieces, stored
 from docloom.llm.components import only
+from docloom.session import work_path
 
 Q = 8
 RATE = 0.1
@@ -92,6 +96,14 @@ class ItemIndex:
         self.budget = np.minimum((rate * self.sizes).astype(np.int64), np.maximum(self.sizes - Q, 0) // Q)
         self.least = self.sizes + 1 - Q - Q * self.budget
         self.step = 2 * (self.budget + 1)
+        # Short items by length: their bytes as numbers, in order, and which items they are.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, Q):
+            own = np.flatnonzero(self.sizes == size)
+            if len(own):
+                numbers = np.array([int.from_bytes(self.items[i], "little") for i in own], np.uint64)
+                order = np.argsort(numbers, kind="stable")
+                self.short[size] = numbers[order], own[order]
         grams = [codes(np.frombuffer(i, np.uint8)) for i in self.items]
         every = np.concatenate([np.empty(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -154,34 +166,74 @@ class ItemIndex:
             found = aligned(self.items[item], plain[low:high].tobytes(), e)
             if found and found[0] < best.get((row, item), (e + 1,))[0]:
                 best[row, item] = (found[0], low + found[1], low + found[2])
+        if self.short:
+            best |= self.short_matches(plain, edges)
         return [(row, item, *rest) for (row, item), rest in sorted(best.items())]
 
 
+    def short_matches(self, plain: np.ndarray, edges: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Where items of fewer than q bytes first stand word for word."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        padded = np.concatenate([plain, np.full(Q, 32, np.uint8)])
+        opens = np.ones(len(plain), bool)
+        opens[1:] = plain[:-1] == 32
+        opens[edges[:-1][edges[:-1] < len(plain)]] = True
+        at = np.flatnonzero(opens & (plain != 32))
+        row = np.searchsorted(edges, at, "right") - 1
+        number = codes(padded)[at]
+        for size, (numbers, items) in self.short.items():
+            end = at + size
+            whole = (end == edges[row + 1]) | ((end < edges[row + 1]) & (padded[end] == 32))
+            own = number[whole] & np.uint64((1 << 8 * size) - 1)
+            first, last = (np.searchsorted(numbers, own, side) for side in ("left", "right"))
+            hit = np.flatnonzero(last > first)
+            for k, start in zip(hit.tolist(), at[whole][hit].tolist()):
+                for item in items[first[k] : last[k]].tolist():
+                    out.setdefault((int(row[whole][k]), item), (0, start, start + size))
+        return out
+
+
 def aligned(item: bytes, text: bytes, budget: int) -> tuple[int, int, int] | None:
     """Least edits between ``item`` and any part of ``text``, with the part's bounds."""
     at = text.find(item)
     if at >= 0:
         return 0, at, at + len(item)
-    ends = _least_edits(item, text)
+    ends = _least_edits(item, text, budget)
     end = int(ends.argmin())
     if ends[end] > budget:
         return None
-    back = _least_edits(item[::-1], text[:end][::-1])
+    back = _least_edits(item[::-1], text[:end][::-1], budget)
     size = int(np.flatnonzero(back == ends[end])[0])
     return int(ends[end]), end - size, end
 
 
-def _least_edits(item: bytes, text: bytes) -> np.ndarray:
-    """For every end in ``text``, the least edits of ``item`` against a part that ends there."""
-    letters = np.frombuffer(text, np.uint8)
-    along = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for letter in item:
-        step = np.empty_like(row)
-        step[0] = row[0] + 1
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (letters != letter))
+def _least_edits(item: bytes, text: bytes, budget: int) -> np.ndarray:
+    """For every end in ``text``, the least edits of ``item`` against a part that ends there,
+    right wherever that is within ``budget``.
+
+    Cells are kept by diagonal (text minus item position). An alignment within the budget
+    stays at diagonals from -budget to len(text) - len(item) + budget; others are not filled.
+    """
+    m, n = len(item), len(text)
+    far = m + n + 1
+    ends = np.full(n + 1, far, np.int64)
+    diagonal = np.arange(-budget, n - m + budget + 1)
+    if not len(diagonal):
+        return ends
+    # No text has this byte, so nothing matches beyond its bounds.
+    around = np.full(budget, 255, np.uint8)
+    letters = np.concatenate([around, np.frombuffer(text, np.uint8), around])
+    along = np.arange(len(diagonal))
+    row = np.where((diagonal >= 0) & (diagonal <= n), 0, far)
+    for at, letter in enumerate(item):
+        step = row + (letters[at : at + len(diagonal)] != letter)
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
+        step[: max(0, budget - at - 1)] = far
         row = np.minimum.accumulate(step - along) + along
-    return row
+    end = diagonal + m
+    inside = (end >= 0) & (end <= n)
+    ends[end[inside]] = row[inside]
+    return ends
 
 
 def item_blocks(benchmark: DataFrame, rate: float = RATE) -> Iterator[ItemIndex]:
@@ -233,10 +285,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
         return rows.mapInArrow(task, _FOUND)
 
-    found = [scan(index) for index in item_blocks(benchmark, rate)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], _FOUND)
-    return reduce(DataFrame.unionAll, found)
+    spark, blocks = docs.sparkSession, item_blocks(benchmark, rate)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], _FOUND)
+    if following is None:
+        return scan(block)
+    path = work_path(spark, "leaks")
+    while block is not None:
+        scan(block).write.mode("append").parquet(path)
+        block, following = following, next(blocks, None)
+    return spark.read.schema(_FOUND).parquet(path)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
