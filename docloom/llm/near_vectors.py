@@ -14,7 +14,10 @@ meets several times is counted where it meets first, which both sides' corners t
 returns one row per vector, its links counted and one forest edge, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without label
-or id, are linked with nothing. Only vectors of equal label and size are compared.
+or id, are linked with nothing. Only vectors of equal label and size are compared. Different
+vectors are numbered, so a vec_id that recurs, under another label or with another vector,
+connects nothing; each of its rows has the links of its own vector. Other columns are neither
+read nor kept.
 """
 
 from __future__ import annotations
@@ -228,12 +231,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     able = F.col("mark").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     key = ["label", "mark"]
     distinct = prepared.where(able).groupBy(*key).agg(
-        F.min("vec_id").alias("id"),
+        F.min("vec_id").alias("lead"),
         F.count("vec_id").alias("times"),
         F.any_value("size").alias("size"),
         F.any_value("units").alias("units"),
     )
-    distinct = stored(with_corners(distinct), "distinct-vectors")
+    distinct = with_corners(distinct.withColumn("id", F.monotonically_increasing_id()))
+    distinct = stored(distinct, "distinct-vectors")
     cells = stored(cell_table(distinct), "cells")
     by = ["label", "size", "cell"]
     sizes = cells.groupBy(*by).agg(
@@ -255,12 +259,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     found = stored(found, "vector-links")
     joined = components(found.select(F.col("id").alias("a"), F.col("up").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    whole = distinct.select(*key, "id", "times").join(counted, "id", "left").join(joined, "id", "left")
-    whole = whole.select(
+    whole = distinct.select(*key, "id", "lead", "times")
+    whole = whole.join(counted, "id", "left").join(joined, "id", "left").select(
         *key,
+        "lead",
         (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component", "id").alias("group"),
     )
+    # A component is named after the least vec_id in it.
+    names = whole.groupBy("group").agg(F.min("lead").alias("component_id"))
+    whole = whole.drop("lead").join(names, "group").drop("group")
     out = prepared.select("vec_id", *key).join(whole, key, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select(
