@@ -113,6 +113,10 @@ class Encoder:
             and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
             and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces)
         )
+        # The same with every blank as the three bytes of its mark.
+        self.marked_lengths = np.array(
+            [1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64
+        )
         self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -140,8 +144,22 @@ class Encoder:
             ends = np.cumsum(self.lengths[ids]) - (1 if self.prefix else 0)
             if len(ids) == 0 or ends[-1] == len(raw):
                 return np.concatenate([[0], ends[:-1]])[: len(ids)], ends
+        if self.plain:
+            # A literal mark and the mark of a blank look alike in pieces: bytes of the marked
+            # text lead back to the byte they stand for.
+            origin = self._marked_origin(raw)
+            ends = np.cumsum(self.marked_lengths[ids])
+            if len(ids) == 0 or ends[-1] == len(origin) - 1:
+                return origin[np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ids)]], origin[ends]
         return self._aligned(ids, raw)
 
+    def _marked_origin(self, raw: bytes) -> np.ndarray:
+        """For every byte of the text with blanks marked, and the end, its original offset."""
+        data = np.frombuffer(raw, np.uint8)
+        sizes = np.where(data == 0x20, 3, 1)
+        origin = np.append(np.repeat(np.arange(len(data)), sizes), len(data))
+        return np.concatenate([np.zeros(3, np.int64), origin]) if self.prefix and raw else origin
+
     def _aligned(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Spans by walking the pieces' surfaces over the normalised text and its origins."""
         normal, origin = self.map.normalise(raw)
