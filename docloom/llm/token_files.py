@@ -15,12 +15,15 @@ them. Blocks depend on nothing but the frequency table, so readers decode any of
 of a segment at once as arrays, and check each against its crc32.
 
 Tokenising: the tokenizers library encodes each distinct unit of a task once. Texts are cut
-at blanks and line breaks, which no token of these tokenizers spans; a null text is empty.
-Null ids come first; equal ids stay side by side in no defined order.
+at blanks and line breaks, which no token of a tokenizer spans that drops white space and
+lowers case as ``_PLAIN_SPEC`` says; with any other file whole texts go to the library. A null
+text is empty. Null ids come first; equal ids stay side by side in no defined order. Only id
+and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -51,8 +54,32 @@ _SEGMENTS = (
 # --- tokenising -------------------------------------------------------------------------
 
 
-# The pattern of the tokenizers' own pre-tokeniser, for text of ASCII characters only.
-_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+# The pattern of the tokenizers' own pre-tokeniser, for text of ASCII characters only. White
+# space is what the library takes for it; Python's would add U+001C to U+001F.
+_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# The parts of a tokenizer file that make units independent.
+_PLAIN_SPEC = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordTokenizer(dict):
@@ -67,7 +94,13 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.merges = self.library.model
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        marked = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        self.by_unit = marked and spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in _PLAIN_SPEC.items())
         self.known_words: dict[str, bytes] = {}
         # Printable bytes stand for themselves, the others are numbered from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -102,6 +135,8 @@ class WordTokenizer(dict):
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self.by_unit:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE_UNITS:
             self.clear()
             self.known_words.clear()
@@ -122,9 +157,8 @@ def tokenize(docs: DataFrame, path: str, end: int | None) -> DataFrame:
         known, last = tokenizer(path), b"" if end is None else np.uint32(end).tobytes()
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = batch.column("text")
             counts, packed = [], []
-            for value in texts:
+            for value in batch.column("text"):
                 ids = known.ids(value.as_py() or "") + last
                 counts.append(len(ids) // 4)
                 # Byte planes: the upper bytes of ids say little and pack well.
@@ -139,8 +173,13 @@ def tokenize(docs: DataFrame, path: str, end: int | None) -> DataFrame:
     return rows.mapInArrow(task, "doc_id long, n_tokens long, ids binary")
 
 
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _unpacked(value: pa.Scalar, n: int) -> np.ndarray:
-    planes = zstandard.ZstdDecompressor().decompress(value.as_py(), max_output_size=max(4 * n, 1))
+    planes = _decompressor().decompress(value.as_py(), max_output_size=max(4 * n, 1))
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
@@ -149,12 +188,24 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
+        def add(held: list[np.ndarray]) -> None:
+            nonlocal total
+            own = np.bincount(np.concatenate(held)) if held else total[:0]
+            if len(own) > len(total):
+                total = np.pad(total, (0, len(own) - len(total)))
+            total[: len(own)] += own
+            held.clear()
+
         for batch in batches:
-            for value, n in zip(batch.column("ids"), batch.column("n_tokens")):
-                own = np.bincount(_unpacked(value, n.as_py()))
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
+            # Many texts at a time: a count per text would be as long as the vocabulary.
+            held, size = [], 0
+            for value, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
+                held.append(_unpacked(value, n))
+                size += n
+                if size > SEGMENT:
+                    add(held)
+                    size = 0
+            add(held)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["symbol", "n"])
 
@@ -293,33 +344,37 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None) -> N
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, first = TaskContext.get().partitionId(), 0, 0
+        part, seq, first, size = TaskContext.get().partitionId(), 0, 0, 0
         ids, docs_, lengths = [], [], []
 
         def segment() -> pa.RecordBatch:
-            nonlocal seq, first
+            nonlocal seq, first, size
             run = np.concatenate(ids)
             payload, marks = encode_segment(run, table)
             row = {
                 "part": part, "seq": seq, "first": first, "n_tokens": len(run),
                 "doc_ids": list(docs_), "lengths": list(lengths), "payload": payload, "blocks": marks,
             }
-            seq, first = seq + 1, first + len(run)
+            seq, first, size = seq + 1, first + len(run), 0
             for held in (ids, docs_, lengths):
                 held.clear()
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_SEGMENTS)
 
         for batch in batches:
-            for doc, n, packed in zip(*(batch.column(c) for c in ("doc_id", "n_tokens", "ids"))):
-                if lengths and sum(lengths) + n.as_py() > SEGMENT:
+            known = (batch.column(c).to_pylist() for c in ("doc_id", "n_tokens"))
+            for doc, n, packed in zip(*known, batch.column("ids")):
+                if lengths and size + n > SEGMENT:
                     yield segment()
-                ids.append(_unpacked(packed, n.as_py()))
-                docs_.append(doc.as_py())
-                lengths.append(n.as_py())
+                ids.append(_unpacked(packed, n))
+                docs_.append(doc)
+                lengths.append(n)
+                size += n
         if lengths:
             yield segment()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The second key deals rows of one id, or of none, over several tasks.
+    ordered = tokens.withColumn("_tie", F.xxhash64("ids"))
+    ordered = ordered.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     ordered.mapInArrow(task, _SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
     parts = spark.read.schema(_SEGMENTS).parquet(f"{path}/segments")
     # One row per part: a few numbers for each task of the writing stage.
