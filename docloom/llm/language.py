@@ -10,7 +10,10 @@ its two sides. A narrow lead over the next codeword flags the text as ambiguous.
 Counts are taken from every training row: tasks count their trigrams into arrays and Spark
 adds these per (language, bucket). The model is languages x buckets numbers whatever the
 corpus holds. A null text, or one without a letter, is `und` with score 0. Rows without
-text or language teach nothing; with nothing learned every text is `und`.
+text or language teach nothing; with nothing learned every text is `und`. Ties go to the
+language that sorts first. Repeated rows are learned from, and named, each. One text is one
+row and handled whole, in arrays of its own length. A frame that already has one of
+``OUTPUTS`` is refused by name; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import types as T
 from docloom.llm.base import as_bytes, mixed, pieces
 
 UNKNOWN = "und"
+_MARK = "_lettered"
+OUTPUTS = ("lang_pred", "score", "ambiguous", _MARK)
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[128:] = np.arange(128, 256)
 for _letter in range(97, 123):
@@ -144,11 +149,13 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, pseudo: float = 0.5, gain: floa
 
 def identify(docs: DataFrame, model: OutputCodes | None, least_lead: float = 0.5) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``, from the text alone."""
+    if clash := set(OUTPUTS) & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     if model is None:
         return docs.withColumns(
             {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)}
         )
-    mark = "_lettered"
+    mark = _MARK
     rows = docs.withColumn(mark, F.coalesce(F.regexp_like("text", F.lit("\\p{L}")), F.lit(False)))
     schema = T.StructType(docs.schema.fields).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     buckets = len(model.odds)

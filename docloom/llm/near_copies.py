@@ -233,6 +233,8 @@ def drop_copies(docs: DataFrame, percent: int = 85, width: int = sk.WIDTH) -> Da
     Rows without an id or a word stay, all of them.
     """
     keys = ["_id", "_text_hash"]
+    if clash := set(keys) & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     found = _grouped(docs, percent, width).where("set_group is not null")
     kinds = found.groupBy("set_group", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"))
     kinds = stored(kinds.agg(F.count("n_shingles").alias("times")), "copies")

@@ -9,7 +9,8 @@ functions of the document's own row, so scoring neither shuffles nor leaves the
 Null and empty texts have all statistics 0 and get the score these give. Rows of ``labels``
 without a label or without a document are not learned from; several labels of one document
 count each. Where only one class (or nothing) is labelled, the model is a constant.
-Extra columns of ``docs`` stay as they are.
+Extra columns of ``docs`` stay as they are; ``score`` and ``reject`` refuse frames that have
+one of ``TAKEN``. Repeated rows are learned from, and scored, each. A text is handled whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.base import id_remainder, stored
 
+TAKEN = {"_stats", "_score", "_row"}
 Condition = tuple[str, str, float]  # statistic, "<=" or ">", threshold
 
 
@@ -68,6 +70,8 @@ NAMES = (
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with one column ``_stats``, a struct of the statistics."""
+    if clash := TAKEN & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("_stats", F.struct(*(c.alias(n) for n, c in statistics(text).items())))
 

@@ -367,3 +367,98 @@ def test_pipeline_stages(spark, folder):
     assert 0 < last.count() < docs.count()
     assert last.where(~F.col("round_trip")).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "decontamination", "pieces"]
+
+
+def test_a_vec_id_that_recurs_connects_nothing(spark):
+    from docloom.llm import near_vectors
+
+    a, b = [1.0, 0.0, 0.05, 0.0], [0.0, 1.0, 0.0, 0.05]
+    rows = [(5, 1, a), (6, 1, [1.0, 0.01, 0.0, 0.0]), (5, 2, b), (7, 2, [0.01, 1.0, 0.0, 0.0]), (8, 3, a), (8, 3, b), (9, 3, b)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(df).collect())
+    assert got == [
+        (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False),
+        (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False),
+    ]
+
+
+def test_contained_neighbourhoods_and_hot_ones(spark, docs_of, monkeypatch):
+    """Many extents of one passage, and one passage in most rows, against brute force."""
+    from docloom.llm import repeats
+
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows = [(i, f"x{i} " + passage[i % 7 : len(passage) - i % 11] + f" y{i}") for i in range(40)]
+    rows += [(100 + i, f"{i} " * 3 + "hot " + "common words " * 9 + f"z{i}") for i in range(60)]
+    monkeypatch.setattr(repeats, "HOT", 20)
+    texts = {i: t.encode() for i, t in rows}
+    seen = {}
+    for i, t in texts.items():
+        for at in range(len(t) - 99):
+            seen.setdefault(t[at : at + 100], []).append((i, at))
+    gone = {i: bytearray(len(t)) for i, t in texts.items()}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, at in places:
+                gone[i][at : at + 100] = b"\x01" * 100
+    for r in repeats.removed(docs_of(rows), length=100).collect():
+        kept = bytes(b for b, g in zip(texts[r.doc_id], gone[r.doc_id]) if not g)
+        assert r.kept == kept and r.n_removed == sum(gone[r.doc_id]) and r.text == kept.decode("utf-8", "replace")
+
+
+def _plain(text):
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    plain, _, _ = decontamination.plain_form(data, np.array([0, len(data)]))
+    return bytes(plain)
+
+
+def _edits(item, text):
+    """Least edits of ``item`` against any part of ``text``, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_leaks_equal_brute_force(spark, docs_of, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    items = [sentence(i, rng.randrange(1, 16)) for i in range(24)] + ["w1 w2", "Ab", "ab", "--", "", "x", "É é"]
+    bench = [(i, t) for i, t in enumerate(items)] + [(None, "w9 w8 w7 w6"), (99, None), (3, items[3])]
+    texts = [None, "", "w1", "aw1 w2", "so w1 w2!", "AB c", "cab", "x", "É É é"]
+    for n in range(60):
+        words = sentence(1000 + n, 25)
+        t = list(items[n % 24].encode())
+        for _ in range(rng.randrange(0, 2 + len(t) // 9)):
+            at = rng.randrange(len(t))
+            kind = rng.randrange(3)
+            t[at : at + (kind > 0)] = [] if kind == 1 else [rng.choice(b"abcw012 ")]
+            t = t or [120]
+        texts.append(words[: rng.randrange(60)] + " " + bytes(t).decode() + " " + words[60:90])
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5])]
+    want = {}
+    for i, t in rows:
+        for k, item in bench:
+            own, text = _plain(item).strip(), _plain(t)
+            if k is None or not own:
+                continue
+            if len(own) < 8:
+                if f" {own.decode()} " in f" {text.decode()} ":
+                    want[i, k] = 0
+                continue
+            budget = min(len(own) // 10, max(len(own) - 8, 0) // 8)
+            found = _edits(own, text)
+            if found <= budget:
+                want[i, k] = found
+    df = spark.createDataFrame(bench, "item_id long, text string")
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        got = decontamination.leaks(docs_of(rows).withColumn("item_id", F.lit("x")), df).collect()
+        assert {(r.doc_id, r.item_id): r.edits for r in got} == want
+    assert len(want) > 40
+    for r in got:
+        raw = (dict(rows)[r.doc_id] or "").encode()[r.start_byte : r.end_byte]
+        assert _edits(_plain(dict(bench)[r.item_id]).strip(), _plain(raw.decode("utf-8", "ignore"))) <= r.edits + 1

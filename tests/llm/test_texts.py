@@ -130,3 +130,73 @@ def test_quality(spark, docs_of):
     assert scores[1] > 0.5 > scores[2] and scores[3] == scores[4]
     assert quality.reject(new, model).columns == new.columns
     assert quality.fit(docs_of(good), labels.limit(0)).rules == ()
+
+
+def test_word_ids_equal_the_library_for_random_texts():
+    import random
+
+    library, known = Tokenizer.from_file(WORDS), token_files.WordTokenizer(WORDS)
+    assert known.by_unit
+    rng = random.Random(11)
+    pools = ["ab \x1c\x1d\x1e\x1f\x85 c'd1\n\t", "".join(map(chr, range(1, 128))), "éÉß İıſ 'sT<|endoftext|>", "a\x1cb \x1f "]
+    for text in ["a\x1cb \x1f", *("".join(rng.choices(rng.choice(pools), k=rng.randrange(30))) for _ in range(20_000))]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == want, repr(text)
+
+
+def test_other_word_tokenizers_go_to_the_library():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    known, library = token_files.WordTokenizer(other), Tokenizer.from_file(other)
+    assert not known.by_unit
+    for text in ("", "A b  c\n", "It's <|endoftext|> é"):
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_of_repeated_rows_and_missing_ids(spark, docs_of):
+    rows = [(None, "no id"), (None, "no id"), (None, None), (7, "same"), (7, "same"), (7, "other"), (1, sentence(5, 120_000))]
+    path = work_path(spark, "files")
+    docs = docs_of(rows).withColumn("_tie", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    token_files.write(docs, path, WORDS, end=2)
+    library = Tokenizer.from_file(WORDS)
+    want = sorted((str(i), library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows)
+    got = token_files.read(spark, path).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == want
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in ordered] == np.cumsum([0] + [r.n_tokens for r in ordered])[:-1].tolist()
+    assert [r.doc_id for r in ordered] == [None] * 3 + [1] + [7] * 3
+
+
+def test_spans_of_texts_with_a_literal_mark_equal_the_library():
+    import random
+
+    known = pieces.encoder(MODEL)
+    rng = random.Random(4)
+    texts = ["▁", "▁▁ ▁", " ▁a", "a▁ b"] + ["".join(rng.choices("▁▁ abcé\n日", k=rng.randrange(1, 25))) for _ in range(4_000)]
+    for text in texts:
+        ids = known.ids(text)
+        starts, ends = known.spans(text, ids)
+        raw = text.encode()
+        assert starts[0] == 0 and ends[-1] == len(raw) and (starts[1:] == ends[:-1]).all(), repr(text)
+        proto = known.library.encode(text, return_type="proto")
+        if not any(known.library.is_byte(int(i)) for i in ids):
+            own = [(p.begin, p.end) for p in proto.pieces]
+            assert list(zip(starts.tolist(), ends.tolist())) == own, repr(text)
+
+
+def test_columns_in_the_way_are_named(docs_of):
+    from docloom.llm import near_copies, repeats
+
+    docs = docs_of([(1, "a text"), (2, "another")])
+    model = language.fit(docs_of([(1, "only one", "xx")]))
+    constant = quality.RuleEnsemble(0.0, ())
+    cases = [
+        (lambda d: language.identify(d, model), ("lang_pred", "score", "_lettered")),
+        (lambda d: quality.score(d, constant), ("_score", "_stats")),
+        (lambda d: quality.reject(d, constant), ("_stats", "_row")),
+        (near_copies.drop_copies, ("_id", "_text_hash")),
+        (repeats.remove, ("_id", "_no_id", "spans", "word_spans")),
+    ]
+    for operator, names in cases:
+        for name in names:
+            with pytest.raises(ValueError, match=name):
+                operator(docs.withColumn(name, F.lit(1)))
