@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
@@ -61,11 +61,14 @@ class VectorTable:
         used = [n for kind in ("base", "changes") for n in numbers(self.spark, f"{self.path}/{kind}")]
         return max(used, default=0) + 1
 
-    def batches(self) -> tuple[int | None, list[int]]:
-        """The last complete compaction and the complete changes after it, in order."""
-        base = max(complete_numbers(self.spark, f"{self.path}/base"), default=None)
+    def batches(self, upto: int | None = None) -> tuple[int | None, list[int]]:
+        """The last complete compaction and the complete changes after it, in order; with
+        ``upto`` those that made the table what it was after that write."""
+        bases = complete_numbers(self.spark, f"{self.path}/base")
         done = complete_numbers(self.spark, f"{self.path}/changes")
-        return base, [n for n in sorted(done) if base is None or n > base]
+        base = max((n for n in bases if upto is None or n <= upto), default=None)
+        after = [n for n in sorted(done) if base is None or n > base]
+        return base, [n for n in after if upto is None or n <= upto]
 
     def _bucket(self):
         return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
@@ -76,10 +79,10 @@ class VectorTable:
         read = self.spark.read.schema(_CHANGES).option("basePath", f"{self.path}/changes")
         return read.parquet(*[self._folder("changes", n) for n in seqs])
 
-    def _live(self, scope: Scope = lambda rows: rows) -> DataFrame:
+    def _live(self, scope: Scope = lambda rows: rows, upto: int | None = None) -> DataFrame:
         """The live records with their bucket. ``scope`` narrows stored rows by namespace,
         bucket or id ahead of the merge."""
-        base, seqs = self.batches()
+        base, seqs = self.batches(upto)
         kept = [*RECORD, "bucket"]
         stored = []
         if base is not None:
@@ -93,10 +96,8 @@ class VectorTable:
         if not stored:
             return self.spark.createDataFrame([], _BASE).select(*kept)
         rows = stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1])
-        dropped = [n for n in seqs if path_exists(self.spark, f"{self._folder('changes', n)}/kind=drop")]
-        if dropped:
-            drops = self._change_rows(dropped).where("kind = 'drop'")
-            last = drops.groupBy(F.col("namespace").alias("_space")).agg(F.max("seq").alias("_drop"))
+        last = self._drops(seqs)
+        if last is not None:
             emptied = (rows["namespace"] == last["_space"]) & (rows["seq"] < last["_drop"])
             rows = rows.join(last, emptied, "left_anti")
         if len(seqs) + (base is not None) > 1:
@@ -109,6 +110,14 @@ class VectorTable:
             rows = rows.join(newer, same & (newer["_last"] > rows["seq"]), "left_anti")
         return rows.where(~F.col("deleted")).select(*kept)
 
+    def _drops(self, seqs: list[int]) -> DataFrame | None:
+        """(_space, _drop): the last of these writes that emptied each namespace, if any did."""
+        dropped = [n for n in seqs if path_exists(self.spark, f"{self._folder('changes', n)}/kind=drop")]
+        if not dropped:
+            return None
+        drops = self._change_rows(dropped).where("kind = 'drop'")
+        return drops.groupBy(F.col("namespace").alias("_space")).agg(F.max("seq").alias("_drop"))
+
     @staticmethod
     def _key_bytes(records: DataFrame) -> int:
         """Bytes of the changed keys; reads the id column of the changes only."""
@@ -312,3 +321,76 @@ class VectorTable:
 
     def stats(self) -> DataFrame:
         return ops.index_stats(self.read(), self.dimension)
+
+    def refresh_stats(self, at: Column | None = None) -> int:
+        """Add the present statistics to the history; returns the write they belong to.
+
+        Counts go on from the last entry, or from the last compaction, whose counts its files'
+        footers tell. Only keys written since are looked at: what became of them, and whether
+        they were there before, which reads their buckets' id column. A write is measured once.
+        """
+        base, changes = self.batches()
+        known = complete_numbers(self.spark, f"{self.path}/stats")
+        now = max([*changes, base or 0])
+        if now in known:
+            return now
+        start = max((n for n in known if n >= (base or 0)), default=base or 0)
+        schema = "namespace STRING, vector_count BIGINT"
+        if start in known:
+            counts = self.spark.read.parquet(self._folder("stats", start)).where("namespace is not null")
+        elif base is not None:
+            counts = self.spark.read.schema(_BASE).parquet(self._folder("base", base))
+            counts = counts.groupBy("namespace").agg(F.count(F.lit(1)).alias("vector_count"))
+        else:
+            counts = self.spark.createDataFrame([], schema)
+        moved = self._moved(start, [n for n in changes if n > start])
+        totals = counts.select("namespace", "vector_count", F.lit(False).alias("emptied")).unionByName(moved)
+        # Of a namespace emptied since, only what was written after that counts.
+        gone = F.max("emptied").over(Window.partitionBy("namespace"))
+        left = totals.withColumn("gone", gone).where(~F.col("gone") | F.col("emptied"))
+        spaces = left.groupBy("namespace").agg(F.sum("vector_count").alias("vector_count"))
+        # The total is there for an empty table, too.
+        total = spaces.agg(F.coalesce(F.sum("vector_count"), F.lit(0)).alias("vector_count"))
+        total = total.select(F.lit(None).cast("string").alias("namespace"), "vector_count")
+        rows = spaces.where("vector_count > 0").unionByName(total)
+        at = F.current_timestamp() if at is None else at
+        rows = rows.withColumn("dimension", F.lit(self.dimension)).withColumn("measured_at", at)
+        rows.coalesce(1).write.mode("overwrite").parquet(self._folder("stats", now))
+        return now
+
+    def _moved(self, start: int, seqs: list[int]) -> DataFrame:
+        """(namespace, vector_count, emptied): what the writes ``seqs`` add to the counts."""
+        if not seqs:
+            return self.spark.createDataFrame([], "namespace STRING, vector_count BIGINT, emptied BOOLEAN")
+        written = self._change_rows(seqs).where("kind = 'change'")
+        keys = written.groupBy(*PART, "id").agg(
+            F.max_by("deleted", "seq").alias("deleted"), F.max("seq").alias("seq")
+        )
+        drops = self._drops(seqs)
+        if drops is None:
+            keys = keys.withColumn("_drop", F.lit(None).cast("long"))
+        else:
+            keys = keys.join(drops, keys["namespace"] == drops["_space"], "left").drop("_space")
+        few = keys.select(*PART, "id").limit(self.settings.pushed_ids + 1).collect()
+        scope = self._scope_of(few) if len(few) <= self.settings.pushed_ids else lambda rows: rows
+        there = self._live(scope, start).select(*PART, "id", F.lit(1).alias("_there"))
+        keys = keys.join(there, [*PART, "id"], "left")
+        emptied = F.col("_drop").isNotNull()
+        after = (~F.col("deleted") & (F.coalesce("_drop", F.lit(0)) < F.col("seq"))).cast("long")
+        before = F.when(emptied, 0).otherwise(F.coalesce("_there", F.lit(0)))
+        moved = keys.groupBy("namespace", emptied.alias("emptied")).agg(F.sum(after - before).alias("vector_count"))
+        if drops is not None:
+            moved = moved.unionByName(
+                drops.select(F.col("_space").alias("namespace"), F.lit(True).alias("emptied"), F.lit(0).cast("long").alias("vector_count"))
+            )
+        return moved.select("namespace", "vector_count", "emptied")
+
+    def stats_history(self) -> DataFrame:
+        """``seq, namespace, vector_count, dimension, measured_at`` of all entries; the row
+        without a namespace is the total."""
+        schema = "seq BIGINT, namespace STRING, vector_count BIGINT, dimension INT, measured_at TIMESTAMP"
+        done = sorted(complete_numbers(self.spark, f"{self.path}/stats"))
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(schema).option("basePath", f"{self.path}/stats")
+        return read.parquet(*[self._folder("stats", n) for n in done])

@@ -137,6 +137,40 @@ def test_rejects_stay_with_their_reason(spark):
     assert store.rejects().count() == 10 and held(store) == {("n", "d"): 1.0}
 
 
+def test_statistics_go_on_from_the_last_entry(spark):
+    store = VectorTable(spark, work_path(spark, "v"), 2, 2)
+    assert store.stats_history().count() == 0
+
+    def check(seq):
+        assert store.refresh_stats() == seq
+        found = store.stats_history().where(F.col("seq") == seq)
+        want = {r["namespace"]: r["vector_count"] for r in store.stats().where("vector_count > 0").collect()}
+        got = {r["namespace"]: r["vector_count"] for r in found.collect() if r["vector_count"]}
+        assert got == want
+
+    store.upsert(rows_of(spark, ("a", 1), ("b", 2), ("c", 3, "x"), ("d", 4, "x")), unique=True)
+    check(1)
+    store.upsert(rows_of(spark, ("a", 10), ("e", 5)))
+    store.delete(ids=spark.createDataFrame([("b",), ("unknown",)], "id STRING"))
+    check(3)
+    before = files_below(f"{store.path}/stats")
+    check(3)
+    assert files_below(f"{store.path}/stats") == before
+    store.upsert(rows_of(spark, ("f", 1, "x")))
+    store.delete(delete_all=True, namespace="x")
+    store.upsert(rows_of(spark, ("c", 1, "x"), ("b", 1)))
+    check(6)
+    store.delete(ids=spark.createDataFrame([("b",)], "id STRING"))
+    store.compact()
+    store.vacuum()
+    store.upsert(rows_of(spark, ("z", 1), ("e", 7)))
+    check(8)
+    store.delete(delete_all=True, namespace="x")
+    store.delete(delete_all=True)
+    check(10)
+    assert store.stats_history().where("namespace is null").count() == 5
+
+
 # Search
 
 

@@ -561,6 +561,12 @@ ORACLE = {
     "stats_history": f"""
       select namespace, count(*) as vector_count, '2024-01-01 00:05:00' as measured_at
       from {VECTORS} group by rollup (namespace)""",
+    "stats_refresh": f"""
+      select 1::bigint as seq, namespace, count(*) as vector_count from {VECTORS} where label < 6 group by rollup (namespace)
+      union all
+      select 3, namespace, count(*) from {VECTORS} where label <> 5 group by rollup (namespace)
+      union all
+      select 5, namespace, count(*) from {VECTORS} where label = 1 or label >= 5 group by rollup (namespace)""",
     "vector_contract": """
       select cast(vec_id as varchar) as id,
              case label when 3 then 'wrong dimension' when 4 then 'missing values' end as reject_reason

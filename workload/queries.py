@@ -682,6 +682,23 @@ def stats_history(spark, folder):
     )
 
 
+def stats_refresh(spark, folder):
+    """The history after each of three batches, deletions and a compaction between them."""
+    store = VectorTable(spark, work_path(spark, "vectors"), VEC_DIM, buckets=4)
+    base = vector_frame(spark, folder).drop("label")
+    label = F.substring("document_id", 2, 9).cast("int")
+    store.upsert(base.where(label < 6), unique=True)
+    store.refresh_stats()
+    store.upsert(base.where(label >= 4))
+    store.delete(condition={"label": 5}, namespace="high")
+    store.refresh_stats()
+    store.compact()
+    store.delete(delete_all=True, namespace="low")
+    store.upsert(base.where(label.isin(1, 5)))
+    store.refresh_stats()
+    return store.stats_history().select("seq", "namespace", "vector_count")
+
+
 def vector_contract(spark, folder):
     label = F.col("label")
     bad = vector_frame(spark, folder).withColumn(
@@ -1124,7 +1141,7 @@ QUERIES = {
         similarity, normalized, topk_single, topk_batch, topk_blocks, filtered_topk,
         approximate_topk, approximate_recall, inverted_topk, inverted_recall, search_rejects,
         upsert, compacted, upsert_rejects, delete_ids, delete_filter, delete_document, delete_all,
-        fetch, index_stats, stats_history, vector_contract,
+        fetch, index_stats, stats_history, stats_refresh, vector_contract,
         semantic_search, search_totals, reranked, source_references, valid_queries,
         conversation_context, token_usage,
         catalog, catalog_page, stored_catalog, catalog_cursor, stored_deletion,
