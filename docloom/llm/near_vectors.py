@@ -26,8 +26,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,9 @@ from docloom.llm.near_copies import in_block_pairs
 TABLES = 12
 HASHES = 3
 BLOCK = 1024
+# Cells of so few members are looked at together, pair by pair, so many pairs at a time.
+SMALL = 8
+PAIRS = 1 << 15
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -168,45 +171,169 @@ def cell_table(distinct: DataFrame) -> DataFrame:
     )
 
 
-def cell_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """(id, links, up) of one cell's block or two blocks, pairs that met before left out."""
-    x = np.frombuffer(b"".join(group["units"]), np.float64).reshape(len(group), -1)
-    ids, times, own = group["id"].to_numpy(), group["times"].to_numpy(), group["own"].to_numpy()
-    size = _size(x.shape[1])
-    both = group["i"].iloc[0] != group["j"].iloc[0]
-    close = np.triu(x @ x.T >= least, 1)
-    if both:
-        close &= own[:, None] != own[None, :]
-    a, b = np.nonzero(close)
-    links, roots = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    if len(a):
-        found = np.sort(_unpacked(group["corners"].tolist()), axis=3)
-        table = int(group["cell"].iloc[0])
-        named = []
-        for _ in range(HASHES):
-            table, code = divmod(table, 2 * size)
-            named.insert(0, code)
-        # The least corner that both have in each hash names the cell of a meeting.
+def _meet(found: np.ndarray) -> np.ndarray:
+    """Which pairs of vectors have a corner in common in every hash of one table.
+
+    ``found`` is vectors x hashes x 2; whole matrices of small integers are compared.
+    """
+    both = np.ones((len(found), len(found)), bool)
+    for k in range(found.shape[1]):
+        low, high = found[:, k, 0], found[:, k, 1]
+        shared = low[:, None] == low[None]
+        shared |= high[:, None] == high[None]
+        crossed = low[:, None] == high[None]
+        shared |= crossed
+        shared |= crossed.T
+        both &= shared
+    return both
+
+
+def _named(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of each cell and its corner in each hash."""
+    codes = []
+    for _ in range(HASHES):
+        cells, code = np.divmod(cells, 2 * size)
+        codes.insert(0, code)
+    return cells, np.stack(codes, axis=-1)
+
+
+def _cell_links(x: np.ndarray, found: np.ndarray, ids: np.ndarray, times: np.ndarray,
+                apart: np.ndarray | None, cell: int, least: float) -> tuple[np.ndarray, ...]:
+    """(id, links, up) of one cell's block or two blocks, pairs that met before left out.
+
+    ``apart`` has the block of each member where there are two.
+    """
+    close = x @ x.T >= least
+    np.fill_diagonal(close, False)
+    if apart is not None:
+        close &= apart[:, None] != apart[None]
+    if close.any():
+        table, named = _named(np.int64(cell), _size(x.shape[1]))
+        # All have the cell's corner in each hash. Of a pair that shares its other corner, too,
+        # the lesser of both names the cell of its meeting.
         for k in range(HASHES):
             low, high = found[:, table, k, 0], found[:, table, k, 1]
-            lower = named[k] == low
-            missed = (low[a] == low[b]) | (low[a] == high[b]) | (high[a] == low[b])
-            here = (lower[a] & (lower[b] | (named[k] == high[b]))) | (lower[b] & (named[k] == high[a]))
-            here |= ~missed & (named[k] == high[a]) & (named[k] == high[b])
-            a, b = a[here], b[here]
+            other = np.where(low == named[k], high, low).astype(np.int64)
+            other = np.where(other < named[k], other, -1 - np.arange(len(ids)))
+            close &= other[:, None] != other[None]
         for before in range(table):
-            met = np.ones(len(a), bool)
-            for k in range(HASHES):
-                low, high = found[:, before, k, 0], found[:, before, k, 1]
-                met &= (low[a] == low[b]) | (low[a] == high[b]) | (high[a] == low[b]) | (high[a] == high[b])
-            a, b = a[~met], b[~met]
-        np.add.at(links, a, times[b])
-        np.add.at(links, b, times[a])
-        near = np.zeros((len(ids), len(ids)), bool)
-        near[a, b] = near[b, a] = True
-        roots = _least_reachable(near, ids)
-    some = links > 0
-    return pd.DataFrame({"id": ids[some], "links": links[some], "up": ids[roots[some]]})
+            left = np.flatnonzero(close.any(axis=1))
+            if not len(left):
+                break
+            # Vectors whose pairs have all met need no further table.
+            at = np.ix_(left, left)
+            close[at] &= ~_meet(np.ascontiguousarray(found[left, before]))
+    links = (close.astype(np.float64) @ times).astype(np.int64)
+    some = np.flatnonzero(links)
+    roots = some[_least_reachable(close[np.ix_(some, some)], ids[some])]
+    return ids[some], links[some], ids[roots]
+
+
+def _pair_links(x: np.ndarray, found: np.ndarray, ids: np.ndarray, times: np.ndarray, cells: np.ndarray,
+                a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """The same for many small cells at once; ``a`` and ``b`` are the pairs of their members."""
+    near = np.concatenate(
+        [np.einsum("ij,ij->i", x[a[at : at + PAIRS]], x[b[at : at + PAIRS]]) >= least for at in range(0, len(a), PAIRS)]
+        or [np.empty(0, bool)]
+    )
+    a, b = a[near], b[near]
+    table, named = _named(cells[a], _size(x.shape[1]))
+    first = np.ones(len(a), bool)
+    for k in range(HASHES):
+        others = []
+        for side in (a, b):
+            own = found[side, table, k]
+            others.append(np.where(own[:, 0] == named[:, k], own[:, 1], own[:, 0]))
+        first &= (others[0] != others[1]) | (others[0] > named[:, k])
+    a, b, table = a[first], b[first], table[first]
+    for before in range(TABLES - 1):
+        one, two = found[a, before], found[b, before]
+        shared = (one[..., :, None] == two[..., None, :]).any(axis=(2, 3)).all(axis=1)
+        keep = ~shared | (table <= before)
+        a, b, table = a[keep], b[keep], table[keep]
+    low = np.minimum(ids[a], ids[b])
+    return np.concatenate([ids[a], ids[b]]), np.concatenate([times[b], times[a]]), np.concatenate([low, low])
+
+
+def _group_starts(rows: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """First rows of the groups of sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        column = rows.column(c)
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _links_of(rows: pa.RecordBatch, starts: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, links, up) of whole groups: small ones together, each larger one by itself."""
+    edges = np.append(starts, rows.num_rows)
+    counts = np.diff(edges)
+    ids, times, own, cells, i, j, size = (
+        rows.column(c).to_numpy() for c in ("id", "times", "own", "cell", "i", "j", "size")
+    )
+    units, corners_ = rows.column("units"), rows.column("corners")
+
+    def vectors(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units and corners of rows of one size."""
+        x = np.frombuffer(b"".join(units.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
+        found = _unpacked(corners_.take(pa.array(at)).to_pylist())
+        return x, found.astype(np.int16) if x.shape[1] <= 1 << 13 else found
+
+    for dimension in np.unique(size[starts]):
+        small = (counts <= SMALL) & (size[starts] == dimension)
+        at = np.flatnonzero(np.repeat(small, counts))
+        if len(at):
+            place = np.zeros(rows.num_rows, np.int64)
+            place[at] = np.arange(len(at))
+            pairs = []
+            for n in range(2, SMALL + 1):
+                first = starts[small & (counts == n)]
+                pairs += [(first[:, None] + side).ravel() for side in np.triu_indices(n, 1)]
+            a, b = np.concatenate(pairs[::2]), np.concatenate(pairs[1::2])
+            whole = (i[a] == j[a]) | (own[a] != own[b])
+            x, found = vectors(at)
+            yield _pair_links(x, found, ids[at], times[at], cells[at], place[a[whole]], place[b[whole]], least)
+    for k in np.flatnonzero(counts > SMALL).tolist():
+        at = np.arange(edges[k], edges[k + 1])
+        apart = own[at] if i[at[0]] != j[at[0]] else None
+        x, found = vectors(at)
+        yield _cell_links(x, found, ids[at], times[at], apart, int(cells[at[0]]), least)
+
+
+def cell_links(members: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(id, links, up) for the members of cells, dealt as pairs of blocks (by, i, j).
+
+    Sorted, the groups of a task follow each other, so small ones are looked at by thousands.
+    """
+    group = [*by, "i", "j"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def made(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for parts in _links_of(rows, starts, least):
+                columns = [pa.array(np.asarray(p, np.int64)) for p in parts]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "links", "up"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch
+            if held is not None:
+                rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            starts = _group_starts(rows, group)
+            # The last group may go on in the next batch.
+            if starts[-1]:
+                yield from made(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield from made(held, np.zeros(1, np.int64))
+
+    wanted = members.select(*group, "own", "id", "times", "units", "corners")
+    dealt = wanted.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(task, "id long, links long, up long")
 
 
 def _least_reachable(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -252,10 +379,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     wide = distinct.select("id", "times", "units", "corners")
     members = in_block_pairs(cells, sizes, by, BLOCK).join(wide, "id")
 
-    def task(group: pd.DataFrame) -> pd.DataFrame:
-        return cell_links(group, least)
-
-    found = members.groupBy(*by, "i", "j").applyInPandas(task, "id long, links long, up long")
+    found = cell_links(members, by, least)
     found = stored(found, "vector-links")
     joined = components(found.select(F.col("id").alias("a"), F.col("up").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
