@@ -14,13 +14,17 @@ scored in the longest retained suffix of the words before it.
 The corpus is packed once into chunks of whole documents (a dictionary of word hashes and a
 code per token). A chunk asks for the corpus counts of its distinct words, then of the word
 pairs and triples that can still reach a count of two, each question a sorted array per
-hash bucket; buckets add up the answers and send every chunk what it asked for. So a word
-or context that holds a third of the corpus is one number per chunk, and the counts grow
-with the corpus without ever standing in one place.
-
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit hashes, and every text
-has one end token; contexts do not cross texts. A null text is empty. Rows keep their null
-or repeated ids. Without training rows the root is uniform over the one unknown word.
+hash bucket, sent as the differences of its keys; buckets add up the answers and send every
+chunk what it asked for. So a word or context that holds a third of the corpus is one number
+per chunk, and the counts grow with the corpus without ever standing in one place.
+
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and every text has one end token;
+contexts do not cross texts. Words and contexts are known by hashes of 24 bits more than it
+takes to number the corpus's tokens (62 at most): one in 16 million is taken for another. A
+null text is empty. Rows keep their null or repeated ids; equal texts get equal scores. A text
+of any length is one row of one chunk. Without training rows the root is uniform over the one
+unknown word, an empty table gives no rows. Only id, text and the held-out column are read.
+Scores are stored; the chunks and answers they come from are deleted.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, lowered, mixed, pieces, span_hashes, stored, words
-from docloom.session import work_path
+from docloom.llm.base import as_bytes, lowered, mixed, pieces, shuffles_removed, span_hashes, stored, words
+from docloom.session import delete_path, work_path
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 2_000_000
@@ -43,6 +47,9 @@ LEAST = 16
 GAIN = 4.0
 DISCOUNT = 0.75
 PSEUDO = 0.1
+# Text for one task of a round, and hash bits beyond those that number the tokens.
+TASK_BYTES = 256 << 20
+SPARE_BITS = 24
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
@@ -113,13 +120,23 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
 
 
+def _packed_keys(keys: np.ndarray, buckets: int) -> bytes:
+    """Ascending keys of one bucket: the differences of what the bucket leaves open."""
+    return _packed(np.diff((keys // np.uint64(buckets)).astype(np.int64), prepend=0))
+
+
+def _unpacked_keys(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
+    return np.cumsum(_unpacked(raw)).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
 class Chunk:
     """One chunk's tokens with what is known of them: counts are 0 where not asked for."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, buckets: int) -> None:
-        self.row, self.buckets = row, buckets
+    def __init__(self, row: pd.Series, answers: pd.DataFrame, buckets: int, shift: int = 2) -> None:
+        self.row, self.buckets, shift = row, buckets, np.uint64(shift)
         sizes = np.asarray(row["sizes"], np.int64)
-        self.sizes, self.known_words = sizes, np.frombuffer(row["words"], np.uint64)
+        # The upper bits keep their order.
+        self.sizes, self.known_words = sizes, np.frombuffer(row["words"], np.uint64) >> shift
         raw = zstandard.ZstdDecompressor().decompress(row["codes"], max_output_size=max(4 * int(sizes.sum()), 1))
         self.codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
         self.tokens = self.known_words[self.codes]
@@ -134,7 +151,7 @@ class Chunk:
         self.before[1:] = self.count[:-1]
         self.before *= self.second
         self.pair = np.zeros(len(self.tokens), np.uint64)
-        self.pair[1:] = mixed(self.tokens[:-1] * _PAIR[0] + self.tokens[1:] * _PAIR[1])
+        self.pair[1:] = mixed(self.tokens[:-1] * _PAIR[0] + self.tokens[1:] * _PAIR[1]) >> shift
         self.asks_pair = self.second & (self.before >= LEAST) & (self.count >= 2)
         self.pair_count = np.zeros(len(self.tokens), np.int64)
         self.pair_keys, codes = np.unique(self.pair[self.asks_pair], return_inverse=True)
@@ -145,14 +162,14 @@ class Chunk:
         self.context_count = np.zeros(len(self.tokens), np.int64)
         self.context_count[1:] = self.pair_count[:-1]
         self.context_count *= self.third
-        self.triple = mixed(self.context * _PAIR[0] + self.tokens * _PAIR[1])
+        self.triple = mixed(self.context * _PAIR[0] + self.tokens * _PAIR[1]) >> shift
         self.asks_triple = (self.context_count >= LEAST) & (self.pair_count >= 2)
         self.triple_count = np.zeros(len(self.tokens), np.int64)
         self.triple_keys, codes = np.unique(self.triple[self.asks_triple], return_inverse=True)
         self.triple_count[self.asks_triple] = self.heard(3, self.triple_keys)[codes]
         self.triple_owned, self.triple_count = self.triple_count < 0, np.abs(self.triple_count)
         self.single = np.zeros(len(self.tokens), np.uint64)
-        self.single[1:] = mixed(self.tokens[:-1] + np.uint64(1))
+        self.single[1:] = mixed(self.tokens[:-1] + np.uint64(1)) >> shift
 
     def by_bucket(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the keys by bucket, and the buckets in that order."""
@@ -199,13 +216,19 @@ def _asked(chunk: Chunk, order: int) -> pd.DataFrame:
         {
             "bucket": bucket[edges],
             "chunk": np.full(len(edges), int(chunk.row["chunk"])),
-            "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
+            "keys": [_packed_keys(keys[a:b], chunk.buckets) for a, b in zip(edges, ends)],
             "counts": [_packed(counts[a:b]) for a, b in zip(edges, ends)],
         }
     )
 
 
-def _answered(asked: DataFrame, order: int) -> DataFrame:
+def _keys_of(group: pd.DataFrame, buckets: int) -> tuple[np.ndarray, list[int]]:
+    """All keys of a bucket's questions, and how many each chunk sent."""
+    parts = [_unpacked_keys(k, int(group["bucket"].iloc[0]), buckets) for k in group["keys"]]
+    return np.concatenate(parts), [len(k) for k in parts]
+
+
+def _answered(asked: DataFrame, order: int, buckets: int = 1) -> DataFrame:
     """(chunk, bucket, about, numbers): totals over all chunks, in the order of the keys.
 
     Totals below 2 (words: below 1) are 0. One chunk of those that ask for a key gets the
@@ -215,8 +238,7 @@ def _answered(asked: DataFrame, order: int) -> DataFrame:
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        sizes = [len(k) // 8 for k in group["keys"]]
-        keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        keys, sizes = _keys_of(group, buckets)
         counts = np.concatenate([_unpacked(c) for c in group["counts"]])
         distinct, first, codes = np.unique(keys, return_index=True, return_inverse=True)
         totals = np.zeros(len(distinct), np.int64)
@@ -304,7 +326,7 @@ def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
         {
             "bucket": bucket[edges],
             "chunk": np.full(len(edges), int(chunk.row["chunk"])),
-            "keys": [keys[a:b].tobytes() for a, b in zip(edges, ends)],
+            "keys": [_packed_keys(keys[a:b], chunk.buckets) for a, b in zip(edges, ends)],
             "counts": [_packed(np.concatenate([f[a:b] for f in fields])) for a, b in zip(edges, ends)],
         }
     )
@@ -315,14 +337,13 @@ def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
 _SAID = (("n", np.int64), ("events", np.int64), ("kinds", np.int64), ("gain", np.float64))
 
 
-def _judged(testimony: DataFrame) -> DataFrame:
+def _judged(testimony: DataFrame, buckets: int = 1) -> DataFrame:
     """(chunk, bucket, about, numbers): per context the mass its discounts leave if it is
     retained, else 0, in the order of the keys."""
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        sizes = [len(k) // 8 for k in group["keys"]]
-        keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        keys, sizes = _keys_of(group, buckets)
         raws = [_unpacked(c).reshape(len(_SAID), -1) for c in group["counts"]]
         whole = {name: np.concatenate([r[i] for r in raws]).view(kind) for i, (name, kind) in enumerate(_SAID)}
         distinct, codes = np.unique(keys, return_inverse=True)
@@ -375,15 +396,16 @@ def _scored(chunk: Chunk, root: Root) -> pd.DataFrame:
     )
 
 
-def _kept_apart(chunks: DataFrame) -> DataFrame:
-    """The chunks as a table bucketed by chunk: joins leave it where it is."""
+def _kept_apart(chunks: DataFrame, size: int) -> tuple[DataFrame, str, str]:
+    """The chunks of ``size`` bytes of text as a table bucketed by chunk, which joins leave
+    where it is, with its name and path."""
     spark = chunks.sparkSession
     path = work_path(spark, "lm-chunks")
     name = f"lm_chunks_{path.rsplit('-', 1)[1]}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 100_000))
     writer = chunks.write.format("parquet").option("compression", "none").option("path", path)
     writer.bucketBy(parts, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name, path
 
 
 def score(docs: DataFrame, held_out: str) -> DataFrame:
@@ -391,18 +413,30 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
 
     The tree is learned from the rows whose boolean column ``held_out`` is false.
     """
-    chunks = _kept_apart(pack(docs, held_out))
+    spark, used = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = work_path(spark, name)
+        used.append(path)
+        with shuffles_removed(spark):
+            df.write.option("compression", "none").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, name, path = _kept_apart(pack(docs, held_out), size)
+    used.append(path)
     sizes = chunks.agg(F.sum("n_train"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     tokens = sizes[0] or 0
-    buckets = max(64, (sizes[1] or 0) // BUCKET_KEYS)
+    every = sizes[1] or 0
+    buckets, shift = max(64, every // BUCKET_KEYS), 64 - min(62, every.bit_length() + SPARE_BITS)
     asked_schema = "bucket long, chunk long, keys binary, counts binary"
 
     def first_questions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
-                yield _asked(Chunk(row, _NONE, buckets), 1)
+                yield _asked(Chunk(row, _NONE, buckets, shift), 1)
 
-    answers = stored(_answered(chunks.mapInPandas(first_questions, asked_schema), 1), "lm-answers", compression="none")
+    answers = kept(_answered(chunks.mapInPandas(first_questions, asked_schema), 1, buckets), "lm-answers")
     distinct = sum(
         int(np.frombuffer(r["numbers"], np.int64)[0])
         for r in answers.where("chunk = -1").select("numbers").toLocalIterator()
@@ -414,26 +448,30 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
         def ask(row: pd.Series, right: pd.DataFrame, order: int = order) -> pd.DataFrame:
             if row is None:
                 return pd.DataFrame({"bucket": [], "chunk": [], "keys": [], "counts": []})
-            return _asked(Chunk(row, right, buckets), order)
+            return _asked(Chunk(row, right, buckets, shift), order)
 
-        found = _answered(_cogrouped(chunks, known, ask, asked_schema), order)
-        known = known.unionByName(stored(found, "lm-answers", compression="none").where("chunk >= 0"))
+        found = _answered(_cogrouped(chunks, known, ask, asked_schema), order, buckets)
+        known = known.unionByName(kept(found, "lm-answers").where("chunk >= 0"))
 
     def testify(row: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
         if row is None:
             return pd.DataFrame({"bucket": [], "chunk": [], "keys": [], "counts": []})
-        return _testimony(Chunk(row, right, buckets), root)
+        return _testimony(Chunk(row, right, buckets, shift), root)
 
-    states = stored(_judged(_cogrouped(chunks, known, testify, asked_schema)), "lm-states", compression="none")
+    states = kept(_judged(_cogrouped(chunks, known, testify, asked_schema), buckets), "lm-states")
     out_columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def judge(row: pd.Series, right: pd.DataFrame) -> pd.DataFrame:
         if row is None:
             return pd.DataFrame({c: [] for c in out_columns})
-        return _scored(Chunk(row, right, buckets), root)
+        return _scored(Chunk(row, right, buckets, shift), root)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = _cogrouped(chunks, known.unionByName(states), judge, schema)
+    with shuffles_removed(spark):
+        scored = stored(_cogrouped(chunks, known.unionByName(states), judge, schema), "lm-scores")
+    spark.sql(f"drop table {name}")
+    for path in used:
+        delete_path(spark, path)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
