@@ -27,6 +27,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,8 +112,8 @@ class WordTokenizer(dict):
         found = self.known_words.get(word)
         if found is None:
             shown = word if word.isalpha() and word.isascii() else "".join(map(self.letters.get, word.encode()))
-            ids = [t.id for t in self.merges.tokenize(shown)]
-            found = self.known_words[word] = np.array(ids, np.uint32).tobytes()
+            ids = array("I", [t.id for t in self.merges.tokenize(shown)])
+            found = self.known_words[word] = ids.tobytes()
         return found
 
     @staticmethod
