@@ -66,6 +66,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(handle)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    handle, fs = hadoop_path(spark, path)
+    return fs.exists(handle) and fs.getFileStatus(handle).isDirectory()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     handle, fs = hadoop_path(spark, path)
     fs.delete(handle, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as tx
-from docloom.session import path_exists
+from docloom.session import is_folder, path_exists
 from docloom.sources.files import admit
 
 
@@ -49,15 +49,18 @@ def reject_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000,
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1000) -> DataFrame:
-    """New Parquet files named ``table``.parquet in a folder, as a stream of rows."""
+    """The table ``table``.parquet of a folder as a stream of rows.
+
+    A table is a Parquet file of that name, or a folder of that name: then every Parquet file
+    in it belongs to the table, whatever it is called.
+    """
     name = f"{table}.parquet"
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", name)
-        .parquet(folder)
-    )
+    path = f"{folder}/{name}"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], object], checkpoint: str,

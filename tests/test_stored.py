@@ -18,6 +18,7 @@ from docloom.sources.cache_table import CacheTable
 from docloom.sources.ledger import Ledger
 from docloom.sources.vector_table import VectorTable
 from docloom.streaming import ingest as stream
+from workload.queries import QUERIES
 
 
 def rows_of(spark, *items):
@@ -428,3 +429,31 @@ def test_scan_lists_what_it_refuses(spark, tmp_path):
     accepted, rejected = files.scan_files(spark, str(tmp_path))
     got = files.extract(accepted).first()["metadata"]
     assert (got["table_count"], got["image_count"]) == (1, 2) and rejected.count() == 0
+
+
+@pytest.fixture()
+def foldered(spark, folder, tmp_path):
+    """The tables with documents and benchmark as folders of part files."""
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    items.repartition(2).write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_a_table_that_is_a_folder_is_streamed_whole(spark, folder, foldered):
+    target = work_path(spark, "rows")
+    source = stream.table_stream(spark, foldered, "documents", files_per_batch=2)
+    stream.run_available(source, stream.replace_batch(target), work_path(spark, "ck"))
+    got = spark.read.parquet(target)
+    want = spark.read.parquet(f"{folder}/documents.parquet")
+    assert got.select("batch").distinct().count() == 2
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+@pytest.mark.parametrize("name", ["stream_chunks", "stream_index", "stream_replay"])
+def test_streams_read_tables_of_part_files(spark, folder, foldered, name):
+    got, want = QUERIES[name](spark, foldered), QUERIES[name](spark, folder)
+    keep = [c for c in want.columns if c != "batches"]
+    have = sorted(tuple(str(v) for v in r) for r in got.select(keep).collect())
+    assert have and have == sorted(tuple(str(v) for v in r) for r in want.select(keep).collect())
