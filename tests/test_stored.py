@@ -457,3 +457,8 @@ def test_streams_read_tables_of_part_files(spark, folder, foldered, name):
     keep = [c for c in want.columns if c != "batches"]
     have = sorted(tuple(str(v) for v in r) for r in got.select(keep).collect())
     assert have and have == sorted(tuple(str(v) for v in r) for r in want.select(keep).collect())
+
+
+def test_unique_uploads_of_part_files(spark, folder, foldered):
+    got = sorted(r[0] for r in QUERIES["stream_unique"](spark, foldered).collect())
+    assert got and got == sorted(r[0] for r in QUERIES["stream_unique"](spark, folder).collect())
