@@ -41,7 +41,7 @@ class Settings:
 
     pii_enabled: bool = True
 
-    # Physical limits. Queries are sent to every task in waves of this many bytes.
+    # Physical limits. Up to this many bytes of queries are sent to every task.
     broadcast_query_bytes: int = 32 * 1024 * 1024
     # Hits of about 100 bytes each that may be sent to every task of a following join.
     broadcast_hits: int = 100_000

@@ -2,8 +2,9 @@
 
 Scores of a vector block against the queries of its namespace are one matrix product in
 NumPy; each task keeps only its k best per query, and those few rows are ranked by Spark. No
-(query, vector) pair is ever a row, and no vector is ever shuffled: queries go to the vectors,
-in waves of a bounded size. A batch of queries that fits into one wave is the common case.
+(query, vector) pair is ever a row. A batch of queries that fits into one wave is the common
+case: it is sent to the vectors, and no vector is shuffled. More queries meet the vectors in a
+grid of blocks, by a shuffle, and never pass the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ from docloom.session import work_path
 # Scores are compared after rounding, so equal vectors tie whatever the order of
 # the sums, and ties go to the smaller id.
 SCORE_DIGITS = 9
+# Doubles of the queries, and of the vectors, that one cell of the grid holds at most.
+CELL_BYTES = 32 * 1024 * 1024
+# Cells have at least this many queries or vectors where a namespace has them.
+LEAST_SIDE = 1024
+# Partitions of the grid at most.
+MAX_PARTITIONS = 4096
 
 
 class QueryBlock:
@@ -53,29 +60,64 @@ class QueryBlock:
             return
         space = pc.index_in(batch.column("namespace"), self.spaces)
         space = pc.fill_null(space, -1).to_numpy()
-        values, found = batch.column("values"), []
+        ids, values, found = batch.column("id"), batch.column("values"), []
         for own in np.unique(space[space >= 0]):
             rows = np.flatnonzero(space == own)
+            # In order of the ids, so that positions break ties.
+            rows = rows[pc.sort_indices(ids.take(_index(rows))).to_numpy()]
             vectors = _unit_rows(_matrix(values.take(_index(rows))))
+            kept = _few_copies(vectors, int(self.top_k[self.queries[own]].max()))
+            rows, vectors = rows[kept], vectors[kept]
+            rough = vectors.astype(np.float32)
             for lo in range(0, len(self.queries[own]), step):
                 asked = self.queries[own][lo : lo + step]
-                scores = np.round(self.matrix[asked] @ vectors.T, SCORE_DIGITS)
-                usable = scores >= self.floor[asked, None]
-                k = int(self.top_k[asked].max())
-                if scores.shape[1] > k:
-                    ranked = np.where(usable, scores, -np.inf)
-                    cut = np.partition(ranked, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    usable &= scores >= cut[:, None]
-                q, v = np.nonzero(usable)
-                found.append((asked[q], rows[v], scores[q, v]))
-        if not found:
+                q, v, s = self._best_of(asked, vectors, rough)
+                found.append((asked[q], rows[v], s))
+        q, v, s = (np.concatenate(x) for x in zip(*found)) if found else ((), (), ())
+        if not len(q):
             return
-        q, v, s = (np.concatenate(x) for x in zip(*found))
-        new = pd.DataFrame(
-            {"q": q, "id": batch.column("id").take(_index(v)).to_pylist(), "score": s}
-        )
+        new = pd.DataFrame({"q": q, "id": ids.take(_index(v)).to_pylist(), "score": s})
         self.best = self._trim(new if self.best is None else pd.concat([self.best, new]))
 
+    def _best_of(self, asked, vectors, rough, chunk: int = 4096):
+        """Query, vector and score of the best vectors of some queries; ties go to the first.
+
+        Products in single precision tell which pairs can reach a query's floor at all; those
+        few are scored in double precision.
+        """
+        import numpy as np
+
+        matrix, floor, top_k = self.matrix[asked], self.floor[asked], self.top_k[asked]
+        single, k = matrix.astype(np.float32), int(top_k.max())
+        # More than what the product of two unit rows loses in single precision.
+        margin = (matrix.shape[1] + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        lo = 0
+        while lo < len(rough):
+            # A short first chunk sets the floors.
+            hi = min(len(rough), lo + (chunk if lo else max(1024, 4 * k)))
+            products = single @ rough[lo:hi].T
+            bar = (floor - margin).astype(np.float32)[:, None] - np.float32(1e-6)
+            usable = products >= bar
+            if hi - lo > k and np.count_nonzero(usable) > 8 * k * len(asked):
+                ranked = np.where(usable, products, np.float32(-np.inf))
+                cut = np.partition(ranked, hi - lo - k, axis=1)[:, hi - lo - k]
+                usable &= products >= (cut - np.float32(2 * margin))[:, None]
+            at = np.flatnonzero(usable)
+            if len(at):
+                q, v = at // (hi - lo), at % (hi - lo) + lo
+                scores = _products(matrix, vectors, q, v)
+                good = scores >= floor[q]
+                best = tuple(np.concatenate(x) for x in zip(best, (q[good], v[good], scores[good])))
+                order = np.lexsort((best[1], -best[2], best[0]))
+                q, v, scores = (x[order] for x in best)
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = tuple(x[place < top_k[q]] for x in (q, v, scores))
+                last = place == top_k[q] - 1
+                floor[q[last]] = np.maximum(floor[q[last]], scores[last])
+            lo = hi
+        return best
+
     def _trim(self, rows):
         """The best rows of each query; a query with all it asks for raises its floor."""
         import numpy as np
@@ -120,6 +162,33 @@ def _matrix(lists):
     return flat.reshape(len(lists), -1)
 
 
+def _products(left, right, rows, columns, step: int = 1 << 16):
+    """Rounded scores of single pairs, some at a time."""
+    import numpy as np
+
+    parts = [
+        np.einsum("ij,ij->i", left[rows[lo : lo + step]], right[columns[lo : lo + step]])
+        for lo in range(0, len(rows), step)
+    ]
+    return np.round(np.concatenate(parts), SCORE_DIGITS)
+
+
+def _few_copies(matrix, k: int):
+    """Positions of the rows that have fewer than ``k`` equal rows before them."""
+    import numpy as np
+
+    if len(matrix) <= k:
+        return np.arange(len(matrix))
+    # Equal rows have equal keys; rows of equal keys are compared whole.
+    weights = np.random.default_rng(1).standard_normal(matrix.shape[1])
+    order = np.argsort((matrix * weights).sum(axis=1), kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = (matrix[order[1:]] != matrix[order[:-1]]).any(axis=1)
+    starts = np.flatnonzero(first)
+    place = np.arange(len(order)) - starts[np.cumsum(first) - 1]
+    return np.sort(order[place < k])
+
+
 def _unit_rows(matrix):
     """Rows scaled to length one; zero rows stay zero, so their similarity is 0.0."""
     import numpy as np
@@ -178,9 +247,10 @@ def nearest(
     """``query_id, namespace, id, score, rank`` of the k best records per query.
 
     ``queries`` is a stored or checkpointed table with ``query_id, query_vector`` and
-    optional ``namespace, top_k, similarity_threshold``. Queries are sent to all tasks in
-    waves of at most ``broadcast_query_bytes``; vectors are scanned where they lie, once for
-    each wave. The candidates of all tasks are ranked in two levels. Every query gets as many
+    optional ``namespace, top_k, similarity_threshold``. Up to ``broadcast_query_bytes`` of
+    queries are sent to all tasks and the vectors are scanned where they lie; more queries and
+    the vectors are dealt into blocks that meet in a shuffle. The candidates of all tasks are
+    ranked in two levels. Every query gets as many
     hits as it asks for; ``query_rejects`` lists those that cannot be answered.
     """
     answerable = (F.size("query_vector") == dimension) & (F.col("top_k") >= 1)
@@ -195,7 +265,7 @@ def nearest(
         hits = _ranked(_wave(records, batch, schema), max(wanted, default=1), settings)
         # A single wave has a known number of hits: joins may broadcast them.
         return hits.hint("broadcast") if sum(wanted) <= settings.broadcast_hits else hits
-    return _ranked(_waves(records, queries, limit, schema), None, settings)
+    return _ranked(_grid(records, queries, dimension, schema, settings), None, settings)
 
 
 def _ranked(candidates: DataFrame, at_most: int | None, settings: Settings) -> DataFrame:
@@ -224,19 +294,58 @@ def _wave(records: DataFrame, batch, schema: T.StructType) -> DataFrame:
     return records.where(F.col("namespace").isin(sorted(spaces))).mapInArrow(run, schema)
 
 
-def _waves(records: DataFrame, queries: DataFrame, limit: int, schema: T.StructType) -> DataFrame:
+def _grid(records: DataFrame, queries: DataFrame, dimension: int, schema: T.StructType,
+          settings: Settings) -> DataFrame:
     """Candidates of more queries than one wave holds.
 
-    Queries are dealt evenly over waves and stored; each wave is read, sent and answered, and
-    its candidates are written, so a lost executor repeats tasks of one wave only.
+    A namespace's queries are dealt into blocks by their ids, and so are its vectors; a cell is
+    a block of queries with a block of vectors. Blocks are as large as a task may hold, so both
+    sides are repeated as rarely as can be, or smaller where there are tasks to spare. The
+    driver sees three numbers.
     """
-    spark = records.sparkSession
-    asked, found = work_path(spark, "queries"), work_path(spark, "candidates")
-    waves = -(-queries.count() // limit)
-    dealt = queries.repartition(waves).withColumn("wave", F.spark_partition_id())
-    dealt.write.partitionBy("wave").parquet(asked)
-    kept = spark.read.schema(dealt.schema).parquet(asked)
-    for wave in range(waves):
-        batch = kept.where(F.col("wave") == wave).drop("wave").toArrow()
-        _wave(records, batch, schema).write.mode("append").parquet(found)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, cell = records.sparkSession, ["namespace", "_asked", "_held"]
+    sizes = (
+        queries.groupBy("namespace").agg(F.count(F.lit(1)).alias("_q"))
+        .join(records.groupBy("namespace").agg(F.count(F.lit(1)).alias("_v")), "namespace")
+    )
+    # Counting takes a scan of both sides; it is done once.
+    path = work_path(spark, "sizes")
+    sizes.write.parquet(path)
+    sizes = spark.read.schema(sizes.schema).parquet(path)
+    total = sizes.agg(
+        F.count(F.lit(1)).alias("spaces"),
+        F.coalesce(F.sum(F.col("_q").cast("double") * F.col("_v")), F.lit(0.0)).alias("pairs"),
+    ).first()
+    spare = (total["pairs"] / (4 * spark.sparkContext.defaultParallelism)) ** 0.5
+    side = max(1, CELL_BYTES // (8 * dimension))
+    side = min(side, max(LEAST_SIDE, int(spare) + 1))
+    sizes = sizes.select("namespace", *[F.ceil(F.col(c) / side).alias(c) for c in ("_q", "_v")])
+    cells = sizes.agg(F.sum(F.col("_q") * F.col("_v")).alias("n")).first()["n"]
+    parts = max(1, min(MAX_PARTITIONS, cells or 1))
+    if total["spaces"] <= settings.broadcast_hits:
+        sizes = F.broadcast(sizes)
+
+    def dealt(rows: DataFrame, key: str, own: str, count: str, others: str, times: str):
+        block = F.pmod(F.xxhash64(key), F.col(count))
+        repeats = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1))
+        placed = rows.join(sizes, "namespace").withColumn(own, block).withColumn(others, repeats)
+        return placed.drop("_q", "_v").repartition(parts, *cell).groupBy(*cell)
+
+    out = to_arrow_schema(schema)
+
+    def score(asked, held):
+        import pyarrow as pa
+
+        block = QueryBlock(asked)
+        for part in held.combine_chunks().to_batches():
+            block.add(part)
+        return pa.Table.from_batches([block.hits(out)])
+
+    asked = dealt(queries, "query_id", "_asked", "_q", "_held", "_v")
+    held = dealt(records, "id", "_held", "_v", "_asked", "_q")
+    # Stored, so that a lost executor repeats cells, and no later step the whole grid.
+    found = work_path(spark, "candidates")
+    asked.cogroup(held).applyInArrow(score, schema).write.parquet(found)
     return spark.read.schema(schema).parquet(found)

@@ -193,6 +193,36 @@ def test_nearest_matches_brute_force(spark, blocks):
     assert sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in got) == brute(rows, queries)
 
 
+def many_queries(spark, rows, n):
+    queries = [(i, rows[i % len(rows)][2], "ab"[i % 2], 1 + i % 9, -2.0) for i in range(n)]
+    return queries, spark.createDataFrame(
+        queries, "query_id INT, query_vector ARRAY<DOUBLE>, namespace STRING, top_k INT, similarity_threshold DOUBLE"
+    )
+
+
+def test_queries_beyond_one_wave_meet_the_vectors_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAST_SIDE", 1)
+    monkeypatch.setattr(nearest, "CELL_BYTES", 8 * DIM * 40)
+    rows, _ = random_vectors(np.random.default_rng(8), 300, copies=90)
+    v = spark.createDataFrame(rows, "namespace STRING, id STRING, values ARRAY<FLOAT>").repartition(5)
+    queries, q = many_queries(spark, rows, 120)
+    got = nearest.nearest(v, q, DIM, Settings(broadcast_query_bytes=8 * DIM * 8)).collect()
+    assert sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in got) == brute(rows, queries)
+
+
+def test_jobs_do_not_grow_with_the_queries(spark):
+    rows, _ = random_vectors(np.random.default_rng(9), 60)
+    v = spark.createDataFrame(rows, "namespace STRING, id STRING, values ARRAY<FLOAT>")
+    jobs = []
+    for n in (20, 160):
+        _, q = many_queries(spark, rows, n)
+        spark.sparkContext.setJobGroup(f"waves-{n}", "")
+        nearest.nearest(v, q, DIM, Settings(broadcast_query_bytes=8 * DIM * 8)).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"waves-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[1] - jobs[0]) <= 4
+
+
 def test_top_k_is_a_prefix_of_the_next(spark):
     rows, _ = random_vectors(np.random.default_rng(6), 100)
     v = spark.createDataFrame(rows, "namespace STRING, id STRING, values ARRAY<FLOAT>")
