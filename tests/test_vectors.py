@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.config import Settings
-from docloom.operators import approximate, nearest, skew
+from docloom.operators import approximate, inverted, nearest, skew
 from docloom.operators import vectors as vec
 from docloom.operators.filters import metadata_filter
 from docloom.plans import search as srch
@@ -223,6 +223,20 @@ def test_jobs_do_not_grow_with_the_queries(spark):
     assert abs(jobs[1] - jobs[0]) <= 4
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_driver_sees_one_wave_of_queries_at_most(spark, monkeypatch, n):
+    rows, _ = random_vectors(np.random.default_rng(10), 200)
+    v = spark.createDataFrame(rows, "namespace STRING, id STRING, values ARRAY<FLOAT>")
+    _, q = many_queries(spark, rows, n)
+    probes = inverted.fit(v, DIM, 4)
+    seen, frame = [], type(v)
+    whole = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: (seen.append(whole(df)), seen[-1])[1])
+    listed = inverted.by_list(v, probes)
+    hits = inverted.nearest_probed(listed, q, probes, 3, Settings(broadcast_query_bytes=8 * DIM * 8))
+    assert hits.count() > 0 and sum(t.num_rows for t in seen) <= 9
+
+
 def test_top_k_is_a_prefix_of_the_next(spark):
     rows, _ = random_vectors(np.random.default_rng(6), 100)
     v = spark.createDataFrame(rows, "namespace STRING, id STRING, values ARRAY<FLOAT>")
