@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, pieces, stored
+from docloom.llm.base import as_bytes, pieces, stored, tidy
 from docloom.llm.components import only
 from docloom.session import work_path
 
@@ -283,7 +283,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                 columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return rows.mapInArrow(task, _FOUND)
+        return rows.mapInArrow(tidy(task), _FOUND)
 
     spark, blocks = docs.sparkSession, item_blocks(benchmark, rate)
     block, following = next(blocks, None), next(blocks, None)

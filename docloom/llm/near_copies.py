@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import setsketch as sk
-from docloom.llm.base import as_bytes, pieces, stored
+from docloom.llm.base import as_bytes, pieces, stored, tidy
 from docloom.llm.components import components, only
 
 ROWS_PER_BAND = 4
@@ -60,7 +60,7 @@ def sketch(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id long, text_hash long, n_shingles long, mark binary, registers binary"
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(tidy(task), schema)
 
 
 def band_keys(sketched: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def band_keys(sketched: DataFrame) -> DataFrame:
                 [pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"]
             )
 
-    return sketched.select("id", "registers").mapInArrow(task, "key long, id long")
+    return sketched.select("id", "registers").mapInArrow(tidy(task), "key long, id long")
 
 
 def shingle_table(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
@@ -98,7 +98,7 @@ def shingle_table(docs: DataFrame, width: int = sk.WIDTH) -> DataFrame:
                     names=["lead", "mark", "shingles"],
                 )
 
-    return docs.select("lead", "text").mapInArrow(task, "lead long, mark binary, shingles binary")
+    return docs.select("lead", "text").mapInArrow(tidy(task), "lead long, mark binary, shingles binary")
 
 
 def in_block_pairs(members: DataFrame, sizes: DataFrame, by: str | list[str], block: int) -> DataFrame:

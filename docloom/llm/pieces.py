@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docloom.llm.base import tidy
+
 MARK = "▁"
 CACHE_UNITS = 300_000
 OUTPUTS = ("ids", "starts", "ends", "decoded")
@@ -229,4 +231,4 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, text: str = "text"
             if done:
                 yield made(batch.slice(first), done)
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(tidy(task), schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored, words
+from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored, tidy, words
 from docloom.llm.components import only
 from docloom.llm.near_copies import in_block_pairs
 from docloom.llm.suffixes import suffix_array
@@ -150,7 +150,7 @@ def anchor_table(keyed: DataFrame, length: int, unit: Unit) -> DataFrame:
                 )
 
     schema = "anchor long, whole long, _id long, _no_id boolean, _text_hash long, start int, runs int, offset int"
-    return keyed.select(*KEYS, "text").mapInArrow(task, schema)
+    return keyed.select(*KEYS, "text").mapInArrow(tidy(task), schema)
 
 
 def cut_strings(wanted: DataFrame, length: int, unit: Unit) -> DataFrame:
@@ -176,7 +176,7 @@ def cut_strings(wanted: DataFrame, length: int, unit: Unit) -> DataFrame:
         columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
         return pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "offset", "string"])
 
-    return wanted.select("text", "asked").mapInArrow(task, "anchor long, id long, offset int, string binary")
+    return wanted.select("text", "asked").mapInArrow(tidy(task), "anchor long, id long, offset int, string binary")
 
 
 def _longest_shared(strings: list[bytes]) -> np.ndarray:
@@ -273,7 +273,7 @@ def repeated_spans(keyed: DataFrame, length: int, unit: Unit = BYTES) -> DataFra
     # Sorted, the groups of a task follow each other: thousands of small ones go in one batch.
     dealt = paired.select(*by, "id", "offset", "string").repartition(*by).sortWithinPartitions(*by)
     shared = dealt.mapInArrow(
-        lambda batches: _group_runs(batches, length, unit), "anchor long, whole long, low long, high long"
+        tidy(lambda batches: _group_runs(batches, length, unit)), "anchor long, whole long, low long, high long"
     )
     shared = shared.groupBy("anchor", "whole").agg(F.collect_set(F.struct("low", "high")).alias("runs_found"))
     full = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("one.runs").cast("long").alias("high")))
@@ -400,7 +400,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "kept binary, text string"
     )
     rows = _with_spans(docs.select("doc_id", "text"), length)
-    return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(task, schema)
+    return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(tidy(task), schema)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) -> DataFrame:
@@ -434,7 +434,7 @@ def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) ->
             own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    left = _with_spans(docs, length, n_words).select(*columns, "spans", "word_spans").mapInArrow(task, schema)
+    left = _with_spans(docs, length, n_words).select(*columns, "spans", "word_spans").mapInArrow(tidy(task), schema)
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return left.select(*columns)

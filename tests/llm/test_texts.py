@@ -1,6 +1,7 @@
 """Encoders, token files, language, quality."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm import language, pieces, quality, token_files
+from docloom.llm import base, language, pieces, quality, token_files
 from docloom.session import work_path
 from .conftest import sentence
 
@@ -200,3 +201,22 @@ def test_columns_in_the_way_are_named(docs_of):
         for name in names:
             with pytest.raises(ValueError, match=name):
                 operator(docs.withColumn(name, F.lit(1)))
+
+
+def test_a_task_gives_its_free_memory_back():
+    held = []
+
+    def task(batches):
+        for size in batches:
+            # Freed below one that stays: the library keeps all of it.
+            many = [bytearray(64_000) for _ in range(size)]
+            held.append(many[-1])
+            del many
+            yield size
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    before = resident()
+    assert list(base.tidy(task)(iter([3000]))) == [3000]
+    assert resident() - before < 40_000_000
