@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -44,7 +45,7 @@ LOW = np.uint64(1 << 31)
 LANES = 64
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 
 _SEGMENTS = (
     "part int, seq long, first long, n_tokens long, doc_ids array<long>, lengths array<long>, "
@@ -102,19 +103,15 @@ class WordTokenizer(dict):
             spec = json.load(file)
         marked = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
         self.by_unit = marked and spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in _PLAIN_SPEC.items())
-        self.known_words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Printable bytes stand for themselves, the others are numbered from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def word(self, word: str) -> bytes:
-        found = self.known_words.get(word)
-        if found is None:
-            shown = word if word.isalpha() and word.isascii() else "".join(map(self.letters.get, word.encode()))
-            ids = array("I", [t.id for t in self.merges.tokenize(shown)])
-            found = self.known_words[word] = ids.tobytes()
-        return found
+    def merged(self, word: str) -> bytes:
+        shown = word if word.isalpha() and word.isascii() else "".join(map(self.letters.get, word.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     @staticmethod
     def latin(word: str) -> bool:
@@ -122,25 +119,34 @@ class WordTokenizer(dict):
         return plain and unicodedata.is_normalized("NFC", word)
 
     def __missing__(self, unit: str) -> bytes:
-        core = unit.rstrip(".,")
-        if unit.isascii() and "<|" not in unit:
-            found = b"".join(map(self.word, _ASCII_WORDS.findall(unit.lower())))
-        elif core and self.latin(core):
-            tail = unit[len(core) :]
-            found = self.word(core.lower()) + (self.word(tail) if tail else b"")
-        else:
-            ids = self.library.encode(unit, add_special_tokens=False).ids
-            found = np.array(ids, np.uint32).tobytes()
+        found = self.older.get(unit)
+        if found is None:
+            found = self.encoded(unit)
         self[unit] = found
         return found
 
+    def encoded(self, unit: str) -> bytes:
+        core = unit.rstrip(string.punctuation)
+        if "<|" not in unit:
+            if core and (core.isalpha() if core.isascii() else self.latin(core)):
+                # A run of letters and a run of marks: most units, and no pattern is needed.
+                small, tail = core.lower(), unit[len(core) :]
+                if small == unit:
+                    return self.merged(unit)
+                return self[small] + self[tail] if tail else self[small]
+            if unit.isascii():
+                found = _ASCII_WORDS.findall(unit.lower())
+                return self.merged(unit) if found == [unit] else b"".join(map(self.__getitem__, found))
+        return np.array(self.library.encode(unit, add_special_tokens=False).ids, np.uint32).tobytes()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not self.by_unit:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE_UNITS:
+            # Units in use come back from the older half as they are met.
+            self.older = dict(self)
             self.clear()
-            self.known_words.clear()
         if text.isascii() and "<|" not in text:
             text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))

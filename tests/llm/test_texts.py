@@ -2,6 +2,7 @@
 
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -145,6 +146,27 @@ def test_word_ids_equal_the_library_for_random_texts():
         assert np.frombuffer(known.ids(text), "<u4").tolist() == want, repr(text)
 
 
+def test_units_outlive_a_full_cache_and_marks_need_no_library(monkeypatch):
+    import random
+
+    library, known = Tokenizer.from_file(WORDS), token_files.WordTokenizer(WORDS)
+    merged, whole = [], []
+    plain, encode = known.merged, known.library.encode
+    monkeypatch.setattr(token_files, "CACHE_UNITS", 50)
+    known.merged = lambda word: (merged.append(word), plain(word))[1]
+    known.library = SimpleNamespace(encode=lambda text, **kw: (whole.append(text), encode(text, **kw))[1])
+    for i in range(300):
+        text = f"always STÜCK!! schön*** w{i}x{i}"
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert merged.count("always") == 1 and merged.count("stück") == 1 and not whole
+    rng = random.Random(12)
+    pools = ["éÉñÜß ab'.,!*#$%&_-<|>\"", "Ünder ſtÿŸ's \u0338<=>!?\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(rng.choice(pools), k=rng.randrange(24)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == want, repr(text)
+
+
 def test_other_word_tokenizers_go_to_the_library():
     other = public_tokenizers.path("byte_bpe_50k.json")
     known, library = token_files.WordTokenizer(other), Tokenizer.from_file(other)
