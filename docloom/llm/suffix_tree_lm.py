@@ -47,6 +47,10 @@ LEAST = 16
 GAIN = 4.0
 DISCOUNT = 0.75
 PSEUDO = 0.1
+# Discounts are whole multiples of a PART; a chunk's gains are rounded to a UNIT, so that all
+# sums are whole numbers, exact in any order.
+PART = 0.25
+UNIT = 2.0**-20
 # Text for one task of a round, and hash bits beyond those that number the tokens.
 TASK_BYTES = 256 << 20
 SPARE_BITS = 24
@@ -120,6 +124,12 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
 
 
+def _shares(numbers: np.ndarray) -> np.ndarray:
+    """Shares that travelled as whole numbers: all their PARTs, then what they are shares of."""
+    parts, whole = numbers.reshape(2, -1)
+    return parts * PART / np.maximum(whole, 1)
+
+
 def _packed_keys(keys: np.ndarray, buckets: int) -> bytes:
     """Ascending keys of one bucket: the differences of what the bucket leaves open."""
     return _packed(np.diff((keys // np.uint64(buckets)).astype(np.int64), prepend=0))
@@ -182,7 +192,9 @@ class Chunk:
         out = np.zeros(len(keys), kind)
         if order in self.said and len(keys):
             said = [_unpacked(n) for n in self.said[order]["numbers"]]
-            out[self.by_bucket(keys)[0]] = np.concatenate(said).view(kind)
+            if kind is np.float64:
+                said = [_shares(n) for n in said]
+            out[self.by_bucket(keys)[0]] = np.concatenate(said)
         return out
 
     def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +330,8 @@ def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
     for name, kind in _SAID:
         values = np.zeros(len(keys), kind)
         (np.maximum if name == "n" else np.add).at(values, at, said[name].to_numpy(kind))
-        fields.append(values[sort].view(np.int64))
+        values = np.rint(values / UNIT).astype(np.int64) if kind is np.float64 else values
+        fields.append(values[sort])
     keys = keys[sort]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, int)
     ends = np.concatenate([edges[1:], [len(keys)]]).astype(int)
@@ -332,33 +345,36 @@ def _testimony(chunk: Chunk, root: Root) -> pd.DataFrame:
     )
 
 
-# What a chunk says of a context: its occurrences, and sums over followers. Floats travel as
-# the 64-bit numbers of their bits.
+# What a chunk says of a context: its occurrences, and sums over followers. The gain travels as its UNITs.
 _SAID = (("n", np.int64), ("events", np.int64), ("kinds", np.int64), ("gain", np.float64))
 
 
 def _judged(testimony: DataFrame, buckets: int = 1) -> DataFrame:
     """(chunk, bucket, about, numbers): per context the mass its discounts leave if it is
-    retained, else 0, in the order of the keys."""
+    retained, else 0, in the order of the keys: as PARTs and occurrences, which are mostly small
+    and travel better than their shares.
+    """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
         keys, sizes = _keys_of(group, buckets)
         raws = [_unpacked(c).reshape(len(_SAID), -1) for c in group["counts"]]
-        whole = {name: np.concatenate([r[i] for r in raws]).view(kind) for i, (name, kind) in enumerate(_SAID)}
+        whole = {name: np.concatenate([r[i] for r in raws]) for i, (name, _) in enumerate(_SAID)}
         distinct, codes = np.unique(keys, return_inverse=True)
-        n, events, kinds = (np.zeros(len(distinct), np.int64) for _ in range(3))
+        n, events, kinds, gain = (np.zeros(len(distinct), np.int64) for _ in _SAID)
         np.maximum.at(n, codes, whole["n"])
         np.add.at(events, codes, whole["events"])
         np.add.at(kinds, codes, whole["kinds"])
-        gain = np.bincount(codes, whole["gain"], len(distinct))
+        np.add.at(gain, codes, whole["gain"])
         # A small difference of large counts: exact before it is divided.
-        left = np.where(n >= LEAST, ((n - events) + DISCOUNT * kinds) / np.maximum(n, 1), 0.0)
-        gain += (n - events) * np.log(np.maximum(left, 1e-300))
-        left = np.where((left > 0) & (gain >= GAIN), left, 0.0)[codes].view(np.int64)
+        mass = np.where(n >= LEAST, (n - events) + DISCOUNT * kinds, 0.0)
+        gain = gain * UNIT + (n - events) * np.log(np.maximum(mass / np.maximum(n, 1), 1e-300))
+        kept = (mass > 0) & (gain >= GAIN)
+        parts, of = np.where(kept, mass / PART, 0.0).astype(np.int64)[codes], np.where(kept, n, 0)[codes]
         bucket, out, at = int(group["bucket"].iloc[0]), [], 0
         for chunk, size in zip(group["chunk"].tolist(), sizes):
-            out.append((chunk, bucket, 0, _packed(left[at : at + size])))
+            said = np.concatenate([parts[at : at + size], of[at : at + size]])
+            out.append((chunk, bucket, 0, _packed(said)))
             at += size
         return pd.DataFrame(out, columns=["chunk", "bucket", "about", "numbers"])
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,19 @@ def test_rules_equal_brute_force(spark, docs_of):
     kept = {r.doc_id for r in quality.reject(docs_of(new), model).collect()}
     assert kept == {k for k, s in got.items() if s >= 0.5}
     assert np.isfinite(list(got.values())).all()
+
+
+def test_verdicts_of_contexts_travel_as_small_whole_numbers(spark):
+    lm, rng = suffix_tree_lm, np.random.default_rng(5)
+    keys = np.unique(rng.integers(1, 1 << 60, 20_000).astype(np.uint64))
+    n = rng.integers(lm.LEAST, 500, len(keys))
+    kinds = rng.integers(1, 9, len(keys))
+    events = np.minimum(2 * kinds, n)
+    gain = np.full(len(keys), 1e6) / lm.UNIT
+    said = lm._packed(np.concatenate([n, events, kinds, gain.astype(np.int64)]))
+    frame = pd.DataFrame({"bucket": [0], "chunk": [3], "keys": [lm._packed_keys(keys, 1)], "counts": [said]})
+    got = lm._judged(spark.createDataFrame(frame, "bucket long, chunk long, keys binary, counts binary")).first()
+    left = lm._shares(lm._unpacked(got.numbers))
+    assert (left == ((n - events) + lm.DISCOUNT * kinds) / n).all() and (left > 0).all()
+    # Shares as doubles took seven bytes each.
+    assert len(got.numbers) < 4 * len(keys)
