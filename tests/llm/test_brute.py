@@ -193,3 +193,46 @@ def test_verdicts_of_contexts_travel_as_small_whole_numbers(spark):
     assert (left == ((n - events) + lm.DISCOUNT * kinds) / n).all() and (left > 0).all()
     # Shares as doubles took seven bytes each.
     assert len(got.numbers) < 4 * len(keys)
+
+
+def test_words_and_pairs_are_asked_for_by_small_numbers(spark):
+    lm, rng = suffix_tree_lm, np.random.default_rng(9)
+    buckets, shift = 4, np.uint64(13)
+    words = np.unique(rng.integers(1, 1 << 51, 3000).astype(np.uint64))
+    counts = {k: np.minimum(rng.zipf(1.3, len(words)), 1 << 20) for k in (0, 1)}
+    frames = []
+    for k in counts:
+        chunk = lm.Chunk.__new__(lm.Chunk)
+        chunk.row, chunk.buckets, chunk.said = {"chunk": k}, buckets, {}
+        chunk.questions = lambda order, k=k: (words[k::2], counts[k][k::2]) if k else (words, counts[0])
+        frames.append(lm._asked(chunk, 1))
+    asked = spark.createDataFrame(pd.concat(frames), "bucket long, chunk long, keys binary, counts binary")
+    got = lm._answered(asked, 1, buckets).toPandas()
+    bounds = [np.frombuffer(n, np.int64) for n in got[got["chunk"] == -1]["numbers"]]
+    below = buckets * int(max(b[1] for b in bounds))
+    total = counts[0].copy()
+    total[1::2] += counts[1][1::2]
+    assert sum(int(b[0]) for b in bounds) == len(words)
+    for k, own in ((0, slice(None)), (1, slice(1, None, 2))):
+        chunk.said = {order: rows.sort_values("bucket") for order, rows in got[got["chunk"] == k].groupby("about")}
+        assert (np.abs(chunk.heard(1, words[own])) == total[own]).all()
+        number, often = chunk.numbered(1, words[own], total[own]), total[own] >= 2
+        first = number if k == 0 else first
+        assert (number[often] == first[own][often]).all() and len(np.unique(number[often])) == often.sum()
+        assert (number[often] < below).all() and (number[often] % buckets == words[own][often] % buckets).all()
+    # A frequent word has a small number.
+    same = words % buckets == words[np.argmax(total)] % buckets
+    assert first[np.argmax(total)] < buckets and first[same & (total == 2)].min() > first[same & (total > 50)].max()
+    # Pairs of numbers are told apart and take fewer bytes than hashes; too many of them are hashed.
+    draw = rng.choice(np.flatnonzero(total >= 2), (2, 5000), p=total[total >= 2] / total[total >= 2].sum())
+    left, right = first[draw[0]], first[draw[1]]
+    keys, hashes = lm._joined(left, right, (below, below), shift), lm.mixed(left * lm._PAIR[0] + right * lm._PAIR[1]) >> shift
+    assert len(np.unique(keys)) == len({*zip(left.tolist(), right.tolist())})
+    assert 2 * len(lm._packed_keys(np.unique(keys), 1)) < len(lm._packed_keys(np.unique(hashes), 1))
+    assert (lm._joined(left, right, (1 << 40, 1 << 30), shift) == hashes).all()
+
+
+def test_suffix_tree_leaves_no_table(spark, docs_of):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert suffix_tree_lm.score(docs_of([(1, "a b"), (2, None)]).withColumn("held", F.lit(False)), "held").count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
