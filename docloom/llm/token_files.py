@@ -34,11 +34,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import stored
+from docloom.llm.base import pieces, stored
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -46,6 +47,8 @@ LANES = 64
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
 CACHE_UNITS = 600_000
+# Texts that are cut to units at once.
+TEXT_BYTES = 16 << 20
 
 _SEGMENTS = (
     "part int, seq long, first long, n_tokens long, doc_ids array<long>, lengths array<long>, "
@@ -84,6 +87,19 @@ _PLAIN_SPEC = {
 }
 
 
+# Letters below U+0180 that lower-casing leaves single, and units of them with marks behind.
+_LETTERS = string.ascii_letters + "".join(c for c in map(chr, range(128, 0x180)) if c.isalpha() and c != "İ")
+_LETTERS_MARKS = f"^[{_LETTERS}]+[!-/:-@\\[-`{{-~]*$"
+
+
+def _laid(table: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The entries of ``table``, which holds runs of these ``sizes`` end to end, in the order of ``codes``."""
+    own = sizes[codes]
+    places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(own) - own), own)
+    places += np.arange(len(places))
+    return table[places]
+
+
 class WordTokenizer(dict):
     """Ids of whole texts from a tokenizer that drops blanks and lowers case.
 
@@ -139,19 +155,60 @@ class WordTokenizer(dict):
                 return self.merged(unit) if found == [unit] else b"".join(map(self.__getitem__, found))
         return np.array(self.library.encode(unit, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self.by_unit:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def room(self) -> None:
         if len(self) > CACHE_UNITS:
             # Units in use come back from the older half as they are met.
             self.older = dict(self)
             self.clear()
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not self.by_unit:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.room()
         if text.isascii() and "<|" not in text:
             text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+    def ids_of_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), each with ``end`` behind it, and how many each has.
+
+        Texts are cut to units, and equal units found, for all texts at once; only distinct
+        units are looked up.
+        """
+        if not self.by_unit:
+            packed = [self.ids(text) + end for text in texts.to_pylist()]
+            return np.frombuffer(b"".join(packed), "<u4"), np.array([len(p) // 4 for p in packed], np.int64)
+        self.room()
+        plain = pc.and_not(pc.string_is_ascii(texts), pc.match_substring(texts, "<|"))
+        texts = pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " ")
+        units = pc.split_pattern(texts, " ")
+        coded = units.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        # A run of letters and a run of marks are looked up apart: the words behind them are fewer.
+        apart = pc.and_not(pc.match_substring_regex(distinct, _LETTERS_MARKS), pc.match_substring(distinct, "<|"))
+        two = distinct.filter(apart)
+        cores = pc.utf8_lower(pc.ascii_rtrim(two, characters=string.punctuation)).dictionary_encode()
+        tails = pc.utf8_ltrim(two, characters=_LETTERS).dictionary_encode()
+        whole = distinct.filter(pc.invert(apart))
+        parts = [self[u] for keys in (cores.dictionary, tails.dictionary, whole) for u in keys.to_pylist()]
+        n_cores, n_tails = len(cores.dictionary), len(tails.dictionary)
+        parts += [b"", end]
+        at = apart.to_numpy(zero_copy_only=False)
+        of = np.full((len(distinct) + 1, 2), len(parts) - 2)
+        of[-1, 0] = len(parts) - 1
+        of[:-1][at, 0] = cores.indices.to_numpy(zero_copy_only=False)
+        of[:-1][at, 1] = tails.indices.to_numpy(zero_copy_only=False) + n_cores
+        of[:-1][~at, 0] = n_cores + n_tails + np.arange(len(whole))
+        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        table = _laid(np.frombuffer(b"".join(parts), "<u4"), sizes, of.reshape(-1))
+        sizes = sizes[of].sum(axis=1)
+        ends = np.cumsum(pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64))
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(distinct))
+        return _laid(table, sizes, codes), np.diff(np.cumsum(sizes[codes])[ends + np.arange(len(ends))], prepend=0)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -164,17 +221,18 @@ def tokenize(docs: DataFrame, path: str, end: int | None) -> DataFrame:
         known, last = tokenizer(path), b"" if end is None else np.uint32(end).tobytes()
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            counts, packed = [], []
-            for value in batch.column("text"):
-                ids = known.ids(value.as_py() or "") + last
-                counts.append(len(ids) // 4)
+            texts = pc.fill_null(batch.column("text"), "")
+            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            for first, stop in pieces(bounds, TEXT_BYTES):
+                ids, counts = known.ids_of_all(texts.slice(first, stop - first), last)
                 # Byte planes: the upper bytes of ids say little and pack well.
-                planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T
-                packed.append(press.compress(planes.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+                planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+                ends = np.cumsum(counts)
+                packed = [press.compress(planes[:, e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, stop - first), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(task, "doc_id long, n_tokens long, ids binary")

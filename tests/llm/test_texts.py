@@ -242,3 +242,25 @@ def test_a_task_gives_its_free_memory_back():
     before = resident()
     assert list(base.tidy(task)(iter([3000]))) == [3000]
     assert resident() - before < 40_000_000
+
+
+@pytest.mark.parametrize("end", [b"", b"\2\0\0\0"])
+def test_units_of_many_texts_are_encoded_at_once(end):
+    import random
+
+    import pyarrow as pa
+
+    library, known = Tokenizer.from_file(WORDS), token_files.WordTokenizer(WORDS)
+    rng = random.Random(4)
+    marks = ["", ".", "...", "!?", "'s", "'", "**", "<|", "|>", "$1", "-", "_"]
+    letters = ["word", "Word", "ÉCOLE", "straße", "İl", "ŉa", "ſ", "ǅ", "µ", "ª", "é", "Ÿ", "K", "日本", "x9", "9", "\x1c", "×", "don't", ""]
+    texts = ["".join(rng.choice(letters) + rng.choice(marks) + rng.choice([" ", "\n", "  ", "", "\r", "\t", " "]) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    texts += ["", " ", "\n\n", "<|endoftext|>", "A <|ENDOFTEXT|> b", "Aa Bb. CC... dd"]
+    looked = []
+    known.encoded = lambda unit, encoded=known.encoded: looked.append(unit) or encoded(unit)
+    for own in (texts[:2000], texts[2000:]):
+        ids, counts = known.ids_of_all(pa.array(own), end)
+        want = [library.encode(t, add_special_tokens=False).ids + [2] * bool(end) for t in own]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    # Words with other marks or letter cases are no units of their own.
+    assert not {"Aa", "Bb.", "CC..."} & {*looked} and {"aa", "bb", "cc", "dd"} <= {*looked}
