@@ -91,8 +91,10 @@ def op8_rule_ensemble_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes of every document covered by a 400-byte string that starts elsewhere too."""
-    found = repeats.removed(table(spark, folder, "documents"), length=400)
+    """Bytes of every document covered by a 400-byte string that starts elsewhere too; beside
+    them its passages of over 50 words that stand elsewhere too, which are not removed."""
+    found = repeats.removed(table(spark, folder, "documents"), length=400, n_words=51)
+    sizes = F.transform("word_spans", lambda s: s["high"] - s["low"])
     return found.select(
         "doc_id",
         "n_bytes",
@@ -100,6 +102,8 @@ def op9_lyndon_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
         "text",
+        F.size("word_spans").cast("long").alias("n_passages"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("passage_bytes"),
     )
 
 

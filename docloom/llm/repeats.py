@@ -25,7 +25,8 @@ id and text only.
 
 The same job runs over words: ``length`` is then a number of words, a text is the array of
 its words' 64-bit hashes, and runs found are mapped to the bytes from the first word's start
-to the last one's end, whatever white space is between. ``remove`` can cut both kinds. What is left of a text may end
+to the last one's end, whatever white space is between. ``remove`` can cut both kinds,
+``removed`` cuts the first and reports the second beside it. What is left of a text may end
 within a character; ``remove`` cuts at characters instead and says so.
 """
 
@@ -40,10 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import as_bytes, pieces, rolling_hashes, span_hashes, stored, tidy, words
+from docloom.llm.base import (
+    as_bytes,
+    pieces,
+    rolling_hashes,
+    shuffles_removed,
+    span_hashes,
+    stored,
+    tidy,
+    words,
+)
 from docloom.llm.components import only
 from docloom.llm.near_copies import in_block_pairs
 from docloom.llm.suffixes import suffix_array
+from docloom.session import delete_path, work_path
 
 LENGTH = 400
 BLOCK = 1024
@@ -254,18 +265,28 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_spans(keyed: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
-    """(KEYS, spans): the repeated ranges of rows that have any, in units, not united."""
-    anchors = stored(anchor_table(keyed, length, unit), "anchors")
+    """(KEYS, spans): the repeated ranges of rows that have any, in units, not united. They are
+    stored; what the search for them wrote and shuffled is deleted."""
+    spark = keyed.sparkSession
+    path = work_path(spark, "search")
+    with shuffles_removed(spark):
+        spans = stored(_searched(keyed, length, unit, path.rpartition("/")[2]), "repeats")
+    delete_path(spark, path)
+    return spans
+
+
+def _searched(keyed: DataFrame, length: int, unit: Unit, place: str) -> DataFrame:
+    anchors = stored(anchor_table(keyed, length, unit), f"{place}/anchors")
     kinds = anchors.groupBy("anchor", "whole").agg(
         F.count("runs").alias("times"), F.min(F.struct(*KEYS, "start", "runs", "offset")).alias("one")
     )
-    kinds = stored(kinds, "neighbourhoods")
+    kinds = stored(kinds, f"{place}/neighbourhoods")
     several = kinds.groupBy("anchor").agg(F.count("whole").alias("n_members")).where("n_members > 1")
     asked = kinds.join(several.select("anchor"), "anchor", "left_semi").select(
         *(F.col(f"one.{k}").alias(k) for k in KEYS),
         F.struct("anchor", "whole", "one.start", "one.runs", "one.offset").alias("asked"),
     )
-    asked = stored(asked.groupBy(*KEYS).agg(F.collect_list("asked").alias("asked")), "asked")
+    asked = stored(asked.groupBy(*KEYS).agg(F.collect_list("asked").alias("asked")), f"{place}/asked")
     near = only(keyed.select(*KEYS, "text"), asked.select(*KEYS), "left_semi", KEYS)
     strings = cut_strings(near.dropDuplicates(KEYS).join(asked, KEYS), length, unit)
     paired = in_block_pairs(strings, several, "anchor", BLOCK)
@@ -353,32 +374,38 @@ def word_ranges(raw: bytes, spans: list[dict] | None) -> list[dict]:
     return [{"low": int(starts[a]), "high": int(ends[b - 1])} for a, b in united(spans, len(starts))]
 
 
-def _with_spans(docs: DataFrame, length: int, n_words: int | None = None) -> DataFrame:
-    """``docs`` with keys, ``spans`` and ``word_spans``; rows without repeats never leave
-    their place."""
+def _with_spans(docs: DataFrame, length: int, n_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with keys, ``spans`` and ``word_spans``: rows with repeats, and those without,
+    which never leave their place."""
     keyed = _keyed(docs)
-    spans = stored(repeated_spans(keyed, length), "repeats")
+    spans = repeated_spans(keyed, length)
     if n_words is None:
         spans = spans.withColumn("word_spans", F.lit(None).cast(spans.schema["spans"].dataType))
     else:
-        longer = stored(repeated_spans(keyed, n_words, WORDS), "repeats")
+        longer = repeated_spans(keyed, n_words, WORDS)
         spans = spans.join(longer.withColumnRenamed("spans", "word_spans"), KEYS, "full")
         spans = stored(spans, "repeats")
     keys = spans.select(*KEYS)
     touched = only(keyed, keys, "left_semi", KEYS).join(spans, KEYS)
     none = F.lit(None).cast(touched.schema["spans"].dataType)
     rest = only(keyed, keys, "left_anti", KEYS).withColumns({"spans": none, "word_spans": none})
-    return touched.unionByName(rest)
+    return touched, rest
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept, text): what is removed, the bytes that stay,
-    and these as a text, with U+FFFD where a cut has left part of a character."""
+def removed(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, text, word_spans): what is removed, the bytes
+    that stay, and these as a text, with U+FFFD where a cut has left part of a character.
+
+    ``word_spans`` are, with ``n_words``, the ranges of bytes of passages of so many words and
+    more that stand elsewhere too. Nothing is removed for them; without ``n_words`` there are
+    none.
+    """
+    ranged = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, gone, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            sizes, gone, runs, kept, by_word = [], [], [], [], []
+            for text, spans, longer in zip(*(batch.column(c) for c in ("text", "spans", "word_spans"))):
                 raw = (text.as_py() or "").encode()
                 ranges = united(spans.as_py(), len(raw))
                 edges = [0, *(e for r in ranges for e in r), len(raw)]
@@ -386,21 +413,32 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone.append(sum(b - a for a, b in ranges))
                 runs.append([{"low": a, "high": b} for a, b in ranges])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                by_word.append(word_ranges(raw, longer.as_py()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                    pa.array(runs, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),
+                    pa.array(runs, ranged),
                     pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "replace") for k in kept]),
+                    pa.array(by_word, ranged),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text", "word_spans"],
             )
 
     schema = (
         "doc_id long, n_bytes long, n_removed long, spans array<struct<low:long,high:long>>, "
-        "kept binary, text string"
+        "kept binary, text string, word_spans array<struct<low:long,high:long>>"
     )
-    rows = _with_spans(docs.select("doc_id", "text"), length)
-    return rows.select(F.when(~F.col("_no_id"), F.col("_id")).alias("_id"), "text", "spans").mapInArrow(tidy(task), schema)
+    touched, rest = _with_spans(docs.select("doc_id", "text"), length, n_words)
+    own = F.when(~F.col("_no_id"), F.col("_id"))
+    cut = touched.select(own.alias("_id"), "text", "spans", "word_spans").mapInArrow(tidy(task), schema)
+    text = F.coalesce("text", F.lit(""))
+    none = F.array().cast(cut.schema["spans"].dataType)
+    whole = rest.select(
+        own.alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
+        F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), text.cast("binary").alias("kept"),
+        text.alias("text"), none.alias("word_spans"),
+    )
+    return cut.unionByName(whole)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) -> DataFrame:
@@ -434,7 +472,9 @@ def remove(docs: DataFrame, length: int = LENGTH, n_words: int | None = None) ->
             own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    left = _with_spans(docs, length, n_words).select(*columns, "spans", "word_spans").mapInArrow(tidy(task), schema)
+    touched, rest = _with_spans(docs, length, n_words)
+    rows = touched.unionByName(rest).select(*columns, "spans", "word_spans")
+    left = rows.mapInArrow(tidy(task), schema)
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return left.select(*columns)

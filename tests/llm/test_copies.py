@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -16,6 +17,7 @@ from docloom.llm import decontamination, near_copies, near_vectors, repeats, suf
 from docloom.llm import setsketch as sk
 from docloom.llm.components import components
 from docloom.llm.suffixes import suffix_array
+from docloom.session import shared_folder
 from .conftest import sentence
 
 
@@ -210,6 +212,44 @@ def test_pipeline_cuts_passages_of_over_fifty_words(spark, docs_of, folder, monk
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
 
 
+def test_op9_reports_passages_of_over_fifty_words(spark, docs_of, tmp_path):
+    from docloom.llm.queries import QUERIES
+
+    rng = random.Random(13)
+    shared = [sentence(700 + k, 90).split() for k in range(3)]
+    planted = [f"é{k:04d}" for k in range(51)]
+    texts = [None, "", "short", "y " * 51, "z " * 52, " ".join(planted[1:]), sentence(600, 200)]
+    texts += [" ".join([sentence(601, 30), *planted, sentence(602, 30)]), "\n".join(planted) + "\tend"]
+    for k in range(30):
+        low = rng.randrange(30)
+        part = shared[k % 3][low : low + rng.randrange(40, 60)]
+        texts.append(" ".join([sentence(800 + k, 15), *part, sentence(900 + k, 10)]))
+    texts += [" ".join(shared[0]), " ".join([*shared[0], "more"])]
+    parts = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    starts = Counter(tuple(p[i : i + 51]) for p in parts for i in range(len(p) - 50))
+    want = []
+    for k, (text, p, by_byte) in enumerate(zip(texts, parts, repeated_bytes(texts, 400))):
+        raw, found = (text or "").encode(), []
+        spans = [m.span() for m in re.finditer(b"[^\x20\x09-\x0d]+", raw)]
+        for i in range(len(p) - 50):
+            if starts[tuple(p[i : i + 51])] > 1:
+                if found and i <= found[-1][1]:
+                    found[-1][1] = i + 51
+                else:
+                    found.append([i, i + 51])
+        size = sum(spans[b - 1][1] - spans[a][0] for a, b in found)
+        want.append((k, len(raw), sum(by_byte), len(found), size))
+    assert want[7][2:] == want[8][2:] == (0, 1, len(" ".join(planted).encode()))
+    assert any(w[2] for w in want) and not any(w[3] for w in want[:4] + want[5:7])
+    folder, work = str(tmp_path), shared_folder(spark)
+    docs_of(list(enumerate(texts))).write.parquet(f"{folder}/documents.parquet")
+    before = set(os.listdir(work))
+    found = QUERIES["op9_lyndon_suffix_dedup"](spark, folder)
+    got = found.select("doc_id", "n_bytes", "n_removed", "n_passages", "passage_bytes")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert all(n.startswith("repeats-") for n in set(os.listdir(work)) - before)
+
+
 def test_leaks(spark, docs_of):
     items = [(1, sentence(1, 40)), (2, sentence(2, 30)), (3, "tiny"), (4, None), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
