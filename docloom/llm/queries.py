@@ -63,7 +63,9 @@ def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded to pieces with byte spans and decoded again; digests of both."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    tiled = F.coalesce(F.element_at("ends", -1), F.lit(0)) == F.coalesce(F.octet_length("text"), F.lit(0))
+    # An empty or null text has no last piece.
+    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))
+    tiled = last == F.coalesce(F.octet_length("text"), F.lit(0))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
