@@ -8,7 +8,12 @@ a span of the original UTF-8 bytes. The segmentation itself is the sentencepiece
 Where the model shows that no piece can cross from a character into a blank (byte-pair
 merges, blanks only at the front of pieces, an identity map), a text is cut before its runs
 of blanks and each distinct unit is encoded once per task; the ids are the library's for the
-whole text. Any other model, and any text with a literal U+2581, is encoded as a whole.
+whole text. A literal U+2581 is a blank to the library and here. Any other model encodes a text
+as a whole.
+
+Long texts, with blanks or without, go through such a model part by part, cut where no piece
+holds the characters on both sides, and are decoded part by part; so are long units, which are
+not kept. A task's memory does not grow with what it has seen, and with a text only by its lists.
 
 A null text counts as empty: no ids, no spans, an empty decoded text. One document is one
 row; other columns stay as they are, so a frame that already has `ids`, `starts`, `ends`
@@ -30,6 +35,9 @@ from docloom.llm.base import tidy
 
 MARK = "▁"
 CACHE_UNITS = 300_000
+CACHE_CHARS = 64
+PART_CHARS = 1 << 18
+PART_IDS = 1 << 18
 OUTPUTS = ("ids", "starts", "ends", "decoded")
 _UNITS = re.compile(" +[^ ]*|[^ ]+")
 
@@ -101,7 +109,7 @@ class Encoder:
                 1 if p.type == kinds.BYTE else len(p.piece.replace(MARK, " ").encode())
                 for p in model.pieces
             ],
-            np.int64,
+            np.int32,
         )
         self.plain = (
             not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
@@ -113,17 +121,63 @@ class Encoder:
             and model.trainer_spec.model_type == proto.TrainerSpec.BPE
             and model.trainer_spec.byte_fallback
             and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
+            and any(p.piece == MARK for p in model.pieces)
             and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces)
         )
         # The same with every blank as the three bytes of its mark.
         self.marked_lengths = np.array(
             [1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64
         )
+        # Neighbours within a piece: between any others a text can be cut.
+        shown = [p.piece.replace(MARK, " ") for p in model.pieces]
+        self.pairs = {p[n : n + 2] for p in shown for n in range(len(p) - 1)}
+        # Runs of characters that pieces may hold behind another one, and what starts them.
+        follow = "".join(map(re.escape, sorted({p[1] for p in self.pairs})))
+        self.runs = re.compile(f"[{follow}]+|[^{follow}][{follow}]*") if follow else re.compile(".", re.S)
+        # Bytes that go on with a character, and a piece that keeps a later part's first blank.
+        self.inside = np.array(
+            [p.type == kinds.BYTE and 0x80 <= int(p.piece[1:-1], 16) < 0xC0 for p in model.pieces]
+        )
+        self.mark = self.library.piece_to_id(MARK)
+        self.lead = next(
+            (n for n, p in enumerate(model.pieces) if p.type == kinds.NORMAL and MARK not in p.piece), None
+        )
         self.cache: dict[str, bytes] = {}
 
+    def _cut(self, text: str, at: int) -> int:
+        """The first place from ``at`` on where the library's ids of both sides add up."""
+        pairs = self.pairs
+        while at < len(text):
+            here = text[at]
+            # What follows is encoded behind a blank: its own, or one that stays a piece alone.
+            if text[at - 1 : at + 1] not in pairs and (here == " " or " " + here not in pairs):
+                return at
+            at += 1
+        return len(text)
+
     def ids(self, text: str) -> np.ndarray:
-        if not self.by_unit or MARK in text:
+        if not self.by_unit:
             return np.array(self.library.encode(text), np.int32)
+        text = text.replace(MARK, " ")
+        if len(text) <= PART_CHARS:
+            return self._part(text)
+        found, at = [], 0
+        while at < len(text):
+            end = self._cut(text, at + PART_CHARS)
+            part = text[at:end]
+            if at == 0:
+                found.append(self._part(part))
+            elif part == " ":
+                found.append(np.array([self.mark], np.int32))
+            elif part[0] == " ":
+                found.append(self._part(part[1:]))
+            else:
+                found.append(self._part(part)[1:])
+            at = end
+        return np.concatenate(found)
+
+    def _part(self, text: str) -> np.ndarray:
+        """Ids of a text without marks, unit by unit."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":
             units = _UNITS.findall(text)
             # The library's own leading blank stands for the first blank of a later unit.
@@ -134,33 +188,54 @@ class Encoder:
         if len(cache) > CACHE_UNITS:
             cache.clear()
         # A lone blank at the end of a text is left without characters to encode.
-        for unit in set(units).difference(cache):
-            ids = self.library.encode(unit) if unit else [self.library.piece_to_id(MARK)]
-            cache[unit] = np.array(ids, np.int32).tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
+        fresh = set(units).difference(cache)
+        for unit in fresh:
+            cache[unit] = self._unit(unit)
+        found = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
+        for unit in fresh:
+            if len(unit) > CACHE_CHARS:
+                del cache[unit]
+        return found
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of one unit; a long one goes run by run, each behind a blank that stays alone."""
+        runs = self.runs.findall(unit) if len(unit) > CACHE_CHARS else [unit]
+        found = []
+        for run in runs:
+            ids = self.cache.get(run)
+            if ids is None:
+                ids = np.array(self.library.encode(run) if run else [self.mark], np.int32).tobytes()
+                if len(run) <= CACHE_CHARS:
+                    self.cache[run] = ids
+            found.append(ids[4:] if found else ids)
+        return b"".join(found)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every piece in the bytes of ``text``."""
         raw = text.encode()
         if self.plain and MARK not in text:
-            ends = np.cumsum(self.lengths[ids]) - (1 if self.prefix else 0)
+            ends = np.cumsum(self.lengths[ids], dtype=np.int32)
+            ends -= 1 if self.prefix else 0
             if len(ids) == 0 or ends[-1] == len(raw):
-                return np.concatenate([[0], ends[:-1]])[: len(ids)], ends
+                return self._starts(ends), ends
         if self.plain:
-            # A literal mark and the mark of a blank look alike in pieces: bytes of the marked
-            # text lead back to the byte they stand for.
-            origin = self._marked_origin(raw)
+            # A literal mark and the mark of a blank look alike in pieces: lengths add up to
+            # places in the marked text, and each blank before a place takes two bytes off.
+            first = 3 if self.prefix and raw else 0
+            blanks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20)
+            blanks += np.arange(first + 3, first + 3 + 2 * len(blanks), 2)
             ends = np.cumsum(self.marked_lengths[ids])
-            if len(ids) == 0 or ends[-1] == len(origin) - 1:
-                return origin[np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ids)]], origin[ends]
+            if len(ids) == 0 or ends[-1] == len(raw) + 2 * len(blanks) + first:
+                ends = np.maximum(ends - 2 * np.searchsorted(blanks, ends, "right") - first, 0)
+                return self._starts(ends), ends
         return self._aligned(ids, raw)
 
-    def _marked_origin(self, raw: bytes) -> np.ndarray:
-        """For every byte of the text with blanks marked, and the end, its original offset."""
-        data = np.frombuffer(raw, np.uint8)
-        sizes = np.where(data == 0x20, 3, 1)
-        origin = np.append(np.repeat(np.arange(len(data)), sizes), len(data))
-        return np.concatenate([np.zeros(3, np.int64), origin]) if self.prefix and raw else origin
+    @staticmethod
+    def _starts(ends: np.ndarray) -> np.ndarray:
+        """Starts of pieces that tile a text."""
+        starts = np.zeros_like(ends)
+        starts[1:] = ends[:-1]
+        return starts
 
     def _aligned(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Spans by walking the pieces' surfaces over the normalised text and its origins."""
@@ -184,7 +259,19 @@ class Encoder:
         return np.array(starts, np.int64), np.array(ends, np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist()) if len(ids) else ""
+        if len(ids) <= PART_IDS or not self.by_unit or self.lead is None:
+            return self.library.decode(ids.tolist()) if len(ids) else ""
+        skipped = len(self.library.decode([self.lead]))
+        parts, at = [], 0
+        while at < len(ids):
+            end = at + PART_IDS
+            while end < len(ids) and self.inside[ids[end]]:
+                end += 1
+            own = ids[at:end].tolist()
+            # The library drops a first blank, which only the first part may lose.
+            parts.append(self.library.decode([self.lead, *own])[skipped:] if at else self.library.decode(own))
+            at = end
+        return "".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -205,8 +292,8 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, text: str = "text"
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
         edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.empty(0)
-        return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32)))
+        flat = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32, copy=False)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(model)

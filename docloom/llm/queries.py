@@ -66,10 +66,12 @@ def op6_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     # An empty or null text has no last piece.
     last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))
     tiled = last == F.coalesce(F.octet_length("text"), F.lit(0))
+    # Cut out of the list's own text, "[1,2]": no string is made for each id of a long text.
+    joined = F.substring_index(F.substr(F.to_json("ids"), F.lit(2)), "]", 1)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         tiled.alias("spans_reach_end"),
     )
